@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from ledgerloom.llm import byte_bpe, mixing, quality_classifier, quality_rules
+from ledgerloom.llm import byte_bpe, mixing, quality_classifier, quality_rules, simhash, warc
+from ledgerloom.llm._store import materialize, new_path
 from ledgerloom.sources.tables import read
 
 
@@ -22,6 +23,18 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = materialize(simhash.with_next(read(spark, sf_dir, "documents")), "simhash-made")
+    return simhash.with_links(made).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_links")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_archives(read(spark, sf_dir, "pages"), path)
+    back = warc.resolved(materialize(warc.read_archives(spark, path, with_payload=False), "warc-index"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_classifier(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -44,6 +57,8 @@ def token_digest(encoded: DataFrame) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
+    "op5_simhash": op5_simhash,
+    "op6_warc": op6_warc,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
