@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from ledgerloom.llm import byte_bpe, html_extract, mixing, quality_classifier, quality_rules, simhash, warc
+from ledgerloom.llm import byte_bpe, html_extract, line_dedup, mixing, quality_classifier, quality_rules, simhash, warc
 from ledgerloom.llm._store import materialize, new_path
 from ledgerloom.sources.tables import read
 
@@ -23,6 +23,36 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, line, string_split(text, chr(10))[line] AS body
+  FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents WHERE text IS NOT NULL)
+), worded AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS seq FROM lines WHERE regexp_matches(body, '[^\x20\x09-\x0D]')
+), runs AS (
+  SELECT *, lead(body) OVER (PARTITION BY doc_id ORDER BY seq) AS follow FROM worded
+), later AS (
+  SELECT doc_id, seq FROM (
+    SELECT doc_id, seq, row_number() OVER (PARTITION BY body, follow ORDER BY doc_id, seq) AS nth FROM runs WHERE follow IS NOT NULL
+  ) WHERE nth > 1
+), gone AS (
+  SELECT DISTINCT w.doc_id, w.line FROM worded w JOIN later l ON w.doc_id = l.doc_id AND w.seq IN (l.seq, l.seq + 1)
+), kept AS (
+  SELECT l.doc_id, string_agg(l.body, chr(10) ORDER BY l.line) AS text FROM lines l ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.line = g.line GROUP BY l.doc_id
+)
+SELECT d.doc_id, coalesce(w.n, 0) AS n_lines, coalesce(g.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM worded GROUP BY doc_id) w ON d.doc_id = w.doc_id
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g ON d.doc_id = g.doc_id
+LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = materialize(simhash.with_next(read(spark, sf_dir, "documents")), "simhash-made")
     return simhash.with_links(made).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_links")
@@ -61,6 +91,7 @@ def token_digest(encoded: DataFrame) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
+    "op3_line_dedup": op3_line_dedup,
     "op5_simhash": op5_simhash,
     "op6_warc": op6_warc,
     "op7_byte_bpe": op7_byte_bpe,
@@ -69,4 +100,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": OP3_SQL,
+}
