@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from ledgerloom.llm import byte_bpe, html_extract, line_dedup, mixing, quality_classifier, quality_rules, simhash, warc
+from ledgerloom.llm import byte_bpe, html_extract, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, simhash, warc
 from ledgerloom.llm._store import materialize, new_path
 from ledgerloom.sources.tables import read
 
@@ -53,6 +53,11 @@ LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_dedup(docs, k=2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = materialize(simhash.with_next(read(spark, sf_dir, "documents")), "simhash-made")
     return simhash.with_links(made).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_links")
@@ -92,6 +97,7 @@ def token_digest(encoded: DataFrame) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_line_dedup": op3_line_dedup,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_simhash": op5_simhash,
     "op6_warc": op6_warc,
     "op7_byte_bpe": op7_byte_bpe,
