@@ -6,11 +6,17 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Bytes of one Arrow batch between Spark and Python: long texts then bound a worker's memory as short ones do.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def ensure_importable(spark: SparkSession) -> None:
-    """Let Python workers import this package where it is not installed (local mode, a shared checkout)."""
+    """Let Python workers import this package where it is not installed (local mode, a shared checkout), and bound their batches."""
+    for key, value in BATCH.items():
+        if key not in dict(spark.sparkContext.getConf().getAll()):  # what the user has set stays
+            spark.conf.set(key, value)
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
