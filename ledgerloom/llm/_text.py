@@ -20,7 +20,7 @@ S30, S27, S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 class WordHashes(dict):
     """word -> 64-bit hash; a cache of bounded size over a fixed function."""
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 17
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
