@@ -1 +1 @@
-"""See the package README for the operator map."""
+"""Column functions: normalisers, parsers, similarity."""

@@ -1 +1 @@
-"""See the package README for the operator map."""
+"""Matching, summary, exploration, decision and export operators."""
