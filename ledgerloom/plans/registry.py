@@ -1,4 +1,8 @@
-"""Named queries over the standard tables, with the SQL that must give the same rows."""
+"""Named queries over the standard tables, with the SQL that must give the same rows.
+
+The SQL is written apart from the DataFrame code. Queries whose semantics SQL can't express (Indel similarity, sequential consumption,
+bounded searches) have none; tests/ checks them against plain Python.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +10,304 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.sources.tables import read
+from ledgerloom.functions import normalize
+from ledgerloom.operators import explore, export, profile, summary, tiers, waterfall, wide
+from ledgerloom.sources.ledgers import ledgers, sql, wide as wide_table
+
+FLAGSHIP = "wide_verdicts"
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with its SQL."""
+
+    def add(make: Query) -> Query:
+        QUERIES[make.__name__] = make
+        if oracle is not None:
+            ORACLES[make.__name__] = sql(oracle)
+        return make
+
+    return add
+
+
+LEDGER = "row_idx, record_id, vendor, doc, d, scenario, " + ", ".join(f"cast({c} AS double) AS {c}" for c in ("taxable", "igst", "cgst", "sgst"))
+KEY = "vendor, doc, d, doc_type, taxable, rate, igst, cgst, sgst, cess"
+EXACT = f""", ng AS (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY row_idx) AS nth FROM g), np AS (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY row_idx) AS nth FROM p),
+exact AS (SELECT ng.row_idx AS g_idx, np.row_idx AS p_idx FROM ng JOIN np USING ({KEY}, nth))"""
+REST = f"""{EXACT}, g1 AS (SELECT * FROM g WHERE row_idx NOT IN (SELECT g_idx FROM exact)), p1 AS (SELECT * FROM p WHERE row_idx NOT IN (SELECT p_idx FROM exact)),
+pairs AS (SELECT g1.row_idx AS g_idx, p1.row_idx AS p_idx, abs(g1.taxable - p1.taxable) AS amount_diff, abs(date_diff('day', g1.d, p1.d)) AS day_diff FROM g1 JOIN p1 USING (vendor, doc)
+  WHERE abs(g1.taxable - p1.taxable) <= 10 AND abs(date_diff('day', g1.d, p1.d)) <= 5),
+counted AS (SELECT *, count(*) OVER (PARTITION BY g_idx) AS of_g, count(*) OVER (PARTITION BY p_idx) AS of_p FROM pairs)"""
+BLANK = "('', 'NAN', 'NONE')"
+CORE = "regexp_replace(regexp_replace(regexp_replace({0}, '^((INV|BILL|TAX|GST|REF|DN|CN|PO|VCH|[0-9]{{4}}|FY[0-9]{{2}})[/_ :-]*)+', ''), '[^A-Z0-9]', '', 'g'), '^0+', '')"
+WIDE = f""", c AS (
+  SELECT row_idx, scenario, upper(trim(coalesce(g_vendor, ''))) AS g_vendor, upper(trim(coalesce(p_vendor, ''))) AS p_vendor, upper(trim(coalesce(g_doc, ''))) AS g_doc, upper(trim(coalesce(p_doc, ''))) AS p_doc,
+    g_date, p_date, g_taxable, p_taxable, g_igst, p_igst FROM w
+), x AS (
+  SELECT *, g_vendor IN {BLANK} AND g_doc IN {BLANK} AS g_blank, p_vendor IN {BLANK} AND p_doc IN {BLANK} AS p_blank, regexp_replace(g_doc, '[^A-Z0-9]', '', 'g') AS g_alnum, regexp_replace(p_doc, '[^A-Z0-9]', '', 'g') AS p_alnum,
+    coalesce(nullif({CORE.format("g_doc")}, ''), g_doc) AS g_core, coalesce(nullif({CORE.format("p_doc")}, ''), p_doc) AS p_core,
+    abs(g_taxable - p_taxable) AS t, abs(g_igst - p_igst) AS i, coalesce(abs(date_diff('day', g_date, p_date)), 999) AS days FROM c
+), y AS (
+  SELECT *, NOT g_blank AND NOT p_blank AND g_vendor = p_vendor AS vendor, NOT g_blank AND NOT p_blank AND g_doc = p_doc AS doc,
+    NOT g_blank AND NOT p_blank AND (g_core = p_core OR g_alnum = p_alnum OR (length(g_alnum) >= 3 AND length(p_alnum) >= 3 AND (ends_with(g_alnum, p_alnum) OR ends_with(p_alnum, g_alnum)))) AS clean,
+    coalesce(((month(g_date) = 3 AND month(p_date) = 4) OR (month(g_date) = 4 AND month(p_date) = 3)) AND year(g_date) = year(p_date), false) AND days <= 60 AS turn FROM x
+), z AS (
+  SELECT *, vendor AND doc AND days = 0 AND t < 0.01 AND i < 0.01 AS tier1, vendor AND doc AND days > 0 AND days <= 30 AND t <= 10 AND i <= 10 AS drift, vendor AND doc AND turn AND t <= 10 AND i <= 10 AS cross_fy,
+    vendor AND clean AND NOT doc AND t <= 10 AND days <= 1 AS prefix, vendor AND clean AND NOT doc AND t <= 10 AND days > 1 AND days <= 30 AS compound FROM y
+), z2 AS (
+  SELECT *, NOT tier1 AND doc AND (drift OR cross_fy OR (t >= 0.01 AND t <= 10) OR (i >= 0.01 AND i <= 10)) AS tier2 FROM z
+), z3 AS (
+  SELECT *, NOT tier1 AND NOT tier2 AND (prefix OR compound OR (vendor AND clean AND t <= 50)) AS tier3 FROM z2
+), v AS (
+  SELECT *, NOT (tier1 OR tier2 OR tier3) AND vendor AND (doc OR clean) AND days <= 15 AND g_taxable - p_taxable >= 100 AS blocked,
+    CASE WHEN tier1 THEN 'Exact Match' WHEN blocked THEN 'Ineligible ITC [Sec 17(5)]' WHEN tier2 THEN 'Tolerance Match' WHEN tier3 THEN 'Near Match' WHEN g_blank AND NOT p_blank THEN 'PR Only' WHEN NOT g_blank AND p_blank THEN 'GST Only' ELSE 'Ambiguous' END AS verdict,
+    CASE WHEN tier1 THEN 'EXACT_ZERO_VARIANCE' WHEN blocked THEN 'INELIGIBLE_ITC_17_5' WHEN cross_fy THEN 'CROSS_FY_TIMING' WHEN drift THEN 'DATE_OPERATIONAL_SHIFT' WHEN prefix THEN 'DOC_PREFIX_NORMALIZED' WHEN compound THEN 'COMPOUND_DOC_DATE_VARIATION'
+      WHEN tier2 THEN 'COMMERCIAL_TOLERANCE' WHEN tier3 THEN 'NEAR_MATCH' WHEN g_blank AND NOT p_blank THEN 'PR_ONLY' WHEN NOT g_blank AND p_blank THEN 'GST_ONLY' ELSE 'AMBIGUOUS_COLLISION' END AS sub,
+    coalesce(nullif(g_vendor, ''), p_vendor) AS who, verdict IN ('Exact Match', 'Tolerance Match', 'Near Match', 'Consolidated Match') AS hit FROM z3
+)"""
+
+
+def money(c: str) -> str:
+    return f"cast(sum(cast({c} AS decimal(18,2))) AS double)"
+
+
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wide.verdicts(wide_table(spark, sf_dir))
+
+
+@query(f"SELECT {LEDGER} FROM g")
+def ledger_g(spark, sf_dir):
+    return ledgers(spark, sf_dir)[0].selectExpr(*LEDGER.split(", "))
+
+
+@query(f"SELECT {LEDGER} FROM p")
+def ledger_p(spark, sf_dir):
+    return ledgers(spark, sf_dir)[1].selectExpr(*LEDGER.split(", "))
+
+
+@query(f"{EXACT} SELECT g_idx, p_idx FROM exact")
+def tiers_exact(spark, sf_dir):
+    return tiers.exact(*ledgers(spark, sf_dir))
+
+
+def after_exact(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    g, p = ledgers(spark, sf_dir)
+    one = tiers.exact(g, p)
+    return tiers.residual(g, one, "g_idx"), tiers.residual(p, one, "p_idx")
+
+
+@query(f"{REST} SELECT g_idx, p_idx, cast(amount_diff AS double) AS amount_diff, cast(day_diff AS int) AS day_diff FROM counted WHERE of_g = 1 AND of_p = 1")
+def tiers_tolerance(spark, sf_dir):
+    m = tiers.tolerance(*after_exact(spark, sf_dir))[0]
+    return m.withColumn("amount_diff", F.col("amount_diff").cast("double"))
+
+
+@query(f"{REST} SELECT g_idx, count(*) AS n, min(p_idx) AS first_p FROM counted WHERE NOT (of_g = 1 AND of_p = 1) GROUP BY g_idx")
+def tiers_conflicts(spark, sf_dir):
+    c = tiers.tolerance(*after_exact(spark, sf_dir))[1]
+    return c.select("g_idx", F.size("p_ids").cast("long").alias("n"), F.col("p_ids")[0].alias("first_p"))
+
+
+@query(
+    f"""{REST}, g2 AS (SELECT * FROM g1 WHERE row_idx NOT IN (SELECT g_idx FROM counted WHERE of_g = 1 AND of_p = 1)), p2 AS (SELECT * FROM p1 WHERE row_idx NOT IN (SELECT p_idx FROM counted WHERE of_g = 1 AND of_p = 1))
+    SELECT g2.row_idx AS g_idx, p2.row_idx AS p_idx, cast(abs(date_diff('day', g2.d, p2.d)) AS int) AS days, cast(abs(g2.taxable - p2.taxable) AS double) AS amount_diff FROM g2 JOIN p2 USING (vendor, doc_type)
+    WHERE abs(date_diff('day', g2.d, p2.d)) <= 30 AND abs(g2.taxable - p2.taxable) <= greatest(20000, abs(g2.taxable) * 0.5)"""
+)
+def near_blocked_pairs(spark, sf_dir):
+    g, p = after_exact(spark, sf_dir)
+    two = tiers.tolerance(g, p)[0]
+    pairs = tiers.blocked_pairs(tiers.residual(g, two, "g_idx"), tiers.residual(p, two, "p_idx"))
+    return pairs.select(F.col("g_row_idx").alias("g_idx"), F.col("p_row_idx").alias("p_idx"), "days", F.col("amount_diff").cast("double").alias("amount_diff"))
+
+
+@query()
+def near_candidates(spark, sf_dir):
+    g, p = after_exact(spark, sf_dir)
+    return tiers.ranked(tiers.scored(tiers.blocked_pairs(g, p)))
+
+
+@query()
+def tiers_reconcile(spark, sf_dir):
+    return tiers.reconcile(*ledgers(spark, sf_dir))
+
+
+@query(
+    f"""SELECT row_idx, regexp_replace(upper(trim(doc)), '[^A-Z0-9]', '', 'g') AS alnum, coalesce(nullif({CORE.format("upper(trim(doc))")}, ''), upper(trim(doc))) AS core,
+    regexp_replace(regexp_replace(regexp_replace(upper(trim(doc)), '^INV/', ''), '[^A-Z0-9]', '', 'g'), '^0+', '') AS light, upper(trim(vendor)) AS vendor FROM p"""
+)
+def normalizers(spark, sf_dir):
+    p = ledgers(spark, sf_dir)[1]
+    doc = F.col("doc")
+    return p.select("row_idx", normalize.alnum(doc).alias("alnum"), normalize.doc_core(doc).alias("core"), normalize.doc_light(doc).alias("light"), normalize.identifier(F.col("vendor")).alias("vendor"))
+
+
+@query(
+    f"""{WIDE} SELECT row_idx, CASE WHEN g_blank AND NOT p_blank THEN 'PR Only' WHEN NOT g_blank AND p_blank THEN 'GST Only' WHEN vendor AND doc AND t < 0.01 AND i < 0.01 THEN 'Exact Match'
+    WHEN vendor AND (doc OR g_alnum = p_alnum) AND t <= 10 AND i <= 10 THEN 'Tolerance Match' WHEN vendor AND t <= 10 THEN 'Near Match' ELSE 'Ambiguous' END AS verdict FROM z3"""
+)
+def wide_simple_verdicts(spark, sf_dir):
+    return wide.simple_verdict(wide_table(spark, sf_dir)).select("row_idx", "verdict")
+
+
+@query(f"{WIDE} SELECT row_idx, verdict, sub FROM v")
+def wide_verdicts(spark, sf_dir):
+    return classified(spark, sf_dir).select("row_idx", "verdict", "sub")
+
+
+@query(
+    f"""{WIDE}, r AS (SELECT row_idx, who, nullif(p_doc, '') AS p_doc, coalesce(g_date, p_date) AS d, g_taxable, p_taxable FROM v WHERE NOT (tier1 OR tier2 OR tier3)),
+    q AS (SELECT who, p_doc, min(row_idx) AS batch, sum(cast(p_taxable AS decimal(18,2))) FILTER (WHERE p_taxable > 0) AS total, max(g_taxable) FILTER (WHERE g_taxable > 0) AS goal
+      FROM r WHERE p_doc IS NOT NULL GROUP BY who, p_doc HAVING count(*) >= 2 AND count(*) FILTER (WHERE p_taxable > 0) >= 2 AND count(*) FILTER (WHERE g_taxable > 0) >= 1
+      AND min(g_taxable) FILTER (WHERE g_taxable > 0) = max(g_taxable) FILTER (WHERE g_taxable > 0))
+    SELECT row_idx, batch, '1:N' AS mode FROM r JOIN q USING (who, p_doc) WHERE abs(cast(total AS double) - goal) <= 5"""
+)
+def wide_document_batches(spark, sf_dir):
+    return wide.document_batches(wide_table(spark, sf_dir))
+
+
+@query()
+def wide_batches(spark, sf_dir):
+    return wide.batches(wide_table(spark, sf_dir))
+
+
+@query(
+    f"""{WIDE} SELECT verdict, label, count(*) AS n, count(*) FILTER (WHERE verdict = label) AS agreements FROM (SELECT verdict, CASE WHEN scenario <= 8 THEN 'Exact Match' WHEN scenario <= 11 THEN 'Tolerance Match'
+    WHEN scenario IN (12, 14) THEN 'Near Match' WHEN scenario = 16 THEN 'GST Only' WHEN scenario = 17 THEN 'PR Only' ELSE 'Other' END AS label FROM v) AS named GROUP BY verdict, label"""
+)
+def wide_concurrence(spark, sf_dir):
+    s = F.col("scenario")
+    label = F.when(s <= 8, "Exact Match").when(s <= 11, "Tolerance Match").when(s.isin(12, 14), "Near Match").when(s == 16, "GST Only").when(s == 17, "PR Only").otherwise("Other")
+    rows = classified(spark, sf_dir).withColumn("label", label).withColumn("c", wide.concurrence(F.col("verdict"), F.col("label")))
+    return rows.groupBy("verdict", "label").agg(F.count("*").alias("n"), F.count_if(F.col("c") == "AGREEMENT").alias("agreements"))
+
+
+@query(
+    """, a AS (SELECT row_idx, upper(trim(vendor)) AS v, regexp_replace(regexp_replace(regexp_replace(upper(trim(doc)), '^INV/', ''), '[^A-Z0-9]', '', 'g'), '^0+', '') AS n, d, cast(taxable AS double) AS taxable, cast(igst AS double) AS igst, cast(cgst AS double) AS cgst, cast(sgst AS double) AS sgst FROM g),
+    b AS (SELECT row_idx, upper(trim(vendor)) AS v, regexp_replace(regexp_replace(regexp_replace(upper(trim(doc)), '^INV/', ''), '[^A-Z0-9]', '', 'g'), '^0+', '') AS n, d, cast(taxable AS double) AS taxable, cast(igst AS double) AS igst, cast(cgst AS double) AS cgst, cast(sgst AS double) AS sgst,
+      count(*) OVER (PARTITION BY v, n) AS rivals FROM p)
+    SELECT g_idx, p_idx FROM (SELECT a.row_idx AS g_idx, b.row_idx AS p_idx, row_number() OVER (PARTITION BY b.row_idx ORDER BY a.row_idx) AS nth FROM a JOIN b USING (v, n) WHERE rivals = 1 AND a.d = b.d AND abs(a.taxable - b.taxable) <= 0.05
+      AND abs(a.igst + a.cgst + a.sgst - (b.igst + b.cgst + b.sgst)) <= 0.05 AND abs(a.igst - b.igst) <= 0.05 AND abs(a.cgst - b.cgst) <= 0.05 AND abs(a.sgst - b.sgst) <= 0.05) WHERE nth = 1"""
+)
+def waterfall_exact(spark, sf_dir):
+    g, p = ledgers(spark, sf_dir)
+    return waterfall.exact_pass(waterfall.prepare(g), waterfall.prepare(p)).select("g_idx", "p_idx")
+
+
+@query()
+def waterfall_links(spark, sf_dir):
+    return waterfall.waterfall(*ledgers(spark, sf_dir))
+
+
+@query()
+def waterfall_dispositions(spark, sf_dir):
+    return waterfall.dispositions(waterfall.waterfall(*ledgers(spark, sf_dir)))
+
+
+@query(f"{WIDE} SELECT verdict, count(*) AS n, {money('g_taxable')} AS g_taxable, {money('p_taxable')} AS p_taxable FROM v GROUP BY verdict")
+def summary_buckets(spark, sf_dir):
+    return summary.bucket_counts(classified(spark, sf_dir))
+
+
+@query(f"{WIDE} SELECT sub, count(*) AS n, {money('g_taxable')} AS g_taxable, {money('p_taxable')} AS p_taxable FROM v GROUP BY sub")
+def summary_subclasses(spark, sf_dir):
+    return summary.bucket_counts(classified(spark, sf_dir), "sub")
+
+
+@query(f"{WIDE} SELECT count(*) AS total, count(*) FILTER (WHERE hit) AS matched, round(100.0 * count(*) FILTER (WHERE hit) / count(*), 1) AS rate FROM v")
+def summary_match_rate(spark, sf_dir):
+    return summary.match_rate(classified(spark, sf_dir)).withColumn("rate", F.col("rate").cast("double"))
+
+
+TIERS = ["Exact Match", "Tolerance Match", "Near Match", "Ambiguous", "GST Only", "PR Only"]
+
+
+@query(
+    f"""{WIDE}, n AS (SELECT verdict, count(*) AS n, cast(list_position({TIERS!r}, verdict) - 1 AS int) AS tier FROM v WHERE list_contains({TIERS!r}, verdict) GROUP BY verdict),
+    r AS (SELECT *, cast(sum(n) OVER (ORDER BY tier) AS bigint) AS running, cast(sum(n) OVER () AS bigint) AS total FROM n) SELECT verdict, n, tier, running, cast(round(100.0 * (total - running) / total, 1) AS double) AS left_percent FROM r"""
+)
+def summary_yields(spark, sf_dir):
+    out = summary.yields(classified(spark, sf_dir), TIERS)
+    return out.withColumn("left_percent", F.col("left_percent").cast("double"))
+
+
+@query(
+    f"""{WIDE} SELECT who AS vendor, count(*) AS invoices, count(*) FILTER (WHERE hit) AS matched, {money("CASE WHEN hit THEN p_taxable ELSE 0 END")} AS claimable, {money("CASE WHEN hit THEN 0 ELSE greatest(g_taxable, p_taxable) END")} AS disputed,
+    cast(round(100.0 * count(*) FILTER (WHERE hit) / count(*), 1) AS double) AS match_percent,
+    CASE WHEN round(100.0 * count(*) FILTER (WHERE hit) / count(*), 1) < 70 THEN 'HIGH' WHEN round(100.0 * count(*) FILTER (WHERE hit) / count(*), 1) < 90 THEN 'MED' ELSE 'LOW' END AS risk FROM v GROUP BY who"""
+)
+def summary_vendor_risk(spark, sf_dir):
+    return summary.vendor_risk(classified(spark, sf_dir)).withColumn("match_percent", F.col("match_percent").cast("double"))
+
+
+@query(f"{WIDE} SELECT verdict, count(*) AS n, cast(round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS double) AS percent FROM v GROUP BY verdict")
+def summary_matrix(spark, sf_dir):
+    return summary.disposition_matrix(classified(spark, sf_dir)).withColumn("percent", F.col("percent").cast("double"))
+
+
+@query(f"{WIDE} SELECT CASE WHEN round(t, 2) < 100 THEN 'below 100' WHEN round(t, 2) <= 1000 THEN '100 to 1000' ELSE 'above 1000' END AS band, count(*) AS n FROM v WHERE g_vendor <> '' AND p_vendor <> '' GROUP BY 1")
+def summary_variance_bands(spark, sf_dir):
+    return summary.variance_bands(classified(spark, sf_dir))
+
+
+@query(f"{WIDE} SELECT row_idx, verdict, round(t, 2) AS diff FROM v WHERE NOT hit AND g_vendor <> '' AND p_vendor <> '' ORDER BY diff DESC, row_idx LIMIT 10")
+def summary_top_mismatches(spark, sf_dir):
+    return summary.top_mismatches(classified(spark, sf_dir))
+
+
+@query("SELECT (SELECT count(*) FROM g) AS g_rows, (SELECT count(*) FROM p) AS p_rows, cast((SELECT sum(taxable) FROM g) AS double) AS g_taxable, cast((SELECT sum(taxable) FROM p) AS double) AS p_taxable, cast((SELECT sum(taxable) FROM g) - (SELECT sum(taxable) FROM p) AS double) AS net")
+def summary_totals(spark, sf_dir):
+    return summary.totals(*ledgers(spark, sf_dir))
+
+
+@query("SELECT cast(sum(least(a.n, b.n)) AS bigint) AS overlap FROM (SELECT taxable, count(*) AS n FROM g GROUP BY taxable) a JOIN (SELECT taxable, count(*) AS n FROM p GROUP BY taxable) b USING (taxable)")
+def summary_overlap(spark, sf_dir):
+    return summary.multiset_overlap(*ledgers(spark, sf_dir), "taxable")
+
+
+@query(
+    f"""{EXACT}, truth AS (SELECT g.row_idx AS g_idx, p.row_idx AS p_idx FROM g JOIN p USING (order_key) WHERE g.scenario <= 8), h AS (SELECT count(*) AS hits FROM exact SEMI JOIN truth ON exact.g_idx = truth.g_idx AND exact.p_idx = truth.p_idx)
+    SELECT hits, (SELECT count(*) FROM exact) AS found, (SELECT count(*) FROM truth) AS expected, round(hits / (SELECT count(*) FROM exact), 4) AS "precision", round(hits / (SELECT count(*) FROM truth), 4) AS recall FROM h"""
+)
+def evaluation_exact(spark, sf_dir):
+    g, p = ledgers(spark, sf_dir)
+    truth = g.where("scenario <= 8").select("order_key", F.col("row_idx").alias("g_idx")).join(p.select("order_key", F.col("row_idx").alias("p_idx")), "order_key").drop("order_key")
+    return summary.evaluation(tiers.exact(g, p), truth)
+
+
+@query(f"{WIDE} SELECT row_idx, verdict FROM v WHERE verdict IN ('Ambiguous', 'Near Match') AND (g_vendor LIKE '%V0000001%' OR p_vendor LIKE '%V0000001%' OR g_doc LIKE '%V0000001%' OR p_doc LIKE '%V0000001%') AND round(t, 2) <= 1000 AND coalesce(g_date, p_date) >= date '1996-01-01'")
+def explore_search(spark, sf_dir):
+    return explore.search(classified(spark, sf_dir), explore.Filter(verdicts=("Ambiguous", "Near Match"), text="v0000001", most_diff=1000, since="1996-01-01")).select("row_idx", "verdict")
+
+
+@query(
+    f"""{REST}, q AS (SELECT abs(g1.taxable - p1.taxable) AS amount_diff, abs(date_diff('day', g1.d, p1.d)) AS days FROM g1 JOIN p1 USING (vendor, doc))
+    SELECT amount, day, count(q.days) AS n FROM (SELECT unnest([1.0, 5.0, 10.0, 100.0])::double AS amount) CROSS JOIN (SELECT unnest([0, 5, 30]) AS day) LEFT JOIN q ON amount_diff <= amount AND days <= day GROUP BY amount, day"""
+)
+def explore_what_if(spark, sf_dir):
+    g, p = after_exact(spark, sf_dir)
+    pairs = g.select("vendor", "doc", F.col("taxable").alias("a"), F.col("d").alias("x")).join(p.select("vendor", "doc", F.col("taxable").alias("b"), F.col("d").alias("y")), ["vendor", "doc"])
+    pairs = pairs.select(F.abs(F.col("a") - F.col("b")).cast("double").alias("amount_diff"), normalize.days_apart(F.col("x"), F.col("y")).alias("days"))
+    return explore.what_if(spark, pairs, [1, 5, 10, 100], [0, 5, 30])
 
-FLAGSHIP = "orders_per_vendor"
 
+@query(
+    f"""{WIDE} SELECT row_idx, nullif(g_vendor, '') AS g_vendor, nullif(g_doc, '') AS g_doc, g_date, g_taxable, g_igst, round(g_taxable + g_igst, 2) AS g_value, nullif(p_vendor, '') AS p_vendor, nullif(p_doc, '') AS p_doc, p_date, p_taxable, p_igst, round(p_taxable + p_igst, 2) AS p_value,
+    CASE WHEN g_vendor <> '' AND p_vendor <> '' THEN round(p_taxable - g_taxable, 2) END AS taxable_diff, CASE WHEN g_vendor <> '' AND p_vendor <> '' THEN round(p_igst - g_igst, 2) END AS igst_diff, CASE WHEN g_vendor <> '' AND p_vendor <> '' THEN cast(date_diff('day', g_date, p_date) AS int) END AS days_diff, verdict,
+    CASE verdict WHEN 'Exact Match' THEN 'Matched' WHEN 'Tolerance Match' THEN 'Matched' WHEN 'Consolidated Match' THEN 'Matched' WHEN 'Near Match' THEN 'Probable' WHEN 'GST Only' THEN 'Missing in P' WHEN 'PR Only' THEN 'Missing in G' ELSE 'Review' END AS section FROM v"""
+)
+def export_report(spark, sf_dir):
+    return export.report(classified(spark, sf_dir))
 
-def orders_per_vendor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders per vendor key."""
-    return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n_orders"))
 
+@query()
+def export_fingerprint(spark, sf_dir):
+    return export.fingerprint(classified(spark, sf_dir), ["row_idx", "verdict", "sub"])
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"orders_per_vendor": orders_per_vendor}
 
-ORACLES: dict[str, str] = {"orders_per_vendor": "SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY o_custkey"}
+@query("SELECT 'vendor' AS \"column\", count(*) AS \"rows\", count(vendor) AS non_null, 0.0::double AS null_percent, count(DISTINCT vendor) AS \"distinct\", min(vendor) AS lowest, max(vendor) AS highest, 0.0::double AS numeric_share, 0.0::double AS date_share, 0.0::double AS tax_id_share FROM p UNION ALL SELECT 'd', count(*), count(d), 0.0, count(DISTINCT d), min(cast(d AS string)), max(cast(d AS string)), 0.0, 1.0, 0.0 FROM p")
+def profile_ledger(spark, sf_dir):
+    out = profile.profile(ledgers(spark, sf_dir)[1], ["vendor", "d"])
+    return out.withColumn("null_percent", F.col("null_percent").cast("double"))

@@ -50,8 +50,6 @@ SELECT coalesce(g.row_idx * 10, p.row_idx) AS row_idx, g.vendor AS g_vendor, p.v
   cast(coalesce(g.taxable, 0) AS double) AS g_taxable, cast(coalesce(p.taxable, 0) AS double) AS p_taxable,
   cast(coalesce(g.igst, 0) AS double) AS g_igst, cast(coalesce(p.igst, 0) AS double) AS p_igst, coalesce(g.scenario, p.scenario) AS scenario
 FROM {g} AS g FULL OUTER JOIN {p} AS p ON g.order_key = p.order_key AND p.row_idx % 10 = 0
-UNION ALL
-SELECT row_idx, NULL, vendor, NULL, doc, NULL, d, 0.0, cast(taxable AS double), 0.0, cast(igst AS double), scenario FROM {p} AS extra WHERE row_idx % 10 <> 0
 """
 
 
@@ -68,14 +66,12 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.col(c).cast("double") for c in ("g_taxable", "p_taxable", "g_igst", "p_igst")})
 
 
-def sql(body: str) -> str:
-    """DuckDB text over CTEs g and p."""
-    named = {"{orders}": "orders", "{lineitem}": "lineitem"}
-    g, p = G, P
-    for k, v in named.items():
-        g, p = g.replace(k, v), p.replace(k, v)
-    return f"WITH g AS ({g}), p AS ({p}), {body}" if body.lstrip()[:4].lower() != "with" and not body.lstrip().upper().startswith("SELECT") else f"WITH g AS ({g}), p AS ({p}) {body}"
+def ctes() -> str:
+    """DuckDB text of the CTEs g, p and w (the wide form)."""
+    fill = lambda text: text.replace("{orders}", "orders").replace("{lineitem}", "lineitem").replace("{g}", "g").replace("{p}", "p")
+    return f"WITH g AS ({fill(G)}), p AS ({fill(P)}), w AS ({fill(WIDE)})"
 
 
-def wide_sql(body: str) -> str:
-    return sql(f"w AS ({WIDE.replace('{g}', 'g').replace('{p}', 'p')}) {body}" if body.lstrip().upper().startswith("SELECT") else f"w AS ({WIDE.replace('{g}', 'g').replace('{p}', 'p')}), {body}")
+def sql(body: str) -> str:
+    """DuckDB text: body is a SELECT over g, p and w, or more CTEs before one (then it starts with a comma)."""
+    return f"{ctes()}{body}" if body.lstrip().startswith(",") else f"{ctes()} {body}"
