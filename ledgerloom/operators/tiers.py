@@ -137,11 +137,11 @@ def outcomes(g: DataFrame, p: DataFrame, near: DataFrame, t: Near = Near()) -> t
 def reconcile(g: DataFrame, p: DataFrame, policy: Policy = Policy(), t: Near = Near()) -> DataFrame:
     """side, row_idx, outcome of every source row: exactly one each."""
     ensure_importable(g.sparkSession)
-    one = materialize(exact(g, p), "exact")
+    one = materialize(exact(g, p), "exact", lean=True)
     g1, p1 = residual(g, one, "g_idx"), residual(p, one, "p_idx")
-    two = materialize(tolerance(g1, p1, policy)[0], "tolerance")
+    two = materialize(tolerance(g1, p1, policy)[0], "tolerance", lean=True)
     g2, p2 = residual(g1, two, "g_idx"), residual(p1, two, "p_idx")
-    near = materialize(ranked(scored(blocked_pairs(g2, p2, t), t), t), "near")
+    near = materialize(ranked(scored(blocked_pairs(g2, p2, t), t), t), "near", lean=True)
     left, right = outcomes(g2, p2, near, t)
     taken = lambda m, s, name: m.select(F.col(s).alias("row_idx"), F.lit(name).alias("outcome"))
     left = left.unionByName(taken(one, "g_idx", "EXACT")).unionByName(taken(two, "g_idx", "TOLERANCE"))

@@ -210,10 +210,10 @@ def waterfall(g: DataFrame, p: DataFrame, t: Limits = Limits()) -> DataFrame:
     Each pass works on what the ones before have left. Ledgers and links of a pass are written as tables: later passes read them several times, and plans stay small.
     """
     ensure_importable(g.sparkSession)
-    g, p = materialize(prepare(g), "ledger"), materialize(prepare(p), "ledger")
+    g, p = materialize(prepare(g), "ledger", lean=True), materialize(prepare(p), "ledger", lean=True)
     done = []
     for step in (exact_pass, lambda a, b: batch_pass(a, b, t), lambda a, b: one_to_one_pass(a, b, t), lambda a, b: tax_head_pass(a, b, t), lambda a, b: fuzzy_pass(a, b, t), lambda a, b: ambiguity_pass(a, b, t)):
-        links = materialize(step(g, p), "links")
+        links = materialize(step(g, p), "links", lean=True)
         done.append(links)
         g, p = left_over(g, links, "g_idx"), left_over(p, links, "p_idx")
     blank = (F.col("v") == "") & (F.col("n") == "") & (F.col("taxable") <= 0)

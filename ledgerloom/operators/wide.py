@@ -128,7 +128,7 @@ def open_rows(df: DataFrame) -> DataFrame:
 
 def document_batches(df: DataFrame, tolerance: float = 5.0, days: int = 31) -> DataFrame:
     """row_idx, batch, mode of rows that share a document and sum up: by P document, then G document, then core, each on what is left."""
-    rows, found = materialize(open_rows(df), "open"), None
+    rows, found = materialize(open_rows(df), "open", lean=True), None
     for key in ("p_doc", "g_doc", "core"):
         pos = lambda c: F.when(F.col(c) > 0, F.col(c))
         sums = lambda c: (F.count(pos(c)).alias(f"n_{c}"), F.round(F.sum(pos(c).cast("decimal(18,2)")), 2).cast("double").alias(f"s_{c}"), F.min(F.round(pos(c), 2)).alias(f"lo_{c}"), F.max(F.round(pos(c), 2)).alias(f"hi_{c}"))
@@ -136,7 +136,7 @@ def document_batches(df: DataFrame, tolerance: float = 5.0, days: int = 31) -> D
         near = F.coalesce((F.datediff("d2", "d0") <= days) & (F.datediff("d0", "d1") <= days), F.lit(True))
         mode = lambda one, many: (F.col(f"n_{many}") >= 2) & (F.col(f"n_{one}") >= 1) & (F.col(f"lo_{one}") == F.col(f"hi_{one}")) & (F.abs(F.col(f"s_{many}") - F.col(f"lo_{one}")) <= tolerance + 1e-9)
         groups = groups.where((F.col("n") >= 2) & near).withColumn("mode", F.when(mode("g_taxable", "p_taxable"), "1:N").when(mode("p_taxable", "g_taxable"), "N:1")).where("mode is not null")
-        hit = materialize(rows.join(groups.select("v", key, "batch", "mode"), ["v", key]).select("row_idx", "batch", "mode"), "batches")
+        hit = materialize(rows.join(groups.select("v", key, "batch", "mode"), ["v", key]).select("row_idx", "batch", "mode"), "batches", lean=True)
         found = hit if found is None else found.unionByName(hit)
         rows = rows.join(hit.select("row_idx"), "row_idx", "left_anti")
     return found

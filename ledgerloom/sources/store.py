@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Files for each core of a lean table.
+LEAN_FILES = 4
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Where it is unset (tests, one machine) a temporary one is set."""
     sc = spark.sparkContext
@@ -23,11 +27,14 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a parquet table in the shared folder and read it back: a cut of the lineage that outlives executors."""
+def materialize(df: DataFrame, label: str, lean: bool = False) -> DataFrame:
+    """Write df as a parquet table in the shared folder and read it back: a cut of the lineage that outlives executors.
+
+    lean: df is the small outcome of a shuffle (keys, links, counts); it is written in a few files for each core, not one for each shuffle partition.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    (df.coalesce(LEAN_FILES * spark.sparkContext.defaultParallelism) if lean else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

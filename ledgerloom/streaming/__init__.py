@@ -1 +1 @@
-"""See the package README for the operator map."""
+"""Arriving purchase rows matched against a ledger at rest."""
