@@ -38,6 +38,7 @@ VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 RECORDS_PER_FILE = 20_000
 LEVEL = 4
+SLICE = 1 << 14
 
 
 def sha1(raw: bytes) -> str:
@@ -122,14 +123,16 @@ def parse(raw: bytes, at: int) -> tuple[dict, int]:
 
 def unpack(raw: bytes, at: int) -> tuple[bytes, int]:
     """The gzip member that starts at `at`, and its end."""
-    engine = zlib.decompressobj(31)
+    engine, out = zlib.decompressobj(31), []
     try:
-        out = engine.decompress(memoryview(raw)[at:])
+        while not engine.eof and at < len(raw):  # in slices: what follows the member is copied
+            out.append(engine.decompress(raw[at : at + SLICE]))
+            at += SLICE
     except zlib.error as e:
         raise Damage("gzip: " + str(e).split(":")[-1].strip()) from None
     if not engine.eof:
         raise Damage("gzip member cut short")
-    return out, len(raw) - len(engine.unused_data)
+    return b"".join(out), min(at, len(raw)) - len(engine.unused_data)
 
 
 def read_at(raw: bytes, at: int) -> tuple[list[dict], int]:
@@ -228,7 +231,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     # few or small groups make Spark broadcast them; else the payloads are joined by digest, large groups split
-    groups = materialize(first_copies(pages, min_bytes), "warc-groups")
+    groups = materialize(first_copies(pages, min_bytes), "warc-groups", lean=True)
     rows = pages.select("page_id", "url", "html").mapInArrow(digested, "page_id long, url string, html string, digest string").join(groups, "digest", "left")
     members = rows.select("page_id", "url", "html", "digest", "first").mapInArrow(built, "value binary").select(F.col("value").cast("string"))
     separator = EMPTY_MEMBER.decode("iso-8859-1")
