@@ -1,41 +1,5 @@
-"""Tables in the folder that the driver and all executors share."""
+"""Tables in the shared folder (see sources.store)."""
 
-from __future__ import annotations
+from ledgerloom.sources.store import materialize, new_path, remove, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where it is unset (tests, one machine) a temporary one is set."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not at:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
-        at = sc.getCheckpointDir()
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a parquet table in the shared folder and read it back: a cut of the lineage that outlives executors."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(df_or_path: DataFrame | str, spark: SparkSession | None = None) -> None:
-    """Delete a table that materialize() wrote, once nothing reads it any more."""
-    spark = spark or df_or_path.sparkSession
-    paths = [df_or_path] if isinstance(df_or_path, str) else {f.rsplit("/", 1)[0] for f in df_or_path.inputFiles()}
-    jvm = spark.sparkContext._jvm
-    for p in paths:
-        at = jvm.org.apache.hadoop.fs.Path(p)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+__all__ = ["materialize", "new_path", "remove", "shared_dir"]

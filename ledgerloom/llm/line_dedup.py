@@ -65,7 +65,7 @@ def dense_ranks(keys: DataFrame, by: list[str]) -> DataFrame:
             n += size
 
     ordered = keys.repartitionByRange(*by).sortWithinPartitions(*by)
-    local = materialize(ordered.mapInArrow(run, T.StructType([*keys.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_nth", T.LongType())])), "line-ranks")
+    local = materialize(ordered.mapInArrow(run, T.StructType([*keys.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_nth", T.LongType())])), "line-ranks", lean=True)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     offsets = local.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     return local.join(F.broadcast(offsets), "_part").withColumn("_rank", F.col("_nth") + F.col("_before") + 1).drop("_part", "_nth", "_before")
@@ -85,10 +85,10 @@ def ranked(pairs: DataFrame, by: list[str]) -> DataFrame:
 
 def suffix_ranks(lines: DataFrame, depth: int = MIN_LINES) -> DataFrame:
     """_d, _k, seq, line, rank, first: suffixes that have their first `depth` lines in common with another, ranked by them."""
-    now, at = materialize(ranked(lines, ["id"]), "line-suffixes"), 1
+    now, at = materialize(ranked(lines, ["id"]), "line-suffixes", lean=True), 1
     while at < depth:
         step = min(at, depth - at)
-        now, at = materialize(ranked(doubled(now, step), ["rank", "after"]), "line-suffixes"), at + step
+        now, at = materialize(ranked(doubled(now, step), ["rank", "after"]), "line-suffixes", lean=True), at + step
     return now
 
 

@@ -122,7 +122,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model | None:
     spark = stats.sparkSession
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.round(F.avg("quality")).cast("double").alias("y"))
     train = stats.join(known, "doc_id").withColumn("fold", fold()).where("fold != 0").drop("doc_id")
-    train = materialize(train, "classifier-train")
+    train = materialize(train, "classifier-train", lean=True)
     part = train.where("fold != 4")
     seen = part.agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m_{c}") for c in STATS), *(F.stddev_pop(c).alias(f"s_{c}") for c in STATS)).first()
     if not seen.n:
