@@ -3,7 +3,7 @@
 A source's target is a share of the mix, capped at MAX_REPEAT times the source. A target is met by whole copies of the source and, for
 what remains, by one more copy of some of its documents. How many documents of each exact token length to add
 is found on the histogram of lengths alone: a proportional part of every length, then a bounded knapsack by dynamic
-programming over reachable sums for the last KNAPSACK tokens. Which documents of a length are added follows from a seeded hash of doc_id and text:
+programming over reachable sums for the last KNAPSACK tokens, with a few picks of each length given back first. Which documents of a length are added follows from a seeded hash of doc_id and text:
 those up to the n-th smallest hash, found by counting hashes in BINS first, so that no large group is sorted whole.
 
 Nulls and edge cases: a null text has size 0; documents of size 0 take nothing, but stand in the result; null is a source of its own, last in order;
@@ -25,6 +25,7 @@ SHARE = 1.5
 MAX_REPEAT = 2
 SEED = 20
 KNAPSACK = 1 << 16
+RELEASED = 4
 BINS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -76,6 +77,12 @@ def fit_budget(size: np.ndarray, count: np.ndarray, target: float, cap: int = MA
         if size[i] and pick[i] < count[i] and size[i] <= rest:
             pick[i] += 1
             rest -= size[i]
+    # some picks go back, so that the knapsack has items of every length to choose from
+    for i in sorted(range(len(size)), key=lambda i: size[i]):
+        back = min(pick[i], RELEASED)
+        if rest + size[i] * back <= KNAPSACK:
+            pick[i] -= back
+            rest += size[i] * back
     # bounded knapsack: reach holds the sums made so far as bits; first[s] is the item that first made s
     reach, mask, first = 1, (1 << (rest + 1)) - 1, {}
     items: list[tuple[int, int]] = []
@@ -112,7 +119,7 @@ def plan(sizes: DataFrame, per_source: DataFrame, cap: int = MAX_REPEAT) -> Data
         return pdf.assign(copies=copies, pick=pick)[["_s", "size", "copies", "pick"]]
 
     # a group has one row for each distinct length of its source, however many documents that is
-    picks = materialize(histogram.groupBy("_s").applyInPandas(fitted, "_s string, size long, copies int, pick long"), "mix-picks")
+    picks = materialize(histogram.groupBy("_s").applyInPandas(fitted, "_s string, size long, copies int, pick long"), "mix-picks", lean=True)
     shift = 63 - (BINS.bit_length() - 1)
     hashed = sizes.select("_s", "size", "_u", F.shiftright("_u", shift).alias("_bin"))
     upto = F.sum("n").over(Window.partitionBy("_s", "size").orderBy("_bin"))
@@ -135,5 +142,5 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     """docs (doc_id, text, source, ...) with size, source_size, target, copies and taken."""
     sized = with_size(docs)
     lean = materialize(sized.select("_s", "source", "size", "_u"), "mix-sizes")
-    per_source = materialize(targets(lean, weights, share, cap), "mix-targets")
+    per_source = materialize(targets(lean, weights, share, cap), "mix-targets", lean=True)
     return apply_plan(sized, plan(lean, per_source, cap), per_source)
