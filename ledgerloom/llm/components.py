@@ -19,7 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges: columns a, b. Self-loops don't matter; an empty table gives an empty result. The stars of a node with very many neighbours are
     partial minima and a join that Spark can split.
     """
-    now = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", lean=True)
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = mark(now)
     while before[0]:
@@ -27,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         small = star(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        after = materialize(small.where("u != v").distinct(), "edges")
+        after = materialize(small.where("u != v").distinct(), "edges", lean=True)
         remove(now)
         now, was = after, before
         before = mark(now)

@@ -6,10 +6,11 @@ symbols have a chunk with at most one differing symbol, so every class is entere
 symbols left out: this finds all pairs within signature distance 2 * CHUNKS - 1. A pair of sets of similarity 0.8 is
 missed with a probability below 4e-6: each chunk agrees but for one symbol with probability 0.655.
 
-Candidates are confirmed on the full sets: linked if PERCENT_DEN * intersection >= PERCENT * union. Pairs inside a group are not all spelled out. First each class meets the
-centres of its buckets with which it shares the most entries; the links found are turned into components. Then every pair of a common bucket whose classes
-are still in different components is confirmed too, so no link between components is lost, while a large group of near copies costs about as many
-comparisons as it has members.
+A pair of a common bucket is a candidate if its set sizes allow the similarity and 64 symbols of the two signatures, 4 bits of each,
+lie within a Hamming distance that a similar pair exceeds with a probability below 1e-6. Candidates are confirmed on the full sets: linked if PERCENT_DEN * intersection >= PERCENT * union. Pairs inside a group are not all spelled out. First each class meets the
+centres of its buckets with which it shares the most entries; the links found are turned into components. What remains are classes with a candidate of another
+component. These meet by the rarest shingles of their full sets: similar sets share one of their first fifth, at places that leave enough to have in common. Such pairs are confirmed too, so
+no link between components is lost, while a large group of near copies costs about as many comparisons as it has members.
 
 Nulls and edge cases: a null text has the empty set, is linked with nothing and is kept; fewer than K words are one shingle; null doc_ids take part, but no component is named after them unless it has no other; rows
 with the same doc_id and text are one document; rows with one doc_id and several texts are judged each; ties of similarity count as links; empty tables give an empty result; only
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.llm._store import materialize
 from ledgerloom.llm._text import WordHashes, mixed, shingles, texts
@@ -34,6 +35,9 @@ CHUNKS, SYMBOLS = 12, 6
 K, PERCENT = 5, 80
 CENTRES = 3
 SEED = 41
+LANES = 64
+WORDS = ("b0", "b1", "b2", "b3")
+LOW = 0x1111111111111111
 ROWS = 1 << 14
 
 
@@ -70,22 +74,37 @@ def entries(signatures: np.ndarray) -> np.ndarray:
     return out.reshape(len(signatures), -1)
 
 
+def lanes(symbols: np.ndarray) -> np.ndarray:
+    """4 bits of each of the first LANES symbols, in four signed numbers."""
+    part = (symbols[:LANES] & 15).astype(np.uint8)
+    return (part[::2] << 4 | part[1::2]).view(np.int64)
+
+
+def farthest(percent: int) -> int:
+    """How many lanes may differ: 5.7 deviations above the mean of pairs of this similarity."""
+    q = (1 - percent / 100) * 15 / 16
+    return int(LANES * q + 5.7 * (LANES * q * (1 - q)) ** 0.5)
+
+
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, _k, n_shingles, c (the class; null for the empty set), sig of every row."""
+    """doc_id, _k, n_shingles, c (the class; null for the empty set), WORDS, sig of every row."""
     ensure_importable(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, (add, times) = WordHashes(), families()
         for batch in batches:
-            sizes, classes, sigs = [], [], []
+            sizes, classes, parts, sigs = [], [], [], []
             for raw in texts(batch.column(2)):
                 items = shingle_set(raw, k, table)
                 sizes.append(len(items))
                 classes.append(xxhash.xxh3_64_intdigest(items.tobytes()) - (1 << 63) if len(items) else None)
-                sigs.append(signature(items, add, times).tobytes() if len(items) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "_k", "n_shingles", "c", "sig"])
+                symbols = signature(items, add, times) if len(items) else None
+                parts.append(np.zeros(len(WORDS), np.int64) if symbols is None else lanes(symbols))
+                sigs.append(None if symbols is None else symbols.tobytes())
+            words = [pa.array(w) for w in np.array(parts, np.int64).reshape(-1, len(WORDS)).T]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), *words, pa.array(sigs, pa.binary())], ["doc_id", "_k", "n_shingles", "c", *WORDS, "sig"])
 
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_k"), "text").mapInArrow(run, "doc_id long, _k long, n_shingles long, c long, sig binary")
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_k"), "text").mapInArrow(run, "doc_id long, _k long, n_shingles long, c long, b0 long, b1 long, b2 long, b3 long, sig binary")
 
 
 def bucket_members(classes: DataFrame) -> DataFrame:
@@ -141,38 +160,85 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> Data
                     good.append(100 * both >= percent * (len(p) + len(q) - both))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    size = lambda c: bodies.select(F.col("c").alias(c), F.col("n").alias(f"n_{c}"))
-    able = pairs.join(size("a"), "a").join(size("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
     body = lambda c: bodies.select(F.col("c").alias(c), F.col("text").alias(f"text_{c}"))
-    return able.join(body("a"), "a").join(body("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.join(body("a"), "a").join(body("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def able(one: str, other: str, percent: int) -> Column:
+    """Whether sizes (n) and signature lanes (WORDS) of two sets, with these endings, allow them to be similar enough."""
+    n, m = F.col(f"n{one}"), F.col(f"n{other}")
+    apart = F.lit(0)
+    for w in WORDS:
+        x = F.col(f"{w}{one}").bitwiseXOR(F.col(f"{w}{other}"))
+        apart = apart + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3)).bitwiseAND(F.lit(LOW)))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (apart <= farthest(percent))
+
+
+def prefixes(bodies: DataFrame, k: int, percent: int) -> DataFrame:
+    """c, h, at, size: the first shingles of each set, the rarest among all these sets first, by place.
+
+    Two sets as similar as percent have a shingle in common among the first size - ceil(percent of size) + 1 of both.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = WordHashes()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                sets = [shingle_set(raw, k, table) for raw in texts(batch.column(1))]
+                long = np.array([len(x) for x in sets], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), long)), pa.array(np.repeat(long, long))], ["h", "c", "size"])
+
+    seen = bodies.select("c", "text").mapInArrow(run, "h long, c long, size long")
+    counts = seen.groupBy("h").agg(F.count("*").alias("df"))
+    order = F.row_number().over(Window.partitionBy("c").orderBy("df", "h")) - 1
+    first = F.col("size") - F.ceil(F.col("size") * percent / 100 - 1e-9)
+    return seen.join(counts, "h").withColumn("at", order).where(F.col("at") <= first).select("c", "h", "at", "size")
 
 
 def linked_classes(docs: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
     """node, component: every class that is linked with another one."""
     known = sketches.where("c is not null")
-    classes = known.groupBy("c").agg(F.min(F.struct("doc_id", "_k")).alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    members = materialize(bucket_members(classes), "near-members")
+    classes = known.groupBy("c").agg(F.min(F.struct("doc_id", "_k")).alias("rep"), F.first("n_shingles").alias("n"), *(F.first(w).alias(w) for w in WORDS), F.first("sig").alias("sig"))
+    members = materialize(bucket_members(classes), "near-members", lean=True)
     wanted = members.select(F.explode(F.array("centre", "c")).alias("c")).distinct()
-    needed = classes.join(wanted, "c").select("c", "n", F.col("rep.doc_id").alias("_id"), F.col("rep._k").alias("_k"))
+    needed = materialize(classes.join(wanted, "c").select("c", "n", *WORDS, F.col("rep.doc_id").alias("_id"), F.col("rep._k").alias("_k")), "near-classes", lean=True)
+    named = lambda c, end: needed.select(F.col("c").alias(c), *(F.col(x).alias(f"{x}{end}") for x in ("n", *WORDS)))
     held = docs.select(F.col("doc_id").alias("_id2"), F.xxhash64("doc_id", "text").alias("_k"), "text")
-    bodies = held.join(needed.hint("shuffle_hash"), (needed["_k"] == held["_k"]) & needed["_id"].eqNullSafe(held["_id2"])).select("c", "n", "text")
+    bodies = held.join(needed.hint("shuffle_hash"), (needed["_k"] == held["_k"]) & needed["_id"].eqNullSafe(held["_id2"])).select("c", "text")
     bodies = materialize(bodies, "near-texts")  # a row for each class, more only for repeated rows
 
-    shared = members.groupBy(F.col("centre").alias("a"), F.col("c").alias("b")).agg(F.count("*").alias("n"))
-    best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))  # a class has CHUNKS * SYMBOLS entries at most
-    first = materialize(shared.withColumn("_r", best).where(F.col("_r") <= CENTRES).select("a", "b"), "near-pairs")
+    # the centre of a bucket is its class with the most company over all its buckets: of a group of copies the least edited one
+    every = members.select("key", "c").unionByName(members.select("key", F.col("centre").alias("c")).distinct())
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    rank = materialize(every.join(sizes, "key").groupBy("c").agg(F.sum("size").alias("company")), "near-company", lean=True)
+    every = materialize(every.join(rank, "c"), "near-buckets", lean=True)
+    centres = every.groupBy("key").agg(F.max(F.struct("company", "c")).alias("top"))
+    shared = every.join(centres, "key").where(F.col("c") != F.col("top.c")).groupBy(F.col("top.c").alias("a"), F.col("c").alias("b")).agg(F.count("*").alias("n"), F.max("top.company").alias("company"))
+    best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), F.desc("company"), "a"))  # a class has CHUNKS * SYMBOLS entries at most
+    first = shared.withColumn("_r", best).where(F.col("_r") <= CENTRES).select("a", "b").join(named("a", "_1"), "a").join(named("b", "_2"), "b")
+    first = materialize(first.where(able("_1", "_2", percent)).select("a", "b"), "near-pairs", lean=True)
     one = bodies.dropDuplicates(["c"])
-    links = materialize(confirmed(first, one, k, percent), "near-links")
-    groups = materialize(components(links), "near-groups")
+    links = materialize(confirmed(first, one, k, percent), "near-links", lean=True)
+    groups = materialize(components(links), "near-groups", lean=True)
 
     label = groups.select(F.col("node").alias("c"), F.col("component").alias("g"))
-    rows = members.select("key", "c").unionByName(members.select("key", F.col("centre").alias("c")).distinct())
-    rows = rows.join(label, "c", "left").withColumn("g", F.coalesce("g", "c"))
+    rows = every.select("key", "c").join(label, "c", "left").withColumn("g", F.coalesce("g", "c"))
     split = rows.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi").select("key")
-    rows = materialize(rows.join(split, "key"), "near-open")
-    other = rows.select("key", F.col("c").alias("d"), F.col("g").alias("h"))
-    rest = rows.join(other, "key").where("g < h").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
-    rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "near-pairs")
+    rows = materialize(rows.join(split, "key").join(named("c", "_1"), "c"), "near-open", lean=True)
+    other = rows.select("key", F.col("g").alias("h"), *(F.col(f"{x}_1").alias(f"{x}_2") for x in ("n", *WORDS)))
+    company = (rows["key"] == other["key"]) & (F.col("g") != F.col("h")) & able("_1", "_2", percent)
+    still = materialize(rows.join(other, company, "left_semi").select("c", "g", "n_1", *(f"{w}_1" for w in WORDS)).distinct(), "near-able", lean=True)
+
+    first_ones = prefixes(still.select("c").join(one, "c"), k, percent).join(still, "c")
+    rows = materialize(first_ones, "near-prefixes", lean=True)
+    other = rows.select("h", F.col("c").alias("d"), F.col("g").alias("f"), F.col("at").alias("at_2"), *(F.col(f"{x}_1").alias(f"{x}_2") for x in ("n", *WORDS)))
+    # if this is the first shingle in common, what follows in both is all that can be
+    most = 1 + F.least(F.col("n_1") - F.col("at") - 1, F.col("n_2") - F.col("at_2") - 1)
+    enough = 100 * most >= percent * (F.col("n_1") + F.col("n_2") - most)
+    apart = (rows["h"] == other["h"]) & (F.col("g") < F.col("f")) & enough & able("_1", "_2", percent)
+    rest = rows.join(other, apart).select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
+    rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "near-pairs", lean=True)
     more = confirmed(rest, one, k, percent)
     return components(links.unionByName(more))
 
