@@ -95,6 +95,8 @@ def parse(raw: bytes, at: int) -> tuple[dict, int]:
         if not colon:
             raise Damage("bad header")
         head[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+    if not {"warc-type", "warc-record-id", "warc-date"} <= head.keys():
+        raise Damage("header missing")
     if not head.get("content-length", "").isdigit():
         raise Damage("no content length")
     start = stop + len(END)
@@ -107,7 +109,7 @@ def parse(raw: bytes, at: int) -> tuple[dict, int]:
     if (want := head.get("warc-block-digest")) and want.startswith("sha1:") and want[5:] != sha1(block):
         raise Damage("block digest")
     body = block
-    if head.get("content-type", "").startswith("application/http"):
+    if head.get("content-type", "").startswith("application/http") or head["warc-type"] == "response" and block.startswith(b"HTTP/"):
         body = block.partition(END)[2]
     digest = head.get("warc-payload-digest", "").removeprefix("sha1:")
     if head.get("warc-type") == "revisit":
