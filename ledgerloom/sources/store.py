@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -22,9 +24,22 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clean() -> None:
+    """Tables between steps go when the application ends in good order."""
+    for spark, path in _made:
+        with contextlib.suppress(Exception):  # the session may be gone already
+            remove(path, spark)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
 
 
 def materialize(df: DataFrame, label: str, lean: bool = False) -> DataFrame:
