@@ -38,6 +38,7 @@ LAST = (1 << 63) - 1
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 ENTRY = "fp long, ctx long, d long, k long, a int, m int, old boolean"
+DEALT = ENTRY + ", fixed boolean, key long"
 MERGED = "kind string, " + ENTRY
 
 
@@ -88,30 +89,53 @@ def placed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.xxhash64("doc_id", "text").alias("k"), "text")
 
 
+def settled(fp: np.ndarray, ctx: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Entries that an earlier document of the same few rows has too."""
+    order = np.lexsort((d, ctx, fp))
+    f, c, e = fp[order], ctx[order], d[order]
+    new = np.ones(len(f), bool)
+    new[1:] = (f[1:] != f[:-1]) | (c[1:] != c[:-1])
+    out = np.empty(len(f), bool)
+    out[order] = e > e[np.maximum.accumulate(np.where(new, np.arange(len(f)), 0))] if len(f) else new
+    return out
+
+
 def entries(docs: DataFrame) -> DataFrame:
-    """Index entries (ENTRY) of all windows of placed documents."""
+    """Index entries (DEALT) of all windows of placed documents.
+
+    Entries that are covered by another one of their batch are fixed at once. They are dealt out evenly, the others by fp: of an fp that very many
+    documents share, a batch sends its first document only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, one = WordHashes(), Rolling(BASES[0])
         for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
+            for lo in range(0, whole.num_rows, 4000):
+                batch = whole.slice(lo, 4000)
                 found = [stretches(table.of(raw.split()), one) for raw in texts(batch.column(2))]
                 fp, ctx, a, m = (np.concatenate([f[i] for f in found]) for i in range(4))
                 who = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-                old = pa.array(np.zeros(len(fp), bool))
-                yield pa.RecordBatch.from_arrays([signed(fp), signed(ctx), batch.column(0).take(who), batch.column(1).take(who), pa.array(a.astype(np.int32)), pa.array(m.astype(np.int32)), old], ["fp", "ctx", "d", "k", "a", "m", "old"])
+                old, d = pa.array(np.zeros(len(fp), bool)), batch.column(0).take(who)
+                fixed = settled(fp, ctx, d.to_numpy())
+                key = np.where(fixed, mixed(fp + np.arange(len(fp), dtype=np.uint64)), fp)
+                yield pa.RecordBatch.from_arrays([signed(fp), signed(ctx), d, batch.column(1).take(who), pa.array(a.astype(np.int32)), pa.array(m.astype(np.int32)), old, pa.array(fixed), signed(key)], ["fp", "ctx", "d", "k", "a", "m", "old", "fixed", "key"])
 
-    return docs.select("d", "k", "text").mapInArrow(run, ENTRY)
+    return docs.select("d", "k", "text").mapInArrow(run, DEALT)
 
 
 def merge(rows: DataFrame, with_run: bool) -> DataFrame:
-    """One pass over entries in order of fp, ctx, d: rows of kind cover, verify and (with_run) run."""
+    """One pass over entries (DEALT) in order of fp, ctx, d: rows of kind cover, verify and (with_run) run. Fixed ones come last and are covers."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fp = ctx = first = None
         nth, waiting = 0, []  # the number of the current ctx in its fp; entries to verify if the fp gets a second ctx
-        for batch in batches:
+        for dealt in batches:
+            fixed = dealt.column(7).to_numpy(zero_copy_only=False)
+            whole = dealt.select(["fp", "ctx", "d", "k", "a", "m", "old"])
+            if fixed.any():
+                part = whole.filter(pa.array(fixed))
+                yield pa.RecordBatch.from_arrays([pa.array(["cover"] * part.num_rows), *part.columns], ["kind", *part.schema.names])
+            batch = whole.filter(pa.array(~fixed))
             n = batch.num_rows
             if not n:
                 continue
@@ -144,7 +168,7 @@ def merge(rows: DataFrame, with_run: bool) -> DataFrame:
                 waiting.append(pa.RecordBatch.from_arrays([pa.array(["verify"] * part.num_rows), *part.columns], ["kind", *part.schema.names]))
             fp, ctx, first, nth = f[-1], c[-1], least[-1], int(number[-1])
 
-    return rows.repartition("fp").sortWithinPartitions("fp", "ctx", "d", "k").mapInArrow(stream, MERGED)
+    return rows.repartition("key").sortWithinPartitions("fixed", "fp", "ctx", "d", "k").mapInArrow(stream, MERGED)
 
 
 class FingerprintIndex:
@@ -166,6 +190,7 @@ class FingerprintIndex:
         """
         rows, past = entries(docs), self.history()
         path = new_path(self.spark, "index-merge")
+        past = None if past is None else past.withColumns({"fixed": F.lit(False), "key": F.col("fp")})
         merge(rows if past is None else rows.unionByName(past), keep).write.partitionBy("kind").parquet(path)
         made = self.spark.read.schema(MERGED).parquet(path)
         if keep:
