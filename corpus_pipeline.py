@@ -14,6 +14,8 @@ from ledgerloom.llm._store import materialize
 from ledgerloom.sources.tables import read
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Words of a line that is a passage by itself.
+PASSAGE = 50
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -23,8 +25,8 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go; every document stays, if without text."""
-    kept = line_dedup.line_dedup(docs.select(*COLUMNS))
+    """Later copies of repeated line runs go, and so do those of single lines of PASSAGE words; every document stays, if without text."""
+    kept = line_dedup.line_dedup(docs.select(*COLUMNS), min_words=PASSAGE)
     return kept.withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}).select(*COLUMNS)
 
 

@@ -4,6 +4,10 @@ A document is the sequence of its lines that have a word. Suffixes of all sequen
 the pairs (rank of the first half, rank of the second half) and numbers them in order; the last round overlaps its halves so that the depth comes to exactly MIN_LINES. Only suffixes
 that share their prefix with another one go on to the next round. Suffixes of equal rank at that depth are the intervals of the suffix array whose longest common prefix is
 MIN_LINES or more; consecutive suffixes in such intervals make up the maximal repeated runs. Of a repeated run every copy but the first, in order of (doc_id, line), is deleted.
+Deeper order deletes nothing else: a longer run is the union of its parts of MIN_LINES lines, and each part has an earlier copy if the run has one.
+
+With min_words a run of fewer lines goes as well if it has that many words. Then suffixes are ranked at every depth from 1 to min_lines, and
+a shorter part is judged by the words of its lines; for the same reason these parts and those of min_lines lines make up all runs that are long enough by lines or by words.
 
 A pair that very many suffixes share costs no single task: pairs are counted with partial sums, only distinct pairs are sorted, and
 ranks return by a join, whose large keys Spark splits.
@@ -37,21 +41,22 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def line_ids(docs: DataFrame) -> DataFrame:
-    """_d, _k, seq, line, id: one row for each line with a word; seq counts these, line counts all lines."""
+    """_d, _k, seq, line, id, words: one row for each line with a word; seq counts these, line counts all lines, words is the line's number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            who, seq, line, ids = [], [], [], []
+            who, seq, line, ids, words = [], [], [], [], []
             for i, raw in enumerate(texts(batch.column(2))):
                 found = [(n, x) for n, x in enumerate(raw.split(b"\n")) if x.strip()]
                 who += [i] * len(found)
                 seq += range(len(found))
                 line += [n for n, _ in found]
                 ids += [xxhash.xxh3_64_intdigest(x) for _, x in found]
+                words += [len(x.split()) for _, x in found]
             at = pa.array(who, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(seq, pa.int32()), pa.array(line, pa.int32()), pa.array(np.array(ids, np.uint64).view(np.int64))], ["_d", "_k", "seq", "line", "id"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(seq, pa.int32()), pa.array(line, pa.int32()), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(words, pa.int32())], ["_d", "_k", "seq", "line", "id", "words"])
 
-    return docs.select("_d", "_k", "text").mapInArrow(run, "_d long, _k long, seq int, line int, id long")
+    return docs.select("_d", "_k", "text").mapInArrow(run, "_d long, _k long, seq int, line int, id long, words int")
 
 
 def dense_ranks(keys: DataFrame, by: list[str]) -> DataFrame:
@@ -72,39 +77,56 @@ def dense_ranks(keys: DataFrame, by: list[str]) -> DataFrame:
 
 
 def doubled(ranks: DataFrame, step: int) -> DataFrame:
-    """Rows whose suffix step lines on is ranked too, with that rank as `after`."""
-    onward = ranks.select("_d", "_k", (F.col("seq") - step).alias("seq"), F.col("rank").alias("after"))
-    return ranks.join(onward, ["_d", "_k", "seq"])
+    """Rows whose suffix step lines on is ranked too, with that rank as `after`; words is of use with step 1 only."""
+    onward = ranks.select("_d", "_k", (F.col("seq") - step).alias("seq"), F.col("rank").alias("after"), F.col("words").alias("_onward"))
+    return ranks.join(onward, ["_d", "_k", "seq"]).withColumn("words", F.col("own") + F.col("_onward"))
 
 
 def ranked(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Suffixes that share `by` with another, with rank and the first place (_d, seq) among equals."""
     groups = pairs.groupBy(*by).agg(F.min(F.struct("_d", "seq")).alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return pairs.select("_d", "_k", "seq", "line", *by).join(dense_ranks(groups, by), by).select("_d", "_k", "seq", "line", F.col("_rank").alias("rank"), "first")
+    kept = ["_d", "_k", "seq", "line", "own", "words"]
+    return pairs.select(*kept, *by).join(dense_ranks(groups, by), by).select(*kept, F.col("_rank").alias("rank"), "first")
 
 
-def suffix_ranks(lines: DataFrame, depth: int = MIN_LINES) -> DataFrame:
-    """_d, _k, seq, line, rank, first: suffixes that have their first `depth` lines in common with another, ranked by them."""
-    now, at = materialize(ranked(lines, ["id"]), "line-suffixes", lean=True), 1
+def levels(lines: DataFrame, depth: int, every: bool = False) -> Iterator[tuple[int, DataFrame]]:
+    """Depths up to `depth`, doubling or every one, each with the suffixes that share so many lines with another: rank, first, own (words of its first line) and, with every, words (of all these lines)."""
+    now, at = materialize(ranked(lines.withColumn("own", F.col("words")), ["id"]), "line-suffixes", lean=True), 1
+    yield at, now
     while at < depth:
-        step = min(at, depth - at)
+        step = 1 if every else min(at, depth - at)
         now, at = materialize(ranked(doubled(now, step), ["rank", "after"]), "line-suffixes", lean=True), at + step
-    return now
+        yield at, now
 
 
-def later_copies(ranks: DataFrame, lines: DataFrame, depth: int = MIN_LINES) -> DataFrame:
-    """_d, _k, removed: line numbers in later copies of repeated runs, in order."""
+def suffix_ranks(lines: DataFrame, depth: int = MIN_LINES) -> DataFrame:
+    """_d, _k, seq, line, rank, first: suffixes that have their first `depth` lines in common with another, ranked by them."""
+    return list(levels(lines, depth))[-1][1]
+
+
+def covered(ranks: DataFrame, depth: int) -> DataFrame:
+    """_d, _k, seq: the first `depth` lines of suffixes that are no first place."""
     starts = ranks.where((F.col("_d") > F.col("first._d")) | ((F.col("_d") == F.col("first._d")) & (F.col("seq") > F.col("first.seq"))))
-    covered = starts.select("_d", "_k", F.explode(F.sequence("seq", F.col("seq") + depth - 1)).alias("seq")).distinct()
-    return covered.join(lines.select("_d", "_k", "seq", "line").distinct(), ["_d", "_k", "seq"]).groupBy("_d", "_k").agg(F.sort_array(F.collect_list("line")).alias("removed"))
+    return starts.select("_d", "_k", F.explode(F.sequence("seq", F.col("seq") + depth - 1)).alias("seq"))
+
+
+def later_copies(lines: DataFrame, depth: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
+    """_d, _k, removed: line numbers in later copies of repeated runs of `depth` lines or, if given, min_words words, in order."""
+    found = None
+    for at, ranks in levels(lines, depth, min_words is not None):
+        if at < depth and min_words is None:
+            continue
+        part = covered(ranks if at == depth else ranks.where(F.col("words") >= min_words), at)
+        found = part if found is None else found.unionByName(part)
+    return found.distinct().join(lines.select("_d", "_k", "seq", "line").distinct(), ["_d", "_k", "seq"]).groupBy("_d", "_k").agg(F.sort_array(F.collect_list("line")).alias("removed"))
 
 
-def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """docs with kept_text, removed (line numbers from 0), n_lines (those with a word) and n_removed."""
+def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
+    """docs with kept_text, removed (line numbers from 0), n_lines (those with a word) and n_removed; see above for min_words."""
     ensure_importable(docs.sparkSession)
     docs = keyed(docs.drop(*NEW))
     lines = materialize(line_ids(docs), "line-ids")
-    gone = later_copies(suffix_ranks(lines, min_lines), lines, min_lines)
+    gone = later_copies(lines, min_lines, min_words)
     both = docs.join(gone, ["_d", "_k"], "left").drop("_d", "_k")
     where, listed = both.columns.index("text"), both.columns.index("removed")
 

@@ -113,6 +113,39 @@ def test_lines(docs_of, odd_rows, depth):
     assert line_dedup.line_dedup(docs_of([])).count() == 0
 
 
+def run_brute(rows, lines, words):
+    """By the longest earlier copy of every suffix, whatever its length; judged by lines or words. doc_ids are distinct and in order."""
+    seqs = [[(k, x) for k, x in enumerate(t.split("\n")) if x.strip()] for _, t in rows]
+    bare = [[x for _, x in s] for s in seqs]
+    out = []
+    for n, (i, t) in enumerate(rows):
+        gone = set()
+        for s in range(len(bare[n])):
+            most = 0
+            for m in range(n + 1):
+                for b in range(len(bare[m]) if m < n else s):
+                    k = 0
+                    while s + k < len(bare[n]) and b + k < len(bare[m]) and bare[n][s + k] == bare[m][b + k]:
+                        k += 1
+                    most = max(most, k)
+            if most >= lines or most and sum(len(x.split()) for x in bare[n][s : s + most]) >= words:
+                gone |= {k for k, _ in seqs[n][s : s + most]}
+        out.append((i, len(seqs[n]), len(gone), "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("lines", [2, 4])
+def test_single_long_lines_go(docs_of, lines):
+    r = random.Random(lines)
+    passage = [" ".join(f"p{j}w{r.randrange(90)}" for _ in range(n)) for j, n in enumerate((49, 50, 51, 80))]
+    rows = [(i, "\n".join(r.choice(["a", "b b", "", " ", "c " * 30, *passage, f"own {i}"]) for _ in range(r.randint(0, 9)))) for i in range(50)]
+    rows += [(90, passage[3]), (91, passage[3]), (92, f"x\n{passage[1]}\ny 92"), (93, f"z\n{passage[0]}\ny 93")]
+    got = line_dedup.line_dedup(docs_of(rows, extra=True), lines, min_words=50).select("doc_id", "n_lines", "n_removed", "kept_text").collect()
+    assert sorted(map(tuple, got), key=str) == run_brute(rows, lines, 50)
+    kept = {g.doc_id: g.kept_text for g in got}
+    assert kept[91] == "" and kept[92] == "x\ny 92" and kept[93] == f"z\n{passage[0]}\ny 93"
+
+
 def test_ranks_are_in_suffix_order(docs_of):
     rows = [(1, "b\na\nb\na\nc"), (2, "b\na\nb\na"), (3, "a\nc\nx")]
     lines = line_dedup.line_ids(line_dedup.keyed(docs_of(rows)))

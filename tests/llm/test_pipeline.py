@@ -65,6 +65,13 @@ def test_stages(spark, docs_of, tmp_path):
     assert len(tokens) == sum(copies.values()) and all(t.token_ids == library.encode_ordinary(text[t.doc_id]) and t.n_tokens == len(t.token_ids) for t in tokens)
 
 
+def test_one_line_passages_go(spark, docs_of):
+    passage = " ".join(f"q{i}" for i in range(50))
+    short = passage.rsplit(" ", 1)[0]
+    rows = [(1, f"own 1\n{passage}\nend 1"), (2, f"own 2\n{passage}\nend 2"), (3, f"own 3\n{short}\nend 3"), (4, f"own 4\n{short}\nend 4"), (5, passage)]
+    assert rows_of(cp.dedup_lines(spark, docs_of(rows), "")) == [rows[0], (2, "own 2\nend 2"), rows[2], rows[3], (5, "")]
+
+
 def test_run(spark, docs_of, tmp_path):
     docs_of(corpus()).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
