@@ -1,11 +1,13 @@
 """Named queries over the standard tables, with the SQL that must give the same rows.
 
 The SQL is written apart from the DataFrame code. Queries whose semantics SQL can't express (Indel similarity, sequential consumption,
-bounded searches) have none; tests/ checks them against plain Python.
+bounded searches) have none; tests/ checks them against plain Python. Queries of classified rows leave batches out where they have SQL; each has a
+twin NAME_consolidated with batches and without SQL.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerloom.functions import normalize
 from ledgerloom.operators import explore, export, profile, summary, tiers, waterfall, wide
 from ledgerloom.sources.ledgers import ledgers, sql, wide as wide_table
+from ledgerloom.sources.store import materialize
 
 FLAGSHIP = "wide_verdicts"
 
@@ -75,9 +78,16 @@ def money(c: str) -> str:
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the SQL states: without batches."""
     return wide.verdicts(wide_table(spark, sf_dir))
 
 
+def consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With batches, which are written once."""
+    rows = wide_table(spark, sf_dir)
+    return wide.verdicts(rows, materialize(wide.batches(rows), "batched", lean=True))
+
+
 @query(f"SELECT {LEDGER} FROM g")
 def ledger_g(spark, sf_dir):
     return ledgers(spark, sf_dir)[0].selectExpr(*LEDGER.split(", "))
@@ -153,8 +163,8 @@ def wide_simple_verdicts(spark, sf_dir):
 
 
 @query(f"{WIDE} SELECT row_idx, verdict, sub FROM v")
-def wide_verdicts(spark, sf_dir):
-    return classified(spark, sf_dir).select("row_idx", "verdict", "sub")
+def wide_verdicts(spark, sf_dir, rows=classified):
+    return rows(spark, sf_dir).select("row_idx", "verdict", "sub")
 
 
 @query(
@@ -177,11 +187,11 @@ def wide_batches(spark, sf_dir):
     f"""{WIDE} SELECT verdict, label, count(*) AS n, count(*) FILTER (WHERE verdict = label) AS agreements FROM (SELECT verdict, CASE WHEN scenario <= 8 THEN 'Exact Match' WHEN scenario <= 11 THEN 'Tolerance Match'
     WHEN scenario IN (12, 14) THEN 'Near Match' WHEN scenario = 16 THEN 'GST Only' WHEN scenario = 17 THEN 'PR Only' ELSE 'Other' END AS label FROM v) AS named GROUP BY verdict, label"""
 )
-def wide_concurrence(spark, sf_dir):
+def wide_concurrence(spark, sf_dir, rows=classified):
     s = F.col("scenario")
     label = F.when(s <= 8, "Exact Match").when(s <= 11, "Tolerance Match").when(s.isin(12, 14), "Near Match").when(s == 16, "GST Only").when(s == 17, "PR Only").otherwise("Other")
-    rows = classified(spark, sf_dir).withColumn("label", label).withColumn("c", wide.concurrence(F.col("verdict"), F.col("label")))
-    return rows.groupBy("verdict", "label").agg(F.count("*").alias("n"), F.count_if(F.col("c") == "AGREEMENT").alias("agreements"))
+    named = rows(spark, sf_dir).withColumn("label", label).withColumn("c", wide.concurrence(F.col("verdict"), F.col("label")))
+    return named.groupBy("verdict", "label").agg(F.count("*").alias("n"), F.count_if(F.col("c") == "AGREEMENT").alias("agreements"))
 
 
 @query(
@@ -207,18 +217,18 @@ def waterfall_dispositions(spark, sf_dir):
 
 
 @query(f"{WIDE} SELECT verdict, count(*) AS n, {money('g_taxable')} AS g_taxable, {money('p_taxable')} AS p_taxable FROM v GROUP BY verdict")
-def summary_buckets(spark, sf_dir):
-    return summary.bucket_counts(classified(spark, sf_dir))
+def summary_buckets(spark, sf_dir, rows=classified):
+    return summary.bucket_counts(rows(spark, sf_dir))
 
 
 @query(f"{WIDE} SELECT sub, count(*) AS n, {money('g_taxable')} AS g_taxable, {money('p_taxable')} AS p_taxable FROM v GROUP BY sub")
-def summary_subclasses(spark, sf_dir):
-    return summary.bucket_counts(classified(spark, sf_dir), "sub")
+def summary_subclasses(spark, sf_dir, rows=classified):
+    return summary.bucket_counts(rows(spark, sf_dir), "sub")
 
 
 @query(f"{WIDE} SELECT count(*) AS total, count(*) FILTER (WHERE hit) AS matched, round(100.0 * count(*) FILTER (WHERE hit) / count(*), 1) AS rate FROM v")
-def summary_match_rate(spark, sf_dir):
-    return summary.match_rate(classified(spark, sf_dir)).withColumn("rate", F.col("rate").cast("double"))
+def summary_match_rate(spark, sf_dir, rows=classified):
+    return summary.match_rate(rows(spark, sf_dir)).withColumn("rate", F.col("rate").cast("double"))
 
 
 TIERS = ["Exact Match", "Tolerance Match", "Near Match", "Ambiguous", "GST Only", "PR Only"]
@@ -228,8 +238,8 @@ TIERS = ["Exact Match", "Tolerance Match", "Near Match", "Ambiguous", "GST Only"
     f"""{WIDE}, n AS (SELECT verdict, count(*) AS n, cast(list_position({TIERS!r}, verdict) - 1 AS int) AS tier FROM v WHERE list_contains({TIERS!r}, verdict) GROUP BY verdict),
     r AS (SELECT *, cast(sum(n) OVER (ORDER BY tier) AS bigint) AS running, cast(sum(n) OVER () AS bigint) AS total FROM n) SELECT verdict, n, tier, running, cast(round(100.0 * (total - running) / total, 1) AS double) AS left_percent FROM r"""
 )
-def summary_yields(spark, sf_dir):
-    out = summary.yields(classified(spark, sf_dir), TIERS)
+def summary_yields(spark, sf_dir, rows=classified, tiers=TIERS):
+    out = summary.yields(rows(spark, sf_dir), tiers)
     return out.withColumn("left_percent", F.col("left_percent").cast("double"))
 
 
@@ -238,23 +248,23 @@ def summary_yields(spark, sf_dir):
     cast(round(100.0 * count(*) FILTER (WHERE hit) / count(*), 1) AS double) AS match_percent,
     CASE WHEN round(100.0 * count(*) FILTER (WHERE hit) / count(*), 1) < 70 THEN 'HIGH' WHEN round(100.0 * count(*) FILTER (WHERE hit) / count(*), 1) < 90 THEN 'MED' ELSE 'LOW' END AS risk FROM v GROUP BY who"""
 )
-def summary_vendor_risk(spark, sf_dir):
-    return summary.vendor_risk(classified(spark, sf_dir)).withColumn("match_percent", F.col("match_percent").cast("double"))
+def summary_vendor_risk(spark, sf_dir, rows=classified):
+    return summary.vendor_risk(rows(spark, sf_dir)).withColumn("match_percent", F.col("match_percent").cast("double"))
 
 
 @query(f"{WIDE} SELECT verdict, count(*) AS n, cast(round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS double) AS percent FROM v GROUP BY verdict")
-def summary_matrix(spark, sf_dir):
-    return summary.disposition_matrix(classified(spark, sf_dir)).withColumn("percent", F.col("percent").cast("double"))
+def summary_matrix(spark, sf_dir, rows=classified):
+    return summary.disposition_matrix(rows(spark, sf_dir)).withColumn("percent", F.col("percent").cast("double"))
 
 
 @query(f"{WIDE} SELECT CASE WHEN round(t, 2) < 100 THEN 'below 100' WHEN round(t, 2) <= 1000 THEN '100 to 1000' ELSE 'above 1000' END AS band, count(*) AS n FROM v WHERE g_vendor <> '' AND p_vendor <> '' GROUP BY 1")
-def summary_variance_bands(spark, sf_dir):
-    return summary.variance_bands(classified(spark, sf_dir))
+def summary_variance_bands(spark, sf_dir, rows=classified):
+    return summary.variance_bands(rows(spark, sf_dir))
 
 
 @query(f"{WIDE} SELECT row_idx, verdict, round(t, 2) AS diff FROM v WHERE NOT hit AND g_vendor <> '' AND p_vendor <> '' ORDER BY diff DESC, row_idx LIMIT 10")
-def summary_top_mismatches(spark, sf_dir):
-    return summary.top_mismatches(classified(spark, sf_dir))
+def summary_top_mismatches(spark, sf_dir, rows=classified):
+    return summary.top_mismatches(rows(spark, sf_dir))
 
 
 @query("SELECT (SELECT count(*) FROM g) AS g_rows, (SELECT count(*) FROM p) AS p_rows, cast((SELECT sum(taxable) FROM g) AS double) AS g_taxable, cast((SELECT sum(taxable) FROM p) AS double) AS p_taxable, cast((SELECT sum(taxable) FROM g) - (SELECT sum(taxable) FROM p) AS double) AS net")
@@ -278,8 +288,8 @@ def evaluation_exact(spark, sf_dir):
 
 
 @query(f"{WIDE} SELECT row_idx, verdict FROM v WHERE verdict IN ('Ambiguous', 'Near Match') AND (g_vendor LIKE '%V0000001%' OR p_vendor LIKE '%V0000001%' OR g_doc LIKE '%V0000001%' OR p_doc LIKE '%V0000001%') AND round(t, 2) <= 1000 AND coalesce(g_date, p_date) >= date '1996-01-01'")
-def explore_search(spark, sf_dir):
-    return explore.search(classified(spark, sf_dir), explore.Filter(verdicts=("Ambiguous", "Near Match"), text="v0000001", most_diff=1000, since="1996-01-01")).select("row_idx", "verdict")
+def explore_search(spark, sf_dir, rows=classified):
+    return explore.search(rows(spark, sf_dir), explore.Filter(verdicts=("Ambiguous", "Near Match"), text="v0000001", most_diff=1000, since="1996-01-01")).select("row_idx", "verdict")
 
 
 @query(
@@ -298,16 +308,25 @@ def explore_what_if(spark, sf_dir):
     CASE WHEN g_vendor <> '' AND p_vendor <> '' THEN round(p_taxable - g_taxable, 2) END AS taxable_diff, CASE WHEN g_vendor <> '' AND p_vendor <> '' THEN round(p_igst - g_igst, 2) END AS igst_diff, CASE WHEN g_vendor <> '' AND p_vendor <> '' THEN cast(date_diff('day', g_date, p_date) AS int) END AS days_diff, verdict,
     CASE verdict WHEN 'Exact Match' THEN 'Matched' WHEN 'Tolerance Match' THEN 'Matched' WHEN 'Consolidated Match' THEN 'Matched' WHEN 'Near Match' THEN 'Probable' WHEN 'GST Only' THEN 'Missing in P' WHEN 'PR Only' THEN 'Missing in G' ELSE 'Review' END AS section FROM v"""
 )
-def export_report(spark, sf_dir):
-    return export.report(classified(spark, sf_dir))
+def export_report(spark, sf_dir, rows=classified):
+    return export.report(rows(spark, sf_dir))
 
 
 @query()
-def export_fingerprint(spark, sf_dir):
-    return export.fingerprint(classified(spark, sf_dir), ["row_idx", "verdict", "sub"])
+def export_fingerprint(spark, sf_dir, rows=consolidated):
+    return export.fingerprint(rows(spark, sf_dir), ["row_idx", "verdict", "sub"])
 
 
 @query("SELECT 'vendor' AS \"column\", count(*) AS \"rows\", count(vendor) AS non_null, 0.0::double AS null_percent, count(DISTINCT vendor) AS \"distinct\", min(vendor) AS lowest, max(vendor) AS highest, 0.0::double AS numeric_share, 0.0::double AS date_share, 0.0::double AS tax_id_share FROM p UNION ALL SELECT 'd', count(*), count(d), 0.0, count(DISTINCT d), min(cast(d AS string)), max(cast(d AS string)), 0.0, 1.0, 0.0 FROM p")
 def profile_ledger(spark, sf_dir):
     out = profile.profile(ledgers(spark, sf_dir)[1], ["vendor", "d"])
     return out.withColumn("null_percent", F.col("null_percent").cast("double"))
+
+
+#: Queries of classified rows once more, with batches.
+for _make in (
+    wide_verdicts, wide_concurrence, summary_buckets, summary_subclasses, summary_match_rate, summary_yields, summary_vendor_risk, summary_matrix, summary_variance_bands, summary_top_mismatches,
+    explore_search, export_report,
+):
+    QUERIES[f"{_make.__name__}_consolidated"] = functools.partial(_make, rows=consolidated)
+QUERIES["summary_yields_consolidated"] = functools.partial(summary_yields, rows=consolidated, tiers=[TIERS[0], "Consolidated Match", *TIERS[1:]])
