@@ -6,7 +6,9 @@ Of records with equal payloads the one with the smallest page_id is a response a
 
 Salvage reader: reads members and bare records. Each must pass its checks: gzip CRC and length, version line, headers, content
 length, end mark, block digest and payload digest. After a failed check the reader searches the next gzip member or version line that passes,
-goes on from there, and logs the bytes between as a gap with its reason.
+goes on from there, and logs the bytes between as a gap with its reason. Inside a member it does the same with the decompressed bytes, also
+with those that come before a gzip error: every record that passes is given, with the place of its member and its own place (inner_offset, inner_length) in the member; so are the gaps inside.
+A member with a gzip error is a gap as a whole besides, up to the next start.
 
 Nulls and edge cases: a null html is an empty payload; a null url gives a record without target; a null page_id gives a record without page id, which is a response only if no equal payload has an id;
 repeated rows with the smallest page_id are all responses; empty tables give an empty result; control characters of a url are percent-encoded; other columns are not read.
@@ -123,58 +125,85 @@ def parse(raw: bytes, at: int) -> tuple[dict, int]:
     return row, end + len(END)
 
 
-def unpack(raw: bytes, at: int) -> tuple[bytes, int]:
-    """The gzip member that starts at `at`, and its end."""
-    engine, out = zlib.decompressobj(31), []
+def unpack(raw: bytes, at: int) -> tuple[bytes, int | None, str | None]:
+    """The gzip member that starts at `at`, and its end; after an error what comes before it, None and the reason."""
+    engine, out, begin = zlib.decompressobj(31), [], at
     try:
         while not engine.eof and at < len(raw):  # in slices: what follows the member is copied
             out.append(engine.decompress(raw[at : at + SLICE]))
             at += SLICE
     except zlib.error as e:
-        raise Damage("gzip: " + str(e).split(":")[-1].strip()) from None
+        engine = zlib.decompressobj(31)  # the slice that fails once more, byte by byte, for what it gives until then
+        for i in range(begin, at, SLICE):
+            engine.decompress(raw[i : i + SLICE])
+        try:
+            for i in range(at, len(raw)):
+                out.append(engine.decompress(raw[i : i + 1]))
+        except zlib.error:
+            pass
+        return b"".join(out), None, "gzip: " + str(e).split(":")[-1].strip()
     if not engine.eof:
-        raise Damage("gzip member cut short")
-    return b"".join(out), min(at, len(raw)) - len(engine.unused_data)
-
+        return b"".join(out), None, "gzip member cut short"
+    return b"".join(out), min(at, len(raw)) - len(engine.unused_data), None
 
-def read_at(raw: bytes, at: int) -> tuple[list[dict], int]:
-    """All records of the member at `at`, or the bare record there, and where it ends."""
-    if not raw.startswith(MAGIC, at):
-        row, end = parse(raw, at)
-        return [row], end
-    inner, end = unpack(raw, at)
-    rows, p = [], 0
-    while p < len(inner):
-        row, p = parse(inner, p)
-        rows.append(row)
-    return rows, end
 
-
-def salvage(raw: bytes) -> Iterator[dict]:
-    """Records and gaps of an archive, in order; together they account for every byte."""
+def inside(raw: bytes) -> Iterator[dict]:
+    """Records and gaps of the decompressed bytes of a member, in order."""
     at = 0
     while at < len(raw):
         try:
-            rows, end = read_at(raw, at)
+            row, end = parse(raw, at)
         except Damage as damage:
-            begin, rows, reason = at, [], str(damage)
-            while True:  # the next start that passes all checks
-                found = START.search(raw, at + 1)
-                at = end = found.start() if found else len(raw)
-                if not found:
-                    break
+            begin, at, end, row = at, len(raw), len(raw), None
+            for found in VERSION.finditer(raw, begin + 1):
                 try:
-                    rows, end = read_at(raw, at)
+                    row, end = parse(raw, found.start())
+                    at = found.start()
                     break
                 except Damage:
                     continue
-            yield {"kind": "gap", "offset": begin, "length": at - begin, "reason": reason}
+            yield {"kind": "gap", "inner_offset": begin, "inner_length": at - begin, "reason": str(damage)}
+        if row is not None:
+            yield row | {"kind": "record", "inner_offset": at, "inner_length": end - at}
+        at = end
+
+
+def read_at(raw: bytes, at: int) -> tuple[list[dict], int | None, str | None]:
+    """All records and inner gaps of the member at `at`, or the bare record there, and where it ends; if that can't be told, None and the reason."""
+    if not raw.startswith(MAGIC, at):
+        try:
+            row, end = parse(raw, at)
+        except Damage as damage:
+            return [], None, str(damage)
+        return [row | {"kind": "record"}], end, None
+    inner, end, reason = unpack(raw, at)
+    rows = list(inside(inner))
+    if end is None and not any(r["kind"] == "record" for r in rows):
+        rows = []
+    return rows, end, reason
+
+
+def salvage(raw: bytes) -> Iterator[dict]:
+    """Records and gaps of an archive, in order; together they account for every byte."""
+    at, known = 0, None
+    while at < len(raw):
+        rows, end, reason = known or read_at(raw, at)
+        known = None
+        if end is None:
+            end, after = len(raw), at + 1
+            while found := START.search(raw, after):  # the next start that has something to give
+                after = found.start() + 1
+                trial = read_at(raw, found.start())
+                if trial[0] or trial[1] is not None:
+                    end, known = found.start(), trial
+                    break
+            yield {"kind": "gap", "offset": at, "length": end - at, "reason": reason}
         for row in rows:
-            yield row | {"kind": "record", "offset": at, "length": end - at}
+            yield row | {"offset": at, "length": end - at}
         at = end
 
 
-FIELDS = {"path": pa.string(), "kind": pa.string(), "offset": pa.int64(), "length": pa.int64(), "reason": pa.string(), "record_id": pa.string(), "record_type": pa.string(), "target_uri": pa.string(), "page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to_id": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
+FIELDS = {"path": pa.string(), "kind": pa.string(), "offset": pa.int64(), "length": pa.int64(), "inner_offset": pa.int64(), "inner_length": pa.int64(), "reason": pa.string(), "record_id": pa.string(), "record_type": pa.string(), "target_uri": pa.string(), "page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to_id": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
 DDL = {pa.string(): "string", pa.int64(): "long", pa.binary(): "binary"}
 
 

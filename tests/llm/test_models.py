@@ -257,6 +257,28 @@ def test_salvage_accounts_for_every_byte():
     assert gaps[0]["offset"] == 0 and gaps[0]["length"] == 4 and len(gaps) == 2
 
 
+def test_salvage_inside_members():
+    payload = [random.Random(i).randbytes(3000) for i in range(12)]
+    recs = [warc.record(i, f"http://x/{i}", x, warc.sha1(x), None) for i, x in enumerate(payload)]
+    ids = lambda raw: [x["page_id"] for x in warc.salvage(raw) if x["kind"] == "record"]
+    bad = bytearray(b"".join(recs))
+    at = sum(map(len, recs[:5]))
+    bad[at + len(recs[5]) - 100] ^= 1  # one damaged record in a member without a gzip error
+    out = list(warc.salvage(warc.member(bytes(bad)) + warc.member(recs[0])))
+    assert [x["page_id"] for x in out if x["kind"] == "record"] == [i for i in range(12) if i != 5] + [0]
+    assert [(x["inner_offset"], x["inner_length"], x["offset"], x["reason"]) for x in out if x["kind"] == "gap"] == [(at, len(recs[5]), 0, "block digest")]
+    whole = warc.member(b"".join(recs))
+    assert ids(whole[:-3]) == list(range(12))  # only the gzip trailer is cut
+    assert ids(whole[:-5] + bytes([whole[-5] ^ 1]) + whole[-4:]) == list(range(12))  # a wrong CRC
+    cut = whole[: len(whole) // 2]
+    got = ids(cut)
+    assert got == list(range(len(got))) and 4 <= len(got) <= 6
+    after = list(warc.salvage(cut + whole + cut))  # a damaged member before a good one, and another behind it
+    assert [x["page_id"] for x in after if x["kind"] == "record"][len(got) :] == [*range(12), *got]
+    assert sum({x["offset"]: x["length"] for x in after}.values()) == 2 * len(cut) + len(whole)
+    assert all(x["payload"] == payload[x["page_id"]] for x in after if x["kind"] == "record")
+
+
 # pages
 
 
