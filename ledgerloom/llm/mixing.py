@@ -4,11 +4,14 @@ A source's target is a share of the mix, capped at MAX_REPEAT times the source.
 what remains, by one more copy of some of its documents. How many documents of each exact token length to add
 is found on the histogram of lengths alone: a proportional part of every length, then a bounded knapsack by dynamic
 programming over reachable sums for the last KNAPSACK tokens, with a few picks of each length given back first. Which documents of a length are added follows from a seeded hash of doc_id and text:
-those up to the n-th smallest hash, found by counting hashes in BINS first, so that no large group is sorted whole.
+those up to the n-th smallest hash, found by counting hashes in BINS first, so that no large group is sorted whole. Of rows with the very n-th hash as many are taken as
+are still wanted; these are equal rows, which are numbered by partition and place.
+
+The plan has one row for each distinct length of a source. It is broadcast up to BROADCAST_ROWS rows; a larger one meets the documents in SALTS copies, so that a length that very many documents share is no single task.
 
 Nulls and edge cases: a null text has size 0; documents of size 0 take nothing, but stand in the result; null is a source of its own, last in order;
-repeated rows are documents each (equal rows share their hash and are taken together, which can exceed the plan by those rows); an empty table gives an empty result;
-other columns are carried along by apply_plan(), and size, source_size, target, copies and taken replace columns of those names.
+repeated rows are documents each, and any of several equal rows may be the one that is taken; an empty table gives an empty result;
+other columns are carried along whatever their names are, and size, source_size, target, copies and taken replace columns of those names.
 """
 
 from __future__ import annotations
@@ -27,17 +30,20 @@ SEED = 20
 KNAPSACK = 1 << 16
 RELEASED = 4
 BINS = 4096
+BROADCAST_ROWS = 1 << 19
+SALTS = 16
+NEW = ("size", "source_size", "target", "copies", "taken")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def with_size(docs: DataFrame) -> DataFrame:
-    """docs with size, the source key _s (null apart from every string) and a seeded 63-bit hash _u."""
-    return docs.drop("size").withColumns(
-        {
-            "size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
-            "_s": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")),
-            "_u": F.xxhash64(F.lit(SEED), "doc_id", "text").bitwiseAND(F.lit((1 << 63) - 1)),
-        }
+    """row (the columns of docs), source, size, the source key _s (null apart from every string) and a seeded 63-bit hash _u."""
+    return docs.select(
+        F.struct(*(docs[c] for c in docs.columns if c not in NEW)).alias("row"),
+        "source",
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_s"),
+        F.xxhash64(F.lit(SEED), "doc_id", "text").bitwiseAND(F.lit((1 << 63) - 1)).alias("_u"),
     )
 
 
@@ -108,34 +114,62 @@ def fit_budget(size: np.ndarray, count: np.ndarray, target: float, cap: int = MA
     return copies, np.array(pick, np.int64)
 
 
+def met(rows: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
+    """rows joined with a written table that has one row for each key: broadcast if its counted size allows, else in salted copies."""
+    if small.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(small), by)
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int")).join(copies, [*by, "_salt"]).drop("_salt")
+
+
 def plan(sizes: DataFrame, per_source: DataFrame, cap: int = MAX_REPEAT) -> DataFrame:
-    """_s, size, copies, cut: every document of the length takes `copies`, and one more where its hash is at most cut."""
+    """_s, size, _c, _cut, _spare, _tied: every document of the length takes _c copies, one more where its hash is below _cut, and so do _spare of the _tied rows whose hash is _cut."""
     ensure_importable(sizes.sparkSession)
-    histogram = sizes.groupBy("_s", "size").agg(F.count("*").alias("n")).join(per_source, "_s")
+    histogram = sizes.groupBy("_s", "size").agg(F.count("*").alias("n")).join(F.broadcast(per_source), "_s")  # one row a source
 
     def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size", ignore_index=True)
         copies, pick = fit_budget(pdf["size"].to_numpy(), pdf["n"].to_numpy(), float(pdf["target"].iloc[0]), cap)
-        return pdf.assign(copies=copies, pick=pick)[["_s", "size", "copies", "pick"]]
+        return pdf.assign(_c=copies, pick=pick)[["_s", "size", "_c", "pick"]]
 
     # a group has one row for each distinct length of its source, however many documents that is
-    picks = materialize(histogram.groupBy("_s").applyInPandas(fitted, "_s string, size long, copies int, pick long"), "mix-picks", lean=True)
+    picks = materialize(histogram.groupBy("_s").applyInPandas(fitted, "_s string, size long, _c int, pick long"), "mix-picks", lean=True)
     shift = 63 - (BINS.bit_length() - 1)
     hashed = sizes.select("_s", "size", "_u", F.shiftright("_u", shift).alias("_bin"))
     upto = F.sum("n").over(Window.partitionBy("_s", "size").orderBy("_bin"))
     bins = hashed.groupBy("_s", "size", "_bin").agg(F.count("*").alias("n")).withColumn("_upto", upto)
     last = bins.join(picks.where("pick > 0"), ["_s", "size"]).where("_upto >= pick and _upto - n < pick").select("_s", "size", "_bin", (F.col("pick") - F.col("_upto") + F.col("n")).alias("_nth"))
-    rank = F.row_number().over(Window.partitionBy("_s", "size", "_bin").orderBy("_u"))
-    cut = hashed.join(last, ["_s", "size", "_bin"]).withColumn("_r", rank).where("_r = _nth").select("_s", "size", F.col("_u").alias("cut"))
-    return picks.join(cut, ["_s", "size"], "left").select("_s", "size", "copies", F.coalesce("cut", F.lit(-1)).alias("cut"))
+    last = materialize(last, "mix-bins", lean=True)
+    # equal hashes are counted before the window sees them
+    tied = met(hashed, last, ["_s", "size", "_bin"]).groupBy("_s", "size", "_u", "_nth").agg(F.count("*").alias("_tied"))
+    upto = F.sum("_tied").over(Window.partitionBy("_s", "size").orderBy("_u"))
+    cut = tied.withColumn("_upto", upto).where("_upto >= _nth and _upto - _tied < _nth").select("_s", "size", F.col("_u").alias("_cut"), (F.col("_nth") - F.col("_upto") + F.col("_tied")).alias("_spare"), "_tied")
+    none = {"_cut": -1, "_spare": 0, "_tied": 0}
+    return materialize(picks.drop("pick").join(cut, ["_s", "size"], "left").fillna(none), "mix-plan", lean=True)
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with _r: 1, 2, ... within (_s, size), counted by partition first, so that no group comes to one task."""
+    placed = materialize(rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)), "mix-tied")
+    of = ["_s", "size", "_part"]
+    before = Window.partitionBy("_s", "size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    counts = placed.groupBy(*of).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy(*of).orderBy("_at"))
+    return placed.withColumn("_r", nth).join(counts, of).withColumn("_r", F.col("_r") + F.col("_before")).drop("_at", "_part", "_n", "_before")
 
 
 def apply_plan(sized: DataFrame, chosen: DataFrame, per_source: DataFrame) -> DataFrame:
-    """sized with source_size, target, copies (how often the mix takes the document) and taken (its tokens in the mix)."""
-    both = chosen.join(per_source, "_s").withColumnRenamed("copies", "_c").withColumnRenamed("cut", "_cut")
-    out = sized.drop("source_size", "target", "copies", "taken").join(both, ["_s", "size"])
-    copies = F.col("_c") + (F.col("_u") <= F.col("_cut")).cast("int")
-    return out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("_s", "_u", "_c", "_cut")
+    """The columns of the rows of sized with size, source_size, target, copies (how often the mix takes the document) and taken (its tokens in the mix)."""
+    both = met(sized, chosen, ["_s", "size"])
+    more = (F.col("_u") < F.col("_cut")) | ((F.col("_u") == F.col("_cut")) & (F.col("_spare") >= F.col("_tied")))
+    if not chosen.where("_spare < _tied").isEmpty():
+        split = (F.col("_u") == F.col("_cut")) & (F.col("_spare") < F.col("_tied"))
+        equal = numbered(both.where(split)).withColumn("_more", F.col("_r") <= F.col("_spare")).drop("_r")
+        both = both.where(~split).withColumn("_more", more).unionByName(equal)
+    else:
+        both = both.withColumn("_more", more)
+    out = both.join(F.broadcast(per_source), "_s").withColumn("copies", F.col("_c") + F.col("_more").cast("int"))
+    return out.select("row.*", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = MAX_REPEAT) -> DataFrame:

@@ -244,10 +244,10 @@ def linked_classes(docs: DataFrame, sketches: DataFrame, k: int, percent: int) -
 
 
 def near_dedup(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """doc_id, _k (hash of doc_id and text), n_shingles, component_id and kept of every row of docs."""
+    """doc_id, _k (hash of doc_id and text), n_shingles, component_id, kept and group (of linked rows; null without shingles) of every row of docs."""
     sketches = materialize(sketch(docs, k), "near-sketches")
     groups = linked_classes(docs, sketches, k, percent).select(F.col("node").alias("c"), F.col("component").alias("g"))
     rows = sketches.select("doc_id", "_k", "n_shingles", "c").join(groups, "c", "left").withColumn("g", F.coalesce("g", "c"))
     least = rows.where("g is not null").groupBy("g").agg(F.min("doc_id").alias("_least"))
     out = rows.join(least, "g", "left").withColumn("component_id", F.when(F.col("g").isNull(), F.col("doc_id")).otherwise(F.col("_least")))
-    return out.select("doc_id", "_k", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "_k", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("g").alias("group"))

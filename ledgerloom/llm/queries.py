@@ -30,30 +30,43 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    longest = F.coalesce(F.array_max(F.transform("runs", lambda r: r["length"])), F.lit(0))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("runs").cast("long").alias("n_runs"), longest.cast("long").alias("longest_run"))
 
 
 OP3_SQL = r"""
-WITH lines AS (
+WITH RECURSIVE lines AS (
   SELECT doc_id, line, string_split(text, chr(10))[line] AS body
   FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents WHERE text IS NOT NULL)
 ), worded AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS seq FROM lines WHERE regexp_matches(body, '[^\x20\x09-\x0D]')
-), runs AS (
+), pairs AS (
   SELECT *, lead(body) OVER (PARTITION BY doc_id ORDER BY seq) AS follow FROM worded
-), later AS (
-  SELECT doc_id, seq FROM (
-    SELECT doc_id, seq, row_number() OVER (PARTITION BY body, follow ORDER BY doc_id, seq) AS nth FROM runs WHERE follow IS NOT NULL
-  ) WHERE nth > 1
+), placed AS (
+  SELECT doc_id, seq, body, follow, first_value(struct_pack(d := doc_id, s := seq)) OVER (PARTITION BY body ORDER BY doc_id, seq) AS first1,
+    first_value(struct_pack(d := doc_id, s := seq)) OVER (PARTITION BY body, follow ORDER BY doc_id, seq) AS first2 FROM pairs
+), openings AS (
+  SELECT doc_id, seq, first2.d AS td, first2.s AS tseq FROM placed WHERE follow IS NOT NULL AND (doc_id, seq) <> (first2.d, first2.s)
+  UNION
+  SELECT doc_id, seq, first1.d, first1.s FROM placed WHERE len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) >= 50 AND (doc_id, seq) <> (first1.d, first1.s)
+), heads AS (
+  SELECT * FROM openings o WHERE NOT EXISTS (SELECT 1 FROM openings b WHERE b.doc_id = o.doc_id AND b.seq = o.seq - 1 AND b.td = o.td AND b.tseq = o.tseq - 1)
+), grown AS (
+  SELECT doc_id, seq, td, tseq, 1 AS length FROM heads
+  UNION ALL
+  SELECT g.doc_id, g.seq, g.td, g.tseq, g.length + 1 FROM grown g JOIN worded a ON a.doc_id = g.doc_id AND a.seq = g.seq + g.length JOIN worded b ON b.doc_id = g.td AND b.seq = g.tseq + g.length WHERE a.body = b.body
+), found AS (
+  SELECT doc_id, seq, td, tseq, max(length) AS length FROM grown GROUP BY ALL
 ), gone AS (
-  SELECT DISTINCT w.doc_id, w.line FROM worded w JOIN later l ON w.doc_id = l.doc_id AND w.seq IN (l.seq, l.seq + 1)
+  SELECT DISTINCT w.doc_id, w.line FROM found f JOIN worded w ON w.doc_id = f.doc_id AND w.seq BETWEEN f.seq AND f.seq + f.length - 1
 ), kept AS (
   SELECT l.doc_id, string_agg(l.body, chr(10) ORDER BY l.line) AS text FROM lines l ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.line = g.line GROUP BY l.doc_id
 )
-SELECT d.doc_id, coalesce(w.n, 0) AS n_lines, coalesce(g.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+SELECT d.doc_id, coalesce(w.n, 0) AS n_lines, coalesce(g.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256, coalesce(r.n, 0) AS n_runs, cast(coalesce(r.longest, 0) AS bigint) AS longest_run
 FROM documents d
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM worded GROUP BY doc_id) w ON d.doc_id = w.doc_id
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g ON d.doc_id = g.doc_id
+LEFT JOIN (SELECT doc_id, count(*) AS n, max(length) AS longest FROM found GROUP BY doc_id) r ON d.doc_id = r.doc_id
 LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 

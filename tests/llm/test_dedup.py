@@ -103,12 +103,12 @@ def line_brute(rows, depth):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("depth", [1, 2, 3, 5])
+@pytest.mark.parametrize("depth", [2, 5])
 def test_lines(docs_of, odd_rows, depth):
     r = random.Random(depth)
     rows = [(100 + i, "\n".join(r.choice(["a", "b b", "c", "", " ", "long line d"]) for _ in range(r.randint(0, 12)))) for i in range(60)]
     rows += odd_rows
-    got = line_dedup.line_dedup(docs_of(rows, extra=True), depth).select("doc_id", "n_lines", "n_removed", "kept_text").collect()
+    got = line_dedup.line_dedup(docs_of(rows, extra=True), depth, None).select("doc_id", "n_lines", "n_removed", "kept_text").collect()
     assert sorted(map(tuple, got), key=str) == line_brute(rows, depth)
     assert line_dedup.line_dedup(docs_of([])).count() == 0
 
@@ -146,18 +146,54 @@ def test_single_long_lines_go(docs_of, lines):
     assert kept[91] == "" and kept[92] == "x\ny 92" and kept[93] == f"z\n{passage[0]}\ny 93"
 
 
-def test_ranks_are_in_suffix_order(docs_of):
-    rows = [(1, "b\na\nb\na\nc"), (2, "b\na\nb\na"), (3, "a\nc\nx")]
-    lines = line_dedup.line_ids(line_dedup.keyed(docs_of(rows)))
-    ids = {(r._d, r.seq): r.id for r in lines.collect()}
-    ranks = line_dedup.suffix_ranks(lines, 2).collect()
-    order = sorted(ranks, key=lambda r: r["rank"])
-    keys = [(ids[r._d, r.seq], ids[r._d, r.seq + 1]) for r in order]
-    by_rank = collections.defaultdict(set)
-    for r, k in zip(order, keys):
-        by_rank[r["rank"]].add(k)
-    assert all(len(v) == 1 for v in by_rank.values()) and len(by_rank) == len(set(keys)) == 3
-    assert {(r._d, r.seq) for r in ranks} == {(1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (2, 1), (2, 2), (3, 0)}
+def maximal_brute(rows, depth):
+    """Runs by their definition: from every place to the first place of its opening lines, left-maximal, as long as lines agree."""
+    seqs = [[x for x in t.split("\n") if x.strip()] for _, t in rows]
+    first = {}
+    for n, seq in enumerate(seqs):
+        for s in range(len(seq) - depth + 1):
+            first.setdefault(tuple(seq[s : s + depth]), (n, s))
+    at = {(n, s): first[tuple(seq[s : s + depth])] for n, seq in enumerate(seqs) for s in range(len(seq) - depth + 1)}
+    out = collections.defaultdict(list)
+    for (n, s), (m, t) in at.items():
+        if (n, s) != (m, t) and (at.get((n, s - 1)) != (m, t - 1) or (n, s - 1) == (m, t - 1)):
+            k = 0
+            while s + k < len(seqs[n]) and t + k < len(seqs[m]) and seqs[n][s + k] == seqs[m][t + k]:
+                k += 1
+            out[rows[n][0]].append((s, k, rows[m][0], t))
+    return {i: sorted(r) for i, r in out.items()}
+
+
+@pytest.mark.parametrize("depth", [1, 3, 50])
+def test_maximal_runs(docs_of, depth):
+    r = random.Random(depth)
+    long = [f"line {i}" for i in range(300)]
+    rows = [(i, "\n".join(r.choice("abcd") for _ in range(r.randint(0, 14)))) for i in range(40)]
+    rows += [(100 + i, "\n".join(long[a : a + n] + [f"own {i}"])) for i, (a, n) in enumerate([(0, 300), (0, 300), (100, 60), (120, 100), (249, 51), (250, 49)])]
+    rows += [(200, "\n".join(["same"] * 120)), (201, "\n".join(["x", *["same"] * 70, "y"]))]
+    got = line_dedup.line_dedup(docs_of(rows), depth, None).collect()
+    assert {g.doc_id: [tuple(x) for x in g.runs] for g in got if g.runs} == maximal_brute(rows, depth)
+
+
+def test_rounds_are_logarithmic(docs_of):
+    rows = [(i, "\n".join(f"line {j}" for j in range(200))) for i in (1, 2)] + [(3, "\n".join(f"line {j}" for j in range(50)))]
+    lines = line_dedup.line_ids(line_dedup.keyed(docs_of(rows)), 2)
+    rounds = line_dedup.suffix_ranks(lines)
+    assert [r.count() for r in rounds] == [450, 447, 441, 429, 405, 357, 274, 146]  # 2 x (201 - depth), and as many of the third document as are long enough
+    body = {(x._d, x.seq): x.id for x in lines.collect()}
+    for i, table in enumerate(rounds):
+        found = sorted(table.collect(), key=lambda x: x["rank"])
+        keys = [tuple(body[x._d, x.seq + j] for j in range(1 << i)) for x in found]
+        assert len(set(keys)) == len({x["rank"] for x in found}) == len(set(zip(keys, (x["rank"] for x in found))))
+        if i < 2:
+            assert keys == sorted(keys, key=lambda k: [keys.index(k)]) and (i or keys == sorted(keys))  # ranks follow the order of the lines
+
+
+def test_columns_of_any_name_are_carried(docs_of):
+    names = ("_d", "_k", "row", "runs", "seq", "td", "length")
+    docs = docs_of([(1, "a\nb"), (2, "a\nb\nc"), (2, "a\nb\nc")]).withColumns({c: F.lit(c) for c in names})
+    got = line_dedup.line_dedup(docs).collect()
+    assert all(g[c] == c for g in got for c in names if c != "runs") and [g.kept_text for g in sorted(got, key=lambda g: g.doc_id)] == ["a\nb", "c", "c"]
 
 
 def near_brute(rows, k):

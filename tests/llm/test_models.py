@@ -11,6 +11,7 @@ import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import byte_bpe, html_extract, mixing, quality_classifier, quality_rules, queries, simhash, warc
 
@@ -143,6 +144,19 @@ def test_mix(docs_of):
     assert dict(zip(got.doc_id, got.taken)) == dict(zip(again.doc_id, again.taken))
 
 
+def test_mix_repeated_rows(docs_of):
+    rows = [(1, " ".join(f"w{i}" for i in range(10)), "a")] * 700 + [(i, "x y z", "b") for i in range(50)] + [(None, "p q", "b")] * 40
+    mixed = mixing.mix(docs_of(rows, extra=True).withColumns({c: F.lit(c) for c in ("_s", "_u", "_c", "_cut", "_spare", "row")}))
+    got = mixed.toPandas()
+    assert len(got) == len(rows)
+    for c in ("_s", "_u", "_c", "_cut", "_spare", "row"):
+        assert set(got[c]) == {c}
+    for _, part in got.groupby("source"):
+        assert abs(part["taken"].sum() - part["target"].iloc[0]) <= part["size"].max()
+        assert part["source_size"].iloc[0] == part["size"].sum()
+    assert ((got["taken"] == 0) | (got["taken"] % got["size"] == 0)).all() and (got["taken"] <= 2 * got["size"]).all()
+
+
 def test_mix_odd_rows(docs_of, odd_rows):
     got = mixing.mix(docs_of(odd_rows, extra=True)).collect()
     assert len(got) == len(odd_rows) and all(0 <= g.taken <= 2 * g["size"] for g in got)

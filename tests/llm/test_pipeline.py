@@ -72,6 +72,16 @@ def test_one_line_passages_go(spark, docs_of):
     assert rows_of(cp.dedup_lines(spark, docs_of(rows), "")) == [rows[0], (2, "own 2\nend 2"), rows[2], rows[3], (5, "")]
 
 
+def test_one_row_of_a_group_stays(spark, docs_of):
+    text, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(None, text), (None, text + " x"), (7, text), (7, text), (3, other), (3, other + " y"), (9, None), (9, None), (None, ""), (5, "p q r"), (5, "p q r")]
+    got = sorted(rows_of(cp.dedup_near(spark, docs_of(rows), "")), key=str)
+    assert len(got) == 6 and [g for g in got if g[0] not in (3, None)] == sorted([(5, "p q r"), (7, text), (9, None), (9, None)], key=str)
+    assert (None, "") in got and sum(g[0] == 3 for g in got) == 1
+    nulls = rows_of(cp.dedup_near(spark, docs_of([(None, text)] * 3 + [(None, text + " x")]), ""))
+    assert len(nulls) == 1
+
+
 def test_run(spark, docs_of, tmp_path):
     docs_of(corpus()).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
