@@ -14,8 +14,6 @@ from ledgerloom.llm._store import materialize
 from ledgerloom.sources.tables import read
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Words of a line that is a passage by itself.
-PASSAGE = 50
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -25,17 +23,24 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go, and so do those of single lines of PASSAGE words; every document stays, if without text."""
-    kept = line_dedup.line_dedup(docs.select(*COLUMNS), min_words=PASSAGE)
+    """Later copies of repeated line runs go, and so do those of single long lines; every document stays, if without text."""
+    kept = line_dedup.line_dedup(docs.select(*COLUMNS))
     return kept.withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}).select(*COLUMNS)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id."""
-    docs = docs.select(*COLUMNS)
-    gone = near_dedup.near_dedup(docs).where("not kept").select(F.col("doc_id").alias("_id"), "_k").distinct()
-    keyed = docs.withColumn("_h", F.xxhash64("doc_id", "text"))
-    return keyed.join(gone, (F.col("_h") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*COLUMNS)
+    """One row of each group of near copies stays: the smallest doc_id, null after all others; of several texts or equal rows of that doc_id one. Rows without words are in no group and stay."""
+    keyed = docs.select(*COLUMNS).withColumn("_h", F.xxhash64("doc_id", "text"))
+    found = materialize(near_dedup.near_dedup(docs.select(*COLUMNS)).where("group is not null").select("doc_id", "_k", "group"), "pipeline-groups")
+    best = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_k")).alias("best"))
+    mine = (F.col("best._k") == F.col("_k")) & F.col("best.doc_id").eqNullSafe(F.col("doc_id"))
+    marked = materialize(found.join(best, "group").groupBy(F.col("doc_id").alias("_id"), "_k").agg(F.count("*").alias("_n"), F.bool_or(mine).alias("_best")), "pipeline-marked")
+    same = (F.col("_h") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    kept = keyed.join(marked.where("not _best or _n > 1"), same, "left_anti").select(*COLUMNS)
+    repeated = marked.where("_best and _n > 1")
+    if repeated.isEmpty():
+        return kept
+    return kept.unionByName(keyed.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_h"]).select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
