@@ -6,11 +6,15 @@ symbols have a chunk with at most one differing symbol, so every class is entere
 symbols left out: this finds all pairs within signature distance 2 * CHUNKS - 1. A pair of sets of similarity 0.8 is
 missed with a probability below 4e-6: each chunk agrees but for one symbol with probability 0.655.
 
-A pair of a common bucket is a candidate if its set sizes allow the similarity and 64 symbols of the two signatures, 4 bits of each,
-lie within a Hamming distance that a similar pair exceeds with a probability below 1e-6. Candidates are confirmed on the full sets: linked if PERCENT_DEN * intersection >= PERCENT * union. Pairs inside a group are not all spelled out. First each class meets the
-centres of its buckets with which it shares the most entries; the links found are turned into components. What remains are classes with a candidate of another
+A pair of a common bucket is a candidate if its set sizes allow the similarity, 64 symbols of the two signatures, 4 bits of each,
+lie within a Hamming distance that a similar pair exceeds with a probability below 1e-6, and so do parities: for each of 512 ranges of shingle hashes a set has a bit that tells whether it has an odd
+number of them, and two sets differ in at least as many shingles as bits, which is exact. Candidates are confirmed on the full sets: linked if PERCENT_DEN * intersection >= PERCENT * union.
+
+Pairs inside a group are not spelled out. First each class meets the centres of its buckets with which it shares the most entries; the links found are turned into components. Then come
+ROUNDS rounds: in every bucket that still has several components, classes in order of one part of their signatures meet the next REACH ones of another component, and of all
+its candidates a class takes the PARTNERS nearest; components are merged after each round, so a group that merges stops making pairs. What remains are classes with a candidate of another
 component. These meet by the rarest shingles of their full sets: similar sets share one of their first fifth, at places that leave enough to have in common. Such pairs are confirmed too, so
-no link between components is lost, while a large group of near copies costs about as many comparisons as it has members.
+no link between components is lost.
 
 Nulls and edge cases: a null text has the empty set, is linked with nothing and is kept; fewer than K words are one shingle; null doc_ids take part, but no component is named after them unless it has no other; rows
 with the same doc_id and text are one document; rows with one doc_id and several texts are judged each; ties of similarity count as links; empty tables give an empty result; only
@@ -37,6 +41,9 @@ CENTRES = 3
 SEED = 41
 LANES = 64
 WORDS = ("b0", "b1", "b2", "b3")
+PARITY = tuple(f"p{i}" for i in range(8))
+MARKS = (*WORDS, *PARITY)
+ROUNDS, REACH, PARTNERS = 4, 4, 4
 LOW = 0x1111111111111111
 ROWS = 1 << 14
 
@@ -80,6 +87,12 @@ def lanes(symbols: np.ndarray) -> np.ndarray:
     return (part[::2] << 4 | part[1::2]).view(np.int64)
 
 
+def parities(items: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * len(PARITY) ranges of hashes, in signed numbers: whether the set has an odd number of them."""
+    odd = np.bincount((items >> np.uint64(55)).astype(np.int64), minlength=64 * len(PARITY)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def farthest(percent: int) -> int:
     """How many lanes may differ: 5.7 deviations above the mean of pairs of this similarity."""
     q = (1 - percent / 100) * 15 / 16
@@ -87,7 +100,7 @@ def farthest(percent: int) -> int:
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, _k, n_shingles, c (the class; null for the empty set), WORDS, sig of every row."""
+    """doc_id, _k, n_shingles, c (the class; null for the empty set), MARKS, sig of every row."""
     ensure_importable(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,12 +112,12 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 sizes.append(len(items))
                 classes.append(xxhash.xxh3_64_intdigest(items.tobytes()) - (1 << 63) if len(items) else None)
                 symbols = signature(items, add, times) if len(items) else None
-                parts.append(np.zeros(len(WORDS), np.int64) if symbols is None else lanes(symbols))
+                parts.append(np.zeros(len(MARKS), np.int64) if symbols is None else np.concatenate((lanes(symbols), parities(items))))
                 sigs.append(None if symbols is None else symbols.tobytes())
-            words = [pa.array(w) for w in np.array(parts, np.int64).reshape(-1, len(WORDS)).T]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), *words, pa.array(sigs, pa.binary())], ["doc_id", "_k", "n_shingles", "c", *WORDS, "sig"])
+            words = [pa.array(w) for w in np.array(parts, np.int64).reshape(-1, len(MARKS)).T]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), *words, pa.array(sigs, pa.binary())], ["doc_id", "_k", "n_shingles", "c", *MARKS, "sig"])
 
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_k"), "text").mapInArrow(run, "doc_id long, _k long, n_shingles long, c long, b0 long, b1 long, b2 long, b3 long, sig binary")
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_k"), "text").mapInArrow(run, f"doc_id long, _k long, n_shingles long, c long, {', '.join(f'{m} long' for m in MARKS)}, sig binary")
 
 
 def bucket_members(classes: DataFrame) -> DataFrame:
@@ -164,14 +177,20 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> Data
     return pairs.join(body("a"), "a").join(body("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def able(one: str, other: str, percent: int) -> Column:
-    """Whether sizes (n) and signature lanes (WORDS) of two sets, with these endings, allow them to be similar enough."""
-    n, m = F.col(f"n{one}"), F.col(f"n{other}")
-    apart = F.lit(0)
+def apart(one: str, other: str) -> Column:
+    """How many lanes (WORDS) differ between two signatures with these endings."""
+    total = F.lit(0)
     for w in WORDS:
         x = F.col(f"{w}{one}").bitwiseXOR(F.col(f"{w}{other}"))
-        apart = apart + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3)).bitwiseAND(F.lit(LOW)))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (apart <= farthest(percent))
+        total = total + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3)).bitwiseAND(F.lit(LOW)))
+    return total
+
+
+def able(one: str, other: str, percent: int) -> Column:
+    """Whether sizes (n), signature lanes and parities of two sets, with these endings, allow them to be similar enough."""
+    n, m = F.col(f"n{one}"), F.col(f"n{other}")
+    odd = sum((F.bit_count(F.col(f"{w}{one}").bitwiseXOR(F.col(f"{w}{other}"))) for w in PARITY), F.lit(0))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (odd * (100 + percent) <= (n + m) * (100 - percent)) & (apart(one, other) <= farthest(percent))
 
 
 def prefixes(bodies: DataFrame, k: int, percent: int) -> DataFrame:
@@ -196,16 +215,47 @@ def prefixes(bodies: DataFrame, k: int, percent: int) -> DataFrame:
     return seen.join(counts, "h").withColumn("at", order).where(F.col("at") <= first).select("c", "h", "at", "size")
 
 
+def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """groups (node, component) after the links a, b. Components are named after their smallest node."""
+    of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"g{c}"))
+    edges = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b"))
+    joined = components(edges).select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(groups, "node", "left_anti").withColumn("component", F.col("node"))
+    return materialize(groups.unionByName(ends).join(joined, "component", "left").select("node", F.coalesce("_to", "component").alias("component")), "near-groups", lean=True)
+
+
+def labelled(every: DataFrame, groups: DataFrame) -> DataFrame:
+    """key, c, g of the buckets that have classes of several components."""
+    rows = every.select("key", "c").join(groups.select(F.col("node").alias("c"), F.col("component").alias("g")), "c", "left").withColumn("g", F.coalesce("g", "c"))
+    split = rows.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi").select("key")
+    return rows.join(split, "key")
+
+
+def neighbours(rows: DataFrame, turn: int, percent: int) -> DataFrame:
+    """a, b: candidates of different components that stand near each other in their bucket, in order of the signature's word number `turn`; for each class the nearest."""
+    word = WORDS[turn % len(WORDS)]
+    # the word's first lanes divide a bucket that very many classes share
+    order = Window.partitionBy("key", F.shiftrightunsigned(f"{word}_1", 56)).orderBy(f"{word}_1", "c")
+    fields = ("c", "g", "n_1", *(f"{w}_1" for w in MARKS))
+    other = F.struct(*(F.col(f).alias(f.replace("_1", "_2")) for f in fields))
+    ahead = rows.withColumn("ahead", F.array(*(F.lead(other, i).over(order) for i in range(1, REACH + 1))))
+    pairs = ahead.withColumn("o", F.explode("ahead")).where(F.col("o").isNotNull() & (F.col("o.g") != F.col("g")))
+    pairs = pairs.select("c", *fields[2:], F.col("o.c").alias("d"), *(F.col(f"o.{f.replace('_1', '_2')}") for f in fields[2:])).where(able("_1", "_2", percent))
+    pairs = pairs.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"), apart("_1", "_2").alias("apart")).distinct()
+    nearest = F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))  # a class has CHUNKS * SYMBOLS * REACH candidates at most after, and as many before it
+    return pairs.withColumn("_r", nearest).where(F.col("_r") <= PARTNERS).select("a", "b")
+
+
 def linked_classes(docs: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
     """node, component: every class that is linked with another one."""
     known = sketches.where("c is not null")
-    classes = known.groupBy("c").agg(F.min(F.struct("doc_id", "_k")).alias("rep"), F.first("n_shingles").alias("n"), *(F.first(w).alias(w) for w in WORDS), F.first("sig").alias("sig"))
+    classes = known.groupBy("c").agg(F.min(F.struct("doc_id", "_k")).alias("rep"), F.first("n_shingles").alias("n"), *(F.first(w).alias(w) for w in MARKS), F.first("sig").alias("sig"))
     members = materialize(bucket_members(classes), "near-members", lean=True)
     wanted = members.select(F.explode(F.array("centre", "c")).alias("c")).distinct()
-    needed = materialize(classes.join(wanted, "c").select("c", "n", *WORDS, F.col("rep.doc_id").alias("_id"), F.col("rep._k").alias("_k")), "near-classes", lean=True)
-    named = lambda c, end: needed.select(F.col("c").alias(c), *(F.col(x).alias(f"{x}{end}") for x in ("n", *WORDS)))
+    needed = materialize(classes.join(wanted, "c").select("c", "n", *MARKS, F.col("rep.doc_id").alias("_id"), F.col("rep._k").alias("_k")), "near-classes", lean=True)
+    named = lambda c, end: needed.select(F.col("c").alias(c), *(F.col(x).alias(f"{x}{end}") for x in ("n", *MARKS)))
     held = docs.select(F.col("doc_id").alias("_id2"), F.xxhash64("doc_id", "text").alias("_k"), "text")
-    bodies = held.join(needed.hint("shuffle_hash"), (needed["_k"] == held["_k"]) & needed["_id"].eqNullSafe(held["_id2"])).select("c", "text")
+    bodies = held.join(needed.select("c", "_id", "_k").hint("shuffle_hash"), (needed["_k"] == held["_k"]) & needed["_id"].eqNullSafe(held["_id2"])).select("c", "text")
     bodies = materialize(bodies, "near-texts")  # a row for each class, more only for repeated rows
 
     # the centre of a bucket is its class with the most company over all its buckets: of a group of copies the least edited one
@@ -217,30 +267,35 @@ def linked_classes(docs: DataFrame, sketches: DataFrame, k: int, percent: int) -
     shared = every.join(centres, "key").where(F.col("c") != F.col("top.c")).groupBy(F.col("top.c").alias("a"), F.col("c").alias("b")).agg(F.count("*").alias("n"), F.max("top.company").alias("company"))
     best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), F.desc("company"), "a"))  # a class has CHUNKS * SYMBOLS entries at most
     first = shared.withColumn("_r", best).where(F.col("_r") <= CENTRES).select("a", "b").join(named("a", "_1"), "a").join(named("b", "_2"), "b")
-    first = materialize(first.where(able("_1", "_2", percent)).select("a", "b"), "near-pairs", lean=True)
+    tested = materialize(first.where(able("_1", "_2", percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs", lean=True)
     one = bodies.dropDuplicates(["c"])
-    links = materialize(confirmed(first, one, k, percent), "near-links", lean=True)
+    links = materialize(confirmed(tested, one, k, percent), "near-links", lean=True)
     groups = materialize(components(links), "near-groups", lean=True)
 
-    label = groups.select(F.col("node").alias("c"), F.col("component").alias("g"))
-    rows = every.select("key", "c").join(label, "c", "left").withColumn("g", F.coalesce("g", "c"))
-    split = rows.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi").select("key")
-    rows = materialize(rows.join(split, "key").join(named("c", "_1"), "c"), "near-open", lean=True)
-    other = rows.select("key", F.col("g").alias("h"), *(F.col(f"{x}_1").alias(f"{x}_2") for x in ("n", *WORDS)))
+    rows = materialize(labelled(every, groups).join(named("c", "_1"), "c"), "near-open", lean=True)
+    for turn in range(ROUNDS):
+        pairs = materialize(neighbours(rows, turn, percent).join(tested, ["a", "b"], "left_anti"), "near-pairs", lean=True)
+        tested = tested.unionByName(pairs)
+        links = materialize(confirmed(pairs, one, k, percent), "near-links", lean=True)
+        if links.isEmpty():
+            break
+        groups = merged(groups, links)
+        rows = materialize(labelled(every, groups).join(named("c", "_1"), "c"), "near-open", lean=True)
+
+    other = rows.select("key", F.col("g").alias("h"), *(F.col(f"{x}_1").alias(f"{x}_2") for x in ("n", *MARKS)))
     company = (rows["key"] == other["key"]) & (F.col("g") != F.col("h")) & able("_1", "_2", percent)
-    still = materialize(rows.join(other, company, "left_semi").select("c", "g", "n_1", *(f"{w}_1" for w in WORDS)).distinct(), "near-able", lean=True)
+    still = materialize(rows.join(other, company, "left_semi").select("c", "g", "n_1", *(f"{w}_1" for w in MARKS)).distinct(), "near-able", lean=True)
 
     first_ones = prefixes(still.select("c").join(one, "c"), k, percent).join(still, "c")
     rows = materialize(first_ones, "near-prefixes", lean=True)
-    other = rows.select("h", F.col("c").alias("d"), F.col("g").alias("f"), F.col("at").alias("at_2"), *(F.col(f"{x}_1").alias(f"{x}_2") for x in ("n", *WORDS)))
+    other = rows.select("h", F.col("c").alias("d"), F.col("g").alias("f"), F.col("at").alias("at_2"), *(F.col(f"{x}_1").alias(f"{x}_2") for x in ("n", *MARKS)))
     # if this is the first shingle in common, what follows in both is all that can be
     most = 1 + F.least(F.col("n_1") - F.col("at") - 1, F.col("n_2") - F.col("at_2") - 1)
     enough = 100 * most >= percent * (F.col("n_1") + F.col("n_2") - most)
-    apart = (rows["h"] == other["h"]) & (F.col("g") < F.col("f")) & enough & able("_1", "_2", percent)
-    rest = rows.join(other, apart).select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
-    rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "near-pairs", lean=True)
-    more = confirmed(rest, one, k, percent)
-    return components(links.unionByName(more))
+    between = (rows["h"] == other["h"]) & (F.col("g") < F.col("f")) & enough & able("_1", "_2", percent)
+    rest = rows.join(other, between).select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
+    rest = materialize(rest.join(tested, ["a", "b"], "left_anti"), "near-pairs", lean=True)
+    return merged(groups, materialize(confirmed(rest, one, k, percent), "near-links", lean=True))
 
 
 def near_dedup(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:

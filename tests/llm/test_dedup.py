@@ -269,3 +269,28 @@ def test_components(spark):
     got = {x.node: x.component for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in list(up)}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def template(n, words, edits):
+    """Loose copies of one text: most pairs are near the threshold."""
+    r = random.Random(0)
+    out = []
+    for i in range(n):
+        w = [f"t{j}" for j in range(words)]
+        for at in r.sample(range(words), edits):
+            w[at] = f"e{r.randrange(10**9)}"
+        out.append((i, " ".join(w)))
+    return out
+
+
+def test_loose_copies_make_pairs_in_proportion(docs_of, monkeypatch):
+    seen, real = [], near_dedup.confirmed
+    monkeypatch.setattr(near_dedup, "confirmed", lambda pairs, *rest: seen.append(pairs.count()) or real(pairs, *rest))
+    pairs = {}
+    for n in (150, 600):
+        rows = template(n, 150, 4)
+        seen.clear()
+        got = {g.doc_id: g.component_id for g in near_dedup.near_dedup(docs_of(rows), k=2).collect()}
+        pairs[n] = sum(seen)
+        assert got == {i: c for i, _, c, _ in near_brute(rows, 2)}
+    assert pairs[600] <= 1.3 * 4 * pairs[150] < 10 * 600
