@@ -51,3 +51,14 @@ def guarded(a: str, b: str) -> float:
 def upper_bound(a: Column, b: Column) -> Column:
     """No pair is more alike than this."""
     return 2.0 * F.least(F.length(a), F.length(b)) / F.greatest(F.length(a) + F.length(b), F.lit(1))
+
+
+@pandas_udf(T.DoubleType())
+def _guarded(a: pd.Series, b: pd.Series) -> pd.Series:
+    known: dict[tuple[str, str], float] = {}
+    return pd.Series([known[k] if k in known else known.setdefault(k, guarded(*k)) for k in zip(a.fillna(""), b.fillna(""))], dtype="float64")
+
+
+def guarded_ratio(a: Column, b: Column) -> Column:
+    """guarded() of two columns; null is empty."""
+    return _guarded(a, b)

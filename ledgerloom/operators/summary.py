@@ -85,3 +85,10 @@ def evaluation(found: DataFrame, truth: DataFrame) -> DataFrame:
     one = hit.crossJoin(found.agg(F.count("*").alias("found"))).crossJoin(truth.agg(F.count("*").alias("expected")))  # one row each
     ratio = lambda n: F.round(F.col("hits") / F.nullif(F.col(n), F.lit(0)), 4)
     return one.withColumns({"precision": ratio("found"), "recall": ratio("expected")})
+
+
+def triage(candidates: DataFrame) -> DataFrame:
+    """Per category of ambiguity clusters (rows of rank 1): n and percentage of all clusters."""
+    total = F.sum("n").over(Window.partitionBy())  # one row a category
+    per = candidates.where("rank = 1").groupBy("category").agg(F.count("*").alias("n"))
+    return per.withColumn("percent", F.round(100.0 * F.col("n") / total, 1).cast("double"))

@@ -1,8 +1,8 @@
 """Dual-ledger waterfall: exact, batches, one-to-one tolerance, tax heads, fuzzy documents, ambiguity, residuals.
 
 Passes over blocks of one remaining P row are joins: such a block is consumed by its first G row that satisfies the pass, and a block with more P rows
-can't shrink within a pass. Passes where a match takes rows away from later ones in the same block (batches, fuzzy, ambiguity) run in row order inside a group: a vendor, and for the fuzzy pass
-a vendor's island of amounts no further apart than the tolerance, since only rows of one island can meet.
+can't shrink within a pass. Passes where a match takes rows away from later ones in the same block (batches, fuzzy, ambiguity) run in row order inside a vendor, whose rows are streamed to one function; the fuzzy pass
+cuts a vendor into islands of amounts no further apart than the tolerance, since only rows of one island can meet.
 """
 
 from __future__ import annotations
@@ -10,12 +10,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import combinations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions import normalize
 from ledgerloom.functions.similarity import guarded
-from ledgerloom.sources.session import ensure_importable
+from ledgerloom.operators.ordered import in_groups
 from ledgerloom.sources.store import materialize
 
 LINK = "g_idx long, p_idx long, bucket string, sub string, share double"
@@ -112,66 +111,52 @@ def one_to_many(g: tuple, ps: list[tuple], tol: float) -> list[tuple] | None:
     return related if len(pool) >= 2 and len(related) >= 2 and abs(sum(p[2] for p in related) - g[2]) <= tol else None
 
 
-def sides(pdf: pd.DataFrame) -> tuple[dict[int, tuple], dict[int, tuple]]:
-    """Rows of G and P by row_idx, in that order."""
-    pdf = pdf.sort_values("row_idx")
-    rows = lambda s: {int(i): (int(i), n, float(t)) for i, n, t in pdf.loc[pdf["side"] == s, ["row_idx", "n", "taxable"]].itertuples(index=False)}
-    return rows("G"), rows("P")
+def sides(rows: list[tuple]) -> tuple[dict[int, tuple], dict[int, tuple]]:
+    """G and P rows (idx, doc, amount) of tuples (v, side, row_idx, n, taxable), by row_idx in the order given."""
+    of = lambda s: {i: (i, n, t) for _, side, i, n, t in rows if side == s}
+    return of("G"), of("P")
 
 
 def both(g: DataFrame, p: DataFrame) -> DataFrame:
-    """G and P rows of the vendors that have both left."""
-    rows = g.withColumn("side", F.lit("G")).unionByName(p.withColumn("side", F.lit("P"))).select("side", "row_idx", "v", "n", "taxable")
-    w = Window.partitionBy("v")
-    return rows.withColumn("lo", F.min("side").over(w)).withColumn("hi", F.max("side").over(w)).where("lo != hi").drop("lo", "hi")
-
-
-def frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["g_idx", "p_idx", "bucket", "sub", "share"])
+    """v, side, row_idx, n, taxable of both ledgers."""
+    side = lambda df, s: df.select("v", F.lit(s).alias("side"), "row_idx", "n", "taxable")
+    return side(g, "G").unionByName(side(p, "P"))
 
 
 def batch_pass(g: DataFrame, p: DataFrame, t: Limits) -> DataFrame:
-    """Batches of a vendor: first every P row as a sum of G rows, then every G row as a sum of P rows."""
+    """Batches of a vendor: first every P row as a sum of G rows, then every G row as a sum of P rows. A share is a part's percentage of the one row (N:1), or of the parts' sum (1:N)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        gs, ps = sides(pdf)
-        out = []
+    def run(rows: list[tuple]) -> list[tuple]:
+        gs, ps = sides(rows)
+        out: list[tuple] = []
+        if not gs or not ps:
+            return out
         for i in list(ps):
-            p_row = ps[i]
-            if p_row[2] > 0 and (found := many_to_one(list(gs.values()), p_row, t.batch)):
-                total = sum(r[2] for r in found)
-                out += [(r[0], i, "TOLERANCE_MATCH", "BATCH_N_TO_1", round(100 * r[2] / total, 1)) for r in found]
+            if (p_row := ps[i])[2] > 0 and (found := many_to_one(list(gs.values()), p_row, t.batch)):
+                out += [(r[0], i, "TOLERANCE_MATCH", "BATCH_N_TO_1", round(100 * r[2] / p_row[2], 1)) for r in found]
                 del ps[i]
                 for r in found:
                     del gs[r[0]]
-        if pdf["v"].iloc[0]:
+        if rows[0][0]:
             for i in list(gs):
-                g_row = gs[i]
-                if g_row[2] > 0 and (found := one_to_many(g_row, list(ps.values()), t.batch)):
+                if (g_row := gs[i])[2] > 0 and (found := one_to_many(g_row, list(ps.values()), t.batch)):
                     total = sum(r[2] for r in found)
                     out += [(i, r[0], "TOLERANCE_MATCH", "BATCH_1_TO_N", round(100 * r[2] / total, 1)) for r in found]
                     del gs[i]
                     for r in found:
                         del ps[r[0]]
-        return frame(out)
-
-    return both(g, p).groupBy("v").applyInPandas(run, LINK)
+        return out
 
-
-def islands(rows: DataFrame, gap: float) -> DataFrame:
-    """rows with `island`: a vendor's amounts in order, cut where two neighbours differ by more than gap."""
-    order = Window.partitionBy("v").orderBy("taxable", "side", "row_idx")
-    cut = (F.col("taxable") - F.lag("taxable").over(order) > gap).cast("int")
-    return rows.withColumn("cut", F.coalesce(cut, F.lit(0))).withColumn("island", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("cut")
+    return in_groups(both(g, p), ["v"], ["row_idx"], run, LINK)
 
 
 def fuzzy_pass(g: DataFrame, p: DataFrame, t: Limits) -> DataFrame:
     """In row order each G row takes the free P row of its vendor with the most similar document, at a near amount."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        gs, ps = sides(pdf)
+    def island(rows: list[tuple]) -> list[tuple]:
+        gs, ps = sides(sorted(rows, key=lambda r: r[2]))
         out = []
-        for i, doc, amount in gs.values():
+        for i, doc, amount in gs.values() if ps else ():
             best, found = 0.0, None
             for j, other, value in ps.values():
                 if abs(amount - value) <= t.amount and (s := guarded(doc, other)) >= t.fuzzy and s > best:
@@ -179,43 +164,71 @@ def fuzzy_pass(g: DataFrame, p: DataFrame, t: Limits) -> DataFrame:
             if found is not None:
                 del ps[found]
                 out.append((i, found, "NEAR_MATCH", "DOC_PREFIX_NORMALIZED", 100.0))
-        return frame(out)
+        return out
 
-    return islands(both(g.where("v != ''"), p), t.amount).groupBy("v", "island").applyInPandas(run, LINK)
+    def run(rows: list[tuple]) -> list[tuple]:
+        cuts = [0, *(n for n in range(1, len(rows)) if rows[n][4] - rows[n - 1][4] > t.amount), len(rows)]
+        return [link for lo, hi in zip(cuts, cuts[1:]) for link in island(rows[lo:hi])]
 
+    return in_groups(both(g, p).where("v != ''"), ["v"], ["taxable", "side", "row_idx"], run, LINK)
 
-def ambiguity_pass(g: DataFrame, p: DataFrame, t: Limits) -> DataFrame:
-    """G rows with two or more competing P rows; each takes the first of them away. sub has the number of candidates, p_idx is that first one."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        gs, ps = sides(pdf)
-        out = []
+CLUSTER = "g_idx long, p_idx long, rank int, of int, invoice double, amount double, score double"
+
+
+def ambiguity_clusters(g: DataFrame, p: DataFrame, t: Limits, most: int | None = 4) -> DataFrame:
+    """G rows with two or more competing P rows, in row order of these: the first `most` by rank, how many compete (of), document and amount likeness and score. Each G row takes its first candidate away."""
+
+    def run(rows: list[tuple]) -> list[tuple]:
+        gs, ps = sides(rows)
+        out: list[tuple] = []
         for i, doc, amount in gs.values():
             rivals = [j for j, other, value in ps.values() if abs(amount - value) <= t.compete_amount or (doc and other and 2 * min(len(doc), len(other)) / (len(doc) + len(other)) >= t.compete_text and guarded(doc, other) >= t.compete_text)]
-            if len(rivals) >= 2:
-                del ps[rivals[0]]
-                out.append((i, rivals[0], "AMBIGUOUS", f"COMPETING_{len(rivals)}", 100.0))
-        return frame(out)
+            if len(rivals) < 2:
+                continue
+            for rank, j in enumerate(rivals[:most], 1):
+                alike, apart = guarded(doc, ps[j][1]), abs(amount - ps[j][2])
+                out.append((i, j, rank, len(rivals), round(100 * alike, 1), round(max(0.0, 100 - 4 * apart), 1), round(min(98.0, max(60.0, 50 * alike + max(0.0, 50 - apart))), 1)))
+            del ps[rivals[0]]
+        return out
+
+    return in_groups(both(g, p).where("v != ''"), ["v"], ["row_idx"], run, CLUSTER)
+
 
-    return both(g.where("v != ''"), p).groupBy("v").applyInPandas(run, LINK)
+def as_links(clusters: DataFrame) -> DataFrame:
+    """The links of clusters: their first candidates; sub tells how many compete."""
+    return clusters.where("rank = 1").select("g_idx", "p_idx", F.lit("AMBIGUOUS").alias("bucket"), F.concat(F.lit("COMPETING_"), "of").alias("sub"), F.lit(100.0).alias("share"))
 
 
 def left_over(df: DataFrame, links: DataFrame, side: str) -> DataFrame:
     return df.join(links.select(F.col(side).alias("row_idx")).distinct(), "row_idx", "left_anti")
 
 
-def waterfall(g: DataFrame, p: DataFrame, t: Limits = Limits()) -> DataFrame:
-    """Links (g_idx, p_idx, bucket, sub, share) of all passes and, with a null side, the residual rows.
+def passes(g: DataFrame, p: DataFrame, t: Limits = Limits(), batches: bool = True) -> tuple[list[DataFrame], DataFrame, DataFrame, DataFrame]:
+    """Links of all passes, what is left of prepared G and P, and the clusters of the ambiguity pass.
 
-    Each pass works on what the ones before have left. Ledgers and links of a pass are written as tables: later passes read them several times, and plans stay small.
+    Each pass works on what the ones before have left. Links of a pass are written as tables, and so are the ledgers when a pass takes most of their rows.
     """
-    ensure_importable(g.sparkSession)
     g, p = materialize(prepare(g), "ledger", lean=True), materialize(prepare(p), "ledger", lean=True)
-    done = []
-    for step in (exact_pass, lambda a, b: batch_pass(a, b, t), lambda a, b: one_to_one_pass(a, b, t), lambda a, b: tax_head_pass(a, b, t), lambda a, b: fuzzy_pass(a, b, t), lambda a, b: ambiguity_pass(a, b, t)):
-        links = materialize(step(g, p), "links", lean=True)
+    done: list[DataFrame] = []
+
+    def take(links: DataFrame) -> None:
+        nonlocal g, p
         done.append(links)
         g, p = left_over(g, links, "g_idx"), left_over(p, links, "p_idx")
+
+    take(materialize(exact_pass(g, p), "links", lean=True))
+    g, p = materialize(g, "ledger", lean=True), materialize(p, "ledger", lean=True)
+    for step in ((batch_pass,) if batches else ()) + (one_to_one_pass, tax_head_pass, fuzzy_pass):
+        take(materialize(step(g, p, t), "links", lean=True))
+    clusters = materialize(ambiguity_clusters(g, p, t), "clusters", lean=True)
+    take(as_links(clusters))
+    return done, g, p, clusters
+
+
+def waterfall(g: DataFrame, p: DataFrame, t: Limits = Limits(), batches: bool = True) -> DataFrame:
+    """Links (g_idx, p_idx, bucket, sub, share) of all passes and, with a null side, the residual rows; batches: whether sums of rows are matched."""
+    done, g, p, _ = passes(g, p, t, batches)
     blank = (F.col("v") == "") & (F.col("n") == "") & (F.col("taxable") <= 0)
     rest = lambda df, mine, other, name: df.select(F.col("row_idx").alias(mine), F.lit(None).cast("long").alias(other), F.lit(name).alias("bucket"), F.when(blank, "MALFORMED_BLANK_ROW").otherwise(name).alias("sub"), F.lit(None).cast("double").alias("share"))
     out = done[0]

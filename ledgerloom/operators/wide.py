@@ -6,15 +6,17 @@ one document, by aggregation; then sums of one-sided rows of a vendor, a bounded
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_left
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerloom.functions import normalize
-from ledgerloom.sources.session import ensure_importable
+from ledgerloom.functions import normalize, similarity
+from ledgerloom.operators.ordered import in_groups
 from ledgerloom.sources.store import materialize
 
 BLANKS = ("", "NAN", "NONE")
-#: Labels of another system that mean the same verdict.
+#: Fixed labels of another system that mean the same verdict.
 SYNONYMS = {
     "Exact Match": ("Exact Match", "Exact", "EXACT"),
     "Tolerance Match": ("Tolerance Match", "Tolerance", "TOLERANCE"),
@@ -79,14 +81,13 @@ def tiers(df: DataFrame) -> DataFrame:
     turn = F.coalesce(turn & (F.year("g_date") == F.year("p_date")), F.lit(False)) & (days <= 60)
     df = df.withColumn("clean", clean).withColumns(
         {
-            "tier1": vendor & doc & ((F.col("g_date") == F.col("p_date")) | (days == 0)) & (t < 0.01) & (i < 0.01),
+            "tier1": vendor & doc & F.col("g_date").eqNullSafe(F.col("p_date")) & (t < 0.01) & (i < 0.01),
             "drift": vendor & doc & (days > 0) & (days <= 30) & small,
             "cross_fy": vendor & doc & turn & small,
             "prefix": vendor & F.col("clean") & ~doc & (t <= 10) & (days <= 1),
             "compound": vendor & F.col("clean") & ~doc & (t <= 10) & (days > 1) & (days <= 30),
         }
     )
-    df = df.withColumn("tier1", F.coalesce("tier1", F.lit(False)))
     df = df.withColumn("tier2", ~F.col("tier1") & doc & (F.col("drift") | F.col("cross_fy") | penny(t) | penny(i)))
     df = df.withColumn("tier3", ~F.col("tier1") & ~F.col("tier2") & (F.col("prefix") | F.col("compound") | (vendor & F.col("clean") & (t <= 50))))
     taken = F.col("tier1") | F.col("tier2") | F.col("tier3")
@@ -94,17 +95,20 @@ def tiers(df: DataFrame) -> DataFrame:
     return df.withColumn("open", ~taken).withColumn("blocked", ~taken & vendor & (doc | F.col("clean")) & (days <= 15) & (over >= 100))
 
 
+#: Fixed pattern of documents that book several bank charges at once.
+BANK = "BANK|CHG|CONSOL|VOUCHER|JV"
+
+
 def verdicts(df: DataFrame, batched: DataFrame | None = None) -> DataFrame:
-    """tiers() with verdict and sub; batched has the row_idx of rows in batches."""
+    """tiers() with verdict, sub and tier; batched has the row_idx of rows in batches. Open rows with a bank document, an equal vendor and near dates count as batches, too."""
     df = tiers(df)
     marks = None if batched is None else batched.select("row_idx", F.lit(True).alias("in_batch")).distinct()
     df = df.withColumn("in_batch", F.lit(False)) if marks is None else df.join(marks, "row_idx", "left").withColumn("in_batch", F.coalesce("in_batch", F.lit(False)))
+    bank = F.col("open") & (F.col("p_doc").rlike(BANK) | F.col("p_core").contains("BANK")) & F.col("same_vendor") & (F.col("days") <= 30)
+    df = df.withColumn("in_batch", F.col("in_batch") | bank)
     p_only, g_only = only_side(df)
-    cases = [
-        ("tier1", "Exact Match", None), ("in_batch", "Consolidated Match", None), ("blocked", "Ineligible ITC [Sec 17(5)]", None), ("tier2", "Tolerance Match", None), ("tier3", "Near Match", None),
-    ]
     verdict = F.when(F.lit(False), "")
-    for c, name, _ in cases:
+    for c, name in (("tier1", "Exact Match"), ("in_batch", "Consolidated Match"), ("blocked", "Ineligible ITC [Sec 17(5)]"), ("tier2", "Tolerance Match"), ("tier3", "Near Match")):
         verdict = verdict.when(F.col(c), name)
     sub = F.when(F.lit(False), "")
     for c, name in (
@@ -113,7 +117,8 @@ def verdicts(df: DataFrame, batched: DataFrame | None = None) -> DataFrame:
     ):
         sub = sub.when(F.col(c), name)
     verdict = verdict.when(p_only, "PR Only").when(g_only, "GST Only").otherwise("Ambiguous")
-    return df.withColumns({"verdict": verdict, "sub": sub.when(p_only, "PR_ONLY").when(g_only, "GST_ONLY").otherwise("AMBIGUOUS_COLLISION")})
+    tier = F.when(F.col("tier1"), 1).when(F.col("tier2"), 2).when(F.col("tier3"), 3).when(F.col("blocked") | F.col("in_batch"), 4).otherwise(5)
+    return df.withColumns({"verdict": verdict, "sub": sub.when(p_only, "PR_ONLY").when(g_only, "GST_ONLY").otherwise("AMBIGUOUS_COLLISION"), "tier": tier})
 
 
 def open_rows(df: DataFrame) -> DataFrame:
@@ -121,25 +126,26 @@ def open_rows(df: DataFrame) -> DataFrame:
     filled = lambda c: F.when(~F.col(c).isin(*BLANKS), F.col(c))
     rows = tiers(df).where("open").select(
         "row_idx", F.coalesce(filled("g_vendor"), filled("p_vendor")).alias("v"), filled("p_doc").alias("p_doc"), filled("g_doc").alias("g_doc"),
-        F.coalesce(filled("p_core"), filled("g_core")).alias("core"), F.coalesce("g_date", "p_date").alias("d"), "g_taxable", "p_taxable",
+        F.coalesce(filled("p_core"), filled("g_core")).alias("core"), F.coalesce("g_date", "p_date").alias("d"), F.coalesce("p_date", "g_date").alias("e"), "g_taxable", "p_taxable",
     )
     return rows.where("v is not null")
 
 
-def document_batches(df: DataFrame, tolerance: float = 5.0, days: int = 31) -> DataFrame:
-    """row_idx, batch, mode of rows that share a document and sum up: by P document, then G document, then core, each on what is left."""
-    rows, found = materialize(open_rows(df), "open", lean=True), None
+def document_batches(rows: DataFrame, tolerance: float = 5.0, days: int = 31) -> tuple[DataFrame, DataFrame]:
+    """row_idx, batch, mode of rows that share a document and sum up: by P document, then G document, then core, each on what is left; and what is left of rows (open_rows()) then."""
+    found = None
     for key in ("p_doc", "g_doc", "core"):
         pos = lambda c: F.when(F.col(c) > 0, F.col(c))
         sums = lambda c: (F.count(pos(c)).alias(f"n_{c}"), F.round(F.sum(pos(c).cast("decimal(18,2)")), 2).cast("double").alias(f"s_{c}"), F.min(F.round(pos(c), 2)).alias(f"lo_{c}"), F.max(F.round(pos(c), 2)).alias(f"hi_{c}"))
-        groups = rows.where(F.col(key).isNotNull()).groupBy("v", key).agg(F.count("*").alias("n"), F.min_by("d", "row_idx").alias("d0"), F.min("d").alias("d1"), F.max("d").alias("d2"), F.min("row_idx").alias("batch"), *sums("g_taxable"), *sums("p_taxable"))
+        groups = rows.where(F.col(key).isNotNull()).groupBy("v", key).agg(F.count("*").alias("n"), F.min_by("e", "row_idx").alias("d0"), F.min("d").alias("d1"), F.max("d").alias("d2"), F.min("row_idx").alias("batch"), *sums("g_taxable"), *sums("p_taxable"))
+        # days from the first row, whose P date counts first; a row without a date is near any, and so is every row to a first one without
         near = F.coalesce((F.datediff("d2", "d0") <= days) & (F.datediff("d0", "d1") <= days), F.lit(True))
         mode = lambda one, many: (F.col(f"n_{many}") >= 2) & (F.col(f"n_{one}") >= 1) & (F.col(f"lo_{one}") == F.col(f"hi_{one}")) & (F.abs(F.col(f"s_{many}") - F.col(f"lo_{one}")) <= tolerance + 1e-9)
         groups = groups.where((F.col("n") >= 2) & near).withColumn("mode", F.when(mode("g_taxable", "p_taxable"), "1:N").when(mode("p_taxable", "g_taxable"), "N:1")).where("mode is not null")
         hit = materialize(rows.join(groups.select("v", key, "batch", "mode"), ["v", key]).select("row_idx", "batch", "mode"), "batches", lean=True)
         found = hit if found is None else found.unionByName(hit)
         rows = rows.join(hit.select("row_idx"), "row_idx", "left_anti")
-    return found
+    return found, rows
 
 
 def subset(items: list[tuple[int, float]], target: float, tolerance: float, least: int = 2, most: int = 10, pool: int = 60, steps: int = 500) -> list[int] | None:
@@ -180,34 +186,95 @@ def subset(items: list[tuple[int, float]], target: float, tolerance: float, leas
 def sum_batches(rows: DataFrame, tolerance: float = 5.0, days: int = 31) -> DataFrame:
     """row_idx, batch, mode of one-sided rows of a vendor that sum up to a row of the other side.
 
-    rows: open_rows() without those in document batches. A group is one vendor's open one-sided rows; the search in it is bounded.
+    rows: open_rows() without those in document batches. A group is one vendor's open one-sided rows, sent only if it has a row of one side and two of the other; the
+    search for a target is bounded, and its items are found in arrays that are sorted once.
     """
-    ensure_importable(rows.sparkSession)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_idx")
-        free = {int(r.row_idx): (r.d, float(r.g_taxable), float(r.p_taxable)) for r in pdf.itertuples()}
-        out = []
-        near = lambda a, b: pd.isna(a) or pd.isna(b) or abs((pd.Timestamp(a) - pd.Timestamp(b)).days) <= days
+    def run(found: list[tuple]) -> list[tuple]:
+        idx = [r[1] for r in found]
+        day = np.array([-(10**9) if r[2] is None else r[2].toordinal() for r in found])
+        amounts = {1: np.array([r[3] for r in found]), 2: np.array([r[4] for r in found])}
+        free, out = np.ones(len(found), bool), []
         for mode, one, many in (("N:1", 2, 1), ("1:N", 1, 2)):
-            for k in [k for k, r in free.items() if r[one] > 0 and r[many] == 0]:
-                if k not in free:
+            items = np.flatnonzero((amounts[many] > 0) & (amounts[one] == 0))
+            items = items[np.argsort(amounts[many][items], kind="stable")]
+            value = amounts[many][items]
+            rounded = value.round(2)
+            for k in np.flatnonzero((amounts[one] > 0) & (amounts[many] == 0)).tolist():
+                if not free[k]:
                     continue
-                items = [(j, r[many]) for j, r in free.items() if r[many] > 0 and r[one] == 0 and near(r[0], free[k][0])]
-                if chosen := subset(items, free[k][one], tolerance):
+                target = float(amounts[one][k])
+                end = bisect_left(value, target + tolerance + 1e-3)  # larger ones can't be part of the sum
+                at = items[:end]
+                able = free[at] & ((day[at] < 0) | (day[k] < 0) | (abs(day[at] - day[k]) <= days))
+                if able.sum() < 2 or rounded[:end][able].sum() < target - tolerance - 1e-2:
+                    continue
+                at = np.sort(at[able])
+                if chosen := subset(list(zip(at.tolist(), amounts[many][at].tolist())), target, tolerance):
                     for j in (k, *chosen):
-                        out.append((j, k, mode))
-                        del free[j]
-        return pd.DataFrame(out, columns=["row_idx", "batch", "mode"])
+                        out.append((idx[j], idx[k], mode))
+                        free[j] = False
+        return out
 
-    one_sided = rows.where("(g_taxable > 0) != (p_taxable > 0)")
-    return one_sided.groupBy("v").applyInPandas(run, "row_idx long, batch long, mode string")
+    one_sided = rows.where("(g_taxable > 0) != (p_taxable > 0)").select("v", "row_idx", "d", "g_taxable", "p_taxable")
+    kinds = one_sided.groupBy("v").agg(F.count_if(F.col("g_taxable") > 0).alias("n"), F.count_if(F.col("p_taxable") > 0).alias("m")).where("n >= 1 and m >= 1 and n + m >= 3").select("v")
+    return in_groups(one_sided.join(kinds, "v", "left_semi"), ["v"], ["row_idx"], run, "row_idx long, batch long, mode string")
 
 
 def batches(df: DataFrame, tolerance: float = 5.0, days: int = 31) -> DataFrame:
     """All batches: documents first, then sums."""
-    first = document_batches(df, tolerance, days)
-    return first.unionByName(sum_batches(open_rows(df).join(first.select("row_idx"), "row_idx", "left_anti"), tolerance, days))
+    first, rest = document_batches(materialize(open_rows(df), "open", lean=True), tolerance, days)
+    return first.unionByName(sum_batches(rest, tolerance, days))
+
+
+def candidates(rows: DataFrame, nearest: int = 4, same_document: int = 3, kept: int = 3) -> DataFrame:
+    """Ranked P candidates of each ambiguous row of verdicts(): row_idx, rank, p_idx, invoice, amount, tax, days, score, gap, category.
+
+    Candidates are the row's own P side, the P sides of its vendor with the nearest amounts, and the first ones with the same core document, whatever vendor. Two or more make a cluster.
+    Nearest amounts come from neighbours in order of amount, P sides and ambiguous rows in one sorted sequence a vendor, so no pairs of a vendor are made.
+    """
+    blank = lambda c: F.col(c).isin(*BLANKS)
+    p = rows.where(~blank("p_vendor") | ~blank("p_core") | (F.col("p_taxable") > 0)).select(
+        F.col("row_idx").alias("p_idx"), F.col("p_vendor").alias("v"), F.col("p_core").alias("core"), F.col("p_doc").alias("pd"), F.col("p_taxable").alias("pa"), F.col("p_igst").alias("pt"), F.col("days").alias("days")
+    )
+    asked = rows.where("verdict = 'Ambiguous'").select("row_idx", F.col("g_vendor").alias("v"), F.col("g_core").alias("core"), F.col("g_doc").alias("gd"), F.col("g_taxable").alias("ga"), F.col("g_igst").alias("gt"), (~blank("p_doc") | (F.col("p_taxable") > 0)).alias("own"))
+    asked = materialize(asked, "asked", lean=True)
+    mine = asked.where("own").select("row_idx", F.col("row_idx").alias("p_idx"))
+    of_vendor = p.where(~blank("v")).join(asked.select("v").distinct(), "v", "left_semi")
+    line = of_vendor.select("v", F.col("pa").alias("at"), "p_idx", F.lit(None).cast("long").alias("row_idx")).unionByName(asked.where(~blank("v")).select("v", F.col("ga").alias("at"), F.lit(None).cast("long").alias("p_idx"), "row_idx"))
+    order = Window.partitionBy("v").orderBy("at", F.col("p_idx").isNull(), F.desc("p_idx"), "row_idx")
+    # the nearest `nearest` P rows are among as many before and after the row, ties by amount and then p_idx included
+    back = Window.partitionBy("v").orderBy(F.desc("at"), F.col("p_idx").isNull(), F.desc("p_idx"), "row_idx")
+    nth = lambda w: F.sum(F.when(F.col("p_idx").isNotNull(), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = line.withColumns({"up": nth(order), "down": nth(back)})
+    up = numbered.where("p_idx is not null").select("v", F.col("up").alias("n"), F.col("p_idx").alias("q"), F.col("at").alias("qa"))
+    down = numbered.where("p_idx is not null").select("v", F.col("down").alias("n"), F.col("p_idx").alias("q"), F.col("at").alias("qa"))
+    rows_asked = numbered.where("row_idx is not null")
+    near = rows_asked.withColumn("n", F.explode(F.sequence(F.col("up") - nearest + 1, F.col("up")))).join(up, ["v", "n"]).select("row_idx", "q", "qa", "at")
+    near = near.unionByName(rows_asked.withColumn("n", F.explode(F.sequence(F.col("down") - nearest + 1, F.col("down")))).join(down, ["v", "n"]).select("row_idx", "q", "qa", "at")).distinct()
+    pick = F.row_number().over(Window.partitionBy("row_idx").orderBy(F.abs(F.col("qa") - F.col("at")), "q"))
+    near = near.withColumn("r", pick).where(F.col("r") <= nearest).select("row_idx", F.col("q").alias("p_idx"))
+    first = F.row_number().over(Window.partitionBy("core").orderBy("p_idx"))
+    few = p.where(~blank("core")).join(asked.select("core").distinct(), "core", "left_semi").select("core", "p_idx").withColumn("r", first).where(F.col("r") <= same_document).drop("r")
+    same = asked.where(~blank("core")).join(few, "core").select("row_idx", "p_idx")
+    pairs = mine.unionByName(near).unionByName(same).distinct().join(asked.drop("v", "own"), "row_idx").join(p.select("p_idx", F.col("core").alias("pc"), "pd", "pa", "pt", "days"), "p_idx")
+    closeness = lambda a, b: F.round(F.greatest(F.lit(0.0), 100 - F.abs(F.col(a) - F.col(b)) / F.greatest(a, b, F.lit(1.0)) * 100), 1)
+    alike = F.round(F.greatest(similarity.guarded_ratio(F.col("gd"), F.col("pd")), similarity.guarded_ratio(F.col("core"), F.col("pc"))) * 100, 1)
+    days = F.col("days")
+    dated = F.when(days == 0, 95.0).when(days <= 7, 88.0).when(days <= 30, 75.0).when(days <= 60, 60.0).otherwise(40.0)
+    c = pairs.withColumns({"invoice": alike, "amount": closeness("ga", "pa"), "tax": closeness("gt", "pt"), "date": dated})
+    c = c.withColumn("score", F.round(F.col("invoice") * 0.40 + F.col("amount") * 0.30 + F.col("tax") * 0.15 + F.col("date") * 0.15, 1))
+    ranking = Window.partitionBy("row_idx").orderBy(F.desc("score"), "p_idx")
+    c = c.withColumns({"rank": F.row_number().over(ranking), "of": F.count("*").over(Window.partitionBy("row_idx"))}).where((F.col("of") >= 2) & (F.col("rank") <= kept))
+    top = lambda n, x: F.max(F.when(F.col("rank") == n, F.col(x))).over(Window.partitionBy("row_idx"))
+    return c.select("row_idx", "rank", "p_idx", "invoice", "amount", "tax", "days", "score", F.round(top(1, "score") - top(2, "score"), 1).alias("gap"), category(top).alias("category"))
+
+
+def category(top) -> Column:
+    """What a cluster most likely is, from its first two candidates; top(n, column) gives a value of the n-th."""
+    twice = (F.trim(top(1, "pd")) != "") & (F.lower(F.trim(top(1, "pd"))) == F.lower(F.trim(top(2, "pd")))) & (F.abs(top(1, "pa") - top(2, "pa")) < 0.05)
+    taxed = (top(1, "invoice") >= 90) & (F.abs(top(1, "gt") - top(1, "pt")) > 0.01)
+    return F.when(twice, "ERP_DUPLICATE_ENTRY").when(top(1, "score") >= 90, "PROBABLE_EXACT_MATCH").when(taxed, "VALUE_ROUNDING_VARIANCE").when(top(1, "days") > 0, "TIMING_CUTOFF_SHIFT").otherwise("SPLIT_BATCH_DELIVERY")
 
 
 def shares(rows: DataFrame, amount: str) -> DataFrame:

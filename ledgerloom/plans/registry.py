@@ -1,20 +1,18 @@
 """Named queries over the standard tables, with the SQL that must give the same rows.
 
 The SQL is written apart from the DataFrame code. Queries whose semantics SQL can't express (Indel similarity, sequential consumption,
-bounded searches) have none; tests/ checks them against plain Python. Queries of classified rows leave batches out where they have SQL; each has a
-twin NAME_consolidated with batches and without SQL.
+bounded searches beyond a few rows) have none; tests/ checks them against plain Python. Classified rows include batches; their SQL searches sums of one-sided rows recursively.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.functions import normalize
 from ledgerloom.operators import explore, export, profile, summary, tiers, waterfall, wide
-from ledgerloom.sources.ledgers import ledgers, sql, wide as wide_table
+from ledgerloom.sources.ledgers import ledgers, sql, tranches, wide as wide_table
 from ledgerloom.sources.store import materialize
 
 FLAGSHIP = "wide_verdicts"
@@ -46,9 +44,9 @@ pairs AS (SELECT g1.row_idx AS g_idx, p1.row_idx AS p_idx, abs(g1.taxable - p1.t
 counted AS (SELECT *, count(*) OVER (PARTITION BY g_idx) AS of_g, count(*) OVER (PARTITION BY p_idx) AS of_p FROM pairs)"""
 BLANK = "('', 'NAN', 'NONE')"
 CORE = "regexp_replace(regexp_replace(regexp_replace({0}, '^((INV|BILL|TAX|GST|REF|DN|CN|PO|VCH|[0-9]{{4}}|FY[0-9]{{2}})[/_ :-]*)+', ''), '[^A-Z0-9]', '', 'g'), '^0+', '')"
-WIDE = f""", c AS (
+TIERS_SQL = f""", c AS (
   SELECT row_idx, scenario, upper(trim(coalesce(g_vendor, ''))) AS g_vendor, upper(trim(coalesce(p_vendor, ''))) AS p_vendor, upper(trim(coalesce(g_doc, ''))) AS g_doc, upper(trim(coalesce(p_doc, ''))) AS p_doc,
-    g_date, p_date, g_taxable, p_taxable, g_igst, p_igst FROM w
+    g_date, p_date, g_taxable, p_taxable, g_igst, p_igst FROM {{w}}
 ), x AS (
   SELECT *, g_vendor IN {BLANK} AND g_doc IN {BLANK} AS g_blank, p_vendor IN {BLANK} AND p_doc IN {BLANK} AS p_blank, regexp_replace(g_doc, '[^A-Z0-9]', '', 'g') AS g_alnum, regexp_replace(p_doc, '[^A-Z0-9]', '', 'g') AS p_alnum,
     coalesce(nullif({CORE.format("g_doc")}, ''), g_doc) AS g_core, coalesce(nullif({CORE.format("p_doc")}, ''), p_doc) AS p_core,
@@ -58,31 +56,77 @@ WIDE = f""", c AS (
     NOT g_blank AND NOT p_blank AND (g_core = p_core OR g_alnum = p_alnum OR (length(g_alnum) >= 3 AND length(p_alnum) >= 3 AND (ends_with(g_alnum, p_alnum) OR ends_with(p_alnum, g_alnum)))) AS clean,
     coalesce(((month(g_date) = 3 AND month(p_date) = 4) OR (month(g_date) = 4 AND month(p_date) = 3)) AND year(g_date) = year(p_date), false) AND days <= 60 AS turn FROM x
 ), z AS (
-  SELECT *, vendor AND doc AND days = 0 AND t < 0.01 AND i < 0.01 AS tier1, vendor AND doc AND days > 0 AND days <= 30 AND t <= 10 AND i <= 10 AS drift, vendor AND doc AND turn AND t <= 10 AND i <= 10 AS cross_fy,
+  SELECT *, vendor AND doc AND g_date IS NOT DISTINCT FROM p_date AND t < 0.01 AND i < 0.01 AS tier1, vendor AND doc AND days > 0 AND days <= 30 AND t <= 10 AND i <= 10 AS drift, vendor AND doc AND turn AND t <= 10 AND i <= 10 AS cross_fy,
     vendor AND clean AND NOT doc AND t <= 10 AND days <= 1 AS prefix, vendor AND clean AND NOT doc AND t <= 10 AND days > 1 AND days <= 30 AS compound FROM y
 ), z2 AS (
   SELECT *, NOT tier1 AND doc AND (drift OR cross_fy OR (t >= 0.01 AND t <= 10) OR (i >= 0.01 AND i <= 10)) AS tier2 FROM z
 ), z3 AS (
   SELECT *, NOT tier1 AND NOT tier2 AND (prefix OR compound OR (vendor AND clean AND t <= 50)) AS tier3 FROM z2
-), v AS (
-  SELECT *, NOT (tier1 OR tier2 OR tier3) AND vendor AND (doc OR clean) AND days <= 15 AND g_taxable - p_taxable >= 100 AS blocked,
-    CASE WHEN tier1 THEN 'Exact Match' WHEN blocked THEN 'Ineligible ITC [Sec 17(5)]' WHEN tier2 THEN 'Tolerance Match' WHEN tier3 THEN 'Near Match' WHEN g_blank AND NOT p_blank THEN 'PR Only' WHEN NOT g_blank AND p_blank THEN 'GST Only' ELSE 'Ambiguous' END AS verdict,
-    CASE WHEN tier1 THEN 'EXACT_ZERO_VARIANCE' WHEN blocked THEN 'INELIGIBLE_ITC_17_5' WHEN cross_fy THEN 'CROSS_FY_TIMING' WHEN drift THEN 'DATE_OPERATIONAL_SHIFT' WHEN prefix THEN 'DOC_PREFIX_NORMALIZED' WHEN compound THEN 'COMPOUND_DOC_DATE_VARIATION'
+)"""
+VERDICTS_SQL = """, v AS (
+  SELECT * EXCLUDE (batch_row), batch_row IS NOT NULL OR (NOT (tier1 OR tier2 OR tier3) AND (regexp_matches(p_doc, 'BANK|CHG|CONSOL|VOUCHER|JV') OR contains(p_core, 'BANK')) AND vendor AND days <= 30) AS consolidated, NOT (tier1 OR tier2 OR tier3) AND vendor AND (doc OR clean) AND days <= 15 AND g_taxable - p_taxable >= 100 AS blocked,
+    CASE WHEN tier1 THEN 'Exact Match' WHEN consolidated THEN 'Consolidated Match' WHEN blocked THEN 'Ineligible ITC [Sec 17(5)]' WHEN tier2 THEN 'Tolerance Match' WHEN tier3 THEN 'Near Match' WHEN g_blank AND NOT p_blank THEN 'PR Only' WHEN NOT g_blank AND p_blank THEN 'GST Only' ELSE 'Ambiguous' END AS verdict,
+    CASE WHEN tier1 THEN 'EXACT_ZERO_VARIANCE' WHEN consolidated THEN 'BANKING_MULTI_TRANCHE' WHEN blocked THEN 'INELIGIBLE_ITC_17_5' WHEN cross_fy THEN 'CROSS_FY_TIMING' WHEN drift THEN 'DATE_OPERATIONAL_SHIFT' WHEN prefix THEN 'DOC_PREFIX_NORMALIZED' WHEN compound THEN 'COMPOUND_DOC_DATE_VARIATION'
       WHEN tier2 THEN 'COMMERCIAL_TOLERANCE' WHEN tier3 THEN 'NEAR_MATCH' WHEN g_blank AND NOT p_blank THEN 'PR_ONLY' WHEN NOT g_blank AND p_blank THEN 'GST_ONLY' ELSE 'AMBIGUOUS_COLLISION' END AS sub,
-    coalesce(nullif(g_vendor, ''), p_vendor) AS who, verdict IN ('Exact Match', 'Tolerance Match', 'Near Match', 'Consolidated Match') AS hit FROM z3
+    CASE WHEN tier1 THEN 1 WHEN tier2 THEN 2 WHEN tier3 THEN 3 WHEN blocked OR consolidated THEN 4 ELSE 5 END AS tier, coalesce(nullif(g_vendor, ''), p_vendor) AS who, verdict IN ('Exact Match', 'Tolerance Match', 'Near Match', 'Consolidated Match') AS hit FROM z3 LEFT JOIN (SELECT DISTINCT row_idx AS batch_row FROM batched) ON row_idx = batch_row
 )"""
 
 
+def batch_sql(key: str, rows: str, name: str) -> str:
+    """CTE `name`: groups of `rows` with one `key` that sum up."""
+    mode = lambda one, many: f"count(*) FILTER ({many} > 0) >= 2 AND count(*) FILTER ({one} > 0) >= 1 AND min(round({one}, 2)) FILTER ({one} > 0) = max(round({one}, 2)) FILTER ({one} > 0) AND round(abs(cast(sum(cast({many} AS decimal(18,2))) FILTER ({many} > 0) AS double) - min(round({one}, 2)) FILTER ({one} > 0)), 2) <= 5"
+    return f"""{name}_first AS (SELECT *, first_value(e) OVER (PARTITION BY who, {key} ORDER BY row_idx) AS e0 FROM {rows} WHERE {key} IS NOT NULL),
+{name}_sums AS (SELECT who, {key}, min(row_idx) AS batch, CASE WHEN {mode('g_taxable', 'p_taxable')} THEN '1:N' WHEN {mode('p_taxable', 'g_taxable')} THEN 'N:1' END AS mode
+  FROM {name}_first GROUP BY who, {key} HAVING count(*) >= 2 AND bool_and(coalesce(abs(date_diff('day', d, e0)) <= 31, true))),
+{name} AS (SELECT row_idx, batch, mode FROM {rows} JOIN {name}_sums USING (who, {key}) WHERE mode IS NOT NULL)"""
+
+
+def wide_sql(w: str = "w") -> str:
+    """CTEs up to v, the classified rows of the wide table w: comparisons, document batches, sums of one-sided rows, verdicts.
+
+    Sums: for every target all subsets of 2 to 10 fitting items are listed (sub), in order of larger amounts first; a vendor's targets are walked through in order, each taking all that
+    is free if that fits, else its nearest sum of free items. Limits of the search (60 items, 500 steps) aren't reached on these data.
+    """
+    filled = lambda c: f"CASE WHEN {c} NOT IN ('', 'NAN', 'NONE') THEN {c} END"
+    return TIERS_SQL.replace("{w}", w) + f""", o0 AS (SELECT row_idx, coalesce({filled('g_vendor')}, {filled('p_vendor')}) AS who, {filled('p_doc')} AS p_doc, {filled('g_doc')} AS g_doc, coalesce({filled('p_core')}, {filled('g_core')}) AS core,
+  coalesce(g_date, p_date) AS d, coalesce(p_date, g_date) AS e, g_taxable, p_taxable FROM z3 WHERE NOT (tier1 OR tier2 OR tier3) AND coalesce({filled('g_vendor')}, {filled('p_vendor')}) IS NOT NULL),
+{batch_sql('p_doc', 'o0', 'b1')}, o1 AS (SELECT * FROM o0 WHERE row_idx NOT IN (SELECT row_idx FROM b1)),
+{batch_sql('g_doc', 'o1', 'b2')}, o2 AS (SELECT * FROM o1 WHERE row_idx NOT IN (SELECT row_idx FROM b2)),
+{batch_sql('core', 'o2', 'b3')}, o3 AS (SELECT * FROM o2 WHERE row_idx NOT IN (SELECT row_idx FROM b3)),
+sided AS (SELECT row_idx, who, d, CASE WHEN g_taxable > 0 THEN 'G' ELSE 'P' END AS side, CASE WHEN g_taxable > 0 THEN g_taxable ELSE p_taxable END AS a FROM o3 WHERE (g_taxable > 0) <> (p_taxable > 0)),
+goals AS (SELECT *, row_number() OVER (PARTITION BY who ORDER BY side DESC, row_idx) AS nth FROM sided),
+items AS (SELECT t.who, t.nth, t.a AS goal, i.row_idx, round(i.a, 2) AS a, row_number() OVER (PARTITION BY t.who, t.nth ORDER BY round(i.a, 2) DESC, i.row_idx) AS pos
+  FROM goals t JOIN sided i ON i.who = t.who AND i.side <> t.side AND i.a <= t.a + 5.0001 AND coalesce(abs(date_diff('day', t.d, i.d)) <= 31, true)),
+able AS (SELECT who, nth, list(struct_pack(id := row_idx, a := a) ORDER BY pos) AS able FROM items GROUP BY who, nth),
+sub AS (
+  SELECT who, nth, goal, pos, [pos] AS path, [row_idx] AS ids, a AS total FROM items
+  UNION ALL
+  SELECT s.who, s.nth, s.goal, i.pos, list_append(s.path, i.pos), list_append(s.ids, i.row_idx), s.total + i.a FROM sub s JOIN items i ON i.who = s.who AND i.nth = s.nth AND i.pos > s.pos WHERE s.total + i.a <= s.goal + 5.0001 AND len(s.ids) < 10
+),
+sums AS (SELECT who, nth, list(ids ORDER BY round(abs(total - goal), 2), path) AS sums FROM sub WHERE len(ids) >= 2 AND abs(total - goal) <= 5.0001 GROUP BY who, nth),
+steps AS (SELECT g.who, g.nth, g.row_idx, g.side, g.a AS goal, coalesce(able, []) AS able, coalesce(sums, []) AS sums FROM goals g LEFT JOIN able USING (who, nth) LEFT JOIN sums USING (who, nth)),
+walk AS (
+  SELECT who, 0::bigint AS nth, 0::bigint AS target, '' AS side, []::bigint[] AS chosen, []::bigint[] AS used FROM (SELECT DISTINCT who FROM sums)
+  UNION ALL
+  SELECT who, nth, row_idx, side, chosen, CASE WHEN len(chosen) > 0 THEN list_concat(used, list_append(chosen, row_idx)) ELSE used END FROM (
+    SELECT s.*, w.used, CASE WHEN list_contains(w.used, s.row_idx) THEN []
+      WHEN len(list_filter(s.able, lambda x: NOT list_contains(w.used, x.id))) BETWEEN 2 AND 10 AND abs(round(list_sum(list_transform(list_filter(s.able, lambda x: NOT list_contains(w.used, x.id)), lambda x: x.a)), 2) - s.goal) <= 5
+        THEN list_transform(list_filter(s.able, lambda x: NOT list_contains(w.used, x.id)), lambda x: x.id)
+      ELSE coalesce(list_filter(s.sums, lambda x: NOT list_has_any(x, w.used))[1], []) END AS chosen
+    FROM walk w JOIN steps s ON s.who = w.who AND s.nth = w.nth + 1)
+),
+b4 AS (SELECT unnest(list_append(chosen, target)) AS row_idx, target AS batch, CASE side WHEN 'P' THEN 'N:1' ELSE '1:N' END AS mode FROM walk WHERE len(chosen) > 0),
+batched AS (FROM b1 UNION ALL FROM b2 UNION ALL FROM b3 UNION ALL FROM b4)""" + VERDICTS_SQL
+
+
+WIDE = wide_sql()
+
+
 def money(c: str) -> str:
     return f"cast(sum(cast({c} AS decimal(18,2))) AS double)"
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the SQL states: without batches."""
-    return wide.verdicts(wide_table(spark, sf_dir))
-
-
-def consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With batches, which are written once."""
     rows = wide_table(spark, sf_dir)
     return wide.verdicts(rows, materialize(wide.batches(rows), "batched", lean=True))
@@ -162,35 +206,51 @@ def wide_simple_verdicts(spark, sf_dir):
     return wide.simple_verdict(wide_table(spark, sf_dir)).select("row_idx", "verdict")
 
 
-@query(f"{WIDE} SELECT row_idx, verdict, sub FROM v")
-def wide_verdicts(spark, sf_dir, rows=classified):
-    return rows(spark, sf_dir).select("row_idx", "verdict", "sub")
+@query(f"{WIDE} SELECT row_idx, verdict, sub, tier FROM v")
+def wide_verdicts(spark, sf_dir):
+    return classified(spark, sf_dir).select("row_idx", "verdict", "sub", "tier")
 
 
-@query(
-    f"""{WIDE}, r AS (SELECT row_idx, who, nullif(p_doc, '') AS p_doc, coalesce(g_date, p_date) AS d, g_taxable, p_taxable FROM v WHERE NOT (tier1 OR tier2 OR tier3)),
-    q AS (SELECT who, p_doc, min(row_idx) AS batch, sum(cast(p_taxable AS decimal(18,2))) FILTER (WHERE p_taxable > 0) AS total, max(g_taxable) FILTER (WHERE g_taxable > 0) AS goal
-      FROM r WHERE p_doc IS NOT NULL GROUP BY who, p_doc HAVING count(*) >= 2 AND count(*) FILTER (WHERE p_taxable > 0) >= 2 AND count(*) FILTER (WHERE g_taxable > 0) >= 1
-      AND min(g_taxable) FILTER (WHERE g_taxable > 0) = max(g_taxable) FILTER (WHERE g_taxable > 0))
-    SELECT row_idx, batch, '1:N' AS mode FROM r JOIN q USING (who, p_doc) WHERE abs(cast(total AS double) - goal) <= 5"""
-)
+@query(f"{WIDE} FROM b1 UNION ALL FROM b2 UNION ALL FROM b3")
 def wide_document_batches(spark, sf_dir):
-    return wide.document_batches(wide_table(spark, sf_dir))
+    return wide.document_batches(materialize(wide.open_rows(wide_table(spark, sf_dir)), "open", lean=True))[0]
 
 
-@query()
+@query(f"{WIDE} FROM batched")
 def wide_batches(spark, sf_dir):
     return wide.batches(wide_table(spark, sf_dir))
 
 
+@query(f"{wide_sql('tranches')} FROM batched")
+def wide_tranche_batches(spark, sf_dir):
+    """Split invoices whose parts carry other documents: only their sums tell."""
+    return wide.batches(tranches(spark, sf_dir))
+
+
+@query(f"{wide_sql('tranches')} SELECT row_idx, verdict, sub, tier FROM v")
+def wide_tranche_verdicts(spark, sf_dir):
+    rows = tranches(spark, sf_dir)
+    return wide.verdicts(rows, materialize(wide.batches(rows), "batched", lean=True)).select("row_idx", "verdict", "sub", "tier")
+
+
+@query()
+def wide_candidates(spark, sf_dir):
+    return wide.candidates(materialize(classified(spark, sf_dir), "classified"))
+
+
+@query()
+def summary_triage(spark, sf_dir):
+    return summary.triage(wide_candidates(spark, sf_dir))
+
+
 @query(
     f"""{WIDE} SELECT verdict, label, count(*) AS n, count(*) FILTER (WHERE verdict = label) AS agreements FROM (SELECT verdict, CASE WHEN scenario <= 8 THEN 'Exact Match' WHEN scenario <= 11 THEN 'Tolerance Match'
     WHEN scenario IN (12, 14) THEN 'Near Match' WHEN scenario = 16 THEN 'GST Only' WHEN scenario = 17 THEN 'PR Only' ELSE 'Other' END AS label FROM v) AS named GROUP BY verdict, label"""
 )
-def wide_concurrence(spark, sf_dir, rows=classified):
+def wide_concurrence(spark, sf_dir):
     s = F.col("scenario")
     label = F.when(s <= 8, "Exact Match").when(s <= 11, "Tolerance Match").when(s.isin(12, 14), "Near Match").when(s == 16, "GST Only").when(s == 17, "PR Only").otherwise("Other")
-    named = rows(spark, sf_dir).withColumn("label", label).withColumn("c", wide.concurrence(F.col("verdict"), F.col("label")))
+    named = classified(spark, sf_dir).withColumn("label", label).withColumn("c", wide.concurrence(F.col("verdict"), F.col("label")))
     return named.groupBy("verdict", "label").agg(F.count("*").alias("n"), F.count_if(F.col("c") == "AGREEMENT").alias("agreements"))
 
 
@@ -217,29 +277,29 @@ def waterfall_dispositions(spark, sf_dir):
 
 
 @query(f"{WIDE} SELECT verdict, count(*) AS n, {money('g_taxable')} AS g_taxable, {money('p_taxable')} AS p_taxable FROM v GROUP BY verdict")
-def summary_buckets(spark, sf_dir, rows=classified):
-    return summary.bucket_counts(rows(spark, sf_dir))
+def summary_buckets(spark, sf_dir):
+    return summary.bucket_counts(classified(spark, sf_dir))
 
 
 @query(f"{WIDE} SELECT sub, count(*) AS n, {money('g_taxable')} AS g_taxable, {money('p_taxable')} AS p_taxable FROM v GROUP BY sub")
-def summary_subclasses(spark, sf_dir, rows=classified):
-    return summary.bucket_counts(rows(spark, sf_dir), "sub")
+def summary_subclasses(spark, sf_dir):
+    return summary.bucket_counts(classified(spark, sf_dir), "sub")
 
 
 @query(f"{WIDE} SELECT count(*) AS total, count(*) FILTER (WHERE hit) AS matched, round(100.0 * count(*) FILTER (WHERE hit) / count(*), 1) AS rate FROM v")
-def summary_match_rate(spark, sf_dir, rows=classified):
-    return summary.match_rate(rows(spark, sf_dir)).withColumn("rate", F.col("rate").cast("double"))
+def summary_match_rate(spark, sf_dir):
+    return summary.match_rate(classified(spark, sf_dir)).withColumn("rate", F.col("rate").cast("double"))
 
 
-TIERS = ["Exact Match", "Tolerance Match", "Near Match", "Ambiguous", "GST Only", "PR Only"]
+TIERS = ["Exact Match", "Consolidated Match", "Ineligible ITC [Sec 17(5)]", "Tolerance Match", "Near Match", "Ambiguous", "GST Only", "PR Only"]
 
 
 @query(
     f"""{WIDE}, n AS (SELECT verdict, count(*) AS n, cast(list_position({TIERS!r}, verdict) - 1 AS int) AS tier FROM v WHERE list_contains({TIERS!r}, verdict) GROUP BY verdict),
     r AS (SELECT *, cast(sum(n) OVER (ORDER BY tier) AS bigint) AS running, cast(sum(n) OVER () AS bigint) AS total FROM n) SELECT verdict, n, tier, running, cast(round(100.0 * (total - running) / total, 1) AS double) AS left_percent FROM r"""
 )
-def summary_yields(spark, sf_dir, rows=classified, tiers=TIERS):
-    out = summary.yields(rows(spark, sf_dir), tiers)
+def summary_yields(spark, sf_dir):
+    out = summary.yields(classified(spark, sf_dir), TIERS)
     return out.withColumn("left_percent", F.col("left_percent").cast("double"))
 
 
@@ -248,23 +308,23 @@ def summary_yields(spark, sf_dir, rows=classified, tiers=TIERS):
     cast(round(100.0 * count(*) FILTER (WHERE hit) / count(*), 1) AS double) AS match_percent,
     CASE WHEN round(100.0 * count(*) FILTER (WHERE hit) / count(*), 1) < 70 THEN 'HIGH' WHEN round(100.0 * count(*) FILTER (WHERE hit) / count(*), 1) < 90 THEN 'MED' ELSE 'LOW' END AS risk FROM v GROUP BY who"""
 )
-def summary_vendor_risk(spark, sf_dir, rows=classified):
-    return summary.vendor_risk(rows(spark, sf_dir)).withColumn("match_percent", F.col("match_percent").cast("double"))
+def summary_vendor_risk(spark, sf_dir):
+    return summary.vendor_risk(classified(spark, sf_dir)).withColumn("match_percent", F.col("match_percent").cast("double"))
 
 
 @query(f"{WIDE} SELECT verdict, count(*) AS n, cast(round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS double) AS percent FROM v GROUP BY verdict")
-def summary_matrix(spark, sf_dir, rows=classified):
-    return summary.disposition_matrix(rows(spark, sf_dir)).withColumn("percent", F.col("percent").cast("double"))
+def summary_matrix(spark, sf_dir):
+    return summary.disposition_matrix(classified(spark, sf_dir)).withColumn("percent", F.col("percent").cast("double"))
 
 
 @query(f"{WIDE} SELECT CASE WHEN round(t, 2) < 100 THEN 'below 100' WHEN round(t, 2) <= 1000 THEN '100 to 1000' ELSE 'above 1000' END AS band, count(*) AS n FROM v WHERE g_vendor <> '' AND p_vendor <> '' GROUP BY 1")
-def summary_variance_bands(spark, sf_dir, rows=classified):
-    return summary.variance_bands(rows(spark, sf_dir))
+def summary_variance_bands(spark, sf_dir):
+    return summary.variance_bands(classified(spark, sf_dir))
 
 
 @query(f"{WIDE} SELECT row_idx, verdict, round(t, 2) AS diff FROM v WHERE NOT hit AND g_vendor <> '' AND p_vendor <> '' ORDER BY diff DESC, row_idx LIMIT 10")
-def summary_top_mismatches(spark, sf_dir, rows=classified):
-    return summary.top_mismatches(rows(spark, sf_dir))
+def summary_top_mismatches(spark, sf_dir):
+    return summary.top_mismatches(classified(spark, sf_dir))
 
 
 @query("SELECT (SELECT count(*) FROM g) AS g_rows, (SELECT count(*) FROM p) AS p_rows, cast((SELECT sum(taxable) FROM g) AS double) AS g_taxable, cast((SELECT sum(taxable) FROM p) AS double) AS p_taxable, cast((SELECT sum(taxable) FROM g) - (SELECT sum(taxable) FROM p) AS double) AS net")
@@ -288,8 +348,8 @@ def evaluation_exact(spark, sf_dir):
 
 
 @query(f"{WIDE} SELECT row_idx, verdict FROM v WHERE verdict IN ('Ambiguous', 'Near Match') AND (g_vendor LIKE '%V0000001%' OR p_vendor LIKE '%V0000001%' OR g_doc LIKE '%V0000001%' OR p_doc LIKE '%V0000001%') AND round(t, 2) <= 1000 AND coalesce(g_date, p_date) >= date '1996-01-01'")
-def explore_search(spark, sf_dir, rows=classified):
-    return explore.search(rows(spark, sf_dir), explore.Filter(verdicts=("Ambiguous", "Near Match"), text="v0000001", most_diff=1000, since="1996-01-01")).select("row_idx", "verdict")
+def explore_search(spark, sf_dir):
+    return explore.search(classified(spark, sf_dir), explore.Filter(verdicts=("Ambiguous", "Near Match"), text="v0000001", most_diff=1000, since="1996-01-01")).select("row_idx", "verdict")
 
 
 @query(
@@ -308,25 +368,16 @@ def explore_what_if(spark, sf_dir):
     CASE WHEN g_vendor <> '' AND p_vendor <> '' THEN round(p_taxable - g_taxable, 2) END AS taxable_diff, CASE WHEN g_vendor <> '' AND p_vendor <> '' THEN round(p_igst - g_igst, 2) END AS igst_diff, CASE WHEN g_vendor <> '' AND p_vendor <> '' THEN cast(date_diff('day', g_date, p_date) AS int) END AS days_diff, verdict,
     CASE verdict WHEN 'Exact Match' THEN 'Matched' WHEN 'Tolerance Match' THEN 'Matched' WHEN 'Consolidated Match' THEN 'Matched' WHEN 'Near Match' THEN 'Probable' WHEN 'GST Only' THEN 'Missing in P' WHEN 'PR Only' THEN 'Missing in G' ELSE 'Review' END AS section FROM v"""
 )
-def export_report(spark, sf_dir, rows=classified):
-    return export.report(rows(spark, sf_dir))
+def export_report(spark, sf_dir):
+    return export.report(classified(spark, sf_dir))
 
 
 @query()
-def export_fingerprint(spark, sf_dir, rows=consolidated):
-    return export.fingerprint(rows(spark, sf_dir), ["row_idx", "verdict", "sub"])
+def export_fingerprint(spark, sf_dir):
+    return export.fingerprint(classified(spark, sf_dir), ["row_idx", "verdict", "sub"])
 
 
 @query("SELECT 'vendor' AS \"column\", count(*) AS \"rows\", count(vendor) AS non_null, 0.0::double AS null_percent, count(DISTINCT vendor) AS \"distinct\", min(vendor) AS lowest, max(vendor) AS highest, 0.0::double AS numeric_share, 0.0::double AS date_share, 0.0::double AS tax_id_share FROM p UNION ALL SELECT 'd', count(*), count(d), 0.0, count(DISTINCT d), min(cast(d AS string)), max(cast(d AS string)), 0.0, 1.0, 0.0 FROM p")
 def profile_ledger(spark, sf_dir):
     out = profile.profile(ledgers(spark, sf_dir)[1], ["vendor", "d"])
     return out.withColumn("null_percent", F.col("null_percent").cast("double"))
-
-
-#: Queries of classified rows once more, with batches.
-for _make in (
-    wide_verdicts, wide_concurrence, summary_buckets, summary_subclasses, summary_match_rate, summary_yields, summary_vendor_risk, summary_matrix, summary_variance_bands, summary_top_mismatches,
-    explore_search, export_report,
-):
-    QUERIES[f"{_make.__name__}_consolidated"] = functools.partial(_make, rows=consolidated)
-QUERIES["summary_yields_consolidated"] = functools.partial(summary_yields, rows=consolidated, tiers=[TIERS[0], "Consolidated Match", *TIERS[1:]])

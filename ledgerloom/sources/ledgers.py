@@ -52,6 +52,11 @@ SELECT coalesce(g.row_idx * 10, p.row_idx) AS row_idx, g.vendor AS g_vendor, p.v
 FROM {g} AS g FULL OUTER JOIN {p} AS p ON g.order_key = p.order_key AND p.row_idx % 10 = 0
 """
 
+#: The wide form once more, where parts of a split invoice stand alone and carry documents of their own; a tenth of the dates is missing on one side or both.
+TRANCHES = WIDE.replace("p.doc AS p_doc", "CASE WHEN p.scenario = 18 THEN 'T' || cast(p.row_idx AS string) ELSE p.doc END AS p_doc").replace("% 10 = 0", "% 10 = 0 AND g.scenario <> 18").replace(
+    "g.d AS g_date, p.d AS p_date", "CASE WHEN g.order_key % 10 <> 3 THEN g.d END AS g_date, CASE WHEN p.order_key % 30 <> 3 THEN p.d END AS p_date"
+)
+
 
 def ledgers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """G and P."""
@@ -59,17 +64,22 @@ def ledgers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return spark.sql(G, **tables), spark.sql(P, **tables)
 
 
-def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wide(spark: SparkSession, sf_dir: str, form: str = WIDE) -> DataFrame:
     """The single-table form."""
     g, p = ledgers(spark, sf_dir)
-    out = spark.sql(WIDE, g=g, p=p)
+    out = spark.sql(form, g=g, p=p)
     return out.withColumns({c: F.col(c).cast("double") for c in ("g_taxable", "p_taxable", "g_igst", "p_igst")})
 
 
+def tranches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form TRANCHES."""
+    return wide(spark, sf_dir, TRANCHES)
+
+
 def ctes() -> str:
-    """DuckDB text of the CTEs g, p and w (the wide form)."""
+    """DuckDB text of the CTEs g, p, w (the wide form) and tranches."""
     fill = lambda text: text.replace("{orders}", "orders").replace("{lineitem}", "lineitem").replace("{g}", "g").replace("{p}", "p")
-    return f"WITH g AS ({fill(G)}), p AS ({fill(P)}), w AS ({fill(WIDE)})"
+    return f"WITH RECURSIVE g AS ({fill(G)}), p AS ({fill(P)}), w AS ({fill(WIDE)}), tranches AS ({fill(TRANCHES)})"
 
 
 def sql(body: str) -> str:

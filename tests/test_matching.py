@@ -168,17 +168,16 @@ def test_consolidated_verdicts(spark, monkeypatch):
     table = spark.createDataFrame(full, "row_idx long, g_vendor string, p_vendor string, g_doc string, p_doc string, g_date date, p_date date, g_taxable double, p_taxable double, g_igst double, p_igst double, scenario int")
     monkeypatch.setattr(registry, "wide_table", lambda spark, sf_dir: table)
     ask = lambda name: registry.QUERIES[name](spark, "").collect()
-    got = {r.row_idx: (r.verdict, r["sub"]) for r in ask("wide_verdicts_consolidated")}
+    got = {r.row_idx: (r.verdict, r["sub"]) for r in ask("wide_verdicts")}
     tranche = ("Consolidated Match", "BANKING_MULTI_TRANCHE")
     sums = [set(c) | {6} for n in (2, 3) for c in itertools.combinations((3, 4, 5), n) if abs(sum(rows[i - 1][5] for i in c) - 150) <= 5]
     assert len(sums) == 1 and {i for i, v in got.items() if v == tranche} == {1, 2} | sums[0]
     assert got[5][0] == "GST Only" and got[7][0] == "Exact Match" and got[8][0] == "Ineligible ITC [Sec 17(5)]" and got[9][0] == "PR Only"
-    assert {r.row_idx for r in ask("wide_verdicts") if r.verdict == "Consolidated Match"} == set()
-    assert [(r.total, r.matched) for r in ask("summary_match_rate_consolidated")] == [(9, 6)] and {r.verdict: r.n for r in ask("summary_buckets_consolidated")}["Consolidated Match"] == 5
-    assert {r.vendor: (r.matched, r.claimable) for r in ask("summary_vendor_risk_consolidated")} == {"V": (2, 1000.0), "W": (3, 150.0), "X": (1, 70.0)}
-    assert [(r.verdict, r.running) for r in sorted(ask("summary_yields_consolidated"), key=lambda r: r.tier)][:2] == [("Exact Match", 1), ("Consolidated Match", 6)]
-    assert {r.row_idx for r in ask("export_report_consolidated") if r.section == "Matched"} == {1, 2, 3, 4, 6, 7}
-    assert ask("export_fingerprint") == export.fingerprint(registry.consolidated(spark, ""), ["row_idx", "verdict", "sub"]).collect() != export.fingerprint(registry.classified(spark, ""), ["row_idx", "verdict", "sub"]).collect()
+    assert [(r.total, r.matched) for r in ask("summary_match_rate")] == [(9, 6)] and {r.verdict: r.n for r in ask("summary_buckets")}["Consolidated Match"] == 5
+    assert {r.vendor: (r.matched, r.claimable) for r in ask("summary_vendor_risk")} == {"V": (2, 1000.0), "W": (3, 150.0), "X": (1, 70.0)}
+    assert [(r.verdict, r.running) for r in sorted(ask("summary_yields"), key=lambda r: r.tier)][:2] == [("Exact Match", 1), ("Consolidated Match", 6)]
+    assert {r.row_idx for r in ask("export_report") if r.section == "Matched"} == {1, 2, 3, 4, 6, 7}
+    assert ask("export_fingerprint") != export.fingerprint(wide.verdicts(table), ["row_idx", "verdict", "sub"]).collect()
 
 
 def test_every_source_row_has_one_disposition(spark):
