@@ -35,16 +35,17 @@ def strip_zeros(c: Column) -> Column:
 
 
 def chain(c: Column, steps: list[str]) -> Column:
-    """A rule's ordered normalisers."""
+    """A rule's ordered normalisers over text; a whole number's .0 goes first, the end is trimmed, and what is empty then is null."""
     apply = {
-        "TRIM_WHITESPACE": lambda x: F.regexp_replace(F.trim(x), r"\s+", " "),
+        "TRIM_WHITESPACE": lambda x: F.regexp_replace(F.regexp_replace(x, r"^\s+|\s+$", ""), r"\s+", " "),
         "STRIP_SPECIAL_CHARS": lambda x: F.regexp_replace(x, r"[^A-Za-z0-9\s]", ""),
         "ALPHANUMERIC_ONLY": lambda x: F.regexp_replace(x, "[^A-Za-z0-9]", ""),
         "UPPERCASE": F.upper,
-        "REMOVE_PREFIXES": lambda x: F.regexp_replace(x, rf"(?i)^(({'|'.join(PREFIXES)})[\s/_-]*)+", ""),
-        "TRIM_LEADING_ZEROS": strip_zeros,
+        "REMOVE_PREFIXES": lambda x: F.regexp_replace(x, rf"(?i)^(({'|'.join(PREFIXES)})[-_ /:]*)+", ""),
+        "TRIM_LEADING_ZEROS": lambda x: F.when(x == "", "0").otherwise(strip_zeros(x)),
     }
-    return reduce(lambda x, step: apply[step](x), steps, c)
+    start = F.regexp_replace(c, r"^\s*([0-9]+)\.0\s*$", "$1")
+    return F.nullif(F.regexp_replace(reduce(lambda x, step: apply[step](x), steps, start), r"^\s+|\s+$", ""), F.lit(""))
 
 
 def doc_core(c: Column) -> Column:

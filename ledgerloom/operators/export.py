@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions.normalize import safe_cell
 
@@ -14,12 +14,12 @@ SECTIONS = {
 
 
 def report(rows: DataFrame) -> DataFrame:
-    """Ordered columns: identity, both sides, P minus G differences (null if a side is missing), section; text cells are guarded."""
+    """Ordered columns: identity, both sides with all taxes (null if the side is missing), P minus G differences (null if either is missing), section; text cells are guarded."""
     section = F.coalesce(F.create_map(*[F.lit(x) for kv in SECTIONS.items() for x in kv])[F.col("verdict")], F.lit("Review"))
     both = (F.col("g_vendor") != "") & (F.col("p_vendor") != "")
-    side = lambda s: [safe_cell(F.nullif(f"{s}_vendor", F.lit(""))).alias(f"{s}_vendor"), safe_cell(F.nullif(f"{s}_doc", F.lit(""))).alias(f"{s}_doc"), F.col(f"{s}_date"), F.col(f"{s}_taxable"), F.col(f"{s}_igst"), F.round(F.col(f"{s}_taxable") + F.col(f"{s}_igst"), 2).alias(f"{s}_value")]
+    side = lambda s: [safe_cell(F.nullif(f"{s}_vendor", F.lit(""))).alias(f"{s}_vendor"), safe_cell(F.nullif(f"{s}_doc", F.lit(""))).alias(f"{s}_doc"), F.col(f"{s}_date"), *(F.when(F.col(f"{s}_vendor") != "", c).alias(f"{s}_{n}") for n, c in (("taxable", F.col(f"{s}_taxable")), ("tax", F.col(f"{s}_tax")), ("value", F.round(F.col(f"{s}_taxable") + F.col(f"{s}_tax"), 2))))]
     diff = lambda c: F.when(both, F.round(F.col(f"p_{c}") - F.col(f"g_{c}"), 2)).alias(f"{c}_diff")
-    return rows.select("row_idx", *side("g"), *side("p"), diff("taxable"), diff("igst"), F.when(both, F.datediff("p_date", "g_date")).alias("days_diff"), "verdict", section.alias("section"))
+    return rows.select("row_idx", *side("g"), *side("p"), diff("taxable"), diff("tax"), F.when(both, F.datediff("p_date", "g_date")).alias("days_diff"), "verdict", section.alias("section"))
 
 
 def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -41,3 +41,72 @@ def write_delimited(rows: DataFrame, path: str, columns: dict[str, str], sep: st
 
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.json(path)
+
+
+#: Fixed values of the report's format: columns in order, by part, and the words of its sections.
+HEAD = "LocationGstin LocationName ReconciliationSection SuggReconciliationSection Reason ActionStatus Action ValueDifference TaxableDifference IGSTDifference CGSTDifference SGSTDifference CessDifference"
+SIDE = "Gstin TradeName LegalName DocumentNumber DocumentDate DocumentType Value POS ReverseCharge TaxableValue Rate IgstAmount CgstAmount SgstAmount CessAmount"
+TAIL = "ReconciliationPercentage ReconciledBy ManualReconciliation ReconciliationDateTime Remarks IMSAction IMSRemarks Gstr1GrcScore Gstr3bGrcScore Notes ReduceITC ReferenceId CPIsReversal Gstr3bNonPayment"
+PACKAGE = (*HEAD.split(), *(f"CP{c}" for c in SIDE.split()), *(f"PR{c}" for c in SIDE.split()), *TAIL.split())
+NUMBERS = frozenset("ReconciliationPercentage Gstr1GrcScore Gstr3bGrcScore".split())
+STATUS = {
+    "EXACT_MATCHED": "Matched", "TOLERANCE_MATCHED": "Matched", "NEAR_MATCHED": "Matched", "HUMAN_SELECTED": "Matched", "MATERIAL_MISMATCH": "Mismatched", "AMBIGUOUS": "Unreconciled",
+    "GST_ONLY": "GST Only", "PR_ONLY": "PR Only", "UNRESOLVED": "Unreconciled",
+}
+
+
+def outcome_rows(exact: DataFrame, tolerance: DataFrame, near: DataFrame, g: DataFrame, p: DataFrame) -> DataFrame:
+    """g_idx, p_idx, status: matches, proposals and, with their top candidate, ambiguous and mismatched rows of near (tiers.ranked()), then what only one ledger has."""
+    named = lambda m, name: m.select("g_idx", "p_idx", F.lit(name).alias("status"))
+    top = near.where("rank = 1")
+    status = F.when(F.col("ambiguous"), "AMBIGUOUS").when(F.col("status") == "NEAR_MATCH_PROPOSED", "NEAR_MATCHED").when(F.col("norm_equal") & ~F.col("agree"), "MATERIAL_MISMATCH")
+    unsure = top.withColumn("status", status).where("status is not null").select("g_idx", "p_idx", "status")
+    out = named(exact, "EXACT_MATCHED").unionByName(named(tolerance, "TOLERANCE_MATCHED")).unionByName(unsure)
+    rest = lambda df, c, name: df.join(out.select(F.col(c).alias("row_idx")), "row_idx", "left_anti").select(*(F.col("row_idx").alias(k) if k == c else F.lit(None).cast("long").alias(k) for k in ("g_idx", "p_idx")), F.lit(name).alias("status"))
+    return out.unionByName(rest(g, "g_idx", "GST_ONLY")).unionByName(rest(p, "p_idx", "PR_ONLY"))
+
+
+def package(outcomes: DataFrame, g: DataFrame, p: DataFrame) -> DataFrame:
+    """The PACKAGE columns of outcomes (g_idx, p_idx, status): sections, P minus G differences, both sides; a null column that a ledger has under the same name is filled from G, then from P."""
+    heads = ("igst", "cgst", "sgst", "cess")
+
+    def side(df: DataFrame, key: str, prefix: str) -> DataFrame:
+        value = F.col("taxable") + sum((F.coalesce(h, F.lit(0)) for h in heads[1:]), F.coalesce(heads[0], F.lit(0)))
+        made = {"Gstin": "vendor", "DocumentNumber": "doc", "DocumentType": "doc_type"}
+        known = {f"{prefix}{n}": safe_cell(F.col(c)) for n, c in made.items()} | {f"{prefix}DocumentDate": F.col("d")}
+        known |= {f"{prefix}{n}": F.col(c).cast("double") for n, c in (("TaxableValue", "taxable"), ("Rate", "rate"), *((f"{h.capitalize()}Amount", h) for h in heads))} | {f"{prefix}Value": value.cast("double")}
+        raw = {c: F.col(c).cast("string") for c in df.columns if c in PACKAGE}
+        return df.select(F.col("row_idx").alias(key), *(c.alias(n) for n, c in known.items()), *(c.alias(f"{prefix}_{n}") for n, c in raw.items()))
+
+    left, right = side(g, "g_idx", "CP"), side(p, "p_idx", "PR")
+    rows = outcomes.join(left, "g_idx", "left").join(right, "p_idx", "left")
+    section = F.coalesce(F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv])[F.col("status")], F.lit("Unreconciled"))
+    diff = lambda c: F.round(F.col(f"PR{c}") - F.col(f"CP{c}"), 2)
+    made = {"ReconciliationSection": section, "Reason": F.col("status"), "ActionStatus": F.lit("Actions Not Taken"), "Action": F.lit("No Action"), "ValueDifference": diff("Value"), "TaxableDifference": diff("TaxableValue")}
+    made |= {f"{h.upper() if h != 'cess' else 'Cess'}Difference": diff(f"{h.capitalize()}Amount") for h in heads}
+
+    def column(name: str) -> Column:
+        raw = [F.col(f"{s}_{name}") for s, df in (("CP", left), ("PR", right)) if f"{s}_{name}" in df.columns]
+        own = [made[name]] if name in made else [F.col(name)] if name in rows.columns else []
+        return (F.coalesce(*own, *raw) if own or raw else F.lit(None).cast("double" if name in NUMBERS else "string")).alias(name)
+
+    return rows.select("g_idx", "p_idx", *(column(c) for c in PACKAGE))
+
+
+def blocking(links: DataFrame, pending: DataFrame, columns: tuple[str, ...] = PACKAGE) -> DataFrame:
+    """code, n: what stops an export: rows used twice, proposals without a decision, columns that the format requires and the package lacks. An empty table lets it pass."""
+    spark = links.sparkSession
+    used = gate(links).groupBy(F.lit("duplicate_consumption").alias("code")).agg(F.count("*").alias("n"))
+    open_ones = pending.groupBy(F.lit("pending_match_decisions").alias("code")).agg(F.count("*").alias("n"))
+    required = ("ReconciliationSection", "Reason", "ActionStatus", "Action", "CPGstin", "PRGstin", "CPDocumentNumber", "PRDocumentNumber")
+    missing = [("target_fields_missing", len([c for c in required if c not in columns]))]
+    return used.unionByName(open_ones).unionByName(spark.createDataFrame(missing, "code string, n long").where("n > 0"))
+
+
+def flags(rows: DataFrame, conditions: dict[str, tuple]) -> DataFrame:
+    """rows with a boolean column for each condition (column, operator, value): CONTAINS, EQUALS, GREATER_THAN, LESS_THAN, BETWEEN (two values), IS_EMPTY. A null value meets IS_EMPTY only."""
+    tests = {
+        "CONTAINS": lambda c, v: F.contains(F.lower(c.cast("string")), F.lit(str(v).lower())), "EQUALS": lambda c, v: c == v, "GREATER_THAN": lambda c, v: c > v, "LESS_THAN": lambda c, v: c < v,
+        "BETWEEN": lambda c, v: c.between(*v), "IS_EMPTY": lambda c, v: c.isNull() | (F.trim(c.cast("string")) == ""),
+    }
+    return rows.withColumns({name: F.coalesce(tests[op](F.col(c), v), F.lit(False)) for name, (c, op, v) in conditions.items()})

@@ -12,8 +12,8 @@ def money(c: str | Column) -> Column:
 
 
 def bucket_counts(rows: DataFrame, by: str = "verdict") -> DataFrame:
-    """n and the amounts of both sides per bucket."""
-    return rows.groupBy(by).agg(F.count("*").alias("n"), money("g_taxable").alias("g_taxable"), money("p_taxable").alias("p_taxable"))
+    """n, the amounts and the taxes of both sides per bucket."""
+    return rows.groupBy(by).agg(F.count("*").alias("n"), *(money(c).alias(c) for c in ("g_taxable", "p_taxable", "g_tax", "p_tax")))
 
 
 def match_rate(rows: DataFrame) -> DataFrame:
@@ -23,29 +23,47 @@ def match_rate(rows: DataFrame) -> DataFrame:
 
 
 def yields(rows: DataFrame, tiers: list[str]) -> DataFrame:
-    """Per tier in order: n, running n and what remains in percent after it. The window sees one row a tier."""
+    """Per verdict in the order of tiers: n, tax, running n and what remains in percent of all rows after it. The window sees one row a verdict."""
     at = F.create_map(*[x for i, t in enumerate(tiers) for x in (F.lit(t), F.lit(i))])
-    per = rows.groupBy("verdict").agg(F.count("*").alias("n")).withColumn("tier", at[F.col("verdict")]).where("tier is not null")
-    upto = Window.orderBy("tier").rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum("n").over(Window.partitionBy())
-    return per.withColumn("running", F.sum("n").over(upto)).withColumn("left_percent", F.round(100.0 * (total - F.col("running")) / total, 1))
+    per = rows.groupBy("verdict").agg(F.count("*").alias("n"), money(tax_of()).alias("tax")).withColumn("_total", total).withColumn("tier", at[F.col("verdict")]).where("tier is not null")
+    upto = Window.orderBy("tier").rowsBetween(Window.unboundedPreceding, 0)
+    return per.withColumn("running", F.sum("n").over(upto)).withColumn("left_percent", F.round(100.0 * (F.col("_total") - F.col("running")) / F.col("_total"), 1)).drop("_total")
+
 
+def tax_of() -> Column:
+    """A row's tax: that of G, or of P where G is missing."""
+    return F.when(F.col("g_vendor") != "", F.col("g_tax")).otherwise(F.col("p_tax"))
 
-def vendor_risk(rows: DataFrame) -> DataFrame:
-    """Per vendor: invoices, matched, claimable and disputed amounts, match percent and risk."""
+
+def vendor_risk(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Per vendor: invoices, matched, claimable and disputed tax, match percent and risk, judged by the percentage before rounding; limit: the vendors with most disputed tax only."""
     vendor = F.coalesce(F.nullif("g_vendor", F.lit("")), "p_vendor")
     hit = F.col("verdict").isin(*MATCHED)
-    out = rows.groupBy(vendor.alias("vendor")).agg(
-        F.count("*").alias("invoices"), F.count_if(hit).alias("matched"), money(F.when(hit, F.col("p_taxable")).otherwise(0.0)).alias("claimable"), money(F.when(~hit, F.greatest("g_taxable", "p_taxable")).otherwise(0.0)).alias("disputed")
-    )
-    percent = F.round(100.0 * F.col("matched") / F.col("invoices"), 1)
-    return out.withColumn("match_percent", percent).withColumn("risk", F.when(F.col("match_percent") < 70, "HIGH").when(F.col("match_percent") < 90, "MED").otherwise("LOW"))
+    out = rows.groupBy(vendor.alias("vendor")).agg(F.count("*").alias("invoices"), F.count_if(hit).alias("matched"), money(F.when(hit, tax_of()).otherwise(0.0)).alias("claimable"), money(F.when(~hit, tax_of()).otherwise(0.0)).alias("disputed"))
+    percent = 100.0 * F.col("matched") / F.col("invoices")
+    out = out.withColumn("match_percent", F.round(percent, 1)).withColumn("risk", F.when(percent < 70, "HIGH").when(percent < 90, "MED").otherwise("LOW"))
+    return out if limit is None else out.orderBy(F.desc("disputed"), "vendor").limit(limit)
+
+
+def claims(rows: DataFrame) -> DataFrame:
+    """One row: claimable and disputed tax of all rows."""
+    hit = F.col("verdict").isin(*MATCHED)
+    return rows.agg(money(F.when(hit, tax_of()).otherwise(0.0)).alias("claimable"), money(F.when(~hit, tax_of()).otherwise(0.0)).alias("disputed"))
 
 
 def disposition_matrix(rows: DataFrame) -> DataFrame:
-    """Per verdict: n and its percentage of all rows."""
-    total = F.sum("n").over(Window.partitionBy())
-    return rows.groupBy("verdict").agg(F.count("*").alias("n")).withColumn("percent", F.round(100.0 * F.col("n") / total, 2))
+    """Per verdict: n and its percentage of the rows of its own ledger: P for what only P has, else G."""
+    total = lambda s: F.sum(f"{s}_n").over(Window.partitionBy())
+    per = rows.groupBy("verdict").agg(F.count("*").alias("n"), *(F.count_if(F.col(f"{s}_vendor") != "").alias(f"{s}_n") for s in "gp"))
+    of = F.when(F.col("verdict") == "PR Only", total("p")).otherwise(total("g"))
+    return per.withColumn("percent", F.round(100.0 * F.col("n") / F.nullif(of, F.lit(0)), 1)).select("verdict", "n", "percent")
+
+
+def top_vendors(rows: DataFrame, limit: int = 5) -> DataFrame:
+    """The vendors with most rows that did not match."""
+    vendor = F.coalesce(F.nullif("g_vendor", F.lit("")), "p_vendor")
+    return rows.where(~F.col("verdict").isin(*MATCHED)).groupBy(vendor.alias("vendor")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "vendor").limit(limit)
 
 
 def variance_bands(rows: DataFrame) -> DataFrame:

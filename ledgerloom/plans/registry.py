@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.functions import normalize
-from ledgerloom.operators import explore, export, profile, summary, tiers, waterfall, wide
+from ledgerloom.operators import explore, export, profile, rules, summary, tiers, waterfall, wide
 from ledgerloom.sources.ledgers import ledgers, sql, tranches, wide as wide_table
 from ledgerloom.sources.store import materialize
 
@@ -46,7 +46,7 @@ BLANK = "('', 'NAN', 'NONE')"
 CORE = "regexp_replace(regexp_replace(regexp_replace({0}, '^((INV|BILL|TAX|GST|REF|DN|CN|PO|VCH|[0-9]{{4}}|FY[0-9]{{2}})[/_ :-]*)+', ''), '[^A-Z0-9]', '', 'g'), '^0+', '')"
 TIERS_SQL = f""", c AS (
   SELECT row_idx, scenario, upper(trim(coalesce(g_vendor, ''))) AS g_vendor, upper(trim(coalesce(p_vendor, ''))) AS p_vendor, upper(trim(coalesce(g_doc, ''))) AS g_doc, upper(trim(coalesce(p_doc, ''))) AS p_doc,
-    g_date, p_date, g_taxable, p_taxable, g_igst, p_igst FROM {{w}}
+    g_date, p_date, g_taxable, p_taxable, g_igst, p_igst, g_tax, p_tax FROM {{w}}
 ), x AS (
   SELECT *, g_vendor IN {BLANK} AND g_doc IN {BLANK} AS g_blank, p_vendor IN {BLANK} AND p_doc IN {BLANK} AS p_blank, regexp_replace(g_doc, '[^A-Z0-9]', '', 'g') AS g_alnum, regexp_replace(p_doc, '[^A-Z0-9]', '', 'g') AS p_alnum,
     coalesce(nullif({CORE.format("g_doc")}, ''), g_doc) AS g_core, coalesce(nullif({CORE.format("p_doc")}, ''), p_doc) AS p_core,
@@ -68,7 +68,7 @@ VERDICTS_SQL = """, v AS (
     CASE WHEN tier1 THEN 'Exact Match' WHEN consolidated THEN 'Consolidated Match' WHEN blocked THEN 'Ineligible ITC [Sec 17(5)]' WHEN tier2 THEN 'Tolerance Match' WHEN tier3 THEN 'Near Match' WHEN g_blank AND NOT p_blank THEN 'PR Only' WHEN NOT g_blank AND p_blank THEN 'GST Only' ELSE 'Ambiguous' END AS verdict,
     CASE WHEN tier1 THEN 'EXACT_ZERO_VARIANCE' WHEN consolidated THEN 'BANKING_MULTI_TRANCHE' WHEN blocked THEN 'INELIGIBLE_ITC_17_5' WHEN cross_fy THEN 'CROSS_FY_TIMING' WHEN drift THEN 'DATE_OPERATIONAL_SHIFT' WHEN prefix THEN 'DOC_PREFIX_NORMALIZED' WHEN compound THEN 'COMPOUND_DOC_DATE_VARIATION'
       WHEN tier2 THEN 'COMMERCIAL_TOLERANCE' WHEN tier3 THEN 'NEAR_MATCH' WHEN g_blank AND NOT p_blank THEN 'PR_ONLY' WHEN NOT g_blank AND p_blank THEN 'GST_ONLY' ELSE 'AMBIGUOUS_COLLISION' END AS sub,
-    CASE WHEN tier1 THEN 1 WHEN tier2 THEN 2 WHEN tier3 THEN 3 WHEN blocked OR consolidated THEN 4 ELSE 5 END AS tier, coalesce(nullif(g_vendor, ''), p_vendor) AS who, verdict IN ('Exact Match', 'Tolerance Match', 'Near Match', 'Consolidated Match') AS hit FROM z3 LEFT JOIN (SELECT DISTINCT row_idx AS batch_row FROM batched) ON row_idx = batch_row
+    CASE WHEN tier1 THEN 1 WHEN tier2 THEN 2 WHEN tier3 THEN 3 WHEN blocked OR consolidated THEN 4 ELSE 5 END AS tier, coalesce(nullif(g_vendor, ''), p_vendor) AS who, verdict IN ('Exact Match', 'Tolerance Match', 'Near Match', 'Consolidated Match') AS hit, CASE WHEN g_vendor <> '' THEN g_tax ELSE p_tax END AS tax FROM z3 LEFT JOIN (SELECT DISTINCT row_idx AS batch_row FROM batched) ON row_idx = batch_row
 )"""
 
 
@@ -180,7 +180,8 @@ def near_blocked_pairs(spark, sf_dir):
 @query()
 def near_candidates(spark, sf_dir):
     g, p = after_exact(spark, sf_dir)
-    return tiers.ranked(tiers.scored(tiers.blocked_pairs(g, p)))
+    two = tiers.tolerance(g, p)[0]
+    return tiers.ranked(tiers.scored(tiers.blocked_pairs(tiers.residual(g, two, "g_idx"), tiers.residual(p, two, "p_idx"))))
 
 
 @query()
@@ -276,12 +277,12 @@ def waterfall_dispositions(spark, sf_dir):
     return waterfall.dispositions(waterfall.waterfall(*ledgers(spark, sf_dir)))
 
 
-@query(f"{WIDE} SELECT verdict, count(*) AS n, {money('g_taxable')} AS g_taxable, {money('p_taxable')} AS p_taxable FROM v GROUP BY verdict")
+@query(f"{WIDE} SELECT verdict, count(*) AS n, {money('g_taxable')} AS g_taxable, {money('p_taxable')} AS p_taxable, {money('g_tax')} AS g_tax, {money('p_tax')} AS p_tax FROM v GROUP BY verdict")
 def summary_buckets(spark, sf_dir):
     return summary.bucket_counts(classified(spark, sf_dir))
 
 
-@query(f"{WIDE} SELECT sub, count(*) AS n, {money('g_taxable')} AS g_taxable, {money('p_taxable')} AS p_taxable FROM v GROUP BY sub")
+@query(f"{WIDE} SELECT sub, count(*) AS n, {money('g_taxable')} AS g_taxable, {money('p_taxable')} AS p_taxable, {money('g_tax')} AS g_tax, {money('p_tax')} AS p_tax FROM v GROUP BY sub")
 def summary_subclasses(spark, sf_dir):
     return summary.bucket_counts(classified(spark, sf_dir), "sub")
 
@@ -295,8 +296,8 @@ TIERS = ["Exact Match", "Consolidated Match", "Ineligible ITC [Sec 17(5)]", "Tol
 
 
 @query(
-    f"""{WIDE}, n AS (SELECT verdict, count(*) AS n, cast(list_position({TIERS!r}, verdict) - 1 AS int) AS tier FROM v WHERE list_contains({TIERS!r}, verdict) GROUP BY verdict),
-    r AS (SELECT *, cast(sum(n) OVER (ORDER BY tier) AS bigint) AS running, cast(sum(n) OVER () AS bigint) AS total FROM n) SELECT verdict, n, tier, running, cast(round(100.0 * (total - running) / total, 1) AS double) AS left_percent FROM r"""
+    f"""{WIDE}, n AS (SELECT verdict, count(*) AS n, {money('tax')} AS tax, cast(list_position({TIERS!r}, verdict) - 1 AS int) AS tier FROM v GROUP BY verdict),
+    r AS (SELECT *, cast(sum(n) OVER (ORDER BY tier) AS bigint) AS running, (SELECT count(*) FROM v) AS total FROM n) SELECT verdict, n, tax, tier, running, cast(round(100.0 * (total - running) / total, 1) AS double) AS left_percent FROM r"""
 )
 def summary_yields(spark, sf_dir):
     out = summary.yields(classified(spark, sf_dir), TIERS)
@@ -304,15 +305,15 @@ def summary_yields(spark, sf_dir):
 
 
 @query(
-    f"""{WIDE} SELECT who AS vendor, count(*) AS invoices, count(*) FILTER (WHERE hit) AS matched, {money("CASE WHEN hit THEN p_taxable ELSE 0 END")} AS claimable, {money("CASE WHEN hit THEN 0 ELSE greatest(g_taxable, p_taxable) END")} AS disputed,
+    f"""{WIDE} SELECT who AS vendor, count(*) AS invoices, count(*) FILTER (WHERE hit) AS matched, {money("CASE WHEN hit THEN tax ELSE 0 END")} AS claimable, {money("CASE WHEN hit THEN 0 ELSE tax END")} AS disputed,
     cast(round(100.0 * count(*) FILTER (WHERE hit) / count(*), 1) AS double) AS match_percent,
-    CASE WHEN round(100.0 * count(*) FILTER (WHERE hit) / count(*), 1) < 70 THEN 'HIGH' WHEN round(100.0 * count(*) FILTER (WHERE hit) / count(*), 1) < 90 THEN 'MED' ELSE 'LOW' END AS risk FROM v GROUP BY who"""
+    CASE WHEN 10 * count(*) FILTER (WHERE hit) < 7 * count(*) THEN 'HIGH' WHEN 10 * count(*) FILTER (WHERE hit) < 9 * count(*) THEN 'MED' ELSE 'LOW' END AS risk FROM v GROUP BY who"""
 )
 def summary_vendor_risk(spark, sf_dir):
     return summary.vendor_risk(classified(spark, sf_dir)).withColumn("match_percent", F.col("match_percent").cast("double"))
 
 
-@query(f"{WIDE} SELECT verdict, count(*) AS n, cast(round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS double) AS percent FROM v GROUP BY verdict")
+@query(f"{WIDE} SELECT verdict, count(*) AS n, cast(round(100.0 * count(*) / (SELECT count(*) FROM v AS o WHERE CASE WHEN v.verdict = 'PR Only' THEN o.p_vendor ELSE o.g_vendor END <> ''), 1) AS double) AS percent FROM v GROUP BY verdict")
 def summary_matrix(spark, sf_dir):
     return summary.disposition_matrix(classified(spark, sf_dir)).withColumn("percent", F.col("percent").cast("double"))
 
@@ -364,8 +365,9 @@ def explore_what_if(spark, sf_dir):
 
 
 @query(
-    f"""{WIDE} SELECT row_idx, nullif(g_vendor, '') AS g_vendor, nullif(g_doc, '') AS g_doc, g_date, g_taxable, g_igst, round(g_taxable + g_igst, 2) AS g_value, nullif(p_vendor, '') AS p_vendor, nullif(p_doc, '') AS p_doc, p_date, p_taxable, p_igst, round(p_taxable + p_igst, 2) AS p_value,
-    CASE WHEN g_vendor <> '' AND p_vendor <> '' THEN round(p_taxable - g_taxable, 2) END AS taxable_diff, CASE WHEN g_vendor <> '' AND p_vendor <> '' THEN round(p_igst - g_igst, 2) END AS igst_diff, CASE WHEN g_vendor <> '' AND p_vendor <> '' THEN cast(date_diff('day', g_date, p_date) AS int) END AS days_diff, verdict,
+    f"""{WIDE} SELECT row_idx, nullif(g_vendor, '') AS g_vendor, nullif(g_doc, '') AS g_doc, g_date, CASE WHEN g_vendor <> '' THEN g_taxable END AS g_taxable, CASE WHEN g_vendor <> '' THEN g_tax END AS g_tax, CASE WHEN g_vendor <> '' THEN round(g_taxable + g_tax, 2) END AS g_value,
+    nullif(p_vendor, '') AS p_vendor, nullif(p_doc, '') AS p_doc, p_date, CASE WHEN p_vendor <> '' THEN p_taxable END AS p_taxable, CASE WHEN p_vendor <> '' THEN p_tax END AS p_tax, CASE WHEN p_vendor <> '' THEN round(p_taxable + p_tax, 2) END AS p_value,
+    CASE WHEN g_vendor <> '' AND p_vendor <> '' THEN round(p_taxable - g_taxable, 2) END AS taxable_diff, CASE WHEN g_vendor <> '' AND p_vendor <> '' THEN round(p_tax - g_tax, 2) END AS tax_diff, CASE WHEN g_vendor <> '' AND p_vendor <> '' THEN cast(date_diff('day', g_date, p_date) AS int) END AS days_diff, verdict,
     CASE verdict WHEN 'Exact Match' THEN 'Matched' WHEN 'Tolerance Match' THEN 'Matched' WHEN 'Consolidated Match' THEN 'Matched' WHEN 'Near Match' THEN 'Probable' WHEN 'GST Only' THEN 'Missing in P' WHEN 'PR Only' THEN 'Missing in G' ELSE 'Review' END AS section FROM v"""
 )
 def export_report(spark, sf_dir):
@@ -377,7 +379,170 @@ def export_fingerprint(spark, sf_dir):
     return export.fingerprint(classified(spark, sf_dir), ["row_idx", "verdict", "sub"])
 
 
-@query("SELECT 'vendor' AS \"column\", count(*) AS \"rows\", count(vendor) AS non_null, 0.0::double AS null_percent, count(DISTINCT vendor) AS \"distinct\", min(vendor) AS lowest, max(vendor) AS highest, 0.0::double AS numeric_share, 0.0::double AS date_share, 0.0::double AS tax_id_share FROM p UNION ALL SELECT 'd', count(*), count(d), 0.0, count(DISTINCT d), min(cast(d AS string)), max(cast(d AS string)), 0.0, 1.0, 0.0 FROM p")
+SHARE = "coalesce(round(count(*) FILTER ({0}) / count(c), 4), 0)"
+
+
+def profile_sql(name: str, text: str, kind: str) -> str:
+    order = "cast(c AS double)" if kind == "number" else "c"
+    return f"""SELECT '{name}' AS "column", count(*) AS "rows", count(c) AS non_null, cast(round(100.0 * (count(*) - count(c)) / count(*), 2) AS double) AS null_percent, count(DISTINCT c) AS "distinct", arg_min(c, {order}) AS lowest, arg_max(c, {order}) AS highest,
+    {SHARE.format("regexp_full_match(c, '-?[0-9]*[.]?[0-9]+')")} AS numeric_share, {SHARE.format("try_cast(c AS date) IS NOT NULL")} AS date_share, 0.0::double AS tax_id_share, 0.0::double AS pan_share, 0.0::double AS hex_share, {SHARE.format("regexp_full_match(c, '[0-9]{1,2}([.][0-9]+)?|100([.]0+)?')")} AS percent_share,
+    {"'yyyy-MM-dd'" if kind == "date" else "NULL"} AS date_format, (SELECT string_agg(x, '|' ORDER BY x) FROM (SELECT DISTINCT {text} AS x FROM p ORDER BY x LIMIT 3)) AS samples FROM (SELECT {text} AS c FROM p)"""
+
+
+@query(" UNION ALL ".join(profile_sql(n, t, k) for n, t, k in (("vendor", "vendor", "text"), ("d", "cast(d AS string)", "date"), ("taxable", "cast(taxable AS string)", "number"), ("rate", "cast(rate AS string)", "number"))))
 def profile_ledger(spark, sf_dir):
-    out = profile.profile(ledgers(spark, sf_dir)[1], ["vendor", "d"])
-    return out.withColumn("null_percent", F.col("null_percent").cast("double"))
+    out = profile.profile(ledgers(spark, sf_dir)[1], ["vendor", "d", "taxable", "rate"])
+    return out.withColumns({"null_percent": F.col("null_percent").cast("double"), "samples": F.array_join("samples", "|")})
+
+
+@query("""SELECT * FROM (VALUES ('vendor', 'string'), ('d', 'date'), ('taxable', 'number'), ('rate', 'number')) AS t("column", type)""")
+def profile_types(spark, sf_dir):
+    return profile.inferred_types(profile.profile(ledgers(spark, sf_dir)[1], ["vendor", "d", "taxable", "rate"]))
+
+
+@query("""SELECT * FROM (VALUES ('vendor', true), ('cess', true), ('nothing', false)) AS t("column", usable)""")
+def profile_available_rules(spark, sf_dir):
+    return profile.available_rules(ledgers(spark, sf_dir)[1].withColumn("nothing", F.lit(" ")), ["vendor", "cess", "nothing"])
+
+
+RULED = "regexp_replace(ltrim(regexp_replace(regexp_replace(upper(trim(regexp_replace({0}, '[ ]+', ' ', 'g'))), '^((INV|BILL|TAX|GST|REF|DN|CN)[-_ /:]*)+', ''), '[^A-Za-z0-9]', '', 'g'), '0'), '^$', '0')"
+#: One G row at most has a document here, so the first free P row of each G row is the first one that passes.
+RULES = f""", rg AS (SELECT *, {RULED.format('doc')} AS n FROM g), rp AS (SELECT *, {RULED.format('doc')} AS n FROM p), rpair AS (SELECT rg.row_idx AS g_idx, rp.row_idx AS p_idx, rg.doc = rp.doc AS raw, abs(rg.taxable - rp.taxable)::double AS t, abs(date_diff('day', rg.d, rp.d)) AS days
+  FROM rg JOIN rp USING (vendor, n))"""
+
+
+@query(f"{RULES} SELECT g_idx, min(p_idx) AS p_idx FROM rpair WHERE t <= 10.0001 AND days <= 30 GROUP BY g_idx")
+def rules_simulate(spark, sf_dir):
+    return rules.simulate(*ledgers(spark, sf_dir), rules.DEFAULT)
+
+
+@query(
+    f"""{RULES}, tiered AS (SELECT g_idx, min(CASE WHEN raw AND t <= 0.0001 AND days = 0 THEN 'Tier 1: Strict' WHEN t <= 0.0001 AND days = 0 THEN 'Tier 2: Normalized' ELSE 'Tier 3: Tolerance' END) AS tier FROM rpair WHERE t <= 10.0001 AND days <= 30 GROUP BY g_idx),
+    y AS (SELECT tier, count(*) AS n, cast(sum(igst + cgst + sgst) AS double) AS tax FROM tiered JOIN g ON g_idx = row_idx GROUP BY tier)
+    SELECT tier, n, tax, cast(sum(n) OVER (ORDER BY tier) AS bigint) AS running, cast(round(100.0 * sum(n) OVER (ORDER BY tier) / (SELECT count(*) FROM g), 1) AS double) AS percent FROM y"""
+)
+def rules_tier_yields(spark, sf_dir):
+    g, p = ledgers(spark, sf_dir)
+    return rules.tier_yields(rules.tiered(g, p), g)
+
+
+@query(
+    f"""{RULES} SELECT 'vendor' AS rule, cast(sum(least(a.k, b.k)) AS bigint) AS pairs FROM (SELECT vendor, count(*) AS k FROM g GROUP BY vendor) a JOIN (SELECT vendor, count(*) AS k FROM p GROUP BY vendor) b USING (vendor)
+    UNION ALL SELECT 'document', cast(sum(least(a.k, b.k)) AS bigint) FROM (SELECT n, count(*) AS k FROM rg GROUP BY n) a JOIN (SELECT n, count(*) AS k FROM rp GROUP BY n) b USING (n)"""
+)
+def rules_text_yields(spark, sf_dir):
+    g, p = ledgers(spark, sf_dir)
+    return rules.rule_yield(g, p, rules.VENDOR).unionByName(rules.rule_yield(g, p, rules.DOC))
+
+
+@query()
+def rules_range_yields(spark, sf_dir):
+    g, p = ledgers(spark, sf_dir)
+    return rules.rule_yield(g, p, rules.AMOUNT).unionByName(rules.rule_yield(g, p, rules.DAY))
+
+
+@query()
+def rules_without_text(spark, sf_dir):
+    return rules.simulate(*ledgers(spark, sf_dir), (rules.AMOUNT, rules.DAY))
+
+
+@query()
+def rules_passes(spark, sf_dir):
+    return rules.four_passes(*ledgers(spark, sf_dir))
+
+
+@query(f"{RULES} SELECT g_idx, min(p_idx) AS p_idx FROM rpair WHERE t <= 0.05 AND days = 0 GROUP BY g_idx")
+def rules_pass_exact(spark, sf_dir):
+    return rules_passes(spark, sf_dir).where("pass = 1").select("g_idx", "p_idx")
+
+
+@query(f"{RULES}, r1 AS (SELECT g_idx, min(p_idx) AS p_idx FROM rpair WHERE t <= 0.05 AND days = 0 GROUP BY g_idx) SELECT g_idx, min(p_idx) AS p_idx FROM rpair WHERE t <= 10.001 AND days <= 30 AND g_idx NOT IN (SELECT g_idx FROM r1) AND p_idx NOT IN (SELECT p_idx FROM r1) GROUP BY g_idx HAVING count(*) = 1")
+def rules_pass_tolerance(spark, sf_dir):
+    return rules_passes(spark, sf_dir).where("pass = 2").select("g_idx", "p_idx")
+
+
+@query("SELECT side, count(*) AS n FROM (SELECT 'G' AS side FROM g UNION ALL SELECT 'P' FROM p) GROUP BY side")
+def rules_passes_cover(spark, sf_dir):
+    """Every source row has one outcome: G rows by their first candidate, P rows as matched or residual."""
+    links = rules_passes(spark, sf_dir).where("rank = 1")
+    g = links.where("g_idx is not null").select(F.lit("G").alias("side"), "g_idx").distinct()
+    p = links.where("pass != 4 and p_idx is not null").select(F.lit("P").alias("side"), "p_idx").distinct()
+    return g.select("side").unionByName(p.select("side")).groupBy("side").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""{EXACT.replace('FROM p)', "FROM p2)").replace(', ng AS', ", p2 AS (SELECT * FROM p UNION ALL SELECT * REPLACE (row_idx + 5 AS row_idx) FROM p WHERE scenario = 9), ng AS")}, g1 AS (SELECT * FROM g WHERE row_idx NOT IN (SELECT g_idx FROM exact)), p1 AS (SELECT * FROM p2 WHERE row_idx NOT IN (SELECT p_idx FROM exact)),
+    pairs AS (SELECT g1.row_idx AS g_idx, p1.row_idx AS p_idx FROM g1 JOIN p1 USING (vendor, doc) WHERE abs(g1.taxable - p1.taxable) <= 10 AND abs(date_diff('day', g1.d, p1.d)) <= 5), counted AS (SELECT *, count(*) OVER (PARTITION BY g_idx) AS of_g, count(*) OVER (PARTITION BY p_idx) AS of_p FROM pairs)
+    SELECT g_idx, count(*) AS n, min(p_idx) AS first_p FROM counted WHERE NOT (of_g = 1 AND of_p = 1) GROUP BY g_idx"""
+)
+def tiers_conflicts_repeated(spark, sf_dir):
+    """Conflicts where P books some documents twice."""
+    g, p = ledgers(spark, sf_dir)
+    p = p.unionByName(p.where("scenario = 9").withColumn("row_idx", F.col("row_idx") + 5))
+    one = tiers.exact(g, p)
+    c = tiers.tolerance(tiers.residual(g, one, "g_idx"), tiers.residual(p, one, "p_idx"))[1]
+    return c.select("g_idx", F.size("p_ids").cast("long").alias("n"), F.col("p_ids")[0].alias("first_p"))
+
+
+@query(f"{WIDE} SELECT {money('CASE WHEN hit THEN tax ELSE 0 END')} AS claimable, {money('CASE WHEN hit THEN 0 ELSE tax END')} AS disputed FROM v")
+def summary_claims(spark, sf_dir):
+    return summary.claims(classified(spark, sf_dir))
+
+
+@query(f"{WIDE} SELECT who AS vendor, count(*) AS n FROM v WHERE NOT hit GROUP BY who ORDER BY n DESC, vendor LIMIT 5")
+def summary_top_vendors(spark, sf_dir):
+    return summary.top_vendors(classified(spark, sf_dir))
+
+
+@query(f"{WIDE}, x2 AS (SELECT *, sum(p_taxable) OVER (PARTITION BY batch) AS total FROM batched JOIN (SELECT row_idx, p_taxable FROM w) USING (row_idx)) SELECT row_idx, batch, CASE WHEN total > 0 THEN round(100 * p_taxable / total, 1) ELSE 0 END AS share FROM x2")
+def wide_batch_shares(spark, sf_dir):
+    rows = wide_table(spark, sf_dir)
+    return wide.shares(wide.batches(rows).join(rows.select("row_idx", "p_taxable"), "row_idx"), "p_taxable").select("row_idx", "batch", "share")
+
+
+@query(f"{WIDE} SELECT row_idx FROM v WHERE who = (SELECT who FROM v WHERE row_idx = 10) AND row_idx <> 10 ORDER BY row_idx LIMIT 9")
+def explore_related(spark, sf_dir):
+    return explore.related(classified(spark, sf_dir), 10).select("row_idx")
+
+
+@query(
+    f"""{REST} SELECT g1.row_idx AS g_idx, p1.row_idx AS p_idx, concat_ws(',', CASE WHEN abs(g1.taxable - p1.taxable) > 10 THEN 'taxable_value' END, CASE WHEN abs(date_diff('day', g1.d, p1.d)) > 5 THEN 'document_date' END) AS blockers,
+    abs(g1.taxable - p1.taxable) <= 10 AND abs(date_diff('day', g1.d, p1.d)) <= 5 AS passes FROM g1 JOIN p1 USING (vendor, doc)"""
+)
+def explore_blockers(spark, sf_dir):
+    g, p = after_exact(spark, sf_dir)
+    side = lambda df, s, i: df.select("vendor", "doc", F.col("row_idx").alias(i), F.col("taxable").alias(f"t{s}"), F.col("d").alias(f"d{s}"))
+    pairs = side(g, "g", "g_idx").join(side(p, "p", "p_idx"), ["vendor", "doc"]).withColumns({"amount_diff": F.abs(F.col("tg") - F.col("tp")), "days": normalize.days_apart(F.col("dg"), F.col("dp"))})
+    return explore.blockers(pairs, 10, 5).select("g_idx", "p_idx", F.array_join("blockers", ",").alias("blockers"), "passes")
+
+
+PACKAGE_SIDE = {"Gstin": "vendor", "DocumentNumber": "doc", "DocumentDate": "d", "DocumentType": "doc_type", "TaxableValue": "taxable::double", "Rate": "rate::double", "IgstAmount": "igst::double", "CgstAmount": "cgst::double", "SgstAmount": "sgst::double", "CessAmount": "cess::double", "Value": "(taxable + igst + cgst + sgst + cess)::double"}
+
+
+def package_sql() -> str:
+    side = lambda t, prefix: ", ".join(f"{t}.{expr} AS {prefix}{n}" if "(" not in expr else f"({t}.taxable + {t}.igst + {t}.cgst + {t}.sgst + {t}.cess)::double AS {prefix}{n}" for n, expr in PACKAGE_SIDE.items())
+    diffs = {"ValueDifference": "Value", "TaxableDifference": "TaxableValue", "IGSTDifference": "IgstAmount", "CGSTDifference": "CgstAmount", "SGSTDifference": "SgstAmount", "CessDifference": "CessAmount"}
+    known = {"ReconciliationSection": "CASE status WHEN 'GST_ONLY' THEN 'GST Only' WHEN 'PR_ONLY' THEN 'PR Only' ELSE 'Matched' END", "Reason": "status", "ActionStatus": "'Actions Not Taken'", "Action": "'No Action'"}
+    known |= {n: f"round(PR{c} - CP{c}, 2)" for n, c in diffs.items()} | {f"{s}{n}": f"{s}{n}" for s in ("CP", "PR") for n in PACKAGE_SIDE}
+    null = lambda c: "cast(NULL AS double)" if c in ("ReconciliationPercentage", "Gstr1GrcScore", "Gstr3bGrcScore") else "cast(NULL AS varchar)"
+    return f"""{REST}, done AS (SELECT g_idx, p_idx, 'EXACT_MATCHED' AS status FROM exact UNION ALL SELECT g_idx, p_idx, 'TOLERANCE_MATCHED' FROM counted WHERE of_g = 1 AND of_p = 1),
+    out_rows AS (FROM done UNION ALL SELECT row_idx, NULL, 'GST_ONLY' FROM g WHERE row_idx NOT IN (SELECT g_idx FROM done) UNION ALL SELECT NULL, row_idx, 'PR_ONLY' FROM p WHERE row_idx NOT IN (SELECT p_idx FROM done)),
+    both_sides AS (SELECT g_idx, p_idx, status, {side('g', 'CP')}, {side('p', 'PR')} FROM out_rows LEFT JOIN g ON g.row_idx = g_idx LEFT JOIN p ON p.row_idx = p_idx)
+    SELECT g_idx, p_idx, {', '.join(f"{known.get(c) or null(c)} AS {c}" for c in export.PACKAGE)} FROM both_sides"""
+
+
+@query(package_sql())
+def export_package(spark, sf_dir):
+    """The report's columns for exact and tolerance matches and what is left, before the near stage."""
+    g, p = ledgers(spark, sf_dir)
+    one = materialize(tiers.exact(g, p), "exact", lean=True)
+    g1, p1 = tiers.residual(g, one, "g_idx"), tiers.residual(p, one, "p_idx")
+    two = tiers.tolerance(g1, p1)[0]
+    none = spark.createDataFrame([], "g_idx long, p_idx long, rank int, status string, ambiguous boolean, norm_equal boolean, agree boolean")
+    return export.package(export.outcome_rows(one, two, none, g, p), g, p)
+
+
+@query("SELECT * FROM (VALUES ('duplicate_consumption', 2::bigint), ('pending_match_decisions', 3::bigint)) AS t(code, n)")
+def export_blocking(spark, sf_dir):
+    links = spark.createDataFrame([(1, 10), (1, 11), (2, 12), (3, 12)], "g_idx long, p_idx long")
+    return export.blocking(links, spark.range(3))

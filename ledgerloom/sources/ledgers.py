@@ -48,7 +48,8 @@ FROM (
 WIDE = """
 SELECT coalesce(g.row_idx * 10, p.row_idx) AS row_idx, g.vendor AS g_vendor, p.vendor AS p_vendor, g.doc AS g_doc, p.doc AS p_doc, g.d AS g_date, p.d AS p_date,
   cast(coalesce(g.taxable, 0) AS double) AS g_taxable, cast(coalesce(p.taxable, 0) AS double) AS p_taxable,
-  cast(coalesce(g.igst, 0) AS double) AS g_igst, cast(coalesce(p.igst, 0) AS double) AS p_igst, coalesce(g.scenario, p.scenario) AS scenario
+  cast(coalesce(g.igst, 0) AS double) AS g_igst, cast(coalesce(p.igst, 0) AS double) AS p_igst,
+  cast(coalesce(g.igst, 0) + coalesce(g.cgst, 0) + coalesce(g.sgst, 0) AS double) AS g_tax, cast(coalesce(p.igst, 0) + coalesce(p.cgst, 0) + coalesce(p.sgst, 0) AS double) AS p_tax, coalesce(g.scenario, p.scenario) AS scenario
 FROM {g} AS g FULL OUTER JOIN {p} AS p ON g.order_key = p.order_key AND p.row_idx % 10 = 0
 """
 
@@ -68,7 +69,7 @@ def wide(spark: SparkSession, sf_dir: str, form: str = WIDE) -> DataFrame:
     """The single-table form."""
     g, p = ledgers(spark, sf_dir)
     out = spark.sql(form, g=g, p=p)
-    return out.withColumns({c: F.col(c).cast("double") for c in ("g_taxable", "p_taxable", "g_igst", "p_igst")})
+    return out.withColumns({c: F.col(c).cast("double") for c in ("g_taxable", "p_taxable", "g_igst", "p_igst", "g_tax", "p_tax")})
 
 
 def tranches(spark: SparkSession, sf_dir: str) -> DataFrame:
