@@ -1,11 +1,11 @@
 """Main text of web pages by a linear-chain conditional random field over DOM leaf blocks.
 
 A page is cut into leaf blocks: runs of text that no block-level tag interrupts, each with its open ancestors. Features of a
-block are its ancestors' tags, the roles that their class, id and role names stand for, and shape of its text: length, links, end marks,
+block are its ancestors' tags, the roles that their class, id and role names stand for, words that parts of a page say about themselves, and the shape of its text: length, links, end marks,
 place in the page. The field is trained on labelled pages (labelled_pages() makes them from a seed; others can be given) by gradient
 ascent on the exact likelihood, and the best labelling is found by Viterbi.
 
-Text: scripts, styles, comments and the head are no text; character references are decoded; white space inside a block becomes one
+Text: scripts, styles, comments, the head and what form controls show are no text; character references are decoded; white space inside a block becomes one
 space; blocks of the article are joined in page order by one newline.
 
 Nulls and edge cases: a null html is empty and gives an empty text; markup that breaks off, unclosed tags and stray end tags are read like
@@ -16,11 +16,13 @@ same text; null page_ids and urls are carried; pages of any length are read whol
 from __future__ import annotations
 
 import html as html_lib
+import json
 import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,9 @@ NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: Fixed lists of the HTML vocabulary.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr button input select".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr button input select option optgroup datalist output".split())
+#: Controls: what they show is no text of the page.
+CONTROLS = frozenset("button select option optgroup datalist input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSED_BY_ITSELF = frozenset("li td th tr dt dd option p".split())
@@ -58,6 +62,13 @@ ROLES = {
     "content": "content article post entry story body main text prose markdown",
     "byline": "byline author date meta tags tag published category",
 }
+#: Fixed list of words that the parts of a page say about themselves.
+SAYS = {
+    "menu": "home about contact menu next previous page archive", "advert": "advertisement sponsored sponsor promoted ad offer deal", "foot": "copyright rights reserved privacy terms imprint policy sitemap",
+    "side": "related popular trending recommended also latest recent more newest", "notice": "cookie cookies consent accept subscribe newsletter browser javascript", "reader": "comment comments reply replies posted says", "form": "search password email login register sign submit",
+    "share": "share tweet follow facebook twitter email print",
+}
+SAYS_OF = {w: role for role, words in SAYS.items() for w in words.split()}
 ROLE_OF = {name: role for role, names in ROLES.items() for name in names.split()}
 
 
@@ -101,7 +112,7 @@ def blocks(page: str) -> list[Block]:
 
     def take(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and not any(t in CONTROLS for t, _ in stack):
             text = html_lib.unescape(raw) if "&" in raw else raw
             parts.append(text)
             if any(t == "a" for t, _ in stack):
@@ -141,6 +152,7 @@ def blocks(page: str) -> list[Block]:
 LENGTHS = (1, 2, 3, 5, 8, 12, 20, 40, 80)
 NAMES = [f"tag {t}" for t in TAGS] + [f"in {r}" for r in ROLES] + [f"at {r}" for r in ROLES] + [f"below {r}" for r in ROLES] + [f"own {t}" for t in TAGS] + [f"words>={n}" for n in LENGTHS]
 NAMES += ["links some", "links most", "links all", "stop", "colon", "copyright", "digits", "first", "last", "early", "late", "no landmark", "bias"]
+NAMES += [f"says {r}" for r in SAYS] + ["says nothing"]
 INDEX = {n: i for i, n in enumerate(NAMES)}
 LANDMARKS = frozenset("article main nav header footer aside form".split())
 
@@ -168,6 +180,8 @@ def text_features(block: Block, i: int, n: int) -> list[int]:
     out = [INDEX[f"words>={k}"] for k in LENGTHS if words >= k]
     share = block.linked / len(text)
     out += [INDEX[x] for x, yes in (("links some", share > 0.1), ("links most", share > 0.5), ("links all", share > 0.9), ("stop", text[-1] in ".!?…。\"”»"), ("colon", text[-1] in ":|»>"), ("copyright", "©" in text), ("first", i == 0), ("last", i == n - 1), ("early", i < 0.15 * n), ("late", i >= 0.85 * n)) if yes]
+    said = {SAYS_OF[w] for x in text.lower().split()[:40] if (w := x.strip(".,:;!?()|\u00ab\u00bb\"'")) in SAYS_OF} if words <= 40 else ()
+    out += [INDEX[f"says {r}"] for r in said] or [INDEX["says nothing"]]
     if words < 12 and 2 * sum(c.isdigit() for c in text) > len(text):
         out.append(INDEX["digits"])
     return out
@@ -250,16 +264,34 @@ def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 250, rate: f
 MARK = ""
 
 
-def labelled_pages(n: int = 400, seed: int = 11) -> Iterator[str]:
-    """Made-up pages whose article blocks start with MARK. Their parts, names, order, nesting and damage vary."""
+def labelled_pages(n: int = 600, seed: int = 11, nameless: float = 0.25) -> Iterator[str]:
+    """Made-up pages whose article blocks start with MARK. Their parts, names, order, nesting and damage vary; on the share `nameless` of the pages names mean nothing."""
     r = random.Random(seed)
-    word = lambda: "".join(r.choice("ka to re mi sel or an the ing é ß xu ov li".split()) for _ in range(r.randint(1, 4)))
+    hidden, cue = False, None
+    syllables = lambda: "".join(r.choice("ka to re mi sel or an the ing é ß xu ov li".split()) for _ in range(r.randint(1, 4)))
+    # parts of a page use words of their own now and then, the article any of them seldom
+    word = lambda: r.choice(SAYS[cue].split()) if cue in SAYS and r.random() < 0.12 else r.choice([*SAYS_OF]) if r.random() < 0.006 else syllables()
     words = lambda lo, hi: " ".join(word() for _ in range(r.randint(lo, hi)))
     sentence = lambda lo, hi: words(lo, hi).capitalize() + r.choice("..... !?,")
     link = lambda: f'<a href="/{word()}">{words(1, 4)}</a>'
 
+    def about(role: str):
+        """What is made inside speaks of this role."""
+
+        def wrap(make):
+            def inner() -> str:
+                nonlocal cue
+                before, cue = cue, role
+                made = make()
+                cue = before
+                return made
+
+            return inner
+
+        return wrap
+
     def named(tag: str, role: str, inner: str, plain: float = 0.3) -> str:
-        name = r.choice(ROLES[role].split())
+        name = r.choice(ROLES[role].split()) if not hidden else syllables()
         name = r.choice((name, f"{word()}-{name}", f"{name}-{word()}", f"{name} {word()}", f"{word()}_{name}"))
         attr = "" if tag not in ("div", "section", "ul", "p", "span") and r.random() < plain else f' {r.choice(("class", "class", "id"))}="{name}"'
         return f"<{tag}{attr}>{inner}</{tag}>"
@@ -270,31 +302,40 @@ def labelled_pages(n: int = 400, seed: int = 11) -> Iterator[str]:
     def prose(lo: int = 1, hi: int = 40) -> str:
         return "".join(f"<p>{sentence(lo, hi)}</p>" for _ in range(r.randint(1, 3)))
 
+    @about("reader")
     def reader() -> str:
         one = lambda: f'<{(t := r.choice(("div", "li", "p")))}><b>{word()}</b> {r.choice(("", "<br>"))}{sentence(2, 40)}</{t}>'
         return named(r.choice(("section", "div", "ul", "aside")), "reader", r.choice(("", f"<h3>{words(1, 3)}</h3>")) + "".join(one() for _ in range(r.randint(1, 6))))
 
+    @about("advert")
     def advert() -> str:
         return named(r.choice(("div", "div", "aside", "section", "p", "span")), "advert", r.choice((sentence(2, 30), prose(), link(), f"<p>{sentence(3, 20)}{link()}</p>")))
 
+    @about("notice")
     def notice() -> str:
         return named(r.choice(("div", "section", "dialog", "p", "aside")), "notice", r.choice((sentence(3, 30), prose(3, 30), f"<p>{sentence(4, 30)}</p><button>{words(1, 2)}</button>")))
 
+    @about("form")
     def form() -> str:
         return named("form" if r.random() < 0.8 else "div", "form", f"<label>{words(1, 3)}</label><input name=q>" * r.randint(1, 4) + r.choice((f"<p>{sentence(2, 15)}</p>", "")) + f"<button>{words(1, 2)}</button>")
 
+    @about("side")
     def side() -> str:
         return named(r.choice(("aside", "div", "section", "aside")), "side", f"<h3>{words(1, 4)}</h3>" + r.choice((links(), prose(), links() + prose())))
 
+    @about("menu")
     def menu() -> str:
         return named(r.choice(("nav", "nav", "ul", "div")), "menu", links())
 
+    @about("head")
     def head() -> str:
         return named(r.choice(("header", "header", "div")), "head", r.choice((f"<h1>{words(1, 4)}</h1>", f"<div>{words(1, 5)}</div>", f"<p>{sentence(2, 10)}</p>", link())) + r.choice(("", menu(), form())))
 
+    @about("foot")
     def foot() -> str:
         return named(r.choice(("footer", "footer", "div")), "foot", r.choice((f"&copy; {word()} &middot; {sentence(2, 12)}", f"<p>© 20{r.randint(10, 29)} {words(1, 6)}</p>" + links(), prose(2, 20), sentence(2, 10))))
 
+    @about("share")
     def share() -> str:
         return named("div", "share", links())
 
@@ -331,6 +372,7 @@ def labelled_pages(n: int = 400, seed: int = 11) -> Iterator[str]:
         return f"<div>{inner}</div>"
 
     for _ in range(n):
+        hidden = r.random() < nameless
         before = [f() for f in (head, menu, advert, notice, side, form) if r.random() < 0.45]
         after = [f() for f in (side, reader, advert, notice, foot, share, form, menu) if r.random() < 0.4]
         r.shuffle(before)
@@ -347,8 +389,22 @@ def parsed(page: str) -> tuple[list[Block], list[int]]:
     return found, labels
 
 
+#: The weights that train() gives for labelled_pages(), with the features they belong to; `python -m ledgerloom.llm.html_extract` fits and writes them anew.
+FITTED = Path(__file__).with_name("html_field.json")
+
+
+def as_json(model: Field) -> str:
+    rounded = lambda a: np.round(a, 4).tolist()
+    return json.dumps({"weights": dict(zip(NAMES, rounded(model.weights))), "steps": rounded(model.steps), "start": rounded(model.start)}, indent=0)
+
+
 @lru_cache(maxsize=2)
 def default_field() -> Field:
+    """The field of labelled_pages(): as fitted before, or trained if its features are others now."""
+    if FITTED.exists():
+        kept = json.loads(FITTED.read_text())
+        if list(kept["weights"]) == NAMES:
+            return Field(np.array(list(kept["weights"].values())), np.array(kept["steps"]), np.array(kept["start"]))
     return train([parsed(p) for p in labelled_pages()])
 
 
@@ -366,3 +422,7 @@ def extract(pages: DataFrame, model: Field | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string())], ["page_id", "url", "text"])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string")
+
+
+if __name__ == "__main__":
+    FITTED.write_text(as_json(train([parsed(p) for p in labelled_pages()])))

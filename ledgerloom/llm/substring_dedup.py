@@ -4,14 +4,15 @@ A window is WINDOW consecutive words of one document. Every window has an anchor
 have equal anchors at equal offsets. Neighbouring windows mostly share their anchor; such a stretch is one index entry with the anchor's hash fp and
 a second hash ctx of all its words: a thirteenth as many entries as windows, and still no window is left out.
 
-The index is a list of immutable runs, each sorted by fp, with one entry for each distinct (fp, ctx): its first document in order of doc_id. A batch of new documents is sorted
-likewise and merged with the runs in one pass over fp:
+The index is a list of immutable runs with one entry for each distinct (fp, ctx): its first document in order of doc_id. A run is bucketed by fp and sorted by (fp, ctx). A batch of new
+documents is merge-joined with each run, bucket by bucket: no run is dealt out again, and only entries whose fp the batch has come back. Batch and hits are then merged in one pass over fp:
 - an entry of the batch whose (fp, ctx) stands in an earlier document is covered as a whole;
 - where one fp has several ctx, the stretches agree in part at most; their first documents are verified.
-Verification reads these texts again and compares single windows by two hashes of all their words, from independent families. The merged entries make a new
-run; when there are more than MAX_RUNS, they are compacted into one. Batches must come in order of doc_id.
+Verification reads these texts again and compares single windows by two hashes of all their words, from independent families. The batch's first entries make a new
+run; when there are more than MAX_RUNS, they are compacted into one. A manifest in the index's folder names the runs, so a later session can go on. Batches must come in order of doc_id.
 
-Everything is streamed in sorted order or summed: an fp that a third of all rows share needs neither a group in memory nor pairs.
+Everything is streamed in sorted order or summed: an fp that very many rows share needs neither a group in memory nor pairs. An fp with more than HOT entries in a batch is dealt by ctx, with all its first
+documents verified, and its windows are compared by partial minima instead of one sorted stream.
 
 Nulls and edge cases: a null text has no words; documents of fewer words than a window keep all; null doc_ids come after all others, and rows of one doc_id
 (repeated ones, too) never cover each other; repeats inside a document stay; empty tables give an empty result; only doc_id and text are read.
@@ -19,6 +20,7 @@ Nulls and edge cases: a null text has no words; documents of fewer words than a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -26,20 +28,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm._store import materialize, new_path
+from ledgerloom.llm._store import materialize, new_path, remove
 from ledgerloom.llm._text import WordHashes, mixed, texts
 from ledgerloom.sources.session import ensure_importable
 
 WINDOW, GRAM = 50, 25
-BATCHES = 2
+BATCHES = 6
 MAX_RUNS = 4
+BUCKETS = 64
+HOT = 1000
 LAST = (1 << 63) - 1
 #: Odd multipliers of the two families of polynomial hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
-ENTRY = "fp long, ctx long, d long, k long, a int, m int, old boolean"
+RUN = "fp long, ctx long, d long, k long, a int, m int"
+ENTRY = RUN + ", old boolean"
 DEALT = ENTRY + ", fixed boolean, key long"
-MERGED = "kind string, " + ENTRY
+MERGED = "kind string, " + ENTRY + ", hot boolean"
+FIELDS = ["fp", "ctx", "d", "k", "a", "m", "old", "hot"]
 
 
 class Rolling:
@@ -124,14 +130,14 @@ def entries(docs: DataFrame) -> DataFrame:
 
 
 def merge(rows: DataFrame, with_run: bool) -> DataFrame:
-    """One pass over entries (DEALT) in order of fp, ctx, d: rows of kind cover, verify and (with_run) run. Fixed ones come last and are covers."""
+    """One pass over entries (DEALT and hot) in order of fp, ctx, d: rows of kind cover, verify and (with_run) run. Fixed ones come last and are covers."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fp = ctx = first = None
         nth, waiting = 0, []  # the number of the current ctx in its fp; entries to verify if the fp gets a second ctx
         for dealt in batches:
-            fixed = dealt.column(7).to_numpy(zero_copy_only=False)
-            whole = dealt.select(["fp", "ctx", "d", "k", "a", "m", "old"])
+            fixed = dealt.column(8).to_numpy(zero_copy_only=False)
+            whole = dealt.select(FIELDS)
             if fixed.any():
                 part = whole.filter(pa.array(fixed))
                 yield pa.RecordBatch.from_arrays([pa.array(["cover"] * part.num_rows), *part.columns], ["kind", *part.schema.names])
@@ -139,7 +145,7 @@ def merge(rows: DataFrame, with_run: bool) -> DataFrame:
             n = batch.num_rows
             if not n:
                 continue
-            f, c, d, old = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 6))
+            f, c, d, old, hot = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 6, 7))
             new_f, new_c = np.ones(n, bool), np.ones(n, bool)
             new_f[1:], new_c[1:] = f[1:] != f[:-1], (f[1:] != f[:-1]) | (c[1:] != c[:-1])
             new_f[0] = fp is None or f[0] != fp
@@ -150,10 +156,10 @@ def merge(rows: DataFrame, with_run: bool) -> DataFrame:
             begin = np.maximum.accumulate(np.where(new_f, np.arange(n), -1))
             number = np.where(begin >= 0, count - count[begin], nth + count)
             ends = np.flatnonzero(np.append(new_f[1:], True))
-            several = np.repeat(number[ends] > 0, np.diff(np.append(-1, ends)))
+            several = np.repeat(number[ends] > 0, np.diff(np.append(-1, ends))) | hot
             is_first = d == least
             verify = is_first & several
-            if waiting and not new_f[0] and several[0]:
+            if waiting and not new_f[0] and several[0] and not hot[0]:
                 yield from waiting
                 waiting = []
             out = [("cover", ~is_first & ~old), ("verify", verify)] + [("run", new_c)] * with_run
@@ -168,19 +174,60 @@ def merge(rows: DataFrame, with_run: bool) -> DataFrame:
                 waiting.append(pa.RecordBatch.from_arrays([pa.array(["verify"] * part.num_rows), *part.columns], ["kind", *part.schema.names]))
             fp, ctx, first, nth = f[-1], c[-1], least[-1], int(number[-1])
 
-    return rows.repartition("key").sortWithinPartitions("fixed", "fp", "ctx", "d", "k").mapInArrow(stream, MERGED)
+    return rows.select(*FIELDS, "fixed", "key").repartition("key").sortWithinPartitions("fixed", "fp", "ctx", "d", "k").mapInArrow(stream, MERGED)
 
 
 class FingerprintIndex:
-    """Immutable sorted runs in the shared folder."""
+    """Immutable sorted runs under a folder, the shared one if none is given. A folder that has a manifest is opened with its runs; one of the caller's is never cleaned up here."""
 
-    def __init__(self, spark: SparkSession, max_runs: int = MAX_RUNS):
+    def __init__(self, spark: SparkSession, max_runs: int = MAX_RUNS, folder: str | None = None):
         ensure_importable(spark)
-        self.spark, self.max_runs, self.runs = spark, max_runs, []
-
-    def history(self) -> DataFrame | None:
-        """The entries of all runs."""
-        parts = [self.spark.read.schema(ENTRY).parquet(p) for p in self.runs]
+        self.spark, self.max_runs, self.folder, self.version = spark, max_runs, folder or new_path(spark, "index"), 0
+        self.tables: dict[str, str] = {}
+        files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        system = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = [f.getPath().getName() for f in system.listStatus(files)] if system.exists(files) else []
+        versions = [int(n.split("-")[1]) for n in found if n.startswith("manifest-")]
+        self.runs: list[str] = []
+        if versions:
+            self.version = max(versions)
+            self.runs = [r.value for r in spark.read.text(f"{self.folder}/manifest-{self.version}").collect() if r.value]  # a line a run, MAX_RUNS at most
+            for run in self.runs:
+                self._register(run)
+
+    def _register(self, run: str) -> None:
+        """A table over the files of a run: what tells Spark their buckets and order."""
+        name = f"index_run_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} ({RUN.replace('long', 'bigint')}) USING parquet CLUSTERED BY (fp) SORTED BY (fp, ctx) INTO {BUCKETS} BUCKETS LOCATION '{self.folder}/{run}'")
+        self.tables[run] = name
+
+    def _write(self, rows: DataFrame) -> str:
+        """Rows as a run: a sorted file for each bucket."""
+        run, name = f"run-{uuid.uuid4().hex}", f"index_run_{uuid.uuid4().hex}"
+        rows.select("fp", "ctx", "d", "k", "a", "m").repartition(BUCKETS, "fp").write.bucketBy(BUCKETS, "fp").sortBy("fp", "ctx").option("path", f"{self.folder}/{run}").saveAsTable(name)
+        self.tables[run] = name
+        return run
+
+    def _keep(self, runs: list[str]) -> None:
+        """The new list of runs takes effect with its manifest; runs that it leaves out are deleted then."""
+        self.version += 1
+        self.spark.createDataFrame([(r,) for r in runs], "value string").coalesce(1).write.text(f"{self.folder}/manifest-{self.version}")
+        for gone in set(self.runs) - set(runs):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(gone)}")
+            remove(f"{self.folder}/{gone}", self.spark)
+        self.runs = runs
+
+    def close(self) -> None:
+        """Forget the tables; the files stay."""
+        for name in self.tables.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables = {}
+
+    def history(self, fps: DataFrame | None = None) -> DataFrame | None:
+        """The entries of all runs, of the given fps only if there are any given."""
+        parts = [self.spark.table(self.tables[r]) for r in self.runs]
+        if fps is not None:
+            parts = [p.join(fps.hint("merge"), "fp", "left_semi") for p in parts]
         return reduce(DataFrame.unionByName, parts) if parts else None
 
     def ingest(self, docs: DataFrame, keep: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -188,27 +235,30 @@ class FingerprintIndex:
 
         keep: add the batch's new entries to the index as a run. A batch that nothing follows can do without.
         """
-        rows, past = entries(docs), self.history()
+        rows = materialize(entries(docs), "index-entries")
+        dealt = rows.where("not fixed")
+        hot = materialize(dealt.groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("fp", F.lit(True).alias("hot")), "index-hot", lean=True)
+        if self.runs:
+            past = self.history(dealt.select("fp").distinct())
+            rows = rows.unionByName(past.withColumns({"old": F.lit(True), "fixed": F.lit(False), "key": F.col("fp")}))
+        rows = rows.join(hot, "fp", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        rows = rows.withColumn("key", F.when(F.col("hot") & ~F.col("fixed"), F.xxhash64("fp", "ctx")).otherwise(F.col("key")))
         path = new_path(self.spark, "index-merge")
-        past = None if past is None else past.withColumns({"fixed": F.lit(False), "key": F.col("fp")})
-        merge(rows if past is None else rows.unionByName(past), keep).write.partitionBy("kind").parquet(path)
+        merge(rows, keep).write.partitionBy("kind").parquet(path)
         made = self.spark.read.schema(MERGED).parquet(path)
         if keep:
-            # runs hold entries of the batch and, where first documents are older, of the runs merged with it; those stay where they are
-            fresh = new_path(self.spark, "index-run")
-            made.where("kind = 'run' and not old").drop("kind").withColumn("old", F.lit(True)).repartition("fp").sortWithinPartitions("fp", "ctx").write.parquet(fresh)
-            self.runs.append(fresh)
-            if len(self.runs) > self.max_runs:
+            # where first documents are older, their entries stay in the runs that have them
+            runs = [*self.runs, self._write(made.where("kind = 'run' and not old"))]
+            self._keep(runs)
+            if len(runs) > self.max_runs:
                 self.compact()
         return made.where("kind = 'cover'"), made.where("kind = 'verify'")
 
     def compact(self) -> None:
         """All runs in one."""
-        fresh = new_path(self.spark, "index-run")
         first = F.min(F.struct("d", "k", "a", "m")).alias("e")
-        rows = self.history().groupBy("fp", "ctx").agg(first).select("fp", "ctx", "e.d", "e.k", "e.a", "e.m", F.lit(True).alias("old"))
-        rows.repartition("fp").sortWithinPartitions("fp", "ctx").write.parquet(fresh)
-        self.runs = [fresh]
+        rows = self.history().groupBy("fp", "ctx").agg(first).select("fp", "ctx", "e.d", "e.k", "e.a", "e.m")
+        self._keep([self._write(rows)])
 
 
 def verified(suspects: DataFrame, docs: DataFrame) -> DataFrame:
@@ -245,10 +295,18 @@ def verified(suspects: DataFrame, docs: DataFrame) -> DataFrame:
             last, first = (x[-1], y[-1]), least[-1]
             yield batch.select(["d", "k", "a"]).filter(pa.array(d > least))
 
-    per_doc = suspects.groupBy("d", "k").agg(F.collect_set(F.struct("a", "m")).alias("spans"))
-    read = docs.join(per_doc.hint("shuffle_hash"), ["d", "k"]).select("d", "k", "text", "spans")
-    single = read.mapInArrow(windows, "x long, y long, d long, k long, a int")
-    return single.repartition("x").sortWithinPartitions("x", "y", "d").mapInArrow(later, "d long, k long, a int")
+    def single(part: DataFrame) -> DataFrame:
+        per_doc = part.groupBy("d", "k").agg(F.collect_set(F.struct("a", "m")).alias("spans"))
+        read = docs.join(per_doc.hint("shuffle_hash"), ["d", "k"]).select("d", "k", "text", "spans")
+        return read.mapInArrow(windows, "x long, y long, d long, k long, a int")
+
+    found = single(suspects.where("not hot")).repartition("x").sortWithinPartitions("x", "y", "d").mapInArrow(later, "d long, k long, a int")
+    if suspects.where("hot").isEmpty():
+        return found
+    # equal windows have one fp, so hot ones meet each other only: minima of partial sums come back to the windows that several documents share
+    hot = materialize(single(suspects.where("hot")), "index-windows")
+    least = hot.groupBy("x", "y").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").drop("most")
+    return found.unionByName(hot.join(least, ["x", "y"]).where("d > least").select("d", "k", "a"))
 
 
 def removed(docs: DataFrame, covers: DataFrame, windows: DataFrame) -> DataFrame:
@@ -286,7 +344,7 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     rows = placed(docs)
     index = FingerprintIndex(docs.sparkSession)
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)])).first()[0] if batches > 1 else None
-    edges = [None, *(cuts or []), None]
+    edges = [None, *sorted(set(cuts or [])), None]
     covers, suspects = [], []
     for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
         part = rows if lo is None else rows.where(F.col("d") > lo)
@@ -294,5 +352,6 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         cover, suspect = index.ingest(part, keep=i + 2 < len(edges))
         covers.append(cover)
         suspects.append(suspect)
+    index.close()
     union = lambda parts: reduce(DataFrame.unionByName, parts)
     return removed(rows, union(covers), verified(union(suspects), rows))

@@ -52,7 +52,7 @@ def passages(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("batches", [1, 2, 5])
+@pytest.mark.parametrize("batches", [1, 6])
 def test_substring_passages(docs_of, batches):
     rows = passages(batches)
     rows.append((60, "same " * 300))
@@ -69,6 +69,33 @@ def test_substring_odd_rows(docs_of, odd_rows):
     assert sub.substring_dedup(docs_of([])).count() == 0
 
 
+def test_hot_passage(docs_of, monkeypatch):
+    monkeypatch.setattr(sub, "HOT", 30)
+    r = random.Random(3)
+    common = " ".join(f"c{i}" for i in range(60))
+    own = lambda: " ".join(f"o{r.randrange(10**6)}" for _ in range(r.randint(20, 60)))
+    rows = [(i, f"{own()} {common} {own()}") for i in range(120)] + [(i + 200, t) for i, t in passages(4, 20)] + [(None, common), (7, common)]
+    got = sub.substring_dedup(docs_of(rows), 3).select("doc_id", "n_words", "n_removed", "kept_text").collect()
+    assert sorted(map(tuple, got), key=str) == sub_brute(rows)
+
+
+def test_index_is_opened_again(spark, docs_of, tmp_path):
+    rows = passages(6, 40)
+    placed = sub.placed(docs_of(rows))
+    one = sub.FingerprintIndex(spark, folder=str(tmp_path / "index"))
+    first = one.ingest(placed.where("d < 20"))
+    one.close()
+    two = sub.FingerprintIndex(spark, folder=str(tmp_path / "index"))
+    assert two.runs == one.runs and len(two.runs) == 1
+    plan = two.history(spark.range(5).select(F.col("id").alias("fp")))._jdf.queryExecution().executedPlan().toString()
+    second = two.ingest(placed.where("d >= 20"))
+    assert len(two.runs) == 2 and two.history().count() > 0
+    assert "Bucketed: true" in plan or "SelectedBucketsCount" in plan
+    got = sub.removed(placed, first[0].unionByName(second[0]), sub.verified(first[1].unionByName(second[1]), placed)).select("doc_id", "n_words", "n_removed", "kept_text").collect()
+    assert sorted(map(tuple, got), key=str) == sub_brute(rows)
+    two.close()
+
+
 def test_index_compaction_keeps_results(spark, docs_of):
     rows = passages(9, 80)
     index, covered = sub.FingerprintIndex(spark, max_runs=1), []

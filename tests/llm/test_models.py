@@ -296,14 +296,26 @@ def test_salvage_inside_members():
 # pages
 
 
-def test_html_held_out_pages():
+@pytest.mark.parametrize("nameless, most", [(0, 0.005), (1, 0.03)])
+def test_html_held_out_pages(nameless, most):
     field, wrong, total = html_extract.default_field(), 0, 0
-    for page in html_extract.labelled_pages(300, 99):
+    for page in html_extract.labelled_pages(300, 99, nameless):
         found, labels = html_extract.parsed(page)
         if found:
             got = field.decode(field.scores(found))
             wrong, total = wrong + sum(a != b for a, b in zip(got, labels)), total + len(labels)
-    assert total > 5000 and wrong < 0.005 * total
+    assert total > 5000 and wrong < most * total
+
+
+def test_html_by_another_hand():
+    """A page whose names mean nothing, written apart from the generator."""
+    page = """<html><body><div class=x1><a href=/>Start</a> <a href=/b>Blog</a> <a href=/c>Contact</a></div>
+    <div class=zq><h1>How bread rises</h1><p>Yeast eats sugar and gives off gas, and the gas is held by the dough for as long as it is strong enough.</p>
+    <p>Knead it <button>Share this</button> for ten minutes; then let it rest <select><option>1 h<option>2 h</select> in a warm place until it has doubled.</p><p>Bake.</p></div>
+    <div class=k7><h3>You may also like</h3><a href=1>Ten soups for winter</a> <a href=2>What to do with old rice</a></div>
+    <div class=p0>This site uses cookies. Accept our privacy policy.</div></body></html>"""
+    got = html_extract.default_field().extract(page)
+    assert got == "How bread rises\nYeast eats sugar and gives off gas, and the gas is held by the dough for as long as it is strong enough.\nKnead it for ten minutes; then let it rest in a warm place until it has doubled.\nBake."
 
 
 def test_html_pages(spark):
