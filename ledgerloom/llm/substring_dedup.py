@@ -35,7 +35,6 @@ from ledgerloom.sources.session import ensure_importable
 WINDOW, GRAM = 50, 25
 BATCHES = 6
 MAX_RUNS = 4
-BUCKETS = 64
 HOT = 1000
 LAST = (1 << 63) - 1
 #: Odd multipliers of the two families of polynomial hashes.
@@ -196,15 +195,16 @@ class FingerprintIndex:
                 self._register(run)
 
     def _register(self, run: str) -> None:
-        """A table over the files of a run: what tells Spark their buckets and order."""
+        """A table over the files of a run: what tells Spark their buckets, whose number is in the name, and order."""
         name = f"index_run_{uuid.uuid4().hex}"
-        self.spark.sql(f"CREATE TABLE {name} ({RUN.replace('long', 'bigint')}) USING parquet CLUSTERED BY (fp) SORTED BY (fp, ctx) INTO {BUCKETS} BUCKETS LOCATION '{self.folder}/{run}'")
+        self.spark.sql(f"CREATE TABLE {name} ({RUN.replace('long', 'bigint')}) USING parquet CLUSTERED BY (fp) SORTED BY (fp, ctx) INTO {run.split('-')[1]} BUCKETS LOCATION '{self.folder}/{run}'")
         self.tables[run] = name
 
     def _write(self, rows: DataFrame) -> str:
-        """Rows as a run: a sorted file for each bucket."""
-        run, name = f"run-{uuid.uuid4().hex}", f"index_run_{uuid.uuid4().hex}"
-        rows.select("fp", "ctx", "d", "k", "a", "m").repartition(BUCKETS, "fp").write.bucketBy(BUCKETS, "fp").sortBy("fp", "ctx").option("path", f"{self.folder}/{run}").saveAsTable(name)
+        """Rows as a run: a sorted file for each bucket, as many as the session has shuffle partitions, so that a task writes one file and a batch that is dealt out meets a run as it lies."""
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        run, name = f"run-{buckets}-{uuid.uuid4().hex}", f"index_run_{uuid.uuid4().hex}"
+        rows.select("fp", "ctx", "d", "k", "a", "m").repartition(buckets, "fp").write.bucketBy(buckets, "fp").sortBy("fp", "ctx").option("path", f"{self.folder}/{run}").saveAsTable(name)
         self.tables[run] = name
         return run
 
