@@ -231,11 +231,14 @@ class FingerprintIndex:
         return reduce(DataFrame.unionByName, parts) if parts else None
 
     def ingest(self, docs: DataFrame, keep: bool = True) -> tuple[DataFrame, DataFrame]:
-        """Merge a batch of placed documents with the runs: entries covered as a whole, entries to verify.
+        """Merge a batch of placed documents with the runs: entries covered as a whole, entries to verify."""
+        return self.add(materialize(entries(docs), "index-entries"), keep)
+
+    def add(self, rows: DataFrame, keep: bool = True) -> tuple[DataFrame, DataFrame]:
+        """The same for the written entries (DEALT) of a batch, which are read more than once.
 
         keep: add the batch's new entries to the index as a run. A batch that nothing follows can do without.
         """
-        rows = materialize(entries(docs), "index-entries")
         dealt = rows.where("not fixed")
         hot = materialize(dealt.groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("fp", F.lit(True).alias("hot")), "index-hot", lean=True)
         if self.runs:
@@ -336,16 +339,18 @@ def removed(docs: DataFrame, covers: DataFrame, windows: DataFrame) -> DataFrame
 
 
 def substring_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """All of docs as batches of ascending doc_id, each merged with the runs of those before."""
+    """All of docs as batches of ascending doc_id, each merged with the runs of those before. Texts are fingerprinted in one pass, which deals the entries into batches."""
     rows = placed(docs)
     index = FingerprintIndex(docs.sparkSession)
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)])).first()[0] if batches > 1 else None
-    edges = [None, *sorted(set(cuts or [])), None]
+    cuts = sorted(set(cuts or []))
+    path = new_path(docs.sparkSession, "index-entries")
+    number = reduce(lambda n, cut: n + (F.col("d") > cut).cast("int"), cuts, F.lit(0))
+    entries(rows).withColumn("batch", number).write.partitionBy("batch").parquet(path)
+    made = docs.sparkSession.read.schema(f"{DEALT}, batch int").parquet(path)
     covers, suspects = [], []
-    for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
-        part = rows if lo is None else rows.where(F.col("d") > lo)
-        part = part if hi is None else part.where(F.col("d") <= hi)
-        cover, suspect = index.ingest(part, keep=i + 2 < len(edges))
+    for i in range(len(cuts) + 1):
+        cover, suspect = index.add(made.where(F.col("batch") == i).drop("batch"), keep=i < len(cuts))
         covers.append(cover)
         suspects.append(suspect)
     index.close()
