@@ -354,5 +354,7 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         covers.append(cover)
         suspects.append(suspect)
     index.close()
+    for done in (path, index.folder):  # what follows reads the merged tables and the texts only
+        remove(done, docs.sparkSession)
     union = lambda parts: reduce(DataFrame.unionByName, parts)
     return removed(rows, union(covers), verified(union(suspects), rows))
