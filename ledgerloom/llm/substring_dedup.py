@@ -302,8 +302,9 @@ def verified(suspects: DataFrame, docs: DataFrame) -> DataFrame:
     found = single(suspects.where("not hot")).repartition("x").sortWithinPartitions("x", "y", "d").mapInArrow(later, "d long, k long, a int")
     if suspects.where("hot").isEmpty():
         return found
-    # equal windows have one fp, so hot ones meet each other only: minima of partial sums come back to the windows that several documents share
-    hot = materialize(single(suspects.where("hot")), "index-windows")
+    # equal windows have one fp, so hot ones meet each other only: minima of partial sums come back to the windows that several documents share.
+    # They are computed twice, not written: a job of their own would deal out all texts once more, this way removed() and all joins here read one exchange
+    hot = single(suspects.where("hot"))
     least = hot.groupBy("x", "y").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").drop("most")
     return found.unionByName(hot.join(least, ["x", "y"]).where("d > least").select("d", "k", "a"))
 
