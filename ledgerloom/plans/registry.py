@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.functions import normalize
-from ledgerloom.operators import explore, export, profile, rules, summary, tiers, waterfall, wide
+from ledgerloom.operators import decisions, explore, export, profile, rules, summary, tiers, waterfall, wide
 from ledgerloom.sources.ledgers import ledgers, sql, tranches, wide as wide_table
 from ledgerloom.sources.store import materialize
+from ledgerloom.sources.tables import read
 
 FLAGSHIP = "wide_verdicts"
 
@@ -546,3 +547,139 @@ def export_package(spark, sf_dir):
 def export_blocking(spark, sf_dir):
     links = spark.createDataFrame([(1, 10), (1, 11), (2, 12), (3, 12)], "g_idx long, p_idx long")
     return export.blocking(links, spark.range(3))
+
+
+def advice_sql() -> str:
+    blank = "{0}_vendor IN ('', 'NAN', 'NONE', '—') AND {0}_alnum = ''"
+    bucket = """CASE WHEN no_g AND NOT no_p THEN 'PR_ONLY' WHEN NOT no_g AND no_p THEN 'GSTR_ONLY' WHEN diff < 0.01 AND same THEN 'EXACT_MATCH' WHEN diff < 0.01 AND alike THEN 'NEAR_MATCH' WHEN diff <= 10 OR alike THEN 'TOLERANCE_MATCH' ELSE 'NEAR_MATCH' END"""
+    sure = "CASE WHEN no_g <> no_p THEN 96.0 WHEN diff < 0.01 AND same THEN 98.0 WHEN diff < 0.01 AND alike THEN 94.0 WHEN diff <= 10 THEN 91.0 WHEN alike THEN 85.0 ELSE 72.0 END::double"
+    each = {
+        "EXACT_MATCH": "CASE WHEN no_g OR no_p OR diff >= 0.01 THEN 0 WHEN same AND g_doc <> '' THEN 98 WHEN alike AND g_alnum <> '' THEN 70 ELSE 0 END",
+        "TOLERANCE_MATCH": "CASE WHEN no_g OR no_p THEN 0 WHEN diff <= 10 THEN 91 WHEN alike AND g_alnum <> '' AND diff <= 500 THEN 85 WHEN alike AND g_alnum <> '' THEN 60 ELSE 25 END",
+        "NEAR_MATCH": "CASE WHEN no_g OR no_p THEN 0 WHEN alike AND g_alnum <> '' AND diff < 0.01 THEN 94 WHEN alike AND g_alnum <> '' THEN 45 WHEN diff <= 20 THEN 88 ELSE 55 END",
+        "GSTR_ONLY": "CASE WHEN NOT no_g AND no_p THEN 96 ELSE 0 END",
+        "PR_ONLY": "CASE WHEN no_g AND NOT no_p THEN 96 ELSE 0 END",
+    }
+    policy = {
+        "EXACT_MATCH": "diff < 0.01 AND same AND g_doc <> ''", "TOLERANCE_MATCH": "diff <= 10", "NEAR_MATCH": "alike OR diff <= 20",
+        "GSTR_ONLY": "p_taxable <= 0 AND p_alnum = ''", "PR_ONLY": "g_taxable <= 0 AND g_alnum = ''",
+    }
+    columns = [f"CASE WHEN recommended = '{b}' THEN confidence ELSE {c} END::double AS confidence_{b.lower()}" for b, c in each.items()] + [f"CASE WHEN {c} THEN 'OKAY' ELSE 'NOT_OKAY' END AS policy_{b.lower()}" for b, c in policy.items()]
+    return f"""{TIERS_SQL.replace('{w}', 'w')}, a0 AS (SELECT *, round(t, 2) AS diff, g_doc = p_doc AS same, g_alnum = p_alnum AS alike, {blank.format('g')} AS no_g, {blank.format('p')} AND p_taxable = 0 AS no_p FROM z3),
+    a1 AS (SELECT *, {bucket} AS recommended, {sure} AS confidence FROM a0) SELECT row_idx, recommended, confidence, {', '.join(columns)} FROM a1"""
+
+
+@query(advice_sql())
+def decide_advice(spark, sf_dir):
+    """Advice for every row, whatever its verdict."""
+    rows = decisions.advice(wide_table(spark, sf_dir))
+    return rows.select("row_idx", "recommended", "confidence", *(f"{c}_{b.lower()}" for c in ("confidence", "policy") for b in decisions.BUCKETS))
+
+
+CLASS = {"category": "'S' || cast(scenario AS string)", "confidence": "cast(scenario AS double) / 20", "review_status": "CASE scenario % 2 WHEN 1 THEN 'ai_proposed' ELSE 'human_confirmed' END", "needs_review": "scenario % 3 = 0"}
+EXCEPTIONS = f"""{REST}, q AS (SELECT g1.record_id, p1.record_id AS other_id, abs(g1.taxable - p1.taxable)::double AS variance, round(1 - least(abs(g1.taxable - p1.taxable)::double, 1000) / 1000, 6) AS score FROM g1 JOIN p1 USING (vendor, doc)),
+best AS (SELECT *, count(*) OVER (PARTITION BY record_id) AS n_candidates, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, other_id) AS nth FROM q),
+x AS (SELECT g1.record_id, CASE WHEN best.record_id IS NULL THEN 'GST_ONLY' ELSE 'MATERIAL_MISMATCH' END AS status, vendor, vendor AS gstin, taxable::double AS amount, d, coalesce(n_candidates, 0) AS n_candidates, other_id AS best_id, score, variance,
+    {', '.join(f"CASE WHEN scenario <> 16 THEN {e} END AS {c}" for c, e in CLASS.items())} FROM g1 LEFT JOIN best ON best.record_id = g1.record_id AND nth = 1
+  UNION ALL SELECT record_id, 'PR_ONLY', vendor, vendor, taxable::double, d, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM p1 WHERE record_id NOT IN (SELECT other_id FROM q))"""
+
+
+def open_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the exact stage leaves, with candidates of one vendor and document, and classes by scenario."""
+    g, p = after_exact(spark, sf_dir)
+    side = lambda df, r, t: df.select("vendor", "doc", F.col("record_id").alias(r), F.col("taxable").alias(t))
+    variance = F.abs(F.col("a") - F.col("b")).cast("double")
+    pairs = side(g, "record_id", "a").join(side(p, "other_id", "b"), ["vendor", "doc"]).select("record_id", "other_id", variance.alias("variance"), F.round(1 - F.least(variance, F.lit(1000.0)) / 1000, 6).alias("score"))
+    fields = lambda df, status: df.select("record_id", status.alias("status"), "vendor", F.col("vendor").alias("gstin"), F.col("taxable").cast("double").alias("amount"), "d")
+    mark = lambda c: pairs.select(F.col(c).alias("record_id"), F.lit(True).alias("paired")).distinct()
+    rows = fields(g.join(mark("record_id"), "record_id", "left"), F.when(F.col("paired"), "MATERIAL_MISMATCH").otherwise("GST_ONLY")).unionByName(fields(p.join(mark("other_id"), "record_id", "left_anti"), F.lit("PR_ONLY")))
+    return decisions.exceptions(rows, pairs, g.where("scenario <> 16").selectExpr("record_id", *(f"{e} AS {c}" for c, e in CLASS.items())))
+
+
+@query(f"{EXCEPTIONS} FROM x")
+def explore_exceptions(spark, sf_dir):
+    return open_exceptions(spark, sf_dir)
+
+
+@query(
+    f"""{EXCEPTIONS} FROM x WHERE status <> 'PR_ONLY' AND vendor LIKE 'V0000%' AND gstin LIKE '%V%' AND amount >= 1000 AND amount <= 300000 AND d BETWEEN date '1992-06-01' AND date '1998-06-01' AND record_id LIKE '%1%'
+    AND (n_candidates = 0 OR round(variance, 2) BETWEEN 1 AND 600 AND score BETWEEN 0.4 AND 1)"""
+)
+def explore_exceptions_by_source(spark, sf_dir):
+    wanted = decisions.Search(statuses=("MATERIAL_MISMATCH", "GST_ONLY"), vendor="v0000", gstin="v", amount_min=1000, amount_max=300_000, date_from="1992-06-01", date_to="1998-06-01", variance_min=1, variance_max=600, score_min=0.4, score_max=1, record_id="1")
+    return decisions.search(open_exceptions(spark, sf_dir), wanted)
+
+
+@query(f"{EXCEPTIONS} FROM x WHERE category = 'S15' AND confidence BETWEEN 0.5 AND 0.9 AND review_status IN ('ai_proposed') AND needs_review")
+def explore_exceptions_by_class(spark, sf_dir):
+    wanted = decisions.Search(category="S15", confidence_min=0.5, confidence_max=0.9, review_status=("ai_proposed",), needs_review=True)
+    return decisions.search(open_exceptions(spark, sf_dir), wanted)
+
+
+LOOKUPS = (" g33", "row 32", "350", "v00000001")
+
+
+@query(
+    """, sides AS (SELECT 'G' AS side, row_idx, record_id, doc, vendor FROM g UNION ALL SELECT 'P', row_idx, record_id, doc, vendor FROM p)
+    FROM (SELECT side, row_idx, record_id, doc, 'record_id' AS found_by FROM sides WHERE record_id = 'G33' ORDER BY side, row_idx LIMIT 1) UNION ALL FROM (SELECT side, row_idx, record_id, doc, 'row' FROM sides WHERE row_idx = 32 ORDER BY side, row_idx LIMIT 1)
+    UNION ALL FROM (SELECT side, row_idx, record_id, doc, 'row' FROM sides WHERE row_idx = 350 ORDER BY side, row_idx LIMIT 1) UNION ALL FROM (SELECT side, row_idx, record_id, doc, 'vendor' FROM sides WHERE vendor = 'V00000001' ORDER BY side, row_idx LIMIT 1)"""
+)
+def explore_lookup(spark, sf_dir):
+    found = [decisions.lookup(*ledgers(spark, sf_dir), x) for x in LOOKUPS]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
+@query(
+    """, light AS (SELECT g.row_idx AS g_idx, p.row_idx AS p_idx, g.doc AS g_doc, p.doc AS p_doc, g.row_idx % 7 <> 0 AS approved FROM g JOIN p ON g.vendor = p.vendor
+      AND regexp_replace(regexp_replace(regexp_replace(upper(trim(g.doc)), '^INV/', ''), '[^A-Z0-9]', '', 'g'), '^0+', '') = regexp_replace(regexp_replace(regexp_replace(upper(trim(p.doc)), '^INV/', ''), '[^A-Z0-9]', '', 'g'), '^0+', '') WHERE g.doc <> p.doc)
+    SELECT count(*) FILTER (approved) AS observations, round(count(*) FILTER (approved) / count(*), 4) AS ratio, (SELECT string_agg(g_doc || ' ↔ ' || p_doc, '|' ORDER BY g_idx, p_idx) FROM (FROM light WHERE approved ORDER BY g_idx, p_idx LIMIT 30)) AS evidence
+    FROM light HAVING count(*) FILTER (approved) >= 5 AND count(*) FILTER (approved) >= 0.8 * count(*)"""
+)
+def decide_separator_pattern(spark, sf_dir):
+    """Pairs whose documents differ in separators only, six of seven of them approved."""
+    g, p = ledgers(spark, sf_dir)
+    side = lambda df, s: df.select("vendor", normalize.doc_light(F.col("doc")).alias("light"), F.col("row_idx").alias(f"{s}_idx"), F.col("doc").alias(f"{s}_doc"))
+    pairs = side(g, "g").join(side(p, "p"), ["vendor", "light"]).where("g_doc <> p_doc")
+    status = F.when(F.col("g_idx") % 7 != 0, "NEAR_MATCH_APPROVED").otherwise("REJECTED_CANDIDATE")
+    return decisions.separator_pattern(pairs.withColumns({"status": status, "same_vendor": F.lit(True), "norm_equal": F.lit(True), "raw_equal": F.lit(False)}))
+
+
+@query(
+    """, o AS (SELECT g.row_idx AS g_idx, p.row_idx * 10 + c AS p_idx FROM g JOIN p USING (vendor, doc) CROSS JOIN (SELECT unnest([0, 5]) AS c) WHERE g.scenario = 9),
+    choice AS (SELECT DISTINCT g_idx, CASE g_idx % 3 WHEN 0 THEN max(p_idx) OVER (PARTITION BY g_idx) WHEN 1 THEN -1 END AS p_idx FROM o), used AS (SELECT p_idx FROM o WHERE g_idx % 4 = 1),
+    taken AS (SELECT * FROM choice WHERE g_idx % 3 = 0 AND p_idx NOT IN (SELECT p_idx FROM used))
+    SELECT o.g_idx, o.p_idx, CASE WHEN taken.g_idx IS NULL THEN 'AMBIGUOUS' WHEN taken.p_idx = o.p_idx THEN 'NEAR_MATCH_APPROVED' ELSE 'REJECTED_CANDIDATE' END AS status FROM o LEFT JOIN taken USING (g_idx)"""
+)
+def decide_selection(spark, sf_dir):
+    """Two candidates each: a third of the rows takes the second one, a third names none of its candidates, a third is left; some candidates are consumed."""
+    g, p = ledgers(spark, sf_dir)
+    pairs = g.where("scenario = 9").select("vendor", "doc", F.col("row_idx").alias("g_idx")).join(p.select("vendor", "doc", F.explode(F.array(F.col("row_idx") * 10, F.col("row_idx") * 10 + 5)).alias("p_idx")), ["vendor", "doc"]).select("g_idx", "p_idx")
+    choices = pairs.groupBy("g_idx").agg(F.max("p_idx").alias("p_idx")).withColumn("p_idx", F.when(F.col("g_idx") % 3 == 0, F.col("p_idx")).when(F.col("g_idx") % 3 == 1, F.lit(-1)))
+    return decisions.after_selection(pairs, decisions.selected(pairs, pairs.where("g_idx % 4 = 1"), choices))
+
+
+#: Orders as runs of customers.
+RUNS = """SELECT o_custkey AS client, o_orderkey AS run, CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'COMPLETED_WITH_WARNINGS' ELSE 'FAILED' END AS status, o_orderkey % 500 AS duration_ms, o_orderkey % 5 AS n_steps,
+  CASE o_orderstatus WHEN 'P' THEN 1 ELSE 0 END AS n_errors, o_orderkey % 11 AS tokens, cast(o_orderkey % 11 AS decimal(18,6)) / 1000 AS cost, cast(o_totalprice AS decimal(18,2)) AS itc, cast(o_orderdate AS date) AS ended FROM {orders}"""
+RUN_STATS = """count(*) AS runs, cast(round(100.0 * count(*) FILTER (status <> 'FAILED') / count(*), 1) AS double) AS success_rate, count(*) FILTER (status = 'FAILED') AS failed, round(avg(duration_ms) FILTER (status <> 'FAILED' AND duration_ms > 0), 0) AS mean_ms,
+  cast(sum(n_steps) AS bigint) AS steps, cast(sum(n_errors) AS bigint) AS errors, round(cast(sum(itc) AS double) / 1e7, 2) AS crores, cast(sum(tokens) AS bigint) AS tokens, cast(round(sum(tokens) / greatest(count(*) FILTER (status <> 'FAILED'), 1), 0) AS double) AS tokens_per_run,
+  round(cast(sum(cost) AS double), 5) AS cost"""
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(RUNS, orders=read(spark, sf_dir, "orders"))
+
+
+@query(f", runs AS ({RUNS.format(orders='orders')}) SELECT {RUN_STATS} FROM runs")
+def summary_runs(spark, sf_dir):
+    return decisions.run_stats(runs(spark, sf_dir))
+
+
+@query(f", runs AS ({RUNS.format(orders='orders')}) SELECT client, {RUN_STATS} FROM runs GROUP BY client")
+def summary_clients(spark, sf_dir):
+    return decisions.run_stats(runs(spark, sf_dir), ("client",))
+
+
+@query(f", runs AS ({RUNS.format(orders='orders')}) SELECT client, run, ended, nth FROM (SELECT client, run, ended, cast(row_number() OVER (PARTITION BY client ORDER BY ended DESC, run) AS int) AS nth FROM runs) WHERE nth <= 3")
+def summary_recent_runs(spark, sf_dir):
+    return decisions.recent(runs(spark, sf_dir).select("client", "run", "ended"), "client", "ended", 3)
