@@ -1,27 +1,35 @@
 """Matching by rules that are data: one row of G with one row of P, tier after tier, and in four passes with quarantine of what is ambiguous.
 
-Text rules and guards are equalities, so they make the blocks; number and date rules are conditions inside a block. A match takes its P row away from later G rows, so a block is read in
-row order by one function (ordered.in_groups). Without any equality the first number or date rule makes the blocks: values are cut into bands as wide as its tolerance, and bands
-that touch form an island; rows of different islands can't meet, so islands are blocks of their own.
+Text rules and guards are equalities, number and date rules are bands; a join of these makes candidates (bands.band_join). A match takes its P row away from later G rows: where a row takes the first
+free candidate, rounds settle that (greedy.first_come); where it matters how many are free, rows that can compete are found as connected components, and each component is read in row order.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.functions import pandas_udf
 
 from ledgerloom.functions import normalize
 from ledgerloom.functions.similarity import guarded, guarded_ratio
+from ledgerloom.operators import greedy, scan
+from ledgerloom.operators.bands import Band, band_join
 from ledgerloom.operators.ordered import in_groups
+from ledgerloom.sources.session import ensure_importable
 from ledgerloom.sources.store import materialize
 
 PLAIN = ("TRIM_WHITESPACE", "UPPERCASE")
 FULL = ("TRIM_WHITESPACE", "UPPERCASE", "REMOVE_PREFIXES", "ALPHANUMERIC_ONLY", "TRIM_LEADING_ZEROS")
 EQUALITIES = ("text", "guard")
+#: Distinct values of a segment of range_yield().
+SEGMENT = 200_000
 
 
 @dataclass(frozen=True)
@@ -62,56 +70,32 @@ TIERS = {
 }
 
 
-def number_holds(rule: Rule, a: float | None, b: float | None) -> bool:
-    return a is not None and b is not None and abs(a - b) <= rule.allowed(a) + 1e-4
-
-
-def holds(rule: Rule, a, b) -> bool:
-    """A condition of the simulation: a missing value fails."""
-    if rule.kind == "number":
-        return number_holds(rule, a, b)
-    return a is not None and b is not None and abs((a - b).days) <= rule.days()
-
-
 def sided(g: DataFrame, p: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """side, row_idx and columns of both ledgers."""
     of = lambda df, s: df.select(F.lit(s).alias("side"), "row_idx", *(c.alias(n) for n, c in columns.items()))
     return of(g, "G").unionByName(of(p, "P"))
 
 
-def islands(rows: DataFrame, column: str, rule: Rule) -> DataFrame:
-    """rows with `island` for a rule without a percentage: bands of its tolerance that touch. The window sees distinct bands only."""
-    width = float(max(rule.days(), 1) if rule.kind == "date" else rule.tolerance + 1e-3)
-    at = F.datediff(F.col(column), F.lit(dt.date(1970, 1, 1))).cast("double") if rule.kind == "date" else F.col(column)
-    banded = rows.where(F.col(column).isNotNull()).withColumn("band", F.floor(at / width))
-    order = Window.orderBy("band")
-    bands = banded.select("band").distinct().withColumn("cut", F.coalesce((F.col("band") - F.lag("band").over(order) > 1).cast("int"), F.lit(0)))
-    bands = bands.withColumn("island", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0))).select("band", "island")
-    return banded.join(bands, "band").drop("band")
-
-
 def simulate(g: DataFrame, p: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """g_idx, p_idx: in row order each G row takes the first free P row that passes all rules."""
+    """g_idx, p_idx: in row order each G row takes the first free P row that passes all rules.
+
+    Candidates are made by a join: equalities are keys, the first two number or date rules with absolute tolerances are bands. Rows with equal values under all rules are one class there. Without any equality or
+    such band there is nothing to join on, and an error is raised.
+    """
     names = {f"v{i}": r for i, r in enumerate(rules)}
-    rows = sided(g, p, {n: r.value() for n, r in names.items()})
     equal = [n for n, r in names.items() if r.kind in EQUALITIES]
-    rest = [(n, r) for n, r in names.items() if r.kind not in EQUALITIES]
-    if not equal and rest:
-        if rest[0][1].percent:
-            raise ValueError("without a text rule the first condition needs an absolute tolerance")
-        rows, equal = islands(rows, *rest[0]), ["island"]
-    rows = rows.dropna(subset=equal)
-    at = [(rows.columns.index(n), r) for n, r in rest]
-
-    def run(block: list[tuple]) -> list[tuple]:
-        free = [x for x in block if x[0] == "P"]
-        out = []
-        for x in block if free else ():
-            if x[0] == "G" and (hit := next((n for n, y in enumerate(free) if all(holds(r, x[i], y[i]) for i, r in at)), None)) is not None:
-                out.append((x[1], free.pop(hit)[1]))
-        return out
-
-    return in_groups(rows, equal, ["row_idx"], run, "g_idx long, p_idx long")
+    rest = {n: r for n, r in names.items() if r.kind not in EQUALITIES}
+    bands = [Band(f"g_{n}", f"p_{n}", r.days(), date=True) if r.kind == "date" else Band(f"g_{n}", f"p_{n}", r.tolerance + 1e-4) for n, r in rest.items() if r.kind == "date" or not r.percent]
+    if not equal and not bands:
+        raise ValueError("a text rule, or a condition with an absolute tolerance, is needed to join on")
+    values = lambda df: df.select("row_idx", *(r.value().alias(n) for n, r in names.items())).dropna()
+    (gs, g_rows), (ps, p_rows) = greedy.classed(values(g), list(names), "g_idx", "c"), greedy.classed(values(p), list(names), "p_idx", "q")
+    side = lambda df, s: df.withColumnsRenamed({n: f"{s}_{n}" for n in rest})
+    pairs = band_join(side(gs, "g"), side(ps, "p"), equal, bands)
+    for n, r in rest.items():
+        if r.kind == "number" and r.percent:
+            pairs = pairs.where(F.abs(F.col(f"g_{n}") - F.col(f"p_{n}")) <= F.abs(F.col(f"g_{n}") * r.tolerance / 100) + 1e-4)
+    return greedy.first_come(g_rows, pairs.select("c", "q").join(p_rows, "q").select("c", "p_idx"), [])
 
 
 def tiered(g: DataFrame, p: DataFrame, tiers: dict[str, tuple[Rule, ...]] = TIERS) -> DataFrame:
@@ -142,107 +126,184 @@ def rule_yield(g: DataFrame, p: DataFrame, rule: Rule) -> DataFrame:
         count = lambda df, n: df.select(rule.value().alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias(n))
         pairs = count(g, "a").join(count(p, "b"), "v").agg(F.coalesce(F.sum(F.least("a", "b")), F.lit(0)).alias("pairs"))
     else:
-        rows = islands(sided(g, p, {"v": rule.value()}), "v", rule)
-
-        def run(block: list[tuple]) -> list[tuple]:
-            gs, ps = ([x[2] for x in block if x[0] == s] for s in "GP")
-            reach = (lambda v: v + dt.timedelta(rule.days())) if rule.kind == "date" else (lambda v: v + rule.tolerance)
-            n = i = j = 0
-            while i < len(gs) and j < len(ps):
-                if reach(ps[j]) < gs[i]:
-                    j += 1
-                elif ps[j] <= reach(gs[i]):
-                    n, i, j = n + 1, i + 1, j + 1
-                else:
-                    i += 1
-            return [(n,)]
-
-        pairs = in_groups(rows.select("side", "row_idx", "v", "island"), ["island"], ["v"], run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
+        pairs = range_yield(g, p, rule)
     return pairs.select(F.lit(rule.name).alias("rule"), "pairs")
 
 
+def range_yield(g: DataFrame, p: DataFrame, rule: Rule) -> DataFrame:
+    """One row, pairs: how many pairs two pointers make that run over both sides in order, each G value with the first free P value in reach.
+
+    These pairs are a largest matching of values within the tolerance, so they are all G rows but the largest lack: the most by which G rows of some intervals outnumber the P rows in reach of them. Along the line, an interval
+    of reach that begins at s and ends at e adds U(e) + V(s), where U counts G values up to e - tolerance less P values up to e, and V the same from below s with the other sign. The best set of
+    intervals is a walk between the states "outside" and "inside"; a segment of the line makes it a 2 x 2 table of best gains, and tables compose. So segments of distinct values are reduced each in its own task, and
+    the driver folds one table a segment. Numbers count to six decimals.
+    """
+    tol = F.lit(rule.days() if rule.kind == "date" else rule.tolerance).cast("decimal(30,6)")
+    at = (F.datediff(rule.value(), F.lit(dt.date(1970, 1, 1))) if rule.kind == "date" else rule.value()).cast("decimal(30,6)")
+    point = lambda df, *steps: df.select(at.alias("at")).where("at IS NOT NULL").select(F.explode(F.array(*(F.struct((F.col("at") + shift).cast("decimal(30,6)").alias("at"), F.lit(u).alias("u"), F.lit(v).alias("v")) for shift, u, v in steps))).alias("x")).select("x.*")
+    zero = F.lit(0).cast("decimal(30,6)")
+    points = point(g, (tol, 1, 0), (-tol, 0, -1)).unionByName(point(p, (zero, -1, 1))).groupBy("at").agg(F.sum("u").alias("u"), F.sum("v").alias("v"))
+    points = materialize(points, "points")
+    n = max(1, -(-points.count() // SEGMENT))
+    dealt = materialize(points.repartitionByRange(n, "at").withColumn("segment", F.spark_partition_id()), "segments")
+    offsets, u, v = {}, 0, 0
+    for row in dealt.groupBy("segment").agg(F.sum("u").alias("u"), F.sum("v").alias("v")).orderBy("segment").collect():  # a row a segment
+        offsets[row.segment] = (u, v)
+        u, v = u + row.u, v + row.v
+
+    def table(key: tuple[pa.Scalar], rows: pa.Table) -> pa.Table:
+        segment = key[0].as_py()
+        rows = rows.sort_by("at")
+        u, v = offsets[segment]
+        best = {"out": [0, -math.inf], "in": [-math.inf, 0]}  # by the state at the start: best gain outside and inside so far
+        for du, dv in zip(rows["u"].to_pylist(), rows["v"].to_pylist()):
+            for b in best.values():
+                b[1] = max(b[1], b[0] + v)  # an interval begins before what stands here
+            u, v = u + du, v + dv
+            for b in best.values():
+                b[0] = max(b[0], b[1] + u)  # or ends behind it
+        return pa.table({"segment": [segment], "oo": [best["out"][0]], "oi": [best["out"][1]], "io": [best["in"][0]], "ii": [best["in"][1]]}, schema=pa.schema([("segment", pa.int32()), *((c, pa.float64()) for c in ("oo", "oi", "io", "ii"))]))
+
+    ensure_importable(g.sparkSession)
+    out, inside = 0.0, -math.inf
+    for t in dealt.groupBy("segment").applyInArrow(table, "segment int, oo double, oi double, io double, ii double").orderBy("segment").collect():  # a row a segment
+        out, inside = max(out + t.oo, inside + t.io), max(out + t.oi, inside + t.ii)
+    return g.select(at.alias("at")).agg((F.count("at") - F.lit(int(out))).alias("pairs"))
+
+
 PASSES = "g_idx long, p_idx long, pass int, bucket string, rank int, score double"
 
 
+def days_between(a: dt.date | None, b: dt.date | None) -> int:
+    """0 if one is missing."""
+    return abs((a - b).days) if a and b else 0
+
+
+def related(a: str, b: str) -> bool:
+    """Whether two normalised documents are equal, contain each other or are similar."""
+    return a == b or (len(a) >= 3 and a in b) or (len(b) >= 3 and b in a) or guarded(a, b) >= 0.85
+
+
+@pandas_udf(T.BooleanType())
+def related_documents(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([related(x, y) for x, y in zip(a, b)], dtype="bool")
+
+
+@pandas_udf(T.DoubleType())
+def likeness(a: pd.Series, b: pd.Series, at: pd.Series, bt: pd.Series, days: pd.Series, ax: pd.Series, bx: pd.Series) -> pd.Series:
+    """Score of an ambiguous candidate from documents, amounts, days and taxes."""
+    fit = lambda x, y: max(0.0, 1 - abs(x - y) / max(x, 1.0))
+    return pd.Series(
+        [round((0.40 * (guarded(n, m) if n and m else 0.5) + 0.30 * fit(t, u) + 0.15 * max(0.0, 1 - d / 60) + 0.15 * fit(x, y)) * 100, 1) for n, m, t, u, d, x, y in zip(a, b, at, bt, days, ax, bx)], dtype="float64"
+    )
+
+
+def competing(rows: DataFrame, others: dict[str, Rule]) -> DataFrame:
+    """node, component of the rows of four_passes() that can compete: they share a document by rule or as written, or are near each other in the third pass.
+
+    Rows of one document are tied to the smallest of them, so a document with many rows makes as many edges as rows. Near rows come from a band join on the first two number rules; without a number rule, all rows of a vendor are one component.
+    """
+    numbers = {n: r for n, r in others.items() if r.kind == "number"}
+
+    def tied(*key: str) -> DataFrame:
+        some = rows.where(" AND ".join(f"{c} != ''" for c in key) or "true")
+        first = some.groupBy("v", *key[1:]).agg(F.min("node").alias("b"), F.count_if(F.col("side") == "G").alias("gs"), F.count_if(F.col("side") == "P").alias("ps")).where("gs > 0 AND ps > 0")
+        return some.join(first, ["v", *key[1:]]).select(F.col("node").alias("a"), "b")
+
+    edges = tied("v", "n").unionByName(tied("v", "clean"))
+    if not numbers:
+        return greedy.components(edges.unionByName(tied()))
+    side = lambda s: rows.where(F.col("side") == s).select("v", F.col("node").alias("ab"["GP".index(s)]), *(F.col(c).alias(f"{s}_{c}") for c in ("n", *others)))
+    near = band_join(side("G"), side("P"), ["v"], [Band(f"G_{n}", f"P_{n}", max(2 * r.tolerance, 50)) for n, r in numbers.items()])
+    for n, r in others.items():
+        if r.kind == "date":
+            near = near.where(F.coalesce(normalize.days_apart(F.col(f"G_{n}"), F.col(f"P_{n}")), F.lit(0)) <= max(int(r.tolerance), 45))
+        elif r.kind in EQUALITIES:
+            near = near.where((F.col(f"G_{n}") == F.col(f"P_{n}")) & (F.col(f"G_{n}") != ""))
+    near = near.where(related_documents("G_n", "P_n")).select("a", "b")
+    return greedy.components(edges.unionByName(near))
+
+
 def four_passes(g: DataFrame, p: DataFrame, rules: tuple[Rule, ...] = DEFAULT) -> DataFrame:
     """Links (PASSES) of a vendor rule, a document rule and more: 1 exact, 2 tolerance, 3 near document, 4 ambiguous with ranked candidates, and 5 the residuals of both sides.
 
     Exact: the first free P row of vendor and document that agrees on all rules. Tolerance: the only one within all tolerances (documents by rule, else upper-case with single blanks); near: the only
     one of the vendor with a similar or contained document and looser limits. Several make a collision: it keeps what is still free after pass 3, if two or more are. Rows without a candidate left then get the three
     nearest amounts of the vendor, if it has two. An ambiguous row takes no P row away, so its candidates are residuals, too.
+
+    The first three passes are read in row order inside connected components of competing rows; a vendor, however large, is many of these. The fourth is joins and neighbours in order of amount.
     """
+    ensure_importable(g.sparkSession)
     vendor, doc = (next(r for r in rules if r.name == n) for n in ("vendor", "document"))
-    others = [r for r in rules if r.name not in ("vendor", "document")]
+    others = {f"v{i}": r for i, r in enumerate(r for r in rules if r.name not in ("vendor", "document"))}
     clean = F.regexp_replace(F.trim(F.upper(F.coalesce(doc.column, F.lit("")))), r"\s+", " ")
     tax = sum((F.coalesce(F.col(h).cast("double"), F.lit(0.0)) for h in ("cgst", "sgst")), F.coalesce(F.col("igst").cast("double"), F.lit(0.0)))
-    values = {f"v{i}": F.coalesce(r.value(), F.lit(0.0)) if r.kind == "number" else r.value() for i, r in enumerate(others)}
+    values = {n: F.coalesce(r.value(), F.lit(0.0)) if r.kind == "number" else r.value() for n, r in others.items()}
     columns = {"v": F.coalesce(vendor.value(), F.lit("")), "n": F.coalesce(doc.value(), F.lit("")), "clean": clean, "t": F.coalesce(F.col("taxable").cast("double"), F.lit(0.0)), "x": tax, "d": F.col("d"), **values}
-    rows = sided(g, p, columns)
-    at = [(rows.columns.index(f"v{i}"), r) for i, r in enumerate(others)]
-    SIDE, IDX, V, N, CLEAN, T, X, D = range(8)
-
-    def days(a, b) -> int:
-        return abs((a - b).days) if a and b else 0
+    rows = materialize(sided(g, p, columns).withColumn("node", 2 * F.col("row_idx") + (F.col("side") == "P").cast("long")), "passes")
+    sent = rows.join(competing(rows, others), "node").select("component", "side", "row_idx", "v", "n", "clean", *others)
+    at = [(sent.columns.index(n), r) for n, r in others.items()]
+    SIDE, IDX, V, N, CLEAN = range(1, 6)
 
     def agree(a: tuple, b: tuple, number: Callable, date: Callable) -> bool:
         return all(number(r, a[i], b[i]) if r.kind == "number" else date(r, a[i], b[i]) if r.kind == "date" else bool(a[i]) and a[i] == b[i] for i, r in at)
 
     exact = lambda a, b: a[N] == b[N] and agree(a, b, lambda r, x, y: abs(x - y) <= 0.05, lambda r, x, y: x is not None and x == y)
-    tolerant = lambda a, b: agree(a, b, lambda r, x, y: abs(x - y) <= r.allowed(x) + 1e-3, lambda r, x, y: days(x, y) <= r.days())
-
-    def near(a: tuple, b: tuple) -> bool:
-        if not agree(a, b, lambda r, x, y: abs(x - y) <= max(2 * r.tolerance, 50), lambda r, x, y: days(x, y) <= max(int(r.tolerance), 45)):
-            return False
-        return a[N] == b[N] or (len(a[N]) >= 3 and a[N] in b[N]) or (len(b[N]) >= 3 and b[N] in a[N]) or guarded(a[N], b[N]) >= 0.85
-
-    def likeness(a: tuple, b: tuple) -> float:
-        text = guarded(a[N], b[N]) if a[N] and b[N] else 0.5
-        fit = lambda i: max(0.0, 1 - abs(a[i] - b[i]) / max(a[i], 1.0))
-        return round((0.40 * text + 0.30 * fit(T) + 0.15 * max(0.0, 1 - days(a[D], b[D]) / 60) + 0.15 * fit(X)) * 100, 1)
+    tolerant = lambda a, b: agree(a, b, lambda r, x, y: abs(x - y) <= r.allowed(x) + 1e-3, lambda r, x, y: days_between(x, y) <= r.days())
+    near = lambda a, b: a[V] == b[V] and agree(a, b, lambda r, x, y: abs(x - y) <= max(2 * r.tolerance, 50), lambda r, x, y: days_between(x, y) <= max(int(r.tolerance), 45)) and related(a[N], b[N])
 
     def run(block: list[tuple]) -> list[tuple]:
         gs, ps = ({x[IDX]: x for x in block if x[SIDE] == s} for s in "GP")
         by_doc, by_clean, out = defaultdict(list), defaultdict(list), []
         for j, y in ps.items():
             if y[V] and y[N]:
-                by_doc[y[N]].append(j)
+                by_doc[y[V], y[N]].append(j)
             if y[V] and y[CLEAN]:
-                by_clean[y[CLEAN]].append(j)
+                by_clean[y[V], y[CLEAN]].append(j)
         free = dict(ps)
-        of = lambda a, index, key: [j for j in index.get(key, ()) if j in free] if a[V] else []
+        of = lambda a, index, key: [j for j in index.get((a[V], key), ()) if j in free] if a[V] else []
 
-        def link(i: int, j: int, nth: int, bucket: str) -> None:
-            out.append((i, j, nth, bucket, 1, 100.0))
+        def link(i: int, j: int, nth: int) -> None:
+            out.append((i, j, nth))
             del free[j], gs[i]
 
         for i, a in list(gs.items()):
             if (j := next((j for j in of(a, by_doc, a[N]) if exact(a, free[j])), None)) is not None:
-                link(i, j, 1, "EXACT_MATCH")
+                link(i, j, 1)
         collisions: dict[int, list[int]] = {}
         for i, a in list(gs.items()):
             found = [j for j in of(a, by_doc, a[N]) or (of(a, by_clean, a[CLEAN]) if a[CLEAN] else []) if tolerant(a, free[j])]
             if len(found) == 1:
-                link(i, found[0], 2, "TOLERANCE_MATCH")
+                link(i, found[0], 2)
             elif found:
                 collisions[i] = found
         for i, a in list(gs.items()):
             if i not in collisions:
                 found = [j for j, b in free.items() if near(a, b)]
                 if len(found) == 1:
-                    link(i, found[0], 3, "NEAR_MATCH")
+                    link(i, found[0], 3)
                 elif found:
                     collisions[i] = found
-        for i, a in gs.items():
-            if i not in collisions and len(free) >= 2:
-                collisions[i] = sorted(free, key=lambda j: abs(a[T] - free[j][T]))[:3]
-            if len(left := [j for j in collisions.get(i, ()) if j in free]) >= 2:
-                scored = sorted(((likeness(a, free[j]), j) for j in left), key=lambda s: -s[0])
-                out += [(i, j, 4, "AMBIGUOUS", rank, s) for rank, (s, j) in enumerate(scored, 1)]
-            else:
-                out.append((i, None, 5, "GSTR_ONLY", 1, None))
-        return out + [(None, j, 5, "PR_ONLY", 1, None) for j in free]
-
-    return in_groups(rows, ["v"], ["row_idx"], run, PASSES)
+        return out + [(i, j, 0) for i, found in collisions.items() for j in found]
+
+    done = materialize(in_groups(sent, ["component"], ["row_idx"], run, "g_idx long, p_idx long, pass int"), "passes", lean=True)
+    buckets = F.when(F.col("pass") == 1, "EXACT_MATCH").when(F.col("pass") == 2, "TOLERANCE_MATCH").otherwise("NEAR_MATCH")
+    links = done.where("pass > 0").select("g_idx", "p_idx", "pass", buckets.alias("bucket"), F.lit(1).alias("rank"), F.lit(100.0).alias("score"))
+    rest = lambda s, c: rows.where(F.col("side") == s).withColumnRenamed("row_idx", c).join(links.select(c), c, "left_anti")
+    open_g, free = materialize(rest("G", "g_idx"), "open"), materialize(rest("P", "p_idx"), "free")
+    collided = done.where("pass = 0").select("g_idx", "p_idx")
+    alone = open_g.join(collided, "g_idx", "left_anti")
+    near_by = scan.nearest(alone.select("v", F.col("g_idx").alias("row"), F.col("t").alias("at")), free.select("v", F.col("p_idx").alias("item"), F.col("t").alias("at")), ["v"], 3)
+    pairs = collided.join(free.select("p_idx"), "p_idx", "left_semi").select("g_idx", "p_idx", F.lit(0).alias("nth")).unionByName(near_by.select(F.col("row").alias("g_idx"), F.col("item").alias("p_idx"), F.col("rank").alias("nth")))
+    several = pairs.join(pairs.groupBy("g_idx").agg(F.count("*").alias("k")).where("k >= 2"), "g_idx")
+    side = lambda df, c, s: df.select(c, *(F.col(x).alias(f"{s}_{x}") for x in ("n", "t", "d", "x")))
+    several = several.join(side(open_g, "g_idx", "g"), "g_idx").join(side(free, "p_idx", "p"), "p_idx")
+    days = F.coalesce(normalize.days_apart(F.col("g_d"), F.col("p_d")), F.lit(0))
+    several = several.withColumn("score", likeness("g_n", "p_n", "g_t", "p_t", days, "g_x", "p_x"))
+    rank = F.row_number().over(Window.partitionBy("g_idx").orderBy(F.desc("score"), "nth", "p_idx"))
+    ambiguous = materialize(several.select("g_idx", "p_idx", F.lit(4).alias("pass"), F.lit("AMBIGUOUS").alias("bucket"), rank.alias("rank"), "score"), "ambiguous", lean=True)
+    left = lambda df, mine, other, name: df.select(F.col(mine), F.lit(None).cast("long").alias(other), F.lit(5).alias("pass"), F.lit(name).alias("bucket"), F.lit(1).alias("rank"), F.lit(None).cast("double").alias("score"))
+    return links.unionByName(ambiguous).unionByName(left(open_g.join(ambiguous.select("g_idx"), "g_idx", "left_anti"), "g_idx", "p_idx", "GSTR_ONLY")).unionByName(left(free, "p_idx", "g_idx", "PR_ONLY"))
 
 
 def resolve(pairs: DataFrame) -> DataFrame:

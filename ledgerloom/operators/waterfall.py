@@ -1,8 +1,8 @@
 """Dual-ledger waterfall: exact, batches, one-to-one tolerance, tax heads, fuzzy documents, ambiguity, residuals.
 
 Passes over blocks of one remaining P row are joins: such a block is consumed by its first G row that satisfies the pass, and a block with more P rows
-can't shrink within a pass. Passes where a match takes rows away from later ones in the same block (batches, fuzzy, ambiguity) run in row order inside a vendor, whose rows are streamed to one function; the fuzzy pass
-cuts a vendor into islands of amounts no further apart than the tolerance, since only rows of one island can meet.
+can't shrink within a pass. The fuzzy pass has a fixed order of preference for each G row, so rounds settle it (greedy.first_come). Batches and ambiguity, where the rows that are still free decide, run in row order
+inside a vendor, whose rows are streamed to one function.
 """
 
 from __future__ import annotations
@@ -13,8 +13,11 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions import normalize
-from ledgerloom.functions.similarity import guarded
+from ledgerloom.functions.similarity import guarded, guarded_ratio
+from ledgerloom.operators import greedy
+from ledgerloom.operators.bands import Band, band_join
 from ledgerloom.operators.ordered import in_groups
+from ledgerloom.sources.session import ensure_importable
 from ledgerloom.sources.store import materialize
 
 LINK = "g_idx long, p_idx long, bucket string, sub string, share double"
@@ -151,26 +154,18 @@ def batch_pass(g: DataFrame, p: DataFrame, t: Limits) -> DataFrame:
 
 
 def fuzzy_pass(g: DataFrame, p: DataFrame, t: Limits) -> DataFrame:
-    """In row order each G row takes the free P row of its vendor with the most similar document, at a near amount."""
-
-    def island(rows: list[tuple]) -> list[tuple]:
-        gs, ps = sides(sorted(rows, key=lambda r: r[2]))
-        out = []
-        for i, doc, amount in gs.values() if ps else ():
-            best, found = 0.0, None
-            for j, other, value in ps.values():
-                if abs(amount - value) <= t.amount and (s := guarded(doc, other)) >= t.fuzzy and s > best:
-                    best, found = s, j
-            if found is not None:
-                del ps[found]
-                out.append((i, found, "NEAR_MATCH", "DOC_PREFIX_NORMALIZED", 100.0))
-        return out
-
-    def run(rows: list[tuple]) -> list[tuple]:
-        cuts = [0, *(n for n in range(1, len(rows)) if rows[n][4] - rows[n - 1][4] > t.amount), len(rows)]
-        return [link for lo, hi in zip(cuts, cuts[1:]) for link in island(rows[lo:hi])]
+    """In row order each G row takes the free P row of its vendor with the most similar document, at a near amount; the first of equally similar ones.
 
-    return in_groups(both(g, p).where("v != ''"), ["v"], ["taxable", "side", "row_idx"], run, LINK)
+    Candidates come from a join of amount bins inside a vendor, by classes of equal (vendor, document, amount); rounds settle who gets which (greedy.first_come).
+    """
+    ensure_importable(g.sparkSession)
+    asked = lambda df, row, name: greedy.classed(df.where("v != '' AND n != ''").select("v", "n", "taxable", "row_idx"), ["v", "n", "taxable"], row, name)
+    (gs, g_rows), (ps, p_rows) = asked(g, "g_idx", "c"), asked(p, "p_idx", "q")
+    side = lambda df, s: df.withColumnsRenamed({"n": f"{s}_n", "taxable": f"{s}_taxable"})
+    pairs = band_join(side(gs, "g"), side(ps, "p"), ["v"], [Band("g_taxable", "p_taxable", t.amount)])
+    pairs = pairs.withColumn("alike", guarded_ratio(F.col("g_n"), F.col("p_n"))).where(F.col("alike") >= t.fuzzy)
+    links = greedy.first_come(g_rows, pairs.select("c", "q", "alike").join(p_rows, "q").select("c", "p_idx", "alike"), [F.desc("alike")])
+    return links.select("g_idx", "p_idx", F.lit("NEAR_MATCH").alias("bucket"), F.lit("DOC_PREFIX_NORMALIZED").alias("sub"), F.lit(100.0).alias("share"))
 
 
 CLUSTER = "g_idx long, p_idx long, rank int, of int, invoice double, amount double, score double"

@@ -120,8 +120,8 @@ def test_waterfall_batches_and_ambiguity(spark):
     assert got[3, 3] == "COMPETING_2" and got[None, 4] == "P_ONLY" and got[4, None] == "MALFORMED_BLANK_ROW"
 
 
-def test_fuzzy_islands_equal_whole_vendor(spark):
-    """Cutting a vendor at amount gaps changes nothing."""
+def test_fuzzy_rounds_equal_row_order(spark):
+    """Bins of amounts and rounds change nothing."""
     r = random.Random(4)
     doc = lambda: "X" + "".join(r.choice("AB") for _ in range(7))
     g = [{"vendor": r.choice(("A", "B")), "doc": doc(), "taxable": r.choice((100, 108, 300, 309, 900))} for _ in range(40)]
@@ -164,8 +164,8 @@ def test_consolidated_verdicts(spark, monkeypatch):
         (3, "W", None, "A", None, 100.0, 0.0), (4, "W", None, "B", None, 50.0, 0.0), (5, "W", None, "C", None, 33.0, 0.0), (6, None, "W", None, "Z", 0.0, 150.0),  # a sum
         (7, "X", "X", "E", "E", 70.0, 70.0), (8, "X", "X", "F", "F", 900.0, 500.0), (9, None, "X", None, "H", 0.0, 20.0),
     ]
-    full = [(i, gv, pv, gd, pd, DAY if gv else None, DAY if pv else None, g, p, 0.0, 0.0, 0) for i, gv, pv, gd, pd, g, p in rows]
-    table = spark.createDataFrame(full, "row_idx long, g_vendor string, p_vendor string, g_doc string, p_doc string, g_date date, p_date date, g_taxable double, p_taxable double, g_igst double, p_igst double, scenario int")
+    full = [(i, gv, pv, gd, pd, DAY if gv else None, DAY if pv else None, g, p, 0.0, 0.0, g / 10, p / 10, 0) for i, gv, pv, gd, pd, g, p in rows]
+    table = spark.createDataFrame(full, "row_idx long, g_vendor string, p_vendor string, g_doc string, p_doc string, g_date date, p_date date, g_taxable double, p_taxable double, g_igst double, p_igst double, g_tax double, p_tax double, scenario int")
     monkeypatch.setattr(registry, "wide_table", lambda spark, sf_dir: table)
     ask = lambda name: registry.QUERIES[name](spark, "").collect()
     got = {r.row_idx: (r.verdict, r["sub"]) for r in ask("wide_verdicts")}
@@ -174,7 +174,7 @@ def test_consolidated_verdicts(spark, monkeypatch):
     assert len(sums) == 1 and {i for i, v in got.items() if v == tranche} == {1, 2} | sums[0]
     assert got[5][0] == "GST Only" and got[7][0] == "Exact Match" and got[8][0] == "Ineligible ITC [Sec 17(5)]" and got[9][0] == "PR Only"
     assert [(r.total, r.matched) for r in ask("summary_match_rate")] == [(9, 6)] and {r.verdict: r.n for r in ask("summary_buckets")}["Consolidated Match"] == 5
-    assert {r.vendor: (r.matched, r.claimable) for r in ask("summary_vendor_risk")} == {"V": (2, 1000.0), "W": (3, 150.0), "X": (1, 70.0)}
+    assert {r.vendor: (r.matched, r.claimable) for r in ask("summary_vendor_risk")} == {"V": (2, 160.0), "W": (3, 30.0), "X": (1, 7.0)}  # a tenth of the amounts: G's tax, or P's where G is missing
     assert [(r.verdict, r.running) for r in sorted(ask("summary_yields"), key=lambda r: r.tier)][:2] == [("Exact Match", 1), ("Consolidated Match", 6)]
     assert {r.row_idx for r in ask("export_report") if r.section == "Matched"} == {1, 2, 3, 4, 6, 7}
     assert ask("export_fingerprint") != export.fingerprint(wide.verdicts(table), ["row_idx", "verdict", "sub"]).collect()
