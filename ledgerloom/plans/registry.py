@@ -436,17 +436,51 @@ def rules_text_yields(spark, sf_dir):
     return rules.rule_yield(g, p, rules.VENDOR).unionByName(rules.rule_yield(g, p, rules.DOC))
 
 
-@query()
+#: A fold over arrivals of values and their departures a tolerance later: who arrives meets the longest waiting row of the other side. ga, pa: arrived so far; gr, pr: gone so far.
+STATE = "struct_pack(side := '', gone := 0, k := 0::bigint, n := {n}, ga := {ga}, gr := {gr}, pa := {pa}, pr := {pr})"
+
+
+def state(**changed: str) -> str:
+    return STATE.format(**{c: f"s.{c}" for c in ("n", "ga", "gr", "pa", "pr")} | {c: f"s.{c} + 1" if v == "+" else v for c, v in changed.items()})
+
+
+def waiting_sql(name: str, value: str, tolerance: str) -> str:
+    zero = STATE.format(n="0::bigint", ga="0::bigint", gr="0::bigint", pa="0::bigint", pr="0::bigint")
+    return f"""SELECT '{name}' AS rule, list_reduce(events, lambda s, e: CASE WHEN e.gone = 1 AND e.side = 'G' THEN {state(gr='greatest(s.gr, e.k)')} WHEN e.gone = 1 THEN {state(pr='greatest(s.pr, e.k)')}
+    WHEN e.side = 'G' AND s.pa > s.pr THEN {state(n='+', ga='+', gr='+', pr='+')} WHEN e.side = 'G' THEN {state(ga='+')} WHEN s.ga > s.gr THEN {state(n='+', gr='+', pa='+', pr='+')} ELSE {state(pa='+')} END, {zero}).n AS pairs
+    FROM (SELECT list({zero.replace("side := ''", "side := side").replace('gone := 0', 'gone := gone').replace('k := 0::bigint', 'k := k')} ORDER BY x, gone, side, k) AS events FROM (
+      SELECT side, k, x, gone FROM (SELECT 'G' AS side, {value} AS v, row_number() OVER (ORDER BY {value}) AS k FROM g UNION ALL SELECT 'P', {value}, row_number() OVER (ORDER BY {value}) FROM p), LATERAL (SELECT v AS x, 0 AS gone UNION ALL SELECT v + {tolerance}, 1)))"""
+
+
+@query(f"""{waiting_sql('amount', 'taxable', '10')} UNION ALL {waiting_sql('date', "date_diff('day', date '1970-01-01', d)", '30')}""")
 def rules_range_yields(spark, sf_dir):
     g, p = ledgers(spark, sf_dir)
     return rules.rule_yield(g, p, rules.AMOUNT).unionByName(rules.rule_yield(g, p, rules.DAY))
 
 
-@query()
+#: Row order inside groups of rows that share candidates (table cand: g_idx, p_idx), one G row after another with the list of P rows that are used up.
+IN_ORDER = """reach AS (SELECT DISTINCT g_idx AS g, g_idx AS h FROM cand UNION SELECT r.g, b.g_idx FROM reach r JOIN cand a ON a.g_idx = r.h JOIN cand b ON a.p_idx = b.p_idx),
+steps AS (SELECT root, g_idx, row_number() OVER (PARTITION BY root ORDER BY g_idx) AS nth, ps FROM (SELECT g AS g_idx, min(h) AS root FROM reach GROUP BY g) JOIN (SELECT g_idx, list(p_idx ORDER BY rate DESC, p_idx) AS ps FROM cand GROUP BY g_idx) USING (g_idx)),
+walk AS (SELECT root, 0::bigint AS nth, []::bigint[] AS used, 0::bigint AS g_idx, 0::bigint AS p_idx FROM (SELECT DISTINCT root FROM steps)
+  UNION ALL SELECT root, nth, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, g_idx, pick FROM (SELECT s.root, s.nth, s.g_idx, w.used, list_filter(s.ps, lambda x: NOT list_contains(w.used, x))[1] AS pick FROM walk w JOIN steps s ON s.root = w.root AND s.nth = w.nth + 1))"""
+
+
+@query(
+    f""", cand AS (SELECT g.row_idx AS g_idx, p.row_idx AS p_idx, 0 AS rate FROM g JOIN p ON p.taxable BETWEEN g.taxable - 10.0001 AND g.taxable + 10.0001 WHERE abs(date_diff('day', g.d, p.d)) <= 30), {IN_ORDER}
+    SELECT g_idx, p_idx FROM walk WHERE nth > 0 AND p_idx IS NOT NULL"""
+)
 def rules_without_text(spark, sf_dir):
     return rules.simulate(*ledgers(spark, sf_dir), (rules.AMOUNT, rules.DAY))
 
 
+#: One vendor with a third of all rows: orders of every third key are booked under it.
+HOT = "CASE WHEN order_key % 3 = 0 THEN 'V99999999' ELSE vendor END"
+
+
+def hot_ledgers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(df.withColumn("vendor", F.expr(HOT)) for df in ledgers(spark, sf_dir))
+
+
 @query()
 def rules_passes(spark, sf_dir):
     return rules.four_passes(*ledgers(spark, sf_dir))
