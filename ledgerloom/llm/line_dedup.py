@@ -8,12 +8,13 @@ Suffixes of one rank at depth MIN_LINES are an interval of the suffix array whos
 original. Every later place is paired with it, and the longest common prefix of the two follows from the round ranks, largest round first: while the ranks at
 the present offset agree, the offset grows by the round's depth. Pairs that go on from a pair one line before are dropped, so what is left are the maximal repeated runs: stretches that agree with
 the first place of their opening lines and can be extended neither way. A run of fewer lines counts as well if it has MIN_WORDS words. All lines of these runs are deleted: every copy but the first.
+Inside one document the opening lines of a copy must not overlap the original's: "a a a b" has no copy of "a a", and "a a a a" has one, lines 2 and 3.
 
 A pair of ranks that very many suffixes share costs no single task: pairs are counted with partial sums, only distinct pairs are sorted, ranks return
 by a join whose large keys Spark splits, and an original with very many copies is looked up in several salted copies.
 
 Nulls and edge cases: a null text has no lines and gives an empty kept_text; lines without a word belong to no run and are kept; lines are equal if their bytes are; runs do not cross documents; null doc_ids come after all others;
-rows that share a doc_id are no earlier copies of each other at the same line; equal rows (doc_id and text) are ranked once and get the same result each; empty tables give an empty result;
+rows that share a doc_id are no earlier copies of each other at the same line or at one so near that both would overlap in one text; equal rows (doc_id and text) are ranked once and get the same result each; empty tables give an empty result;
 other columns are carried along whatever their names are, and NEW replace columns of those names.
 """
 
@@ -109,15 +110,15 @@ def at_depth(rounds: list[DataFrame], depth: int) -> DataFrame | None:
 
 
 def openings(rounds: list[DataFrame], min_lines: int, min_words: int | None) -> DataFrame | None:
-    """PLACE of suffixes that have an earlier copy of min_lines lines, or of fewer lines with min_words words, and the first such place (td, tk, tseq)."""
-    later = (F.col("_d") > F.col("first._d")) | ((F.col("_d") == F.col("first._d")) & (F.col("seq") > F.col("first.seq")))
+    """PLACE of suffixes that have an earlier copy of min_lines lines, or of fewer lines with min_words words, and the first such place (td, tk, tseq). In one document the copy of these opening lines begins behind the original's last."""
+    other, apart = F.col("_d") > F.col("first._d"), F.col("seq") - F.col("first.seq")
     found = None
     for depth in range(min_lines if min_words is None else 1, min_lines + 1):
         if (ranks := at_depth(rounds, depth)) is None:
             continue
         if depth < min_lines:
             ranks = ranks.where((F.size("ahead") >= depth) & (F.element_at("ahead", depth) >= min_words))
-        part = ranks.where(later).select(*PLACE, F.col("first._d").alias("td"), F.col("first._k").alias("tk"), F.col("first.seq").alias("tseq"), "copies")
+        part = ranks.where(other | (apart >= depth)).select(*PLACE, F.col("first._d").alias("td"), F.col("first._k").alias("tk"), F.col("first.seq").alias("tseq"), "copies")
         found = part if found is None else found.unionByName(part)
     return found
 

@@ -46,7 +46,7 @@ WITH RECURSIVE lines AS (
   SELECT doc_id, seq, body, follow, first_value(struct_pack(d := doc_id, s := seq)) OVER (PARTITION BY body ORDER BY doc_id, seq) AS first1,
     first_value(struct_pack(d := doc_id, s := seq)) OVER (PARTITION BY body, follow ORDER BY doc_id, seq) AS first2 FROM pairs
 ), openings AS (
-  SELECT doc_id, seq, first2.d AS td, first2.s AS tseq FROM placed WHERE follow IS NOT NULL AND (doc_id, seq) <> (first2.d, first2.s)
+  SELECT doc_id, seq, first2.d AS td, first2.s AS tseq FROM placed WHERE follow IS NOT NULL AND (doc_id <> first2.d OR seq - first2.s >= 2)
   UNION
   SELECT doc_id, seq, first1.d, first1.s FROM placed WHERE len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) >= 50 AND (doc_id, seq) <> (first1.d, first1.s)
 ), heads AS (

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,7 +122,7 @@ def line_brute(rows, depth):
     for places in runs.values():
         low = min(p[:2] for p in places)
         for d, s, n in places:
-            if (d, s) > low:
+            if d > low[0] or s - low[1] >= depth:  # a copy begins behind its original
                 gone[n] |= {seqs[n][s + j][0] for j in range(depth)}
     out = []
     for n, (i, t) in enumerate(rows):
@@ -148,15 +149,16 @@ def run_brute(rows, lines, words):
     for n, (i, t) in enumerate(rows):
         gone = set()
         for s in range(len(bare[n])):
-            most = 0
+            most, heard = 0, np.cumsum([len(x.split()) for x in bare[n][s:]])
             for m in range(n + 1):
                 for b in range(len(bare[m]) if m < n else s):
                     k = 0
                     while s + k < len(bare[n]) and b + k < len(bare[m]) and bare[n][s + k] == bare[m][b + k]:
                         k += 1
-                    most = max(most, k)
-            if most >= lines or most and sum(len(x.split()) for x in bare[n][s : s + most]) >= words:
-                gone |= {k for k, _ in seqs[n][s : s + most]}
+                    enough = [d for d in range(1, min(k, lines) + 1) if d == lines or heard[d - 1] >= words]
+                    if any(m < n or s - b >= d for d in enough):
+                        most = max(most, k)
+            gone |= {k for k, _ in seqs[n][s : s + most]}
         out.append((i, len(seqs[n]), len(gone), "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)))
     return sorted(out, key=str)
 
@@ -173,6 +175,12 @@ def test_single_long_lines_go(docs_of, lines):
     assert kept[91] == "" and kept[92] == "x\ny 92" and kept[93] == f"z\n{passage[0]}\ny 93"
 
 
+def test_the_first_copy_stays_whole(docs_of):
+    texts = ["a\na\na\nb", "c\nc\nc\nc", "d\ne\nd\ne\nd\ne", "x\na\na\nb"]
+    got = {r.doc_id: r.kept_text for r in line_dedup.line_dedup(docs_of(list(enumerate(texts))), 2, None).collect()}
+    assert got == {0: "a\na\na\nb", 1: "c\nc", 2: "d\ne", 3: "x"}
+
+
 def maximal_brute(rows, depth):
     """Runs by their definition: from every place to the first place of its opening lines, left-maximal, as long as lines agree."""
     seqs = [[x for x in t.split("\n") if x.strip()] for _, t in rows]
@@ -183,7 +191,7 @@ def maximal_brute(rows, depth):
     at = {(n, s): first[tuple(seq[s : s + depth])] for n, seq in enumerate(seqs) for s in range(len(seq) - depth + 1)}
     out = collections.defaultdict(list)
     for (n, s), (m, t) in at.items():
-        if (n, s) != (m, t) and (at.get((n, s - 1)) != (m, t - 1) or (n, s - 1) == (m, t - 1)):
+        if (n != m or s - t >= depth) and at.get((n, s - 1)) != (m, t - 1):
             k = 0
             while s + k < len(seqs[n]) and t + k < len(seqs[m]) and seqs[n][s + k] == seqs[m][t + k]:
                 k += 1
