@@ -2,14 +2,18 @@
 
 Passes over blocks of one remaining P row are joins: such a block is consumed by its first G row that satisfies the pass, and a block with more P rows
 can't shrink within a pass. The fuzzy pass has a fixed order of preference for each G row, so rounds settle it (greedy.first_come). Batches and ambiguity, where the rows that are still free decide, run in row order
-inside a vendor, whose rows are streamed to one function.
+inside a vendor, whose rows are streamed to one function; batches look up amounts in order there and stop a sum that has grown too large, so a row costs a few comparisons, not one for each row of its vendor.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions import normalize
@@ -91,27 +95,83 @@ def tax_head_pass(g: DataFrame, p: DataFrame, t: Limits) -> DataFrame:
     return first_of_block(single_blocks(g, p), F.when(swapped, "TAX_HEAD_INTERCHANGE"), F.lit("NEAR_MATCH"))
 
 
-def many_to_one(gs: list[tuple], p: tuple, tol: float) -> list[tuple] | None:
-    """G rows (idx, doc, amount) that sum up to a P row: all of them, those with a related document, or a small combination."""
-    pool = [g for g in gs if 0 < g[2] <= p[2] + tol]
+class Pool:
+    """Free rows (idx, doc, amount > 0) of one side of a vendor, in order of amount, so that a search looks at a few of them only."""
+
+    def __init__(self, rows: list[tuple]):
+        self.at = {r[0]: n for n, r in enumerate(rows)}  # places in row order
+        self.rows = {n: r for n, r in enumerate(rows) if r[2] > 0}
+        self.line = sorted((r[2], n) for n, r in self.rows.items())
+        self.sums: np.ndarray | None = None
+
+    def take(self, found: list[tuple]) -> None:
+        for r in found:
+            n = self.at[r[0]]
+            if self.rows.pop(n, None) is not None:
+                del self.line[bisect_left(self.line, (r[2], n))]
+        self.sums = None
+
+    def within(self, most: float) -> int:
+        """How many rows have an amount up to most."""
+        return bisect_right(self.line, (most, math.inf))
+
+    def total(self, n: int) -> float:
+        """Sum of the n smallest amounts."""
+        if self.sums is None:
+            self.sums = np.cumsum([0.0, *(a for a, _ in self.line)])
+        return float(self.sums[n])
+
+    def ordered(self, places: list[int]) -> list[tuple]:
+        return [self.rows[n] for n in sorted(places)]
+
+    def fitting(self, n: int, goal: float, tol: float, related: Callable[[str], bool]) -> list[tuple] | None:
+        """The related ones among the n smallest amounts, or None as soon as these are too many to sum up to goal."""
+        found, total = [], 0.0
+        for amount, place in reversed(self.line[:n]):
+            if related(self.rows[place][1]):
+                found.append(place)
+                if (total := total + amount) > goal + tol + 1e-6:
+                    return None
+        return self.ordered(found)
+
+    def nearest(self, n: int, goal: float, k: int) -> list[tuple]:
+        """The k of the n smallest amounts that lie nearest to goal, ties in row order: from either side the first k of each run of equal amounts until k are together."""
+        middle, found = min(n, bisect_left(self.line, (goal, -1))), []
+        low, count = middle, 0
+        while low > 0 and count < k:
+            start = bisect_left(self.line, (self.line[low - 1][0], -1))
+            found += self.line[start : min(low, start + k)]
+            count, low = count + low - start, start
+        high, count = middle, 0
+        while high < n and count < k:
+            end = min(n, bisect_right(self.line, (self.line[high][0], math.inf)))
+            found += self.line[high : min(end, high + k)]
+            count, high = count + end - high, end
+        return [self.rows[place] for _, place in sorted(found, key=lambda x: (abs(x[0] - goal), x[1]))[:k]]
+
+
+def many_to_one(pool: Pool, p: tuple, tol: float) -> list[tuple] | None:
+    """G rows (idx, doc, amount) that sum up to a P row: all that are small enough, those with a related document, or a small combination."""
+    n = pool.within(p[2] + tol)
     fits = lambda rows: len(rows) >= 2 and abs(sum(r[2] for r in rows) - p[2]) <= tol
-    if len(pool) < 2:
+    if n < 2:
         return None
-    if fits(pool):
-        return pool
-    related = [g for g in pool if p[1] and (p[1] in g[1] or g[1] in p[1] or guarded(g[1], p[1]) >= 0.6)]
-    if fits(related):
+    if abs(pool.total(n) - p[2]) <= tol + 1e-6 and fits(every := pool.ordered([place for _, place in pool.line[:n]])):
+        return every
+    if p[1] and (related := pool.fitting(n, p[2], tol, lambda doc: p[1] in doc or doc in p[1] or guarded(doc, p[1]) >= 0.6)) and fits(related):
         return related
-    if len(pool) > 8:  # part of the semantics: the eight amounts nearest to a typical share
-        pool = sorted(pool, key=lambda g: abs(g[2] - p[2] / 2.5))[:8]
-    return next((list(c) for k in range(2, min(len(pool), 5) + 1) for c in combinations(pool, k) if fits(c)), None)
+    # part of the semantics: of more than eight the amounts nearest to a typical share
+    few = pool.nearest(n, p[2] / 2.5, 8) if n > 8 else pool.ordered([place for _, place in pool.line[:n]])
+    return next((list(c) for k in range(2, min(len(few), 5) + 1) for c in combinations(few, k) if fits(c)), None)
 
 
-def one_to_many(g: tuple, ps: list[tuple], tol: float) -> list[tuple] | None:
+def one_to_many(g: tuple, pool: Pool, tol: float) -> list[tuple] | None:
     """All related P rows, if they sum up to the G row."""
-    pool = [p for p in ps if 0 < p[2] <= g[2] + tol]
-    related = [p for p in pool if g[1] in p[1] or p[1] in g[1] or guarded(g[1], p[1]) >= 0.7]
-    return related if len(pool) >= 2 and len(related) >= 2 and abs(sum(p[2] for p in related) - g[2]) <= tol else None
+    n = pool.within(g[2] + tol)
+    if n < 2:
+        return None
+    related = pool.fitting(n, g[2], tol, lambda doc: g[1] in doc or doc in g[1] or guarded(g[1], doc) >= 0.7)
+    return related if related and len(related) >= 2 and abs(sum(p[2] for p in related) - g[2]) <= tol else None
 
 
 def sides(rows: list[tuple]) -> tuple[dict[int, tuple], dict[int, tuple]]:
@@ -134,20 +194,21 @@ def batch_pass(g: DataFrame, p: DataFrame, t: Limits) -> DataFrame:
         out: list[tuple] = []
         if not gs or not ps:
             return out
+        pool = Pool(list(gs.values()))
         for i in list(ps):
-            if (p_row := ps[i])[2] > 0 and (found := many_to_one(list(gs.values()), p_row, t.batch)):
+            if (p_row := ps[i])[2] > 0 and (found := many_to_one(pool, p_row, t.batch)):
                 out += [(r[0], i, "TOLERANCE_MATCH", "BATCH_N_TO_1", round(100 * r[2] / p_row[2], 1)) for r in found]
                 del ps[i]
+                pool.take(found)
                 for r in found:
                     del gs[r[0]]
         if rows[0][0]:
-            for i in list(gs):
-                if (g_row := gs[i])[2] > 0 and (found := one_to_many(g_row, list(ps.values()), t.batch)):
+            pool = Pool(list(ps.values()))
+            for i, g_row in gs.items():
+                if g_row[2] > 0 and (found := one_to_many(g_row, pool, t.batch)):
                     total = sum(r[2] for r in found)
                     out += [(i, r[0], "TOLERANCE_MATCH", "BATCH_1_TO_N", round(100 * r[2] / total, 1)) for r in found]
-                    del gs[i]
-                    for r in found:
-                        del ps[r[0]]
+                    pool.take(found)
         return out
 
     return in_groups(both(g, p), ["v"], ["row_idx"], run, LINK)

@@ -7,7 +7,8 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import bands, greedy, rules, scan
+from ledgerloom.functions.similarity import guarded
+from ledgerloom.operators import bands, greedy, rules, scan, waterfall
 from test_matching import DAY, ledger
 
 
@@ -128,3 +129,42 @@ def test_range_yield_is_two_pointers(spark, monkeypatch, shape):
     assert rules.rule_yield(gl, pl, rules.AMOUNT).first().pairs == two_pointers(g, p, 10)
     assert rules.rule_yield(gl, pl, rules.DAY).first().pairs == two_pointers([int(x) for x in g], [int(x) for x in p], 30)
     assert rules.rule_yield(gl.limit(0), pl, rules.AMOUNT).first().pairs == rules.rule_yield(gl, pl.limit(0), rules.AMOUNT).first().pairs == 0
+
+
+def plain_batches(gs, ps, tol=5.0):
+    """Both batch searches of one vendor, every row compared with every other."""
+    from itertools import combinations
+
+    gs, ps, out = list(gs), list(ps), set()
+    fits = lambda rows, goal: len(rows) >= 2 and abs(sum(r[2] for r in rows) - goal) <= tol
+    for p in list(ps):
+        pool = [g for g in gs if 0 < g[2] <= p[2] + tol]
+        if p[2] <= 0 or len(pool) < 2:
+            continue
+        related = [g for g in pool if p[1] and (p[1] in g[1] or g[1] in p[1] or guarded(g[1], p[1]) >= 0.6)]
+        few = sorted(pool, key=lambda g: abs(g[2] - p[2] / 2.5))[:8] if len(pool) > 8 else pool
+        found = pool if fits(pool, p[2]) else related if fits(related, p[2]) else next((c for k in range(2, min(len(few), 5) + 1) for c in combinations(few, k) if fits(c, p[2])), ())
+        if found:
+            out |= {(g[0], p[0], "BATCH_N_TO_1") for g in found}
+            ps.remove(p)
+            gs = [g for g in gs if g not in found]
+    for g in gs:
+        pool = [p for p in ps if 0 < p[2] <= g[2] + tol]
+        related = [p for p in pool if g[1] in p[1] or p[1] in g[1] or guarded(g[1], p[1]) >= 0.7]
+        if g[2] > 0 and len(pool) >= 2 and fits(related, g[2]):
+            out |= {(g[0], p[0], "BATCH_1_TO_N") for p in related}
+            ps = [p for p in ps if p not in related]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_batches_look_at_few_rows_and_find_the_same(spark, seed):
+    r = random.Random(seed)
+    doc = lambda: r.choice(("", "AB12", "ZZ", *("".join(r.choices("ABX12", k=r.randrange(1, 6))) for _ in range(3))))
+    amount = lambda: r.choice((0, -5, 100, 100, 250, 400, 400, 655, r.randrange(1, 4000), r.randrange(1, 4000)))
+    rows = lambda n, side: [{"vendor": r.choice("AAB"), "doc": doc(), "taxable": amount()} for _ in range(n)]
+    g, p = rows((25, 80, 30, 50)[seed], "G"), rows((30, 60, 50, 20)[seed], "P")
+    gl, pl = waterfall.prepare(ledger(spark, g)), waterfall.prepare(ledger(spark, p, "P"))
+    got = {(x.g_idx, x.p_idx, x["sub"]) for x in waterfall.batch_pass(gl, pl, waterfall.Limits()).collect()}
+    side = lambda df, v: [(x.row_idx, x.n, x.taxable) for x in df.where(F.col("v") == v).orderBy("row_idx").collect()]
+    assert got == plain_batches(side(gl, "A"), side(pl, "A")) | plain_batches(side(gl, "B"), side(pl, "B")) and got
