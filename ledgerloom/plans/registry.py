@@ -178,14 +178,48 @@ def near_blocked_pairs(spark, sf_dir):
     return pairs.select(F.col("g_row_idx").alias("g_idx"), F.col("p_row_idx").alias("p_idx"), "days", F.col("amount_diff").cast("double").alias("amount_diff"))
 
 
-@query()
-def near_candidates(spark, sf_dir):
+def lcs_sql(name: str, pairs: str) -> str:
+    """CTEs up to `name` (a, b, lcs): the length of the longest common subsequence of the distinct a, b of `pairs`, a character of a at a time."""
+    return f"""{name}_rows AS (SELECT DISTINCT a, b, 0 AS i, list_transform(range(length(b)), lambda x: 0::bigint) AS line FROM {pairs}
+  UNION ALL SELECT a, b, i + 1, list_transform(range(1, len(best) + 1), lambda j: list_max(best[1:j])) FROM (
+    SELECT *, list_transform(range(1, length(b) + 1), lambda j: greatest(line[j], (CASE WHEN j > 1 THEN line[j - 1] ELSE 0 END) + (CASE WHEN substr(b, j, 1) = substr(a, i + 1, 1) THEN 1 ELSE 0 END))) AS best FROM {name}_rows WHERE i < length(a))),
+{name} AS (SELECT a, b, coalesce(line[length(b)], 0) AS lcs FROM {name}_rows WHERE i = length(a))"""
+
+
+def fit_sql(diff: str, scale: float) -> str:
+    return f"greatest(0.0::double, 1 - cast({diff} AS double) / {scale}::double)"
+
+
+REST2 = f"""{REST}, g2 AS (SELECT * FROM g1 WHERE row_idx NOT IN (SELECT g_idx FROM counted WHERE of_g = 1 AND of_p = 1)), p2 AS (SELECT * FROM p1 WHERE row_idx NOT IN (SELECT p_idx FROM counted WHERE of_g = 1 AND of_p = 1))"""
+HEAD_DIFFS = ", ".join(f"abs(g2.{h} - p2.{h}) AS {h}_diff" for h in tiers.HEADS)
+NEAR = f"""{REST2}, npair AS (SELECT g2.row_idx AS g_idx, p2.row_idx AS p_idx, regexp_replace(upper(trim(g2.doc)), '[^A-Z0-9]', '', 'g') AS a, regexp_replace(upper(trim(p2.doc)), '[^A-Z0-9]', '', 'g') AS b, cast(abs(date_diff('day', g2.d, p2.d)) AS int) AS days,
+    abs(g2.taxable - p2.taxable) AS amount_diff, {HEAD_DIFFS}, g2.rate IS NOT DISTINCT FROM p2.rate AS same_rate FROM g2 JOIN p2 USING (vendor, doc_type) WHERE abs(date_diff('day', g2.d, p2.d)) <= 30 AND abs(g2.taxable - p2.taxable) <= greatest(20000, abs(g2.taxable) * 0.5)),
+{lcs_sql('alike', 'npair')},
+feature AS (SELECT npair.*, 2.0::double * lcs / (length(a) + length(b)) AS invoice FROM npair JOIN alike USING (a, b) WHERE 2.0::double * lcs / (length(a) + length(b)) >= 0.55),
+rated AS (SELECT *, round_even(invoice * 0.35::double + {fit_sql('amount_diff', 10)} * 0.25::double + ({fit_sql('igst_diff', 2)} + {fit_sql('cgst_diff', 2)} + {fit_sql('sgst_diff', 2)} + {fit_sql('cess_diff', 2)}) / 4 * 0.20::double + {fit_sql('days', 30)} * 0.10::double + (CASE WHEN same_rate THEN 1 ELSE 0 END) * 0.05::double + 0.05::double, 6) AS score FROM feature),
+ranked AS (SELECT *, a = b AND a <> '' AS norm_equal, cast(row_number() OVER (PARTITION BY g_idx ORDER BY score DESC, cast(p_idx AS varchar)) AS int) AS rank, amount_diff <= 10 AND greatest(igst_diff, cgst_diff, sgst_diff, cess_diff) <= 2 AS agree FROM rated WHERE score >= 0.45),
+judged AS (SELECT *, max(score) FILTER (rank = 1) OVER (PARTITION BY g_idx) AS top, max(score) FILTER (rank = 2) OVER (PARTITION BY g_idx) AS second, count(*) FILTER (score >= 0.92) OVER (PARTITION BY g_idx) AS credible,
+  score = max(score) OVER (PARTITION BY p_idx) AND count(*) OVER (PARTITION BY p_idx, score) = 1 AS reciprocal FROM ranked),
+settled AS (SELECT *, CASE WHEN second IS NULL THEN 1.0 ELSE top - second END AS space, credible >= 2 OR coalesce(second >= 0.92::double - 0.05::double AND top - second <= 0.05::double, false) AS ambiguous FROM judged),
+near AS (SELECT *, CASE WHEN ambiguous THEN 'AMBIGUOUS' WHEN rank = 1 AND score >= 0.92 AND agree AND reciprocal THEN 'NEAR_MATCH_PROPOSED' ELSE 'MATERIAL_MISMATCH' END AS status FROM settled)"""
+OUTCOMES = f"""{NEAR}, per AS (SELECT g_idx, bool_or(status = 'AMBIGUOUS') AS amb, bool_or(status = 'NEAR_MATCH_PROPOSED') AS prop, bool_or(norm_equal AND NOT agree) AS mat FROM near GROUP BY g_idx),
+outcomes AS (SELECT 'G' AS side, row_idx, CASE WHEN row_idx IN (SELECT g_idx FROM exact) THEN 'EXACT' WHEN row_idx IN (SELECT g_idx FROM counted WHERE of_g = 1 AND of_p = 1) THEN 'TOLERANCE' WHEN amb THEN 'AMBIGUOUS' WHEN prop THEN 'NEAR' WHEN mat THEN 'MISMATCH' ELSE 'G_ONLY' END AS outcome FROM g LEFT JOIN per ON g_idx = row_idx
+  UNION ALL SELECT 'P', row_idx, CASE WHEN row_idx IN (SELECT p_idx FROM exact) THEN 'EXACT' WHEN row_idx IN (SELECT p_idx FROM counted WHERE of_g = 1 AND of_p = 1) THEN 'TOLERANCE' WHEN row_idx IN (SELECT p_idx FROM near WHERE norm_equal OR score >= 0.92::double - 0.05::double) THEN 'LINKED' ELSE 'P_ONLY' END FROM p)"""
+
+
+def near_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, p = after_exact(spark, sf_dir)
     two = tiers.tolerance(g, p)[0]
     return tiers.ranked(tiers.scored(tiers.blocked_pairs(tiers.residual(g, two, "g_idx"), tiers.residual(p, two, "p_idx"))))
 
 
-@query()
+@query(f"""{NEAR} SELECT g_idx, p_idx, invoice, norm_equal, days, amount_diff::double AS amount_diff, {', '.join(f'{h}_diff::double AS {h}_diff' for h in tiers.HEADS)}, score, rank, round_even(space, 6) AS gap, ambiguous, reciprocal, agree, status FROM near""")
+def near_candidates(spark, sf_dir):
+    found = near_stage(spark, sf_dir)
+    return found.withColumns({c: F.col(c).cast("double") for c in ("amount_diff", *(f"{h}_diff" for h in tiers.HEADS))})
+
+
+@query(f"{OUTCOMES} FROM outcomes")
 def tiers_reconcile(spark, sf_dir):
     return tiers.reconcile(*ledgers(spark, sf_dir))
 
