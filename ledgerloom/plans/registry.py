@@ -302,12 +302,80 @@ def waterfall_exact(spark, sf_dir):
     return waterfall.exact_pass(waterfall.prepare(g), waterfall.prepare(p)).select("g_idx", "p_idx")
 
 
-@query()
+#: Row order inside groups of rows that share candidates (table cand: g_idx, p_idx), one G row after another with the list of P rows that are used up.
+IN_ORDER = """reach AS (SELECT DISTINCT g_idx AS g, g_idx AS h FROM cand UNION SELECT r.g, b.g_idx FROM reach r JOIN cand a ON a.g_idx = r.h JOIN cand b ON a.p_idx = b.p_idx),
+steps AS (SELECT root, g_idx, row_number() OVER (PARTITION BY root ORDER BY g_idx) AS nth, ps FROM (SELECT g AS g_idx, min(h) AS root FROM reach GROUP BY g) JOIN (SELECT g_idx, list(p_idx ORDER BY rate DESC, p_idx) AS ps FROM cand GROUP BY g_idx) USING (g_idx)),
+walk AS (SELECT root, 0::bigint AS nth, []::bigint[] AS used, 0::bigint AS g_idx, 0::bigint AS p_idx FROM (SELECT DISTINCT root FROM steps)
+  UNION ALL SELECT root, nth, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, g_idx, pick FROM (SELECT s.root, s.nth, s.g_idx, w.used, list_filter(s.ps, lambda x: NOT list_contains(w.used, x))[1] AS pick FROM walk w JOIN steps s ON s.root = w.root AND s.nth = w.nth + 1))"""
+
+
+def prepared_sql(table: str) -> str:
+    light = "regexp_replace(regexp_replace(regexp_replace(upper(trim(doc)), '^INV/', ''), '[^A-Z0-9]', '', 'g'), '^0+', '')"
+    return f"SELECT row_idx, upper(trim(vendor)) AS v, {light} AS n, d, taxable::double AS a, igst::double AS i, cgst::double AS c, sgst::double AS s, (igst + cgst + sgst)::double AS x FROM {table}"
+
+
+def similar_sql(a: str, b: str, least: float) -> str:
+    """Guarded similarity of two documents, the length rule first; `alike` has the subsequence."""
+    return f"length({a}) > 0 AND length({b}) > 0 AND abs(length({a}) - length({b})) <= 0.35 * greatest(length({a}), length({b})) AND 2.0 * lcs / (length({a}) + length({b})) >= {least}"
+
+
+def single_sql(name: str, g: str, p: str, case: str) -> str:
+    """CTE `name`: g_idx, p_idx, sub: the first G row of each block of one P row that has a case."""
+    return f"""{name}_pairs AS (SELECT g.row_idx AS g_idx, p.row_idx AS p_idx, abs(g.a - p.a) AS t, abs(g.x - p.x) AS xd, g.a - p.a AS over, p.a AS pa, g.x - p.x AS taxed, coalesce(abs(date_diff('day', g.d, p.d)), 0) AS days, coalesce(least(month(g.d), month(p.d)) = 3 AND greatest(month(g.d), month(p.d)) = 4, false) AS turn,
+    greatest(g.i, g.c, g.s, p.i, p.c, p.s) > 0 AND greatest(abs(g.i - p.i), abs(g.c - p.c), abs(g.s - p.s)) > 0.05 AS heads FROM {g} g JOIN (SELECT *, count(*) OVER (PARTITION BY v, n) AS k FROM {p}) p ON g.v = p.v AND g.n = p.n AND k = 1),
+{name} AS (SELECT g_idx, p_idx, sub FROM (SELECT *, {case} AS sub FROM {name}_pairs) WHERE sub IS NOT NULL QUALIFY row_number() OVER (PARTITION BY p_idx ORDER BY g_idx) = 1)"""
+
+
+def left_sql(side: str, old: str, links: str) -> str:
+    return f"SELECT * FROM {old} WHERE row_idx NOT IN (SELECT {side}_idx FROM {links})"
+
+
+def batch_walk_sql(name: str, one: str, many: str, least: float, small: bool) -> str:
+    """CTE `name`: batches, one row of `one` after another in row order inside a vendor, with the list of rows of `many` that are used up. small: combinations of a few rows count as well."""
+    from itertools import combinations
+
+    every = [list(c) for k in range(2, 6) for c in combinations(range(1, 9), k)]
+    fits = lambda rows: f"len({rows}) >= 2 AND abs(list_sum(list_transform({rows}, lambda x: x.a)) - goal) <= 5"
+    few = "CASE WHEN len(pool) > 8 THEN list_transform(list_sort(list_transform(pool, lambda x: struct_pack(far := abs(x.a - goal / 2.5), id := x.id, a := x.a)))[1:8], lambda x: struct_pack(id := x.id, a := x.a)) ELSE pool END"
+    combos = f"coalesce(list_transform(list_filter({every}, lambda c: list_max(c) <= len(few) AND abs(list_sum(list_transform(c, lambda i: few[i].a)) - goal) <= 5)[1], lambda i: few[i]), [])"
+    chosen = f"CASE WHEN {fits('pool')} THEN pool WHEN {fits('kin')} THEN kin WHEN len(pool) >= 2 THEN {combos} ELSE [] END" if small else f"CASE WHEN len(pool) >= 2 AND {fits('kin')} THEN kin ELSE [] END"
+    return f"""{name}_line AS (SELECT v, list(struct_pack(id := row_idx, a := a) ORDER BY row_idx) AS line FROM {many} WHERE a > 0 GROUP BY v),
+{name}_kin AS (SELECT o.row_idx, list(m.row_idx) AS kin FROM {one} o JOIN {many} m USING (v) LEFT JOIN alike ON alike.a = m.n AND alike.b = o.n WHERE {'length(o.n) > 0 AND ' if small else ''}(contains(m.n, o.n) OR contains(o.n, m.n) OR ({similar_sql('m.n', 'o.n', least)})) GROUP BY o.row_idx),
+{name}_steps AS (SELECT v, row_idx, a AS goal, coalesce(kin, []) AS kin, line, row_number() OVER (PARTITION BY v ORDER BY row_idx) AS nth FROM {one} JOIN {name}_line USING (v) LEFT JOIN {name}_kin USING (row_idx) WHERE a > 0{'' if small else " AND v <> ''"}),
+{name}_walk AS (SELECT v, 0::bigint AS nth, 0::bigint AS row_idx, 0::double AS goal, []::bigint[] AS used, []::struct(id bigint, a double)[] AS chosen FROM (SELECT DISTINCT v FROM {name}_steps)
+  UNION ALL SELECT v, nth, row_idx, goal, list_concat(used, list_transform(chosen, lambda x: x.id)), chosen FROM (SELECT *, {chosen} AS chosen FROM (SELECT *, {few} AS few FROM (SELECT *, list_filter(pool, lambda x: list_contains(kids, x.id)) AS kin FROM (
+    SELECT s.v, s.nth, s.row_idx, s.goal, s.kin, w.used, list_filter(s.line, lambda x: x.a <= s.goal + 5 AND NOT list_contains(w.used, x.id)) AS pool FROM {name}_walk w JOIN {name}_steps s ON s.v = w.v AND s.nth = w.nth + 1) AS q0(v, nth, row_idx, goal, kids, used, pool))))),
+{name} AS (SELECT row_idx AS one_idx, part.id AS many_idx, part.a AS part, goal, list_sum(list_transform(chosen, lambda x: x.a)) AS total FROM {name}_walk, unnest(chosen) AS u(part))"""
+
+
+SAME = "t <= 0.05 AND xd <= 0.05 AND NOT heads"
+ONE_TO_ONE = "CASE WHEN over >= 100 AND pa > 0 AND taxed >= 0 THEN 'INELIGIBLE_ITC_17_5' WHEN turn AND days <= 60 AND t <= 10 THEN 'CROSS_FY' WHEN days > 0 AND days <= 30 AND NOT heads AND t <= 10 THEN 'DATE_PROXIMITY' WHEN days = 0 AND NOT heads AND t <= 10 THEN 'COMMERCIAL_TOLERANCE' END"
+#: All passes of the waterfall, each on what the ones before have left. No row of these data lacks a vendor, a document or a date.
+WATERFALL = f""", wg AS ({prepared_sql('g')}), wp AS ({prepared_sql('p')}), {single_sql('w1', 'wg', 'wp', f"CASE WHEN {SAME} AND days = 0 THEN 'EXACT_1_TO_1' END")},
+wg1 AS ({left_sql('g', 'wg', 'w1')}), wp1 AS ({left_sql('p', 'wp', 'w1')}), docs AS (SELECT DISTINCT g.n AS a, p.n AS b FROM wg1 g JOIN wp1 p USING (v)), {lcs_sql('alike', 'docs')},
+{batch_walk_sql('w2', 'wp1', 'wg1', 0.6, True)}, wg2 AS ({left_sql('many', 'wg1', 'w2')}), wp2 AS ({left_sql('one', 'wp1', 'w2')}), alike2 AS (SELECT a AS b, b AS a, lcs FROM alike),
+{batch_walk_sql('w3', 'wg2', 'wp2', 0.7, False).replace('LEFT JOIN alike ON', 'LEFT JOIN alike2 AS alike ON')}, wg3 AS ({left_sql('one', 'wg2', 'w3')}), wp3 AS ({left_sql('many', 'wp2', 'w3')}),
+{single_sql('w4', 'wg3', 'wp3', ONE_TO_ONE)}, wg4 AS ({left_sql('g', 'wg3', 'w4')}), wp4 AS ({left_sql('p', 'wp3', 'w4')}),
+{single_sql('w5', 'wg4', 'wp4', "CASE WHEN heads AND t <= 10 AND xd <= 0.05 THEN 'TAX_HEAD_INTERCHANGE' END")}, wg5 AS ({left_sql('g', 'wg4', 'w5')}), wp5 AS ({left_sql('p', 'wp4', 'w5')}),
+cand AS (SELECT g.row_idx AS g_idx, p.row_idx AS p_idx, 2.0 * lcs / (length(g.n) + length(p.n)) AS rate FROM wg5 g JOIN wp5 p ON g.v = p.v AND abs(g.a - p.a) <= 10 JOIN alike ON alike.a = g.n AND alike.b = p.n WHERE {similar_sql('g.n', 'p.n', 0.85)}), {IN_ORDER},
+w6 AS (SELECT g_idx, p_idx FROM walk WHERE nth > 0 AND p_idx IS NOT NULL), wg6 AS ({left_sql('g', 'wg5', 'w6')}), wp6 AS ({left_sql('p', 'wp5', 'w6')}),
+rivals AS (SELECT g.v, g.row_idx AS g_idx, list(p.row_idx ORDER BY p.row_idx) AS ps FROM wg6 g JOIN wp6 p USING (v) JOIN alike ON alike.a = g.n AND alike.b = p.n WHERE abs(g.a - p.a) <= 25 OR (2.0 * least(length(g.n), length(p.n)) / (length(g.n) + length(p.n)) >= 0.7 AND {similar_sql('g.n', 'p.n', 0.7)}) GROUP BY g.v, g.row_idx),
+turns AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY g_idx) AS nth FROM rivals),
+w7_walk AS (SELECT v, 0::bigint AS nth, 0::bigint AS g_idx, []::bigint[] AS used, []::bigint[] AS open FROM (SELECT DISTINCT v FROM turns)
+  UNION ALL SELECT v, nth, g_idx, CASE WHEN len(open) >= 2 THEN list_append(used, open[1]) ELSE used END, open FROM (SELECT t.v, t.nth, t.g_idx, w.used, list_filter(t.ps, lambda x: NOT list_contains(w.used, x)) AS open FROM w7_walk w JOIN turns t ON t.v = w.v AND t.nth = w.nth + 1)),
+w7 AS (SELECT g_idx, open[1] AS p_idx, 'COMPETING_' || len(open) AS sub FROM w7_walk WHERE len(open) >= 2),
+waterfall AS (SELECT g_idx, p_idx, 'EXACT_MATCH' AS bucket, sub, 100.0::double AS share FROM w1
+  UNION ALL SELECT many_idx, one_idx, 'TOLERANCE_MATCH', 'BATCH_N_TO_1', round(100 * part / goal, 1) FROM w2 UNION ALL SELECT one_idx, many_idx, 'TOLERANCE_MATCH', 'BATCH_1_TO_N', round(100 * part / total, 1) FROM w3
+  UNION ALL SELECT g_idx, p_idx, CASE WHEN sub = 'INELIGIBLE_ITC_17_5' THEN 'INELIGIBLE' ELSE 'TOLERANCE_MATCH' END, sub, 100 FROM w4 UNION ALL SELECT g_idx, p_idx, 'NEAR_MATCH', sub, 100 FROM w5 UNION ALL SELECT g_idx, p_idx, 'NEAR_MATCH', 'DOC_PREFIX_NORMALIZED', 100 FROM w6
+  UNION ALL SELECT g_idx, p_idx, 'AMBIGUOUS', sub, 100 FROM w7 UNION ALL SELECT row_idx, NULL, 'G_ONLY', 'G_ONLY', NULL FROM wg6 WHERE row_idx NOT IN (SELECT g_idx FROM w7) UNION ALL SELECT NULL, row_idx, 'P_ONLY', 'P_ONLY', NULL FROM wp6 WHERE row_idx NOT IN (SELECT p_idx FROM w7))"""
+
+
+@query(f"{WATERFALL} FROM waterfall")
 def waterfall_links(spark, sf_dir):
     return waterfall.waterfall(*ledgers(spark, sf_dir))
 
 
-@query()
+@query(f"{WATERFALL} SELECT DISTINCT 'G' AS side, g_idx AS row_idx, bucket, sub FROM waterfall WHERE g_idx IS NOT NULL UNION ALL SELECT DISTINCT 'P', p_idx, bucket, sub FROM waterfall WHERE p_idx IS NOT NULL")
 def waterfall_dispositions(spark, sf_dir):
     return waterfall.dispositions(waterfall.waterfall(*ledgers(spark, sf_dir)))
 
@@ -492,13 +560,6 @@ def rules_range_yields(spark, sf_dir):
     return rules.rule_yield(g, p, rules.AMOUNT).unionByName(rules.rule_yield(g, p, rules.DAY))
 
 
-#: Row order inside groups of rows that share candidates (table cand: g_idx, p_idx), one G row after another with the list of P rows that are used up.
-IN_ORDER = """reach AS (SELECT DISTINCT g_idx AS g, g_idx AS h FROM cand UNION SELECT r.g, b.g_idx FROM reach r JOIN cand a ON a.g_idx = r.h JOIN cand b ON a.p_idx = b.p_idx),
-steps AS (SELECT root, g_idx, row_number() OVER (PARTITION BY root ORDER BY g_idx) AS nth, ps FROM (SELECT g AS g_idx, min(h) AS root FROM reach GROUP BY g) JOIN (SELECT g_idx, list(p_idx ORDER BY rate DESC, p_idx) AS ps FROM cand GROUP BY g_idx) USING (g_idx)),
-walk AS (SELECT root, 0::bigint AS nth, []::bigint[] AS used, 0::bigint AS g_idx, 0::bigint AS p_idx FROM (SELECT DISTINCT root FROM steps)
-  UNION ALL SELECT root, nth, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, g_idx, pick FROM (SELECT s.root, s.nth, s.g_idx, w.used, list_filter(s.ps, lambda x: NOT list_contains(w.used, x))[1] AS pick FROM walk w JOIN steps s ON s.root = w.root AND s.nth = w.nth + 1))"""
-
-
 @query(
     f""", cand AS (SELECT g.row_idx AS g_idx, p.row_idx AS p_idx, 0 AS rate FROM g JOIN p ON p.taxable BETWEEN g.taxable - 10.0001 AND g.taxable + 10.0001 WHERE abs(date_diff('day', g.d, p.d)) <= 30), {IN_ORDER}
     SELECT g_idx, p_idx FROM walk WHERE nth > 0 AND p_idx IS NOT NULL"""
