@@ -576,7 +576,30 @@ def hot_ledgers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return tuple(df.withColumn("vendor", F.expr(HOT)) for df in ledgers(spark, sf_dir))
 
 
-@query()
+#: The four passes: no document here is without a vendor, and equal raw documents are equal by rule, so the second pass has one kind of candidates. fit() is a share of likeness.
+FIT = "greatest(0.0::double, 1 - abs({0} - {1}) / greatest({0}, 1.0::double))"
+PASSES = f"""{RULES}, r1 AS (SELECT g_idx, min(p_idx) AS p_idx FROM rpair WHERE t <= 0.05 AND days = 0 GROUP BY g_idx),
+c2 AS (SELECT g_idx, list(p_idx ORDER BY p_idx) AS ps FROM rpair WHERE t <= 10.001 AND days <= 30 AND g_idx NOT IN (SELECT g_idx FROM r1) AND p_idx NOT IN (SELECT p_idx FROM r1) GROUP BY g_idx), r2 AS (SELECT g_idx, ps[1] AS p_idx FROM c2 WHERE len(ps) = 1),
+rg2 AS (SELECT *, taxable::double AS a, (igst + cgst + sgst)::double AS x FROM rg WHERE row_idx NOT IN (SELECT g_idx FROM r1 UNION SELECT g_idx FROM r2)), rp2 AS (SELECT *, taxable::double AS a, (igst + cgst + sgst)::double AS x FROM rp WHERE row_idx NOT IN (SELECT p_idx FROM r1 UNION SELECT p_idx FROM r2)),
+rdocs AS (SELECT DISTINCT g.n AS a, p.n AS b FROM rg2 g JOIN rp2 p USING (vendor)), {lcs_sql('alike', 'rdocs')},
+r3_near AS (SELECT g.vendor, g.row_idx AS g_idx, list(p.row_idx ORDER BY p.row_idx) AS ps FROM rg2 g JOIN rp2 p USING (vendor) JOIN alike ON alike.a = g.n AND alike.b = p.n WHERE g.row_idx NOT IN (SELECT g_idx FROM c2 WHERE len(ps) > 1) AND abs(g.a - p.a) <= 50 AND abs(date_diff('day', g.d, p.d)) <= 45
+  AND (g.n = p.n OR (length(g.n) >= 3 AND contains(p.n, g.n)) OR (length(p.n) >= 3 AND contains(g.n, p.n)) OR ({similar_sql('g.n', 'p.n', 0.85)})) GROUP BY g.vendor, g.row_idx),
+r3_steps AS (SELECT *, row_number() OVER (PARTITION BY vendor ORDER BY g_idx) AS nth FROM r3_near),
+r3_walk AS (SELECT vendor, 0::bigint AS nth, 0::bigint AS g_idx, []::bigint[] AS used, []::bigint[] AS open FROM (SELECT DISTINCT vendor FROM r3_steps)
+  UNION ALL SELECT vendor, nth, g_idx, CASE WHEN len(open) = 1 THEN list_append(used, open[1]) ELSE used END, open FROM (SELECT s.vendor, s.nth, s.g_idx, w.used, list_filter(s.ps, lambda x: NOT list_contains(w.used, x)) AS open FROM r3_walk w JOIN r3_steps s ON s.vendor = w.vendor AND s.nth = w.nth + 1)),
+r3 AS (SELECT g_idx, open[1] AS p_idx FROM r3_walk WHERE len(open) = 1),
+rg3 AS (SELECT * FROM rg2 WHERE row_idx NOT IN (SELECT g_idx FROM r3)), rp3 AS (SELECT * FROM rp2 WHERE row_idx NOT IN (SELECT p_idx FROM r3)),
+met AS (SELECT g_idx, unnest(ps) AS p_idx FROM c2 WHERE len(ps) > 1 UNION ALL SELECT g_idx, unnest(open) FROM r3_walk WHERE len(open) > 1),
+offered AS (SELECT g_idx, p_idx, 0::bigint AS nth FROM met WHERE p_idx IN (SELECT row_idx FROM rp3) UNION ALL
+  SELECT g.row_idx, p.row_idx, row_number() OVER (PARTITION BY g.row_idx ORDER BY abs(g.a - p.a), p.row_idx) FROM rg3 g JOIN rp3 p USING (vendor) WHERE g.row_idx NOT IN (SELECT g_idx FROM met) QUALIFY row_number() OVER (PARTITION BY g.row_idx ORDER BY abs(g.a - p.a), p.row_idx) <= 3),
+r4 AS (SELECT g_idx, p_idx, nth, cast(printf('%.1f', (0.40::double * CASE WHEN abs(length(g.n) - length(p.n)) <= 0.35 * greatest(length(g.n), length(p.n)) THEN 2.0::double * lcs / (length(g.n) + length(p.n)) ELSE 0 END + 0.30::double * {FIT.format('g.a', 'p.a')} + 0.15::double * greatest(0.0::double, 1 - abs(date_diff('day', g.d, p.d)) / 60::double) + 0.15::double * {FIT.format('g.x', 'p.x')}) * 100) AS double) AS score
+  FROM offered JOIN rg3 g ON g.row_idx = g_idx JOIN rp3 p ON p.row_idx = p_idx JOIN alike ON alike.a = g.n AND alike.b = p.n QUALIFY count(*) OVER (PARTITION BY g_idx) >= 2),
+passes AS (SELECT g_idx, p_idx, 1 AS pass, 'EXACT_MATCH' AS bucket, 1 AS rank, 100.0::double AS score FROM r1 UNION ALL SELECT g_idx, p_idx, 2, 'TOLERANCE_MATCH', 1, 100 FROM r2 UNION ALL SELECT g_idx, p_idx, 3, 'NEAR_MATCH', 1, 100 FROM r3
+  UNION ALL SELECT g_idx, p_idx, 4, 'AMBIGUOUS', cast(row_number() OVER (PARTITION BY g_idx ORDER BY score DESC, nth, p_idx) AS int), score FROM r4
+  UNION ALL SELECT row_idx, NULL, 5, 'GSTR_ONLY', 1, NULL FROM rg3 WHERE row_idx NOT IN (SELECT g_idx FROM r4) UNION ALL SELECT NULL, row_idx, 5, 'PR_ONLY', 1, NULL FROM rp3)"""
+
+
+@query(f"{PASSES} FROM passes")
 def rules_passes(spark, sf_dir):
     return rules.four_passes(*ledgers(spark, sf_dir))
 
