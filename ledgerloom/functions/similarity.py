@@ -7,9 +7,11 @@ it on pairs that have passed cheap filters; upper_bound() is one that costs noth
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
+from ledgerloom.sources.store import materialize
+
 
 def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence."""
@@ -62,3 +64,39 @@ def _guarded(a: pd.Series, b: pd.Series) -> pd.Series:
 def guarded_ratio(a: Column, b: Column) -> Column:
     """guarded() of two columns; null is empty."""
     return _guarded(a, b)
+
+
+def grams(text: Column, q: int) -> Column:
+    """The q-grams of a text with q - 1 marks at either end, each with its number among equal ones, so that common entries of two such arrays are common q-grams with repeats."""
+    marked = F.concat(F.lit("\x02" * (q - 1)), text, F.lit("\x03" * (q - 1)))
+    found = F.array_sort(F.transform(F.sequence(F.lit(1), F.length(text) + q - 1), lambda i: F.substring(marked, i, F.lit(q))))
+    return F.transform(found, lambda x, i: F.concat(x, F.lit("#"), (i + 1 - F.array_position(found, x)).cast("string")))
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, by: list[str], least: float) -> DataFrame:
+    """by, a, b, alike: distinct texts a (of left) and b (of right) of one group whose Indel similarity is `least` or more, found without comparing all with all.
+
+    left: by, a; right: by, b; nulls and empty texts have no pairs. Two texts of lengths m and n have a common subsequence of t (m + n) / 2 characters or more. A character that is dropped breaks q q-grams at most, one that is put
+    in q - 1, so at least `need` q-grams are common: t (m + n) / 2 for q = 1, 1 + (3 t / 2 - 1)(m + n) for q = 2. With all q-grams in one order, rarest first, two such texts share one of their first
+    size - need + 1. So texts meet by these prefixes, lengths and the full number of common q-grams are checked next, and only then the subsequence. q is 2 from 0.75 on, where it tells more.
+    """
+    q = 2 if least >= 0.75 else 1
+    need = (lambda total: 1 + (1.5 * least - 1) * total) if q == 2 else (lambda total: least * total / 2)
+    texts = {s: materialize(df.select(*by, s).where(f"{s} != ''").distinct(), "texts", lean=True) for s, df in (("a", left), ("b", right))}
+    made = {s: df.withColumns({f"{s}_grams": grams(F.col(s), q), f"{s}_length": F.length(s)}) for s, df in texts.items()}
+    often = made["a"].select(F.explode("a_grams").alias("gram")).unionByName(made["b"].select(F.explode("b_grams").alias("gram"))).groupBy("gram").agg(F.count("*").alias("often"))
+
+    def met(s: str) -> DataFrame:
+        """A row for each q-gram of the prefix."""
+        rows = made[s].select("*", F.explode(f"{s}_grams").alias("gram")).join(often, "gram")
+        ordered = rows.groupBy(*by, s, f"{s}_length").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("found"))  # no more than the text has characters
+        size, shortest = F.size("found"), F.col(f"{s}_length") * 2 / (2 - least)  # the two lengths together, where the other text is as short as it can be
+        prefix = F.greatest(F.lit(1), F.least(size, size - F.ceil(need(shortest) - 1e-6) + 1)).cast("int")
+        ordered = ordered.select(*by, s, f"{s}_length", F.transform("found", lambda x: x["gram"]).alias(f"{s}_grams"), prefix.alias("prefix")).withColumn(f"{s}_first", F.slice(f"{s}_grams", F.lit(1), F.col("prefix")))
+        return ordered.drop("prefix").withColumn("gram", F.explode(f"{s}_first"))
+
+    total = F.col("a_length") + F.col("b_length")
+    pairs = met("a").join(met("b"), [*by, "gram"]).where(2.0 * F.least("a_length", "b_length") / total >= least)
+    pairs = pairs.where(F.element_at(F.array_intersect("a_first", "b_first"), 1) == F.col("gram"))  # a pair that meets at several counts at the first
+    pairs = pairs.where(F.size(F.array_intersect("a_grams", "b_grams")) >= need(total) - 1e-6)
+    return pairs.select(*by, "a", "b", ratio(F.col("a"), F.col("b")).alias("alike")).where(F.col("alike") >= least)

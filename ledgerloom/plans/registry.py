@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.functions import normalize
+from ledgerloom.functions import normalize, similarity
 from ledgerloom.operators import decisions, explore, export, profile, rules, summary, tiers, waterfall, wide
 from ledgerloom.sources.ledgers import ledgers, sql, tranches, wide as wide_table
 from ledgerloom.sources.store import materialize
@@ -219,6 +219,15 @@ def near_candidates(spark, sf_dir):
     return found.withColumns({c: F.col(c).cast("double") for c in ("amount_diff", *(f"{h}_diff" for h in tiers.HEADS))})
 
 
+@query(f""", sdocs AS (SELECT DISTINCT vendor, regexp_replace(upper(trim(g.doc)), '[^A-Z0-9]', '', 'g') AS a, regexp_replace(upper(trim(p.doc)), '[^A-Z0-9]', '', 'g') AS b FROM g JOIN p USING (vendor)), {lcs_sql('alike', 'sdocs')}
+    SELECT vendor, a, b, 2.0::double * lcs / (length(a) + length(b)) AS alike FROM sdocs JOIN alike USING (a, b) WHERE 2.0::double * lcs / (length(a) + length(b)) >= 0.85""")
+def near_similar_documents(spark, sf_dir):
+    """Pairs of similar document numbers of a vendor, without comparing all with all."""
+    side = lambda df, s: df.select("vendor", normalize.alnum(F.col("doc")).alias(s))
+    g, p = ledgers(spark, sf_dir)
+    return similarity.similar_pairs(side(g, "a"), side(p, "b"), ["vendor"], 0.85)
+
+
 @query(f"{OUTCOMES} FROM outcomes")
 def tiers_reconcile(spark, sf_dir):
     return tiers.reconcile(*ledgers(spark, sf_dir))

@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.similarity import guarded
+from ledgerloom.functions.similarity import guarded, indel, similar_pairs
 from ledgerloom.operators import bands, greedy, rules, scan, waterfall
 from test_matching import DAY, ledger
 
@@ -168,3 +168,15 @@ def test_batches_look_at_few_rows_and_find_the_same(spark, seed):
     got = {(x.g_idx, x.p_idx, x["sub"]) for x in waterfall.batch_pass(gl, pl, waterfall.Limits()).collect()}
     side = lambda df, v: [(x.row_idx, x.n, x.taxable) for x in df.where(F.col("v") == v).orderBy("row_idx").collect()]
     assert got == plain_batches(side(gl, "A"), side(pl, "A")) | plain_batches(side(gl, "B"), side(pl, "B")) and got
+
+
+@pytest.mark.parametrize("least", [0.55, 0.6, 0.75, 0.85, 1.0])
+def test_similar_pairs(spark, least):
+    r = random.Random(1)
+    base = ["".join(r.choices("ABC0123é", k=r.randrange(1, 14))) for _ in range(12)]
+    edited = lambda t: "".join(c for c in t if r.random() > 0.1) + r.choice(("", "7", "AA"))
+    rows = lambda: [(r.choice("XY"), edited(r.choice(base))) for _ in range(90)] + [("X", None), ("X", ""), ("Y", "AAAAAAAAAA")]
+    a, b = rows(), rows()
+    got = similar_pairs(spark.createDataFrame(a, "v string, a string"), spark.createDataFrame(b, "v string, b string"), ["v"], least).collect()
+    want = {(v, x, y): indel(x, y) for v, x in set(a) for w, y in set(b) if v == w and x and y and indel(x, y) >= least}
+    assert len(got) == len(want) > 0 and {(g.v, g.a, g.b): g.alike for g in got} == want
