@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.functions import normalize, similarity
-from ledgerloom.operators import decisions, explore, export, profile, rules, summary, tiers, waterfall, wide
+from ledgerloom.operators import decisions, explore, export, governance, profile, rules, summary, tiers, waterfall, wide
 from ledgerloom.sources.ledgers import ledgers, sql, tranches, wide as wide_table
 from ledgerloom.sources.store import materialize
 from ledgerloom.sources.tables import read
@@ -844,3 +844,78 @@ def summary_clients(spark, sf_dir):
 @query(f", runs AS ({RUNS.format(orders='orders')}) SELECT client, run, ended, nth FROM (SELECT client, run, ended, cast(row_number() OVER (PARTITION BY client ORDER BY ended DESC, run) AS int) AS nth FROM runs) WHERE nth <= 3")
 def summary_recent_runs(spark, sf_dir):
     return decisions.recent(runs(spark, sf_dir).select("client", "run", "ended"), "client", "ended", 3)
+
+
+#: Orders as requests about rules: a customer's rule, drafted with the first order; a rule of the first customers is one of the locked ones.
+REQUESTS = f"""SELECT rule_id, vendor AS client, asked_on, seq, CASE WHEN nth = 1 THEN 'draft' WHEN seq % 10 IN (0, 3, 6) THEN 'approve' WHEN seq % 10 IN (1, 4, 7, 8) THEN 'activate' WHEN seq % 10 = 2 THEN 'disable' WHEN seq % 10 = 5 THEN 'new_version' ELSE 'draft' END AS request, seq % 13 = 0 AS blocked FROM (
+  SELECT CASE {' '.join(f"WHEN o_custkey = {10 * k + 1} THEN '{x}'" for k, x in enumerate(governance.LOCKED))} ELSE 'R' || cast(o_custkey AS string) END AS rule_id, 'V' || lpad(cast(o_custkey AS string), 8, '0') AS vendor, cast(o_orderdate AS date) AS asked_on, o_orderkey AS seq,
+    row_number() OVER (PARTITION BY o_custkey ORDER BY cast(o_orderdate AS date), o_orderkey) AS nth FROM {{orders}}) AS numbered"""
+#: One request after another, with the latest version, its status and the active version; a supersession is a second row.
+HISTORY = f""", requests AS ({REQUESTS.format(orders='orders')}), numbered AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY asked_on, seq) AS nth FROM requests),
+fold AS (
+  SELECT rule_id, 0::bigint AS nth, NULL::date AS asked_on, 0::bigint AS seq, '' AS request, 0 AS latest, NULL::varchar AS now, NULL::integer AS active, NULL::integer AS version, NULL::varchar AS status, NULL::integer AS over, NULL::varchar AS refused FROM (SELECT DISTINCT rule_id FROM numbered)
+  UNION ALL
+  SELECT rule_id, nth, asked_on, seq, request, CASE WHEN refused IS NULL AND request IN ('draft', 'new_version') THEN latest + 1 ELSE latest END, CASE WHEN refused IS NOT NULL THEN now WHEN request IN ('draft', 'new_version') THEN 'DRAFT' WHEN request = 'approve' THEN 'APPROVED' WHEN request = 'activate' THEN 'ACTIVE' WHEN active = latest THEN 'DISABLED' ELSE now END,
+    CASE WHEN refused IS NOT NULL OR request NOT IN ('activate', 'disable') THEN active WHEN request = 'activate' THEN latest END,
+    CASE WHEN refused IS NOT NULL THEN nullif(latest, 0) WHEN request IN ('draft', 'new_version') THEN latest + 1 WHEN request = 'disable' THEN active ELSE latest END,
+    CASE WHEN refused IS NULL THEN CASE request WHEN 'approve' THEN 'APPROVED' WHEN 'activate' THEN 'ACTIVE' WHEN 'disable' THEN 'DISABLED' ELSE 'DRAFT' END END, CASE WHEN refused IS NULL AND request = 'activate' THEN active END, refused
+  FROM (SELECT r.rule_id, r.nth, r.asked_on, r.seq, r.request, f.latest, f.now, f.active, CASE WHEN r.rule_id NOT LIKE 'R%' THEN 'LOCKED_GUARDRAIL' WHEN r.request = 'draft' AND f.latest > 0 THEN 'ALREADY_DRAFTED' WHEN r.request <> 'draft' AND f.latest = 0 THEN 'NO_SUCH_RULE'
+      WHEN r.request = 'disable' AND f.active IS NULL THEN 'NOT_ACTIVE' WHEN r.request = 'approve' AND f.now <> 'DRAFT' THEN 'NOT_A_DRAFT' WHEN r.request = 'activate' AND f.now <> 'APPROVED' THEN 'NOT_APPROVED' WHEN r.request IN ('approve', 'activate') AND r.blocked THEN 'BLOCKED_BY_CONFLICTS' END AS refused
+    FROM fold f JOIN numbered r ON r.rule_id = f.rule_id AND r.nth = f.nth + 1)
+),
+history AS (SELECT rule_id, asked_on, seq, request, version, status, refused FROM fold WHERE nth > 0 UNION ALL SELECT rule_id, asked_on, seq, request, over, 'SUPERSEDED', NULL FROM fold WHERE over IS NOT NULL),
+spans AS (SELECT rule_id, version, status, asked_on AS since, lead(asked_on) OVER (PARTITION BY rule_id, version ORDER BY asked_on, seq) AS until FROM history WHERE refused IS NULL)"""
+#: Conditions of a rule's versions: odd ones compare vendors, every third one documents, every fifth amounts.
+CONDITIONS = "SELECT rule_id, version, field, operator FROM (SELECT DISTINCT rule_id, version FROM {spans}) CROSS JOIN (VALUES (1, 'gstin', 'EXACT'), (3, 'document_number', 'NORMALIZED_EXACT'), (5, 'taxable_value', 'ABSOLUTE_TOLERANCE')) AS c(k, field, operator) WHERE (length(rule_id) + version + k) % 2 = 0 OR k = 3 AND version % 2 = 1"
+
+
+def rule_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(REQUESTS, orders=read(spark, sf_dir, "orders"))
+
+
+@query(f"{HISTORY} FROM history")
+def rules_history(spark, sf_dir):
+    return governance.transitions(rule_requests(spark, sf_dir))
+
+
+@query(f"{HISTORY} SELECT *, until IS NULL AS last FROM spans")
+def rules_intervals(spark, sf_dir):
+    return governance.intervals(rules_history(spark, sf_dir))
+
+
+@query(
+    f"""{NEAR.replace(', npair AS', ', npair AS', 1)}{HISTORY}, conditions AS ({CONDITIONS.format(spans='spans')}), seen AS (SELECT g.vendor AS client, g.d AS seen_on, a = b AS same FROM npair JOIN g ON g.row_idx = g_idx),
+    active AS (SELECT s.rule_id, client, s.version, since, until, coalesce(bool_or(field = 'document_number'), false) AS strict FROM spans s JOIN (SELECT DISTINCT rule_id, client FROM requests) USING (rule_id) LEFT JOIN conditions c ON c.rule_id = s.rule_id AND c.version = s.version WHERE status = 'ACTIVE' GROUP BY ALL)
+    SELECT rule_id, version, since, count(seen.seen_on) AS evaluated, count(*) FILTER (seen.seen_on IS NOT NULL AND (same OR NOT strict)) AS affected, 0 AS automatic, CASE WHEN affected > 0 THEN 'proposals_created' ELSE 'no_trigger' END AS result
+    FROM active LEFT JOIN seen ON seen.client = active.client AND seen.seen_on >= since AND (until IS NULL OR seen.seen_on < until) GROUP BY rule_id, version, since, until"""
+)
+def rules_executions(spark, sf_dir):
+    """Candidates of the near stage meet the version of their vendor's rule that is active on their day."""
+    requests = rule_requests(spark, sf_dir)
+    spans = materialize(governance.intervals(governance.transitions(requests)), "spans", lean=True)
+    conditions = spark.sql(CONDITIONS, spans=spans)
+    g, p = after_exact(spark, sf_dir)
+    two = materialize(tiers.tolerance(g, p)[0], "tolerance", lean=True)
+    pairs = tiers.blocked_pairs(tiers.residual(g, two, "g_idx"), tiers.residual(p, two, "p_idx"))
+    candidates = pairs.select(F.col("v").alias("client"), F.col("g_d").alias("seen_on"), F.lit(True).alias("vendor_equal"), (F.col("g_norm") == F.col("p_norm")).alias("document_equal"))
+    return governance.executions(candidates, spans.join(requests.select("rule_id", "client").distinct(), "rule_id"), conditions)
+
+
+@query(
+    f"""{NEAR}, known AS (SELECT g.vendor, p_idx, ambiguous, CASE WHEN status = 'NEAR_MATCH_PROPOSED' AND amount_diff = 0 THEN 'NEAR_MATCH_APPROVED' WHEN amount_diff > 100 THEN 'REJECTED_CANDIDATE' ELSE status END AS status FROM near JOIN g ON g.row_idx = g_idx WHERE norm_equal)
+    SELECT vendor, count(*) AS would_propose, count(*) FILTER (status = 'NEAR_MATCH_APPROVED') AS approvals, count(*) FILTER (status = 'REJECTED_CANDIDATE') AS rejected, count(*) FILTER (ambiguous) AS ambiguous_conflicts, count(*) - count(DISTINCT p_idx) AS duplicates,
+    greatest(0, would_propose - approvals - rejected) AS new_cases, rejected + duplicates AS conflicts, conflicts > 0 AS blocked FROM known GROUP BY vendor"""
+)
+def rules_simulation(spark, sf_dir):
+    """A reviewer has approved proposals of equal amounts and rejected candidates more than 100 apart."""
+    said = F.when((F.col("status") == "NEAR_MATCH_PROPOSED") & (F.col("amount_diff") == 0), "NEAR_MATCH_APPROVED").when(F.col("amount_diff") > 100, "REJECTED_CANDIDATE").otherwise(F.col("status"))
+    vendors = ledgers(spark, sf_dir)[0].select("vendor", F.col("row_idx").alias("g_idx"))
+    return governance.simulation(near_stage(spark, sf_dir).withColumn("status", said).join(vendors, "g_idx"), ["vendor"])
+
+
+@query(f"{HISTORY}, named AS (SELECT rule_id, arg_max(status, (asked_on, seq)) FILTER (refused IS NULL) AS status FROM history GROUP BY rule_id) SELECT count(*) AS total, count(*) FILTER (rule_id NOT LIKE 'R%') AS locked, count(*) FILTER (rule_id LIKE 'R%') AS configurable, count(*) FILTER (rule_id NOT LIKE 'R%' OR rule_id IN (SELECT rule_id FROM spans WHERE status = 'ACTIVE' AND until IS NULL)) AS active FROM named")
+def rules_catalog(spark, sf_dir):
+    """All rules of the log, active where a version is."""
+    changes = materialize(rules_history(spark, sf_dir), "history", lean=True)
+    on = governance.intervals(changes).where("last AND status = 'ACTIVE'").select("rule_id", "status").distinct()
+    return governance.catalog(changes.select("rule_id").distinct().join(on, "rule_id", "left"))
