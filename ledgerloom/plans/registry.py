@@ -681,33 +681,88 @@ def explore_blockers(spark, sf_dir):
 PACKAGE_SIDE = {"Gstin": "vendor", "DocumentNumber": "doc", "DocumentDate": "d", "DocumentType": "doc_type", "TaxableValue": "taxable::double", "Rate": "rate::double", "IgstAmount": "igst::double", "CgstAmount": "cgst::double", "SgstAmount": "sgst::double", "CessAmount": "cess::double", "Value": "(taxable + igst + cgst + sgst + cess)::double"}
 
 
-def package_sql() -> str:
+#: Decisions of a reviewer: proposals are approved unless their row number is a multiple of 7, and half of the ambiguous rows take their top candidate.
+DECIDED = f"""{NEAR}, approved AS (SELECT g_idx, p_idx FROM near WHERE status = 'NEAR_MATCH_PROPOSED' AND g_idx % 7 <> 0), selected AS (SELECT g_idx, p_idx FROM near WHERE ambiguous AND rank = 1 AND g_idx % 40 = 19),
+done AS (SELECT g_idx, p_idx, 'EXACT_MATCHED' AS status FROM exact UNION ALL SELECT g_idx, p_idx, 'TOLERANCE_MATCHED' FROM counted WHERE of_g = 1 AND of_p = 1 UNION ALL SELECT g_idx, p_idx, 'NEAR_MATCHED' FROM approved UNION ALL SELECT g_idx, p_idx, 'HUMAN_SELECTED' FROM selected),
+tops AS (SELECT g_idx, min(p_idx) FILTER (rank = 1) AS p_idx, bool_or(ambiguous) AS unsure, bool_or(norm_equal AND NOT agree) AS apart, bool_or(status = 'NEAR_MATCH_PROPOSED') AS proposed FROM near GROUP BY g_idx),
+out_rows AS (FROM done UNION ALL SELECT row_idx, CASE WHEN unsure OR proposed OR apart THEN p_idx END, CASE WHEN unsure THEN 'AMBIGUOUS' WHEN proposed THEN 'UNRESOLVED' WHEN apart THEN 'MATERIAL_MISMATCH' ELSE 'GST_ONLY' END FROM g LEFT JOIN tops ON g_idx = row_idx WHERE row_idx NOT IN (SELECT g_idx FROM done)
+  UNION ALL SELECT NULL, row_idx, 'PR_ONLY' FROM p WHERE row_idx NOT IN (SELECT p_idx FROM done) AND row_idx NOT IN (SELECT p_idx FROM near WHERE norm_equal OR score >= 0.87))"""
+
+
+def decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Outcomes with these decisions, the near stage, G and P; each written once."""
+    g, p = ledgers(spark, sf_dir)
+    one = materialize(tiers.exact(g, p), "exact", lean=True)
+    g1, p1 = tiers.residual(g, one, "g_idx"), tiers.residual(p, one, "p_idx")
+    two = materialize(tiers.tolerance(g1, p1)[0].select("g_idx", "p_idx"), "tolerance", lean=True)
+    near = materialize(tiers.ranked(tiers.scored(tiers.blocked_pairs(tiers.residual(g1, two, "g_idx"), tiers.residual(p1, two, "p_idx")))), "near", lean=True)
+    approved, selected = near.where("status = 'NEAR_MATCH_PROPOSED' AND g_idx % 7 <> 0"), near.where("ambiguous AND rank = 1 AND g_idx % 40 = 19")
+    return materialize(export.decided_outcomes(one, two, near, approved, selected, g, p), "outcomes", lean=True), near, g, p
+
+
+def snapshot_sql() -> str:
+    """CTE snapshot: status and all columns of the package."""
     side = lambda t, prefix: ", ".join(f"{t}.{expr} AS {prefix}{n}" if "(" not in expr else f"({t}.taxable + {t}.igst + {t}.cgst + {t}.sgst + {t}.cess)::double AS {prefix}{n}" for n, expr in PACKAGE_SIDE.items())
     diffs = {"ValueDifference": "Value", "TaxableDifference": "TaxableValue", "IGSTDifference": "IgstAmount", "CGSTDifference": "CgstAmount", "SGSTDifference": "SgstAmount", "CessDifference": "CessAmount"}
-    known = {"ReconciliationSection": "CASE status WHEN 'GST_ONLY' THEN 'GST Only' WHEN 'PR_ONLY' THEN 'PR Only' ELSE 'Matched' END", "Reason": "status", "ActionStatus": "'Actions Not Taken'", "Action": "'No Action'"}
+    case = lambda values, otherwise: f"CASE status {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items())} ELSE '{otherwise}' END"
+    section = case(export.STATUS, "Unreconciled")
+    known = {"ReconciliationSection": section, "SuggReconciliationSection": section, "Reason": case(export.REASONS, export.UNEXPLAINED), "ActionStatus": "'Actions Not Taken'", "Action": "'No Action'", "ReferenceId": "reference"}
+    known |= {"ReconciledBy": "CASE WHEN status = 'HUMAN_SELECTED' THEN 'POC user' ELSE 'SYSTEM' END", "ManualReconciliation": "CASE WHEN status = 'HUMAN_SELECTED' THEN 'Yes' ELSE 'No' END"}
     known |= {n: f"round(PR{c} - CP{c}, 2)" for n, c in diffs.items()} | {f"{s}{n}": f"{s}{n}" for s in ("CP", "PR") for n in PACKAGE_SIDE}
     null = lambda c: "cast(NULL AS double)" if c in ("ReconciliationPercentage", "Gstr1GrcScore", "Gstr3bGrcScore") else "cast(NULL AS varchar)"
-    return f"""{REST}, done AS (SELECT g_idx, p_idx, 'EXACT_MATCHED' AS status FROM exact UNION ALL SELECT g_idx, p_idx, 'TOLERANCE_MATCHED' FROM counted WHERE of_g = 1 AND of_p = 1),
-    out_rows AS (FROM done UNION ALL SELECT row_idx, NULL, 'GST_ONLY' FROM g WHERE row_idx NOT IN (SELECT g_idx FROM done) UNION ALL SELECT NULL, row_idx, 'PR_ONLY' FROM p WHERE row_idx NOT IN (SELECT p_idx FROM done)),
-    both_sides AS (SELECT g_idx, p_idx, status, {side('g', 'CP')}, {side('p', 'PR')} FROM out_rows LEFT JOIN g ON g.row_idx = g_idx LEFT JOIN p ON p.row_idx = p_idx)
-    SELECT g_idx, p_idx, {', '.join(f"{known.get(c) or null(c)} AS {c}" for c in export.PACKAGE)} FROM both_sides"""
+    return f"""{DECIDED}, both_sides AS (SELECT g_idx, p_idx, status, coalesce(g.record_id, p.record_id) AS reference, {side('g', 'CP')}, {side('p', 'PR')} FROM out_rows LEFT JOIN g ON g.row_idx = g_idx LEFT JOIN p ON p.row_idx = p_idx),
+    snapshot AS (SELECT g_idx, p_idx, status, {', '.join(f"{known.get(c) or null(c)} AS {c}" for c in export.PACKAGE)} FROM both_sides)"""
+
+
+SNAPSHOT = snapshot_sql()
 
 
-@query(package_sql())
+@query(f"{SNAPSHOT} FROM snapshot")
 def export_package(spark, sf_dir):
-    """The report's columns for exact and tolerance matches and what is left, before the near stage."""
-    g, p = ledgers(spark, sf_dir)
-    one = materialize(tiers.exact(g, p), "exact", lean=True)
-    g1, p1 = tiers.residual(g, one, "g_idx"), tiers.residual(p, one, "p_idx")
-    two = tiers.tolerance(g1, p1)[0]
-    none = spark.createDataFrame([], "g_idx long, p_idx long, rank int, status string, ambiguous boolean, norm_equal boolean, agree boolean")
-    return export.package(export.outcome_rows(one, two, none, g, p), g, p)
+    """The report's columns for all outcomes of the stages and of decisions."""
+    outcomes, _, g, p = decided(spark, sf_dir)
+    return export.package(outcomes, g, p, "status")
+
+
+@query(f"{SNAPSHOT} SELECT status, g_idx, p_idx, coalesce(CPDocumentNumber, PRDocumentNumber) AS document, Reason, TaxableDifference AS difference, coalesce(k, 0) AS candidates FROM snapshot LEFT JOIN (SELECT g_idx, count(*) AS k FROM near GROUP BY g_idx) USING (g_idx) WHERE status IN ('AMBIGUOUS', 'MATERIAL_MISMATCH', 'GST_ONLY', 'PR_ONLY')")
+def export_unresolved(spark, sf_dir):
+    outcomes, near, g, p = decided(spark, sf_dir)
+    return export.unresolved_sheet(export.package(outcomes, g, p, "status"), near)
+
+
+def summary_sheet_sql() -> str:
+    open_ones = "status IN ('AMBIGUOUS', 'MATERIAL_MISMATCH', 'GST_ONLY', 'PR_ONLY', 'UNRESOLVED')"
+    parts = {"g_records": "count(DISTINCT g_idx)", "p_records": "count(DISTINCT p_idx)", "resolved": f"count(*) FILTER (NOT {open_ones})", "unresolved": f"count(*) FILTER ({open_ones})"}
+    parts |= {x.lower(): f"count(*) FILTER (status = '{x}')" for x in export.REASONS} | {"coverage": f"round(count(*) FILTER (NOT {open_ones}) / count(DISTINCT g_idx), 4)"}
+    return DECIDED + " UNION ALL ".join(f" SELECT '{k}' AS metric, ({v})::double AS value FROM out_rows" for k, v in parts.items())
+
 
+@query(summary_sheet_sql())
+def export_summary(spark, sf_dir):
+    return export.summary_sheet(decided(spark, sf_dir)[0])
 
-@query("SELECT * FROM (VALUES ('duplicate_consumption', 2::bigint), ('pending_match_decisions', 3::bigint)) AS t(code, n)")
+
+#: Vendors as sessions: what a customer's row says stands for confirmations; vendors without booked rows have not been through all stages; the profile of customers in debt is not there.
+SESSIONS = "SELECT 'V' || lpad(cast(c_custkey AS string), 8, '0') AS session, c_nationkey % 5 <> 0 AS mapping_confirmed, c_nationkey % 7 <> 0 AS policy_confirmed, booked.vendor IS NOT NULL AS stages_done, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey END AS profile_id FROM {customer} LEFT JOIN (SELECT DISTINCT vendor FROM {p}) AS booked ON booked.vendor = 'V' || lpad(cast(c_custkey AS string), 8, '0')"
+
+
+@query(
+    f"""{DECIDED}, sessions AS ({SESSIONS.format(customer='customer', p='p')}), linked AS (SELECT vendor AS session, g_idx, p_idx FROM done JOIN g ON g.row_idx = g_idx),
+    doubled AS (SELECT session, count(*) - 1 AS again FROM linked GROUP BY session, g_idx HAVING count(*) > 1 UNION ALL SELECT session, count(*) - 1 FROM linked GROUP BY session, p_idx HAVING count(*) > 1),
+    waiting AS (SELECT g.vendor AS session, count(*) AS n FROM near JOIN g ON g.row_idx = g_idx WHERE status = 'NEAR_MATCH_PROPOSED' AND g_idx % 7 = 0 GROUP BY g.vendor)
+    SELECT session, 'mapping_not_confirmed' AS code, 1::bigint AS n FROM sessions WHERE NOT mapping_confirmed UNION ALL SELECT session, 'policy_not_confirmed', 1 FROM sessions WHERE NOT policy_confirmed UNION ALL SELECT session, 'matching_incomplete', 1 FROM sessions WHERE NOT stages_done
+    UNION ALL SELECT session, 'pending_match_decisions', n FROM waiting SEMI JOIN sessions ON sessions.session = waiting.session AND stages_done UNION ALL SELECT session, 'duplicate_consumption', sum(again)::bigint FROM doubled GROUP BY session
+    UNION ALL SELECT session, 'profile_reference_invalid', 1 FROM sessions WHERE profile_id IS NOT NULL AND profile_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)"""
+)
 def export_blocking(spark, sf_dir):
-    links = spark.createDataFrame([(1, 10), (1, 11), (2, 12), (3, 12)], "g_idx long, p_idx long")
-    return export.blocking(links, spark.range(3))
+    """Sessions that must not be exported, and why, from the same snapshot; selections of one P row for several G rows are duplicates."""
+    outcomes, near, g, p = decided(spark, sf_dir)
+    customer = read(spark, sf_dir, "customer")
+    sessions = spark.sql(SESSIONS, customer=customer, p=p)
+    vendor = g.select(F.col("vendor").alias("session"), F.col("row_idx").alias("g_idx"))
+    links = outcomes.where(F.col("status").isin("EXACT_MATCHED", "TOLERANCE_MATCHED", "NEAR_MATCHED", "HUMAN_SELECTED")).join(vendor, "g_idx")
+    pending = near.where("status = 'NEAR_MATCH_PROPOSED' AND g_idx % 7 = 0").join(vendor, "g_idx")
+    return export.gate_codes(sessions, pending, links, customer.where("c_acctbal >= 0").select(F.col("c_custkey").alias("profile_id")), [c for c in export.REQUIRED if c not in export.PACKAGE])
 
 
 def advice_sql() -> str:
