@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.functions import pandas_udf
 
 #: Fixed lists: prefixes that document numbers carry, and the date formats that are read.
 PREFIXES = ("INV", "BILL", "TAX", "GST", "REF", "DN", "CN")
@@ -25,10 +28,24 @@ def identifier(c: Column) -> Column:
 
 
 def alnum(c: Column) -> Column:
-    """Upper-case letters and digits of any script only; null is empty. Compatibility forms are not folded."""
+    """Upper-case letters and digits of any script only; null is empty. Compatibility forms are not folded (see folded_alnum)."""
     return F.regexp_replace(F.upper(F.trim(F.coalesce(c, F.lit("")))), r"[^\p{L}\p{N}]", "")
 
 
+@pandas_udf(T.StringType())
+def _folded(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: unicodedata.normalize("NFKC", x))
+
+
+def folded_alnum(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """rows with `name`: alnum() of the column's text with compatibility forms folded (NFKC).
+
+    Folding changes no ASCII text, so only rows with a character beyond ASCII go through Python. rows is read twice; it should be a table.
+    """
+    plain = F.coalesce(F.octet_length(column) == F.length(column), F.lit(True))
+    return rows.where(plain).withColumn(name, alnum(F.col(column))).unionByName(rows.where(~plain).withColumn(name, alnum(_folded(F.col(column)))))
+
+
 def strip_zeros(c: Column) -> Column:
     """Without leading zeros; only zeros give '0'."""
     return F.regexp_replace(c, "^0+(?=.)", "")

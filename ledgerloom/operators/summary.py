@@ -110,3 +110,25 @@ def triage(candidates: DataFrame) -> DataFrame:
     total = F.sum("n").over(Window.partitionBy())  # one row a category
     per = candidates.where("rank = 1").groupBy("category").agg(F.count("*").alias("n"))
     return per.withColumn("percent", F.round(100.0 * F.col("n") / total, 1).cast("double"))
+
+
+SUMS = ("n", "g_taxable", "p_taxable", "g_tax", "p_tax")
+
+
+def contributions(rows: DataFrame, by: list[str], sign: int = 1) -> DataFrame:
+    """What rows add to (sign 1) or take from (-1) sums per group: n and the amounts and taxes of both sides, as decimals."""
+    amounts = [(F.col(c).cast("decimal(18,2)") * sign).alias(c) for c in SUMS[1:]]
+    return rows.select(*by, F.lit(sign).cast("long").alias("n"), *amounts)
+
+
+def totalled(parts: DataFrame, by: list[str]) -> DataFrame:
+    """Sums of contributions; groups that nothing is left of go."""
+    return parts.groupBy(*by).agg(*(F.sum(c).alias(c) for c in SUMS)).where("n <> 0")
+
+
+def kept_up(sums: DataFrame, before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:
+    """sums (totalled() of all rows) after some rows have changed: what the changed rows were is taken away, what they are is added. before: the changed rows as they were; after: as they are now, without those that are retired.
+
+    Only sums and changed rows are read, and the result is what totalled() of all rows would give.
+    """
+    return totalled(sums.unionByName(contributions(before, by, -1)).unionByName(contributions(after, by)), by)

@@ -84,7 +84,9 @@ class Near:
 def blocked_pairs(g: DataFrame, p: DataFrame, t: Near = Near()) -> DataFrame:
     """Pairs of a block (vendor, type) inside the date and amount windows, before any text is compared. Bins of dates and of amounts are keys of the join, so a large vendor is cut into cells."""
     money = lambda c: F.coalesce(F.col(c), F.lit(0).cast("decimal(18,2)"))
-    side = lambda df, s: df.select(F.upper(F.trim("vendor")).alias("v"), F.upper(F.trim("doc_type")).alias("t"), *(F.col(c).alias(f"{s}_{c}") for c in ("row_idx", "doc", "d", "rate")), *(money(c).alias(f"{s}_{c}") for c in MONEY), normalize.alnum(F.col("doc")).alias(f"{s}_norm"))
+    cut = lambda df, s: df.select(F.upper(F.trim("vendor")).alias("v"), F.upper(F.trim("doc_type")).alias("t"), *(F.col(c).alias(f"{s}_{c}") for c in ("row_idx", "doc", "d", "rate")), *(money(c).alias(f"{s}_{c}") for c in MONEY))
+    ensure_importable(g.sparkSession)
+    side = lambda df, s, cut=cut: normalize.folded_alnum(materialize(cut(df, s), "near-side"), f"{s}_doc", f"{s}_norm")
     pairs = band_join(side(g, "g"), side(p, "p"), ["v", "t"], [Band("g_d", "p_d", t.days, date=True), Band("g_taxable", "p_taxable", t.amount, share=t.share)])
     return pairs.withColumn("days", normalize.days_apart(F.col("g_d"), F.col("p_d"))).withColumn("amount_diff", F.abs(F.col("g_taxable") - F.col("p_taxable")))
 

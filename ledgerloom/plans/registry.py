@@ -974,3 +974,37 @@ def rules_catalog(spark, sf_dir):
     changes = materialize(rules_history(spark, sf_dir), "history", lean=True)
     on = governance.intervals(changes).where("last AND status = 'ACTIVE'").select("rule_id", "status").distinct()
     return governance.catalog(changes.select("rule_id").distinct().join(on, "rule_id", "left"))
+
+
+@query("SELECT row_idx, regexp_replace(upper(trim(doc)), '[^A-Z0-9]', '', 'g') AS folded FROM p")
+def normalizers_folded(spark, sf_dir):
+    """A seventh of the documents is written in full-width digits and letters; folded, they are what they were."""
+    wide_forms = F.translate("doc", "0123456789INVD/", "０１２３４５６７８９ＩＮＶＤ／")
+    p = ledgers(spark, sf_dir)[1].select("row_idx", F.when(F.col("row_idx") % 7 == 0, wide_forms).otherwise(F.col("doc")).alias("doc"))
+    return normalize.folded_alnum(materialize(p, "documents"), "doc", "folded").select("row_idx", "folded")
+
+
+#: A batch of decisions: a third of the ambiguous rows is matched, and as many rows that only P has are retired with it (their partner has been found).
+CHANGED = "verdict = 'Ambiguous' AND row_idx % 3 = 0"
+RETIRED = "verdict = 'PR Only' AND row_idx % 3 = 0"
+KEPT_UP = f"""{WIDE}, decided AS (SELECT CASE WHEN {CHANGED} THEN 'Near Match' ELSE verdict END AS verdict, CASE WHEN {CHANGED} THEN 'HUMAN_SELECTED' ELSE sub END AS sub, who, g_taxable, p_taxable, g_tax, p_tax FROM v WHERE NOT ({RETIRED}))"""
+SUMMED = ", ".join(f"{money(c)} AS {c}" for c in ("g_taxable", "p_taxable", "g_tax", "p_tax"))
+
+
+def kept_up(spark: SparkSession, sf_dir: str, by: list[str]) -> DataFrame:
+    rows = materialize(classified(spark, sf_dir).withColumn("who", F.coalesce(F.nullif("g_vendor", F.lit("")), "p_vendor")).select("row_idx", "verdict", "sub", "who", "g_taxable", "p_taxable", "g_tax", "p_tax"), "classified")
+    sums = materialize(summary.totalled(summary.contributions(rows, by), by), "sums", lean=True)  # kept from the run before
+    after = rows.where(CHANGED).withColumns({"verdict": F.lit("Near Match"), "sub": F.lit("HUMAN_SELECTED")})
+    out = summary.kept_up(sums, rows.where(f"{CHANGED} OR {RETIRED}"), after, by)
+    return out.withColumns({c: F.col(c).cast("double") for c in summary.SUMS[1:]})
+
+
+@query(f"{KEPT_UP} SELECT verdict, sub, count(*) AS n, {SUMMED} FROM decided GROUP BY verdict, sub")
+def summary_kept_up(spark, sf_dir):
+    """Buckets after a batch of decisions, from the buckets before and the changed rows; the SQL counts everything anew."""
+    return kept_up(spark, sf_dir, ["verdict", "sub"])
+
+
+@query(f"{KEPT_UP} SELECT who, verdict, count(*) AS n, {SUMMED} FROM decided GROUP BY who, verdict")
+def summary_vendors_kept_up(spark, sf_dir):
+    return kept_up(spark, sf_dir, ["who", "verdict"])
