@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerloom.functions import normalize, similarity
 from ledgerloom.operators import decisions, explore, export, governance, profile, rules, summary, tiers, waterfall, wide
 from ledgerloom.sources.ledgers import ledgers, sql, tranches, wide as wide_table
-from ledgerloom.sources.store import materialize
+from ledgerloom.sources import versions
+from ledgerloom.sources.store import materialize, new_path
 from ledgerloom.sources.tables import read
 
 FLAGSHIP = "wide_verdicts"
@@ -1008,3 +1009,47 @@ def summary_kept_up(spark, sf_dir):
 @query(f"{KEPT_UP} SELECT who, verdict, count(*) AS n, {SUMMED} FROM decided GROUP BY who, verdict")
 def summary_vendors_kept_up(spark, sf_dir):
     return kept_up(spark, sf_dir, ["who", "verdict"])
+
+
+#: Links in versions: exact ones, then those within tolerances together with exact rows that ask for the P row of the next order, then releases, then the second batch once more.
+MOVES = "SELECT g_idx, p_idx + 10 AS p_idx FROM {exact} WHERE g_idx % 10 = 8"
+STATE_SQL = f"""{REST}, asked AS (SELECT g_idx, p_idx FROM counted WHERE of_g = 1 AND of_p = 1 UNION ALL {MOVES.format(exact='exact')}),
+judged AS (SELECT g_idx, p_idx, CASE WHEN p_idx IN (SELECT p_idx FROM exact) THEN 'P_HELD' WHEN g_idx > min(g_idx) FILTER (p_idx NOT IN (SELECT p_idx FROM exact)) OVER (PARTITION BY p_idx) THEN 'P_ASKED_TWICE' END AS reason FROM asked),
+state1 AS (SELECT g_idx, p_idx, 1::bigint AS version FROM exact), taken AS (SELECT g_idx, p_idx FROM judged WHERE reason IS NULL), state2 AS (SELECT g_idx, p_idx, 2::bigint AS version FROM taken UNION ALL FROM state1 WHERE g_idx NOT IN (SELECT g_idx FROM taken)),
+state3 AS (SELECT g_idx, CASE WHEN g_idx % 30 <> 5 THEN p_idx END AS p_idx, CASE WHEN g_idx % 30 = 5 THEN 3 ELSE version END AS version FROM state2)"""
+
+
+def link_versions(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """Folder of the table, and what the second batch was refused."""
+    at = new_path(spark, "links")
+    g, p = ledgers(spark, sf_dir)
+    one = materialize(tiers.exact(g, p), "exact", lean=True)
+    two = tiers.tolerance(tiers.residual(g, one, "g_idx"), tiers.residual(p, one, "p_idx"))[0].select("g_idx", "p_idx")
+    second = materialize(two.unionByName(spark.sql(MOVES, exact=one)), "asked", lean=True)
+    versions.merge_links(spark, at, one, "exact")
+    refused = versions.merge_links(spark, at, second, "tolerance")
+    versions.merge_links(spark, at, versions.latest(spark, at, versions.LINKS, "g_idx").where("g_idx % 30 = 5").select("g_idx", F.lit(None).cast("long").alias("p_idx")), "released")
+    versions.merge_links(spark, at, second, "tolerance")  # a replay
+    return at, refused
+
+
+@query(f"{STATE_SQL} FROM state3")
+def state_latest_links(spark, sf_dir):
+    at, _ = link_versions(spark, sf_dir)
+    return versions.latest(spark, at, versions.LINKS, "g_idx")
+
+
+@query(f"{STATE_SQL} FROM judged WHERE reason IS NOT NULL")
+def state_refused_links(spark, sf_dir):
+    return link_versions(spark, sf_dir)[1]
+
+
+DIFFERS = "(SELECT count(*) FROM (SELECT g_idx, p_idx FROM state3 EXCEPT SELECT g_idx, p_idx FROM {0})) > 0"
+
+
+@query(f"{STATE_SQL} SELECT o_orderkey AS export_id, 1 + o_orderkey % 3 AS version, CASE 1 + o_orderkey % 3 WHEN 1 THEN {DIFFERS.format('state1')} WHEN 2 THEN {DIFFERS.format('state2')} ELSE false END AS stale FROM orders WHERE o_custkey % 100 = 1")
+def state_stale_exports(spark, sf_dir):
+    """Exports that some orders stand for, of versions 1 to 3."""
+    at, _ = link_versions(spark, sf_dir)
+    exports = read(spark, sf_dir, "orders").where("o_custkey % 100 = 1").selectExpr("o_orderkey AS export_id", "1 + o_orderkey % 3 AS version")
+    return versions.stale(exports, spark, at)
