@@ -101,7 +101,17 @@ BANK = "BANK|CHG|CONSOL|VOUCHER|JV"
 
 def verdicts(df: DataFrame, batched: DataFrame | None = None) -> DataFrame:
     """tiers() with verdict, sub and tier; batched has the row_idx of rows in batches. Open rows with a bank document, an equal vendor and near dates count as batches, too."""
-    df = tiers(df)
+    return judged(tiers(df), batched)
+
+
+def classified(df: DataFrame) -> DataFrame:
+    """verdicts() with batches; comparisons are computed once and written, batches and verdicts read them."""
+    tiered = materialize(tiers(df), "tiers")
+    return judged(tiered, materialize(batches_of(tiered), "batched", lean=True))
+
+
+def judged(df: DataFrame, batched: DataFrame | None = None) -> DataFrame:
+    """verdicts() of rows that have been through tiers()."""
     marks = None if batched is None else batched.select("row_idx", F.lit(True).alias("in_batch")).distinct()
     df = df.withColumn("in_batch", F.lit(False)) if marks is None else df.join(marks, "row_idx", "left").withColumn("in_batch", F.coalesce("in_batch", F.lit(False)))
     bank = F.col("open") & (F.col("p_doc").rlike(BANK) | F.col("p_core").contains("BANK")) & F.col("same_vendor") & (F.col("days") <= 30)
@@ -123,8 +133,13 @@ def verdicts(df: DataFrame, batched: DataFrame | None = None) -> DataFrame:
 
 def open_rows(df: DataFrame) -> DataFrame:
     """What batches are made of: rows outside the first three tiers."""
+    return opened(tiers(df))
+
+
+def opened(tiered: DataFrame) -> DataFrame:
+    """open_rows() of rows that have been through tiers()."""
     filled = lambda c: F.when(~F.col(c).isin(*BLANKS), F.col(c))
-    rows = tiers(df).where("open").select(
+    rows = tiered.where("open").select(
         "row_idx", F.coalesce(filled("g_vendor"), filled("p_vendor")).alias("v"), filled("p_doc").alias("p_doc"), filled("g_doc").alias("g_doc"),
         F.coalesce(filled("p_core"), filled("g_core")).alias("core"), F.coalesce("g_date", "p_date").alias("d"), F.coalesce("p_date", "g_date").alias("e"), "g_taxable", "p_taxable",
     )
@@ -223,7 +238,12 @@ def sum_batches(rows: DataFrame, tolerance: float = 5.0, days: int = 31) -> Data
 
 def batches(df: DataFrame, tolerance: float = 5.0, days: int = 31) -> DataFrame:
     """All batches: documents first, then sums."""
-    first, rest = document_batches(materialize(open_rows(df), "open", lean=True), tolerance, days)
+    return batches_of(tiers(df), tolerance, days)
+
+
+def batches_of(tiered: DataFrame, tolerance: float = 5.0, days: int = 31) -> DataFrame:
+    """batches() of rows that have been through tiers()."""
+    first, rest = document_batches(materialize(opened(tiered), "open", lean=True), tolerance, days)
     return first.unionByName(sum_batches(rest, tolerance, days))
 
 

@@ -129,9 +129,8 @@ def money(c: str) -> str:
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With batches, which are written once."""
-    rows = wide_table(spark, sf_dir)
-    return wide.verdicts(rows, materialize(wide.batches(rows), "batched", lean=True))
+    """With batches."""
+    return wide.classified(wide_table(spark, sf_dir))
 
 
 @query(f"SELECT {LEDGER} FROM g")
@@ -275,8 +274,7 @@ def wide_tranche_batches(spark, sf_dir):
 
 @query(f"{wide_sql('tranches')} SELECT row_idx, verdict, sub, tier FROM v")
 def wide_tranche_verdicts(spark, sf_dir):
-    rows = tranches(spark, sf_dir)
-    return wide.verdicts(rows, materialize(wide.batches(rows), "batched", lean=True)).select("row_idx", "verdict", "sub", "tier")
+    return wide.classified(tranches(spark, sf_dir)).select("row_idx", "verdict", "sub", "tier")
 
 
 @query()

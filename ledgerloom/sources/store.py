@@ -15,9 +15,11 @@ LEAN_FILES = 4
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where it is unset (tests, one machine) a temporary one is set."""
+    """The folder in spark.checkpoint.dir. Where it is unset (tests, one machine) a temporary one is set; a cluster must name one."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not at and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not at:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
         at = sc.getCheckpointDir()
