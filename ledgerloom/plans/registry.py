@@ -36,6 +36,14 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def lcs_sql(name: str, pairs: str) -> str:
+    """CTEs up to `name` (a, b, lcs): the length of the longest common subsequence of the distinct a, b of `pairs`, a character of a at a time."""
+    return f"""{name}_rows AS (SELECT DISTINCT a, b, 0 AS i, list_transform(range(length(b)), lambda x: 0::bigint) AS line FROM {pairs}
+  UNION ALL SELECT a, b, i + 1, list_transform(range(1, len(best) + 1), lambda j: list_max(best[1:j])) FROM (
+    SELECT *, list_transform(range(1, length(b) + 1), lambda j: greatest(line[j], (CASE WHEN j > 1 THEN line[j - 1] ELSE 0 END) + (CASE WHEN substr(b, j, 1) = substr(a, i + 1, 1) THEN 1 ELSE 0 END))) AS best FROM {name}_rows WHERE i < length(a))),
+{name} AS (SELECT a, b, coalesce(line[length(b)], 0) AS lcs FROM {name}_rows WHERE i = length(a))"""
+
+
 LEDGER = "row_idx, record_id, vendor, doc, d, scenario, " + ", ".join(f"cast({c} AS double) AS {c}" for c in ("taxable", "igst", "cgst", "sgst"))
 KEY = "vendor, doc, d, doc_type, taxable, rate, igst, cgst, sgst, cess"
 EXACT = f""", ng AS (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY row_idx) AS nth FROM g), np AS (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY row_idx) AS nth FROM p),
@@ -178,14 +186,6 @@ def near_blocked_pairs(spark, sf_dir):
     return pairs.select(F.col("g_row_idx").alias("g_idx"), F.col("p_row_idx").alias("p_idx"), "days", F.col("amount_diff").cast("double").alias("amount_diff"))
 
 
-def lcs_sql(name: str, pairs: str) -> str:
-    """CTEs up to `name` (a, b, lcs): the length of the longest common subsequence of the distinct a, b of `pairs`, a character of a at a time."""
-    return f"""{name}_rows AS (SELECT DISTINCT a, b, 0 AS i, list_transform(range(length(b)), lambda x: 0::bigint) AS line FROM {pairs}
-  UNION ALL SELECT a, b, i + 1, list_transform(range(1, len(best) + 1), lambda j: list_max(best[1:j])) FROM (
-    SELECT *, list_transform(range(1, length(b) + 1), lambda j: greatest(line[j], (CASE WHEN j > 1 THEN line[j - 1] ELSE 0 END) + (CASE WHEN substr(b, j, 1) = substr(a, i + 1, 1) THEN 1 ELSE 0 END))) AS best FROM {name}_rows WHERE i < length(a))),
-{name} AS (SELECT a, b, coalesce(line[length(b)], 0) AS lcs FROM {name}_rows WHERE i = length(a))"""
-
-
 def fit_sql(diff: str, scale: float) -> str:
     return f"greatest(0.0::double, 1 - cast({diff} AS double) / {scale}::double)"
 
@@ -277,12 +277,31 @@ def wide_tranche_verdicts(spark, sf_dir):
     return wide.classified(tranches(spark, sf_dir)).select("row_idx", "verdict", "sub", "tier")
 
 
-@query()
+def guarded_sql(a: str, b: str, lcs: str) -> str:
+    return f"CASE WHEN length({a}) > 0 AND length({b}) > 0 AND abs(length({a}) - length({b})) <= 0.35 * greatest(length({a}), length({b})) THEN 2.0::double * {lcs} / (length({a}) + length({b})) ELSE 0 END"
+
+
+CLOSE = "round(greatest(0.0::double, 100 - abs({0} - {1}) / greatest({0}, {1}, 1.0::double) * 100), 1)"
+#: Ranked candidates of ambiguous rows: their own P side, the four nearest amounts of the vendor, the first three rows of the same core document.
+CANDIDATES = f"""{WIDE}, ps AS (SELECT row_idx AS p_idx, p_vendor AS pv, p_core AS pc, p_doc AS pd, p_taxable AS pa, p_igst AS pt, days FROM v WHERE p_vendor NOT IN {BLANK} OR p_core NOT IN {BLANK} OR p_taxable > 0),
+asking AS (SELECT row_idx, g_vendor AS gv, g_core AS gc, g_doc AS gd, g_taxable AS ga, g_igst AS gt, p_doc NOT IN {BLANK} OR p_taxable > 0 AS own FROM v WHERE verdict = 'Ambiguous'),
+found AS (SELECT row_idx, row_idx AS p_idx FROM asking WHERE own UNION SELECT row_idx, p_idx FROM asking JOIN ps ON pv = gv AND gv NOT IN {BLANK} QUALIFY row_number() OVER (PARTITION BY row_idx ORDER BY abs(pa - ga), p_idx) <= 4
+  UNION SELECT row_idx, p_idx FROM asking JOIN ps ON pc = gc AND gc NOT IN {BLANK} QUALIFY row_number() OVER (PARTITION BY row_idx ORDER BY p_idx) <= 3),
+texts AS (SELECT gd AS a, pd AS b FROM found JOIN asking USING (row_idx) JOIN ps USING (p_idx) UNION SELECT gc, pc FROM found JOIN asking USING (row_idx) JOIN ps USING (p_idx)), {lcs_sql('alike', 'texts')},
+rated AS (SELECT found.*, asking.* EXCLUDE (row_idx), ps.* EXCLUDE (p_idx), round(greatest({guarded_sql('gd', 'pd', 'x.lcs')}, {guarded_sql('gc', 'pc', 'y.lcs')}) * 100, 1) AS invoice, {CLOSE.format('ga', 'pa')} AS amount, {CLOSE.format('gt', 'pt')} AS tax,
+  CASE WHEN days = 0 THEN 95.0 WHEN days <= 7 THEN 88.0 WHEN days <= 30 THEN 75.0 WHEN days <= 60 THEN 60.0 ELSE 40.0 END::double AS dated FROM found JOIN asking USING (row_idx) JOIN ps USING (p_idx) LEFT JOIN alike x ON x.a = gd AND x.b = pd LEFT JOIN alike y ON y.a = gc AND y.b = pc),
+scored AS (SELECT *, cast(round(cast(cast(invoice * 0.40::double + amount * 0.30::double + tax * 0.15::double + dated * 0.15::double AS varchar) AS decimal(38,20)), 1) AS double) AS score FROM rated),
+placed AS (SELECT *, cast(row_number() OVER (PARTITION BY row_idx ORDER BY score DESC, p_idx) AS int) AS rank FROM scored QUALIFY count(*) OVER (PARTITION BY row_idx) >= 2),
+pair AS (SELECT a.row_idx, round(a.score - b.score, 1) AS gap, CASE WHEN trim(a.pd) <> '' AND lower(trim(a.pd)) = lower(trim(b.pd)) AND abs(a.pa - b.pa) < 0.05 THEN 'ERP_DUPLICATE_ENTRY' WHEN a.score >= 90 THEN 'PROBABLE_EXACT_MATCH' WHEN a.invoice >= 90 AND abs(a.gt - a.pt) > 0.01 THEN 'VALUE_ROUNDING_VARIANCE'
+  WHEN a.days > 0 THEN 'TIMING_CUTOFF_SHIFT' ELSE 'SPLIT_BATCH_DELIVERY' END AS category FROM placed a JOIN placed b ON a.row_idx = b.row_idx AND a.rank = 1 AND b.rank = 2)"""
+
+
+@query(f"{CANDIDATES} SELECT row_idx, rank, p_idx, invoice, amount, tax, cast(days AS int) AS days, score, gap, category FROM placed JOIN pair USING (row_idx) WHERE rank <= 3")
 def wide_candidates(spark, sf_dir):
     return wide.candidates(materialize(classified(spark, sf_dir), "classified"))
 
 
-@query()
+@query(f"{CANDIDATES} SELECT category, count(*) AS n, round(100.0::double * count(*) / sum(count(*)) OVER (), 1) AS percent FROM pair GROUP BY category")
 def summary_triage(spark, sf_dir):
     return summary.triage(wide_candidates(spark, sf_dir))
 
