@@ -1,7 +1,7 @@
 """Named queries over the standard tables, with the SQL that must give the same rows.
 
-The SQL is written apart from the DataFrame code. Queries whose semantics SQL can't express (Indel similarity, sequential consumption,
-bounded searches beyond a few rows) have none; tests/ checks them against plain Python. Classified rows include batches; their SQL searches sums of one-sided rows recursively.
+The SQL is written apart from the DataFrame code: similarity comes from common subsequences by recursion, consumption in row order from walks with the list of rows that are used up, requests and range yields from folds.
+Only the fingerprint of an export has none. Classified rows include batches; their SQL searches sums of one-sided rows recursively.
 """
 
 from __future__ import annotations
