@@ -10,7 +10,7 @@ A pair of a common bucket is a candidate if its set sizes allow the similarity,
 lie within a Hamming distance that a similar pair exceeds with a probability below 1e-6, and so do parities: for each of 512 ranges of shingle hashes a set has a bit that tells whether it has an odd
 number of them, and two sets differ in at least as many shingles as bits, which is exact. Candidates are confirmed on the full sets: linked if PERCENT_DEN * intersection >= PERCENT * union.
 
-Pairs inside a group are not spelled out. First each class meets the centres of its buckets with which it shares the most entries; the links found are turned into components. Then come
+Pairs inside a group are not spelled out. Of buckets that hold the same classes one is kept. First each class meets the centres of its buckets with which it shares the most entries; the links found are turned into components. Then come
 ROUNDS rounds: in every bucket that still has several components, classes in order of one part of their signatures meet the next REACH ones of another component, and of all
 its candidates a class takes the PARTNERS nearest; components are merged after each round, so a group that merges stops making pairs. What remains are classes with a candidate of another
 component. These meet by the rarest shingles of their full sets: similar sets share one of their first fifth, at places that leave enough to have in common. Such pairs are confirmed too, so
@@ -224,6 +224,17 @@ def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(groups.unionByName(ends).join(joined, "component", "left").select("node", F.coalesce("_to", "component").alias("component")), "near-groups", lean=True)
 
 
+def unlike(every: DataFrame) -> DataFrame:
+    """key, c, size (other classes of the bucket), alike: of all buckets with the same classes the one with the smallest key; alike tells how many they are.
+
+    Such buckets give the same candidates. Classes are compared by their number and two 64-bit hashes.
+    """
+    both = (F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(SEED))).alias("y"))
+    shapes = every.groupBy("key").agg((F.count("*") - 1).alias("size"), *both)
+    kept = materialize(shapes.groupBy("x", "y", "size").agg(F.min("key").alias("key"), F.count("*").alias("alike")).select("key", "size", "alike"), "near-shapes", lean=True)
+    return materialize(every.join(kept, "key"), "near-unlike", lean=True)
+
+
 def labelled(every: DataFrame, groups: DataFrame) -> DataFrame:
     """key, c, g of the buckets that have classes of several components."""
     rows = every.select("key", "c").join(groups.select(F.col("node").alias("c"), F.col("component").alias("g")), "c", "left").withColumn("g", F.coalesce("g", "c"))
@@ -259,12 +270,11 @@ def linked_classes(docs: DataFrame, sketches: DataFrame, k: int, percent: int) -
     bodies = materialize(bodies, "near-texts")  # a row for each class, more only for repeated rows
 
     # the centre of a bucket is its class with the most company over all its buckets: of a group of copies the least edited one
-    every = members.select("key", "c").unionByName(members.select("key", F.col("centre").alias("c")).distinct())
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
-    rank = materialize(every.join(sizes, "key").groupBy("c").agg(F.sum("size").alias("company")), "near-company", lean=True)
-    every = materialize(every.join(rank, "c"), "near-buckets", lean=True)
+    every = unlike(members.select("key", "c").unionByName(members.select("key", F.col("centre").alias("c")).distinct()))
+    rank = materialize(every.groupBy("c").agg(F.sum(F.col("size") * F.col("alike")).alias("company")), "near-company", lean=True)
+    every = materialize(every.join(rank, "c").select("key", "c", "alike", "company"), "near-buckets", lean=True)
     centres = every.groupBy("key").agg(F.max(F.struct("company", "c")).alias("top"))
-    shared = every.join(centres, "key").where(F.col("c") != F.col("top.c")).groupBy(F.col("top.c").alias("a"), F.col("c").alias("b")).agg(F.count("*").alias("n"), F.max("top.company").alias("company"))
+    shared = every.join(centres, "key").where(F.col("c") != F.col("top.c")).groupBy(F.col("top.c").alias("a"), F.col("c").alias("b")).agg(F.sum("alike").alias("n"), F.max("top.company").alias("company"))
     best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), F.desc("company"), "a"))  # a class has CHUNKS * SYMBOLS entries at most
     first = shared.withColumn("_r", best).where(F.col("_r") <= CENTRES).select("a", "b").join(named("a", "_1"), "a").join(named("b", "_2"), "b")
     tested = materialize(first.where(able("_1", "_2", percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs", lean=True)
@@ -280,7 +290,7 @@ def linked_classes(docs: DataFrame, sketches: DataFrame, k: int, percent: int) -
         if links.isEmpty():
             break
         groups = merged(groups, links)
-        rows = materialize(labelled(every, groups).join(named("c", "_1"), "c"), "near-open", lean=True)
+        rows = materialize(labelled(rows, groups).join(named("c", "_1"), "c"), "near-open", lean=True)
 
     other = rows.select("key", F.col("g").alias("h"), *(F.col(f"{x}_1").alias(f"{x}_2") for x in ("n", *MARKS)))
     company = (rows["key"] == other["key"]) & (F.col("g") != F.col("h")) & able("_1", "_2", percent)
