@@ -1,7 +1,7 @@
 """Matching by rules that are data: one row of G with one row of P, tier after tier, and in four passes with quarantine of what is ambiguous.
 
 Text rules and guards are equalities, number and date rules are bands; a join of these makes candidates (bands.band_join). A match takes its P row away from later G rows: where a row takes the first
-free candidate, rounds settle that (greedy.first_come); where it matters how many are free, rows that can compete are found as connected components, and each component is read in row order.
+free candidate, rows that can compete are read in order or settled in rounds (greedy.matched); where it matters how many are free, rows that can compete are found as connected components, and each component is read in row order.
 """
 
 from __future__ import annotations
@@ -52,6 +52,10 @@ class Rule:
             return F.nullif(F.upper(F.trim(c.cast("string"))), F.lit(""))
         return c.cast("date") if self.kind == "date" else normalize.number(c)
 
+    def same(self) -> tuple:
+        """Rules with the same of this have the same value()."""
+        return self.column, self.kind, self.steps
+
     def days(self) -> int:
         return normalize.in_days(self.tolerance, self.unit)
 
@@ -76,8 +80,8 @@ def sided(g: DataFrame, p: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return of(g, "G").unionByName(of(p, "P"))
 
 
-def simulate(g: DataFrame, p: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """g_idx, p_idx: in row order each G row takes the first free P row that passes all rules.
+def simulate(g: DataFrame, p: DataFrame, rules: tuple[Rule, ...], of: dict[tuple, str] | None = None) -> DataFrame:
+    """g_idx, p_idx: in row order each G row takes the first free P row that passes all rules. of: columns that hold the rules' values already, by Rule.same().
 
     Candidates are made by a join: equalities are keys, the first two number or date rules with absolute tolerances are bands. Rows with equal values under all rules are one class there. Without any equality or
     such band there is nothing to join on, and an error is raised.
@@ -88,21 +92,24 @@ def simulate(g: DataFrame, p: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     bands = [Band(f"g_{n}", f"p_{n}", r.days(), date=True) if r.kind == "date" else Band(f"g_{n}", f"p_{n}", r.tolerance + 1e-4) for n, r in rest.items() if r.kind == "date" or not r.percent]
     if not equal and not bands:
         raise ValueError("a text rule, or a condition with an absolute tolerance, is needed to join on")
-    values = lambda df: df.select("row_idx", *(r.value().alias(n) for n, r in names.items())).dropna()
+    values = lambda df: df.select("row_idx", *((r.value() if of is None else F.col(of[r.same()])).alias(n) for n, r in names.items()))
     (gs, g_rows), (ps, p_rows) = greedy.classed(values(g), list(names), "g_idx", "c"), greedy.classed(values(p), list(names), "p_idx", "q")
     side = lambda df, s: df.withColumnsRenamed({n: f"{s}_{n}" for n in rest})
     pairs = band_join(side(gs, "g"), side(ps, "p"), equal, bands)
     for n, r in rest.items():
         if r.kind == "number" and r.percent:
             pairs = pairs.where(F.abs(F.col(f"g_{n}") - F.col(f"p_{n}")) <= F.abs(F.col(f"g_{n}") * r.tolerance / 100) + 1e-4)
-    return greedy.first_come(g_rows, pairs.select("c", "q").join(p_rows, "q").select("c", "p_idx"), [])
+    return greedy.matched(g_rows, pairs.select("c", "q", F.lit(0.0).alias("place")), p_rows)
 
 
 def tiered(g: DataFrame, p: DataFrame, tiers: dict[str, tuple[Rule, ...]] = TIERS) -> DataFrame:
     """g_idx, p_idx, tier: each tier matches what the ones before have left."""
+    values = {r.same(): r.value() for rules in tiers.values() for r in rules}  # tiers that differ in tolerances share them
+    of = {k: f"c{i}" for i, k in enumerate(values)}
+    g, p = (materialize(df.select("row_idx", *(v.alias(of[k]) for k, v in values.items())), "tiered") for df in (g, p))
     out = None
     for name, rules in tiers.items():
-        links = materialize(simulate(g, p, rules), "tier", lean=True)
+        links = materialize(simulate(g, p, rules, of), "tier", lean=True)
         g, p = (df.join(links.select(F.col(c).alias("row_idx")), "row_idx", "left_anti") for df, c in ((g, "g_idx"), (p, "p_idx")))
         links = links.withColumn("tier", F.lit(name))
         out = links if out is None else out.unionByName(links)
