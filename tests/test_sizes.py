@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import normalize
+from ledgerloom.functions import normalize, similarity
 from ledgerloom.operators import greedy, rules
 from ledgerloom.sources import ledgers
 from test_greedy import one_by_one
@@ -64,3 +64,23 @@ def test_ledgers_join_their_source_once(spark):
     for side in ledgers.ledgers(spark, "/root/testdata/sf0.001"):
         plan = side._jdf.queryExecution().optimizedPlan().toString()
         assert "l_orderkey" not in plan and "base-" in plan + str(side.inputFiles())
+
+
+@pytest.mark.parametrize("narrow", [0, 20, 256])
+@pytest.mark.parametrize("least", [0.6, 0.85])
+def test_similar_pairs_of_small_and_large_groups(spark, monkeypatch, least, narrow):
+    """Groups that meet by marks and groups that meet by prefixes, beside each other."""
+    monkeypatch.setattr(similarity, "NARROW", narrow)
+    r = random.Random(5)
+    text = lambda: "INV" + "".join(r.choices("01é", k=r.randrange(0, 9)))
+    rows = lambda: [("X", text()) for _ in range(60)] + [("Y", text()) for _ in range(9)] + [("X", None), ("Y", "")]
+    a, b = rows(), rows()
+    got = similarity.similar_pairs(spark.createDataFrame(a, "v string, a string"), spark.createDataFrame(b, "v string, b string"), ["v"], least).collect()
+    want = {(v, x, y) for v, x in set(a) for w, y in set(b) if v == w and x and y and similarity.indel(x, y) >= least}
+    assert len(got) == len(want) > 0 and {(x.v, x.a, x.b) for x in got} == want
+
+
+def test_small_groups_make_no_prefixes(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "grams", None)  # the prefixes' q-grams are not asked for
+    a, b = spark.createDataFrame([("X", "AB12"), ("X", "ZZ")], "v string, a string"), spark.createDataFrame([("X", "AB1")], "v string, b string")
+    assert [(x.a, x.b) for x in similarity.similar_pairs(a, b, ["v"], 0.85).collect()] == [("AB12", "AB1")]
