@@ -11,7 +11,7 @@ lie within a Hamming distance that a similar pair exceeds with a probability bel
 number of them, and two sets differ in at least as many shingles as bits, which is exact. Candidates are confirmed on the full sets: linked if PERCENT_DEN * intersection >= PERCENT * union.
 
 Pairs inside a group are not spelled out. Of buckets that hold the same classes one is kept. First each class meets the centres of its buckets with which it shares the most entries; the links found are turned into components. Then come
-ROUNDS rounds: in every bucket that still has several components, classes in order of one part of their signatures meet the next REACH ones of another component, and of all
+ROUNDS rounds: in every bucket that had several components, classes in order of one part of their signatures meet the next REACH ones of another component, and of all
 its candidates a class takes the PARTNERS nearest; components are merged after each round, so a group that merges stops making pairs. What remains are classes with a candidate of another
 component. These meet by the rarest shingles of their full sets: similar sets share one of their first fifth, at places that leave enough to have in common. Such pairs are confirmed too, so
 no link between components is lost.
@@ -235,11 +235,15 @@ def unlike(every: DataFrame) -> DataFrame:
     return materialize(every.join(kept, "key"), "near-unlike", lean=True)
 
 
-def labelled(every: DataFrame, groups: DataFrame) -> DataFrame:
-    """key, c, g of the buckets that have classes of several components."""
-    rows = every.select("key", "c").join(groups.select(F.col("node").alias("c"), F.col("component").alias("g")), "c", "left").withColumn("g", F.coalesce("g", "c"))
-    split = rows.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi").select("key")
-    return rows.join(split, "key")
+def labelled(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows (key, c and more) with g, the component of c."""
+    return rows.join(groups.select(F.col("node").alias("c"), F.col("component").alias("g")), "c", "left").withColumn("g", F.coalesce("g", "c"))
+
+
+def still_split(rows: DataFrame) -> DataFrame:
+    """The rows of the buckets that have classes of several components."""
+    split = rows.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi")
+    return rows.join(split, "key", "left_semi")
 
 
 def neighbours(rows: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -282,7 +286,7 @@ def linked_classes(docs: DataFrame, sketches: DataFrame, k: int, percent: int) -
     links = materialize(confirmed(tested, one, k, percent), "near-links", lean=True)
     groups = materialize(components(links), "near-groups", lean=True)
 
-    rows = materialize(labelled(every, groups).join(named("c", "_1"), "c"), "near-open", lean=True)
+    rows = materialize(still_split(labelled(every.select("key", "c"), groups)).join(named("c", "_1"), "c"), "near-open", lean=True)
     for turn in range(ROUNDS):
         pairs = materialize(neighbours(rows, turn, percent).join(tested, ["a", "b"], "left_anti"), "near-pairs", lean=True)
         tested = tested.unionByName(pairs)
@@ -290,8 +294,10 @@ def linked_classes(docs: DataFrame, sketches: DataFrame, k: int, percent: int) -
         if links.isEmpty():
             break
         groups = merged(groups, links)
-        rows = materialize(labelled(rows, groups).join(named("c", "_1"), "c"), "near-open", lean=True)
+        # a bucket of one component makes no pairs, so it is not taken out before the last round
+        rows = materialize(labelled(rows.drop("g"), groups), "near-open", lean=True)
 
+    rows = materialize(still_split(rows), "near-open", lean=True)
     other = rows.select("key", F.col("g").alias("h"), *(F.col(f"{x}_1").alias(f"{x}_2") for x in ("n", *MARKS)))
     company = (rows["key"] == other["key"]) & (F.col("g") != F.col("h")) & able("_1", "_2", percent)
     still = materialize(rows.join(other, company, "left_semi").select("c", "g", "n_1", *(f"{w}_1" for w in MARKS)).distinct(), "near-able", lean=True)
