@@ -84,3 +84,16 @@ def test_small_groups_make_no_prefixes(spark, monkeypatch):
     monkeypatch.setattr(similarity, "grams", None)  # the prefixes' q-grams are not asked for
     a, b = spark.createDataFrame([("X", "AB12"), ("X", "ZZ")], "v string, a string"), spark.createDataFrame([("X", "AB1")], "v string, b string")
     assert [(x.a, x.b) for x in similarity.similar_pairs(a, b, ["v"], 0.85).collect()] == [("AB12", "AB1")]
+
+
+def test_components_compute_their_edges_once(spark):
+    """Edges often come from joins and Python; reading them once for each direction would do these again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (8, 9)], "a long, b long").mapInArrow(counted, "a long, b long")
+    assert dict(map(tuple, greedy.components(edges).collect())) == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8} and seen.value == 3
