@@ -213,9 +213,10 @@ def competing(rows: DataFrame, others: dict[str, Rule]) -> DataFrame:
     numbers = {n: r for n, r in others.items() if r.kind == "number"}
 
     def tied(*key: str) -> DataFrame:
-        some = rows.where(" AND ".join(f"{c} != ''" for c in key) or "true")
-        first = some.groupBy("v", *key[1:]).agg(F.min("node").alias("b"), F.count_if(F.col("side") == "G").alias("gs"), F.count_if(F.col("side") == "P").alias("ps")).where("gs > 0 AND ps > 0")
-        return some.join(first, ["v", *key[1:]]).select(F.col("node").alias("a"), "b")
+        # keys by hash: keys that share one would tie rows that can't compete, which makes a component larger and changes nothing else
+        some = rows.where(" AND ".join(f"{c} != ''" for c in key) or "true").select("node", "side", F.xxhash64("v", *key[1:]).alias("k"))
+        first = some.groupBy("k").agg(F.min("node").alias("b"), F.count_if(F.col("side") == "G").alias("gs"), F.count_if(F.col("side") == "P").alias("ps")).where("gs > 0 AND ps > 0")
+        return some.join(first, "k").select(F.col("node").alias("a"), "b")
 
     edges = tied("v", "n").unionByName(tied("v", "clean"))
     if not numbers:
