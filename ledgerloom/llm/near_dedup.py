@@ -177,19 +177,24 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> Data
     return pairs.join(body("a"), "a").join(body("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def apart(one: str, other: str) -> Column:
-    """How many lanes (WORDS) differ between two signatures with these endings."""
+def part(end: str | Column, name: str) -> Column:
+    """A field of a signature, which is a struct or whose columns have this ending."""
+    return F.col(f"{name}{end}") if isinstance(end, str) else end[name]
+
+
+def apart(one: str | Column, other: str | Column) -> Column:
+    """How many lanes (WORDS) differ between two signatures."""
     total = F.lit(0)
     for w in WORDS:
-        x = F.col(f"{w}{one}").bitwiseXOR(F.col(f"{w}{other}"))
+        x = part(one, w).bitwiseXOR(part(other, w))
         total = total + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3)).bitwiseAND(F.lit(LOW)))
     return total
 
 
-def able(one: str, other: str, percent: int) -> Column:
-    """Whether sizes (n), signature lanes and parities of two sets, with these endings, allow them to be similar enough."""
-    n, m = F.col(f"n{one}"), F.col(f"n{other}")
-    odd = sum((F.bit_count(F.col(f"{w}{one}").bitwiseXOR(F.col(f"{w}{other}"))) for w in PARITY), F.lit(0))
+def able(one: str | Column, other: str | Column, percent: int) -> Column:
+    """Whether sizes (n), signature lanes and parities of two sets allow them to be similar enough."""
+    n, m = part(one, "n"), part(other, "n")
+    odd = sum((F.bit_count(part(one, w).bitwiseXOR(part(other, w))) for w in PARITY), F.lit(0))
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (odd * (100 + percent) <= (n + m) * (100 - percent)) & (apart(one, other) <= farthest(percent))
 
 
@@ -251,12 +256,12 @@ def neighbours(rows: DataFrame, turn: int, percent: int) -> DataFrame:
     word = WORDS[turn % len(WORDS)]
     # the word's first lanes divide a bucket that very many classes share
     order = Window.partitionBy("key", F.shiftrightunsigned(f"{word}_1", 56)).orderBy(f"{word}_1", "c")
-    fields = ("c", "g", "n_1", *(f"{w}_1" for w in MARKS))
-    other = F.struct(*(F.col(f).alias(f.replace("_1", "_2")) for f in fields))
+    other = F.struct("c", "g", *(F.col(f"{x}_1").alias(x) for x in ("n", *MARKS)))
+    # what can't be similar is dropped before it becomes a row: an entry whose neighbours are of its own component makes none
+    likely = lambda o: (o["g"] != F.col("g")) & able("_1", o, percent)
     ahead = rows.withColumn("ahead", F.array(*(F.lead(other, i).over(order) for i in range(1, REACH + 1))))
-    pairs = ahead.withColumn("o", F.explode("ahead")).where(F.col("o").isNotNull() & (F.col("o.g") != F.col("g")))
-    pairs = pairs.select("c", *fields[2:], F.col("o.c").alias("d"), *(F.col(f"o.{f.replace('_1', '_2')}") for f in fields[2:])).where(able("_1", "_2", percent))
-    pairs = pairs.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"), apart("_1", "_2").alias("apart")).distinct()
+    found = ahead.select("c", F.transform(F.filter("ahead", likely), lambda o: F.struct(o["c"].alias("d"), apart("_1", o).alias("apart"))).alias("ahead"))
+    pairs = found.select("c", F.inline("ahead")).select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"), "apart").distinct()
     nearest = F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))  # a class has CHUNKS * SYMBOLS * REACH candidates at most after, and as many before it
     return pairs.withColumn("_r", nearest).where(F.col("_r") <= PARTNERS).select("a", "b")
 
