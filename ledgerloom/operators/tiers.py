@@ -27,17 +27,15 @@ def exact_key(df: DataFrame) -> list[Column]:
 def exact(g: DataFrame, p: DataFrame) -> DataFrame:
     """g_idx, p_idx: the k-th row of a key in G meets the k-th in P.
 
-    Numbering both sides by row_idx within the key makes the queue an equi-join.
+    Both sides are dealt by key together and numbered by row_idx there, so numbering and meeting take one shuffle.
     """
-
-    def numbered(df: DataFrame, name: str) -> DataFrame:
-        keys = [k.alias(f"k{i}") for i, k in enumerate(exact_key(df))]
-        names = [f"k{i}" for i in range(len(keys))]
-        rows = df.select(F.col("row_idx").alias(name), *keys).dropna(subset=names)
-        return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*names).orderBy(name)))
-
-    left, right = numbered(g, "g_idx"), numbered(p, "p_idx")
-    return left.join(right, [c for c in left.columns if c != "g_idx"]).select("g_idx", "p_idx")
+    keys = [f"k{i}" for i in range(len(exact_key(g)))]
+    side = lambda df, of_g: df.select("row_idx", F.lit(of_g).alias("of_g"), *(k.alias(n) for k, n in zip(exact_key(df), keys))).dropna(subset=keys)
+    rows = side(g, True).unionByName(side(p, False)).repartition(*keys)
+    nth = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "of_g").orderBy("row_idx")))
+    of = lambda mine, name: F.min(F.when(mine, F.col("row_idx"))).alias(name)
+    met = nth.groupBy(*keys, "nth").agg(of(F.col("of_g"), "g_idx"), of(~F.col("of_g"), "p_idx"))
+    return met.where("g_idx IS NOT NULL AND p_idx IS NOT NULL").select("g_idx", "p_idx")
 
 
 def residual(df: DataFrame, matches: DataFrame, side: str) -> DataFrame:
