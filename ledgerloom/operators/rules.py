@@ -143,11 +143,13 @@ def range_yield(g: DataFrame, p: DataFrame, rule: Rule) -> DataFrame:
     These pairs are a largest matching of values within the tolerance, so they are all G rows but the largest lack: the most by which G rows of some intervals outnumber the P rows in reach of them. Along the line, an interval
     of reach that begins at s and ends at e adds U(e) + V(s), where U counts G values up to e - tolerance less P values up to e, and V the same from below s with the other sign. The best set of
     intervals is a walk between the states "outside" and "inside"; a segment of the line makes it a 2 x 2 table of best gains, and tables compose. So segments of distinct values are reduced each in its own task, and
-    the driver folds one table a segment. Numbers count to six decimals.
+    the driver folds one table a segment. Numbers count to six decimals. Rows are counted by what stands in the column, and only the distinct values are read as numbers and moved.
     """
     tol = F.lit(rule.days() if rule.kind == "date" else rule.tolerance).cast("decimal(30,6)")
     at = (F.datediff(rule.value(), F.lit(dt.date(1970, 1, 1))) if rule.kind == "date" else rule.value()).cast("decimal(30,6)")
-    point = lambda df, *steps: df.select(at.alias("at")).where("at IS NOT NULL").select(F.explode(F.array(*(F.struct((F.col("at") + shift).cast("decimal(30,6)").alias("at"), F.lit(u).alias("u"), F.lit(v).alias("v")) for shift, u, v in steps))).alias("x")).select("x.*")
+    counted = lambda df, label: materialize(df.groupBy(rule.column).agg(F.count("*").alias("_n")).select(at.alias("at"), "_n").where("at IS NOT NULL"), label)
+    g, p = counted(g, "g_values"), counted(p, "p_values")
+    point = lambda df, *steps: df.select(F.explode(F.array(*(F.struct((F.col("at") + shift).cast("decimal(30,6)").alias("at"), (u * F.col("_n")).alias("u"), (v * F.col("_n")).alias("v")) for shift, u, v in steps))).alias("x")).select("x.*")
     zero = F.lit(0).cast("decimal(30,6)")
     points = point(g, (tol, 1, 0), (-tol, 0, -1)).unionByName(point(p, (zero, -1, 1))).groupBy("at").agg(F.sum("u").alias("u"), F.sum("v").alias("v"))
     points = materialize(points, "points")
@@ -175,7 +177,7 @@ def range_yield(g: DataFrame, p: DataFrame, rule: Rule) -> DataFrame:
     out, inside = 0.0, -math.inf
     for t in dealt.groupBy("segment").applyInArrow(table, "segment int, oo double, oi double, io double, ii double").orderBy("segment").collect():  # a row a segment
         out, inside = max(out + t.oo, inside + t.io), max(out + t.oi, inside + t.ii)
-    return g.select(at.alias("at")).agg((F.count("at") - F.lit(int(out))).alias("pairs"))
+    return g.agg((F.coalesce(F.sum("_n"), F.lit(0)) - F.lit(int(out))).alias("pairs"))
 
 
 PASSES = "g_idx long, p_idx long, pass int, bucket string, rank int, score double"

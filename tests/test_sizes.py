@@ -97,3 +97,18 @@ def test_components_compute_their_edges_once(spark):
 
     edges = spark.createDataFrame([(1, 2), (2, 3), (8, 9)], "a long, b long").mapInArrow(counted, "a long, b long")
     assert dict(map(tuple, greedy.components(edges).collect())) == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8} and seen.value == 3
+
+
+def test_a_range_reads_each_distinct_value_once(spark, monkeypatch):
+    """Rows are counted by what stands in the column; only the counts are read as numbers, moved and added up."""
+    rows, kept = {}, rules.materialize
+
+    def counted(df, label, **k):
+        out = kept(df, label, **k)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(rules, "materialize", counted)
+    g = ledger(spark, [{"taxable": x} for x in [100, 100, 100, 115, 115, 300, None] * 5])
+    p = ledger(spark, [{"taxable": x} for x in [105, 110, 290, 290] * 5], "P")
+    assert rules.range_yield(g, p, rules.AMOUNT).first().pairs == 15 and (rows["g_values"], rows["p_values"]) == (3, 3)
