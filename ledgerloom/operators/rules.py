@@ -22,6 +22,7 @@ from ledgerloom.functions.similarity import guarded, guarded_ratio
 from ledgerloom.operators import greedy, scan
 from ledgerloom.operators.bands import Band, band_join
 from ledgerloom.operators.ordered import in_groups
+from ledgerloom.operators.reach import Near, first_in_reach
 from ledgerloom.sources.session import ensure_importable
 from ledgerloom.sources.store import materialize
 
@@ -84,7 +85,7 @@ def simulate(g: DataFrame, p: DataFrame, rules: tuple[Rule, ...], of: dict[tuple
     """g_idx, p_idx: in row order each G row takes the first free P row that passes all rules. of: columns that hold the rules' values already, by Rule.same().
 
     Candidates are made by a join: equalities are keys, the first two number or date rules with absolute tolerances are bands. Rows with equal values under all rules are one class there. Without any equality or
-    such band there is nothing to join on, and an error is raised.
+    such band there is nothing to join on, and an error is raised. Without any equality all rows near each other can compete, so with a number rule they are dealt by ranges of it (reach.first_in_reach) and no pairs are made.
     """
     names = {f"v{i}": r for i, r in enumerate(rules)}
     equal = [n for n, r in names.items() if r.kind in EQUALITIES]
@@ -93,6 +94,12 @@ def simulate(g: DataFrame, p: DataFrame, rules: tuple[Rule, ...], of: dict[tuple
     if not equal and not bands:
         raise ValueError("a text rule, or a condition with an absolute tolerance, is needed to join on")
     values = lambda df: df.select("row_idx", *((r.value() if of is None else F.col(of[r.same()])).alias(n) for n, r in names.items()))
+    if not equal and (lead := next((n for n, r in rest.items() if r.kind == "number" and not r.percent), None)):
+        order = {lead: rest[lead], **rest}
+        nears = [Near(r.days()) if r.kind == "date" else Near(1e-4, r.tolerance) if r.percent else Near(r.tolerance + 1e-4) for r in order.values()]
+        numbers = lambda df: values(df).select("row_idx", *(Band(n, n, 0, date=r.kind == "date").number(n).alias(f"x{i}") for i, (n, r) in enumerate(order.items())))
+        if (links := first_in_reach(numbers(g), numbers(p), nears)) is not None:
+            return links
     (gs, g_rows), (ps, p_rows) = greedy.classed(values(g), list(names), "g_idx", "c"), greedy.classed(values(p), list(names), "p_idx", "q")
     side = lambda df, s: df.withColumnsRenamed({n: f"{s}_{n}" for n in rest})
     pairs = band_join(side(gs, "g"), side(ps, "p"), equal, bands)
