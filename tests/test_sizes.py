@@ -1,13 +1,15 @@
 """What makes the queries' work grow with their input: rows that don't take part in rounds, values that are computed once, ledgers that are read once."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import normalize, similarity
-from ledgerloom.operators import greedy, rules
+from ledgerloom.operators import greedy, rules, waterfall
 from ledgerloom.sources import ledgers
+from ledgerloom.sources.store import materialize
 from test_greedy import one_by_one
 from test_matching import ledger
 
@@ -66,6 +68,19 @@ def test_ledgers_join_their_source_once(spark):
         assert "l_orderkey" not in plan and "base-" in plan + str(side.inputFiles())
 
 
+def test_tables_are_not_broadcast_by_their_files(spark):
+    """Links of a file below the limit that take more than it as rows in the driver's memory."""
+    g, _ = ledgers.ledgers(spark, "/root/testdata/sf0.001")
+    links = materialize(g.select(F.col("row_idx").alias("g_idx"), F.col("order_key").alias("p_idx"), F.lit("NEAR_MATCH").alias("bucket")), "links", lean=True)
+    files = sum(Path(f.removeprefix("file:")).stat().st_size for f in links.inputFiles())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", files)
+    try:
+        plan = waterfall.left_over(g, links, "g_idx")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "LeftAnti" in plan and "BroadcastHashJoin" not in plan
+
+
 @pytest.mark.parametrize("narrow", [0, 20, 256])
 @pytest.mark.parametrize("least", [0.6, 0.85])
 def test_similar_pairs_of_small_and_large_groups(spark, monkeypatch, least, narrow):
